@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiweave.llm import decontaminate, line_dedup, spotsigs, url_rules
+from lexiweave.llm import chat, decontaminate, line_dedup, ngram_join, packing, pii, quality, spotsigs, substrings, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,11 +37,74 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = packing.pack(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substrings.dedup_substrings(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.find_pii(table(spark, sf_dir, "documents"))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    number = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [number(kind) for kind in pii.BASE_KINDS]
+    base = F.filter("spans", lambda x: x["kind"].isin(*pii.BASE_KINDS))
+    return rows.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    ranker = quality.learn(docs, table(spark, sf_dir, "labels"))
+    rows = quality.scored(docs, ranker, ["doc_id"])
+    return rows.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+
+
+def _read_back(batches):
+    import hashlib
+
+    import pyarrow as pa
+
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for batch in batches:
+        rows = []
+        for r in batch.to_pylist():
+            turns = chat.read_back(r["formatted"])
+            learned = chat.masked_text(r["formatted"], r["starts"], r["ends"], r["mask"])
+            rows.append((r["conv_id"], len(turns), digest("".join(f"{a}\n{b}\n" for a, b in turns)), len(learned), digest(learned), len(r["formatted"])))
+        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in rows], kind) for j, kind in enumerate(kinds)], names)
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text"))
+    rows = chat.format_chats(turns.unionByName(extra))
+    return rows.select("conv_id", "formatted", "starts", "ends", "mask").mapInArrow(_read_back, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_spotsigs": op2_spotsigs,
     "op3_decontaminate": op3_decontaminate,
+    "op4_pack": op4_pack,
+    "op5_substrings": op5_substrings,
     "op6_url_rules": op6_url_rules,
+    "op7_pii": op7_pii,
+    "op8_ngram_join": op8_ngram_join,
+    "op9_quality": op9_quality,
+    "op10_chat": op10_chat,
 }
 
 _WORD = r"[^ \t-\r]+"
