@@ -11,11 +11,13 @@ blocks, and pairs whose count plus the largest possible rest stays below the
 least overlap for their sizes are dropped. What is left is verified on whole
 sets, as exact integers.
 
-No column yields all its pairs. First each column's rows meet only the first
-row of about their size (the hub); pairs that survive the bound are verified,
-and rows that are linked become one component. Only then the pairs of a
-column's rows in different components are counted, in full, so no link between
-components is lost and rows of one group of near copies never pair up.
+No column yields all its pairs. In a few rounds each row of a column meets only
+``HUBS`` rows of its largest component (at first: any), chosen by hash so that
+all columns of a group choose alike; each row's best pairs by count are
+verified, and linked rows become one component. Only then the pairs of a
+column's rows that are still in different components are counted, in full, so
+no link between components is lost and rows of one group of near copies never
+pair up.
 
 Hashes are of 64 bits, in verification of 48.
 
@@ -36,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiweave.llm.common import components, keyed, small_batches, stored
@@ -47,6 +49,7 @@ SHARE = 75
 COMMON = 100_000
 BLOCK_BYTES = 4_000_000
 BROADCAST_ROWS = 1_000_000
+HUBS, BEST, ROUNDS = 8, 2, 4
 MASK = np.uint64(2**48 - 1)
 
 
@@ -178,16 +181,20 @@ def _columns(table: pa.Table) -> pa.Table:
     return pa.table({"ids": pa.array([x[0] for x, _ in rows], kind), "sizes": pa.array([x[1] for x, _ in rows], kind), "weight": pa.array([w for _, w in rows], pa.int64())})
 
 
-def hub_pairs(ids: list[int], sizes: list[int], share: int) -> list[tuple[int, int, int, int]]:
-    """Each row with the first row of about its size: (a, b, size of a, size of b), a < b."""
-    out, hub = [], 0
-    for i in range(1, len(ids)):
-        if 100 * sizes[hub] < share * sizes[i]:
-            hub = i
-        else:
-            a, b = (hub, i) if ids[hub] < ids[i] else (i, hub)
-            out.append((ids[a], ids[b], sizes[a], sizes[b]))
-    return out
+def hub_pairs(members: list[tuple[int, int, int]], share: int, turn: int) -> Iterator[tuple[int, int, int, int]]:
+    """Rows (id, size, root) outside the largest component with some rows of it: (row, hub, size of the row, of the hub)."""
+    roots = Counter(m[2] for m in members)
+    most = max(roots.values())
+    order = sorted(members, key=lambda m: hash((turn, m[0])))
+    if most == 1:
+        hubs, rest = order[:HUBS], order
+    else:
+        main = min(r for r, n in roots.items() if n == most)
+        hubs, rest = [m for m in order if m[2] == main][:HUBS], [m for m in order if m[2] != main]
+    for x in rest:
+        for y in hubs:
+            if x[2] != y[2] and 100 * min(x[1], y[1]) >= share * max(x[1], y[1]):
+                yield x[0], y[0], x[1], y[1]
 
 
 def cross_pairs(ids: list[int], sizes: list[int], roots: list[int], share: int) -> Iterator[tuple[int, int, int, int]]:
@@ -201,7 +208,9 @@ def cross_pairs(ids: list[int], sizes: list[int], roots: list[int], share: int)
                 yield ids[a], ids[b], sizes[a], sizes[b]
 
 
-def _pairing(share: int, cross: bool):
+def _pairing(share: int, turn: int | None):
+    """Counted pairs of lists with mixed components; turn: hub pairs, None: all pairs."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(counts):
             rows = [(*p, w) for p, w in counts.items()]
@@ -210,11 +219,12 @@ def _pairing(share: int, cross: bool):
         counts: Counter = Counter()
         for batch in batches:
             for row in batch.to_pylist():
-                if cross:
-                    members = sorted(row["members"], key=lambda m: (m["size"], m["id"]))
-                    pairs = cross_pairs([m["id"] for m in members], [m["size"] for m in members], [m["root"] for m in members], share)
+                members = [(m["id"], m["size"], m["root"]) for m in row["members"]]
+                if turn is None:
+                    members.sort(key=lambda m: (m[1], m[0]))
+                    pairs = cross_pairs([m[0] for m in members], [m[1] for m in members], [m[2] for m in members], share)
                 else:
-                    pairs = hub_pairs(row["ids"], row["sizes"], share)
+                    pairs = hub_pairs(members, share, turn)
                 for p in pairs:
                     counts[p] += row["weight"]
                     if len(counts) >= 200_000:
@@ -230,7 +240,7 @@ def bounded(pairs: DataFrame, share: int) -> DataFrame:
     """Adds the counts over blocks and drops pairs that can't reach the least overlap for their sizes."""
     pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
     rest = F.greatest(F.ceil(F.col("na") * share / 100), F.ceil(F.col("nb") * share / 100)) - 1
-    return pairs.where((F.col("c") + rest) * (100 + share) >= share * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
+    return pairs.where((F.col("c") + rest) * (100 + share) >= share * (F.col("na") + F.col("nb")))
 
 
 def _gathering(n: int):
@@ -284,13 +294,29 @@ def class_links(docs: DataFrame, described: DataFrame, n: int = N, share: int =
     lists = entries.groupBy("block").applyInArrow(_columns, "ids array<bigint>, sizes array<bigint>, weight bigint")
     lists = stored(lists.withColumn("list", F.monotonically_increasing_id()), "columns")
     pair = "a bigint, b bigint, na bigint, nb bigint, c bigint"
-    near = stored(bounded(lists.select("ids", "sizes", "weight").mapInArrow(_pairing(share, False), pair), share), "near")
-    links = stored(verified(near, docs, classes, n, share), "links")
-    roots = components(links, "hubs")
-    each = lists.select("list", "weight", F.explode(F.arrays_zip("ids", "sizes")).alias("m")).select("list", "weight", F.col("m.ids").alias("id"), F.col("m.sizes").alias("size"))
-    each = each.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = each.groupBy("list", "weight").agg(F.collect_list(F.struct("id", "size", "root")).alias("members"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("weight", "members")
-    far = bounded(mixed.mapInArrow(_pairing(share, True), pair), share).join(near.select("a", "b"), ["a", "b"], "left_anti")
+
+    def mixed(roots: DataFrame | None) -> DataFrame:
+        """The lists whose rows are in several components, with them."""
+        if roots is None:
+            return lists.select("weight", F.transform(F.arrays_zip("ids", "sizes"), lambda m: F.struct(m["ids"].alias("id"), m["sizes"].alias("size"), m["ids"].alias("root"))).alias("members"))
+        each = lists.select("list", "weight", F.explode(F.arrays_zip("ids", "sizes")).alias("m")).select("list", "weight", F.col("m.ids").alias("id"), F.col("m.sizes").alias("size"))
+        each = each.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        both = each.groupBy("list", "weight").agg(F.collect_list(F.struct("id", "size", "root")).alias("members"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        return both.where("lo <> hi").select("weight", "members")
+
+    links, roots, tried = None, None, None
+    for turn in range(ROUNDS):
+        some = bounded(mixed(roots).mapInArrow(_pairing(share, turn), pair), share)
+        best = Window.partitionBy("a").orderBy(F.desc("c"), "b")
+        some = some.withColumn("r", F.row_number().over(best)).where(F.col("r") <= BEST).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        some = stored(some if tried is None else some.join(tried, ["a", "b"], "left_anti"), f"hubs-{turn}")
+        new = stored(verified(some, docs, classes, n, share), f"links-{turn}")
+        tried = some if tried is None else tried.unionByName(some)
+        links = new if links is None else links.unionByName(new)
+        if new.isEmpty():
+            break
+        roots = components(links, f"hubs-{turn}")
+    far = bounded(mixed(roots).mapInArrow(_pairing(share, None), pair), share).select("a", "b").join(tried, ["a", "b"], "left_anti")
     more = verified(stored(far, "far"), docs, classes, n, share)
     return stored(links.unionByName(more), "all-links")
 
