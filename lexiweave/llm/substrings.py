@@ -34,9 +34,10 @@ from lexiweave.llm.common import keyed, small_batches
 from lexiweave.llm.vector import Words, string_array
 
 K = 20
-M = 5
+M = 3
 HEAVY = 20_000
-BUCKET_BYTES = 2_000_000
+BUCKET_BYTES = 8_000_000
+LEVEL = 6
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -94,7 +95,7 @@ def _packing(k: int, m: int, buckets: int, heavy: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=LEVEL)
         for number, batch in enumerate(batches):
             ids, hashes = np.asarray(batch.column(0).fill_null(-(2**63))), np.asarray(batch.column(1))
             words = Words(string_array(batch.column(2)))
@@ -218,7 +219,7 @@ def _removing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_ranges(docs: DataFrame, k: int = K, m: int = M, heavy: int = HEAVY, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """k, h, lo, hi: word ranges covered by windows that also start earlier. docs: k, t, h."""
     total = docs.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
-    buckets = max(1, total // bucket_bytes)
+    buckets = max(1, total // bucket_bytes, min(48, 16 * total // bucket_bytes))
     hot = heavy_minimisers(docs, k, m, heavy)
     rows = docs.select("k", "h", "t").mapInArrow(_packing(k, m, buckets, hot), "bucket bigint, strings binary, owners binary, marks binary")
     return rows.groupBy("bucket").applyInArrow(_counting(k), "k bigint, h bigint, lo bigint, hi bigint")
