@@ -36,7 +36,7 @@ from lexiweave.llm.vector import Words, string_array
 K = 20
 M = 3
 HEAVY = 20_000
-BUCKET_BYTES = 8_000_000
+BUCKET_BYTES = 4_000_000
 LEVEL = 6
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -138,7 +138,8 @@ def _packing(k: int, m: int, buckets: int, heavy: np.ndarray):
 
 def later_windows(strings: list[bytes], owners: np.ndarray, k: int) -> list[tuple[int, int, int, int]]:
     """(k, h, from, to) word ranges of windows that also start earlier, exactly. strings: packed; owners: k, h, start of each."""
-    order = sorted(range(len(strings)), key=lambda i: (strings[i], *owners[i]))
+    order = sorted(range(len(strings)), key=owners.__getitem__)
+    order.sort(key=strings.__getitem__)
     out, distinct, last = [], [], None
     for i in order:
         if last is not None and strings[i] == strings[last]:

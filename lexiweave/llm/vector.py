@@ -15,6 +15,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 BASE = np.uint64(0x9E3779B97F4A7C15)
 LONGEST = 4096
+PART = 500_000
 POWERS = np.ones(LONGEST, np.uint64)
 POWERS[1:] = BASE
 POWERS = np.multiply.accumulate(POWERS)
@@ -53,17 +54,23 @@ class Words:
         self.first = np.searchsorted(self.start, at)
         length = self.end - self.start
         self.hash = np.zeros(len(length), np.uint64)
-        if len(length):
-            table = LOWERED if lower else BYTE
-            begin = np.cumsum(length) - length
-            inside = np.arange(begin[-1] + length[-1], dtype=np.int32) - np.repeat(begin.astype(np.int32), length)
-            value = table[self.data[solid]]
-            if (big := length > LONGEST).any():
-                inside = np.minimum(inside, LONGEST - 1)
-            self.hash = mix(np.add.reduceat(value * POWERS[inside], begin) + length.astype(np.uint64))
-            for i in np.flatnonzero(big):
-                word = self.data[self.start[i] : self.end[i]].tobytes()
-                self.hash[i] = int.from_bytes(hashlib.blake2b(word.lower() if lower else word, digest_size=8).digest(), "little")
+        table = LOWERED if lower else BYTE
+        upto = np.cumsum(length)
+        lo = 0
+        while lo < len(length):  # about PART bytes at a time, so that memory stays small for any text
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + PART)))
+            self._hash(lo, hi, length[lo:hi], table)
+            lo = hi
+        for i in np.flatnonzero(length > LONGEST):
+            word = self.data[self.start[i] : self.end[i]].tobytes()
+            self.hash[i] = int.from_bytes(hashlib.blake2b(word.lower() if lower else word, digest_size=8).digest(), "little")
+
+    def _hash(self, lo: int, hi: int, length: np.ndarray, table: np.ndarray) -> None:
+        piece = self.data[self.start[lo] : self.end[hi - 1]]
+        begin = np.cumsum(length) - length
+        inside = np.arange(begin[-1] + length[-1], dtype=np.int32) - np.repeat(begin.astype(np.int32), length)
+        value = table[piece[~SPACE[piece]]] * POWERS[np.minimum(inside, LONGEST - 1)]
+        self.hash[lo:hi] = mix(np.add.reduceat(value, begin) + length.astype(np.uint64))
 
     def grams(self, n: int) -> np.ndarray:
         """Hash of the n words from each word on; those that run over a text's end are to be left out."""
