@@ -56,21 +56,21 @@ contract AS (SELECT min(item_id) AS pos, lower(regexp_extract(text, '([A-Za-z]{4
 
 
 def lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as a lifecycle log: log_id (day), n, at, event, requests, failed, epoch, hit, category, bytes."""
+    """events as a lifecycle log: log_id (day), n, stamp, event, requests, failed, epoch, hit, category, bytes."""
     e = table(spark, sf_dir, "events")
     name = F.when(F.col("event_type") == "purchase", "translate-chunk").when(F.col("event_type") == "error", "translate-failed").when(F.col("event_type") == "signup", "session-open").when(F.col("event_type") == "click", "preflight").otherwise("heartbeat")
     k = F.get_json_object("props", "$.k").cast("long")
     category = F.when(F.col("event_type") == "error", F.when(k % 3 == 0, "timeout").when(k % 3 == 1, "rate-limit").otherwise("network"))
-    rows = e.select("event_id", F.col("ts").cast("timestamp").alias("at"), "user_id", name.alias("event"), k.alias("k"), category.alias("category"))
-    rows = rows.withColumns({"log_id": F.date_format("at", "yyyy-MM-dd"), "requests": F.when(F.col("k") % 50 != 7, F.col("k") % 4), "failed": F.col("k") % 3, "epoch": F.concat(F.lit("e"), F.floor(F.col("event_id") / 997)), "hit": F.col("k") % 5 == 0})
+    rows = e.select("event_id", F.col("ts").cast("timestamp").alias("stamp"), "user_id", name.alias("event"), k.alias("k"), category.alias("category"))
+    rows = rows.withColumns({"log_id": F.date_format("stamp", "yyyy-MM-dd"), "requests": F.when(F.col("k") % 50 != 7, F.col("k") % 4), "failed": F.col("k") % 3, "epoch": F.concat(F.lit("e"), F.floor(F.col("event_id") / 997)), "hit": F.col("k") % 5 == 0})
     from pyspark.sql import Window
 
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy("log_id").orderBy("at", "event_id")).cast("long"))
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy("log_id").orderBy("stamp", "event_id")).cast("long"))
 
 
 LIFECYCLE = r"""
-life0 AS (SELECT event_id, ts AS at, user_id, CASE event_type WHEN 'purchase' THEN 'translate-chunk' WHEN 'error' THEN 'translate-failed' WHEN 'signup' THEN 'session-open' WHEN 'click' THEN 'preflight' ELSE 'heartbeat' END AS event,
+life0 AS (SELECT event_id, ts AS stamp, user_id, CASE event_type WHEN 'purchase' THEN 'translate-chunk' WHEN 'error' THEN 'translate-failed' WHEN 'signup' THEN 'session-open' WHEN 'click' THEN 'preflight' ELSE 'heartbeat' END AS event,
   CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type FROM events),
-lifecycle AS (SELECT event_id, at, user_id, event, k, CASE WHEN event_type = 'error' THEN CASE k % 3 WHEN 0 THEN 'timeout' WHEN 1 THEN 'rate-limit' ELSE 'network' END END AS category,
-  strftime(at, '%Y-%m-%d') AS log_id, CASE WHEN k % 50 <> 7 THEN k % 4 END AS requests, k % 3 AS failed, 'e' || (event_id // 997) AS epoch, k % 5 = 0 AS hit,
-  row_number() OVER (PARTITION BY strftime(at, '%Y-%m-%d') ORDER BY at, event_id) AS n FROM life0)"""
+lifecycle AS (SELECT event_id, stamp, user_id, event, k, CASE WHEN event_type = 'error' THEN CASE k % 3 WHEN 0 THEN 'timeout' WHEN 1 THEN 'rate-limit' ELSE 'network' END END AS category,
+  strftime(stamp, '%Y-%m-%d') AS log_id, CASE WHEN k % 50 <> 7 THEN k % 4 END AS requests, k % 3 AS failed, 'e' || (event_id // 997) AS epoch, k % 5 = 0 AS hit,
+  row_number() OVER (PARTITION BY strftime(stamp, '%Y-%m-%d') ORDER BY stamp, event_id) AS n FROM life0)"""
