@@ -1 +1,148 @@
-"""Queries."""
+"""Queries over rules and settings. Rules of a page: words of its document's lines."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lexiweave.functions import formats as fm
+from lexiweave.operators import rules as ru
+from lexiweave.plans import fixtures as fx
+from lexiweave.plans.registry import query
+
+RULES = rf"""{fx.UNITS}, rw AS (SELECT page_id, pos, tag, lower(regexp_extract(text, '([A-Za-z]{{3,}})', 1)) AS w, upper(regexp_extract(text, '([A-Za-z]{{3,}})', 1)) AS up FROM units WHERE pos < 12),
+rules0 AS (SELECT page_id, CASE WHEN pos % 2 = 0 THEN 'auto' ELSE 'user' END AS source, CASE pos % 5 WHEN 0 THEN 'hard' WHEN 1 THEN 'preferred' WHEN 2 THEN 'risky' WHEN 3 THEN 'domain' ELSE 'keep' END AS tier, pos, w AS term, up || pos AS value FROM rw WHERE w <> ''),
+rules AS (SELECT page_id, source, tier, term, arg_max(value, pos) AS value, min(pos) AS pos FROM rules0 GROUP BY page_id, source, tier, term)"""
+
+
+def rules0(spark, d):
+    word = F.regexp_extract("text", r"([A-Za-z]{3,})", 1)
+    tier = F.element_at(F.array(*map(F.lit, ("hard", "preferred", "risky", "domain", "keep"))), (F.col("pos") % 5 + 1).cast("int"))
+    rows = fx.units(spark, d).where("pos < 12").select("page_id", F.when(F.col("pos") % 2 == 0, "auto").otherwise("user").alias("source"), tier.alias("tier"), "pos", F.lower(word).alias("term"), F.concat(F.upper(word), F.col("pos")).alias("value"))
+    return rows.where("term <> ''")
+
+
+def rules(spark, d):
+    return ru.normalized(rules0(spark, d))
+
+
+@query("set_norm", f"WITH {RULES} SELECT page_id, source, tier, term, value FROM rules")
+def set_norm(spark, d):
+    return rules(spark, d).select("page_id", "source", "tier", "term", "value")
+
+
+SOFT = """s0 AS (SELECT page_id, source, CASE WHEN tier = 'hard' THEN 'preferred' ELSE tier END AS tier, term, arg_max(value, CASE WHEN tier = 'hard' THEN 1 ELSE 0 END) AS value FROM rules WHERE tier <> 'keep' GROUP BY ALL),
+soft AS (SELECT * FROM s0 WHERE tier <> 'preferred' OR NOT EXISTS (SELECT 1 FROM s0 r WHERE r.tier = 'risky' AND r.page_id = s0.page_id AND lower(r.term) = lower(s0.term)))"""
+
+
+@query("set_soften", f"WITH {RULES.replace('rules AS (SELECT', 'rules1 AS (SELECT')}, rules AS (SELECT * FROM rules1 WHERE source = 'auto'), {SOFT} SELECT page_id, tier, term, value FROM soft")
+def set_soften(spark, d):
+    return ru.softened(rules(spark, d).where("source = 'auto'")).select("page_id", "tier", "term", "value")
+
+
+MERGE = """m0 AS (SELECT page_id, tier, term, arg_max(value, (value <> '')::INT * 2 + (source = 'user')::INT) AS value FROM rules GROUP BY page_id, tier, term),
+m1 AS (SELECT * FROM m0 WHERE tier <> 'preferred' OR NOT EXISTS (SELECT 1 FROM m0 h WHERE h.tier = 'hard' AND h.page_id = m0.page_id AND h.term = m0.term)),
+merged AS (SELECT * FROM m1 WHERE tier <> 'risky' OR NOT EXISTS (SELECT 1 FROM m1 h WHERE h.tier IN ('hard', 'preferred') AND h.page_id = m1.page_id AND lower(h.term) = lower(m1.term)))"""
+
+
+@query("set_merge", f"WITH {RULES}, {MERGE} SELECT page_id, tier, term, value FROM merged")
+def set_merge(spark, d):
+    return ru.merged(rules(spark, d)).select("page_id", "tier", "term", "value")
+
+
+@query("set_effective", f"WITH {RULES.replace('rules AS (SELECT', 'rules1 AS (SELECT')}, rules AS (SELECT * FROM rules1 WHERE source = 'user' OR tier = 'domain'), {MERGE} SELECT page_id, tier, term, value FROM merged")
+def set_effective(spark, d):
+    return ru.effective(rules(spark, d)).select("page_id", "tier", "term", "value")
+
+
+@query("fmt_tree", f"WITH {RULES} SELECT page_id, tier, term, CASE WHEN count(DISTINCT source) = 2 THEN 'both' ELSE min(source) END AS tag FROM rules GROUP BY ALL")
+def fmt_tree(spark, d):
+    return ru.provenance(rules(spark, d))
+
+
+@query("agg_profile", f"WITH {RULES}, {MERGE} SELECT page_id, tier, count(*) AS n FROM merged GROUP BY ALL")
+def agg_profile(spark, d):
+    return ru.tier_counts(ru.merged(rules(spark, d)))
+
+
+@query("fmt_rules_in", f"WITH {RULES} SELECT page_id, string_agg(term, ',' ORDER BY pos, term) AS domain FROM rules WHERE tier = 'domain' AND source = 'user' GROUP BY page_id")
+def fmt_rules_in(spark, d):
+    """A page's domain words written as rules text and parsed again."""
+    rows = rules(spark, d).where("tier = 'domain' AND source = 'user'").groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("domain"))
+    parsed = fm.rules_json_udf(F.concat(F.lit("领域: "), F.array_join("domain", ", ")))
+    return rows.select("page_id", F.array_join(F.from_json(F.get_json_object(parsed, "$.domain"), "array<string>"), ",").alias("domain"))
+
+
+@query("fmt_rules_out", f"WITH {RULES} SELECT page_id, '锁定:' || chr(10) || string_agg('  ' || term || ': ' || value, chr(10) ORDER BY pos, term) AS text FROM rules WHERE tier = 'hard' AND source = 'user' GROUP BY page_id")
+def fmt_rules_out(spark, d):
+    rows = rules(spark, d).where("tier = 'hard' AND source = 'user'").groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term", "value"))), lambda x: F.concat(F.lit("  "), x["term"], F.lit(": "), x["value"])).alias("l"))
+    return rows.select("page_id", fm.rules_round_trip_udf(F.concat(F.lit("锁定:\n"), F.array_join("l", "\n"))).alias("text"))
+
+
+@query("fmt_yaml_out", "SELECT conv_id, turn, 'page:' || chr(10) || '  role: \"' || role || '\"' || chr(10) || '  turn: ' || turn AS yaml FROM conversations")
+def fmt_yaml_out(spark, d):
+    value = F.to_json(F.struct(F.struct("role", "turn").alias("page")))
+    return fx.table(spark, d, "conversations").select("conv_id", "turn", fm.prompt_yaml_udf(value).alias("yaml"))
+
+
+SETTINGS = """base AS (SELECT * FROM (VALUES ('displayMode', 'both'), ('minTextLength', '2'), ('maxCharsPerChunk', '2800'), ('semanticRevision', 'a1'), ('semanticConsistency', 'true'), ('configVersion', '4'), ('model', 'm'), ('custom', 'x')) t(key, value)),
+next AS (SELECT * FROM (VALUES ('displayMode', 'only'), ('minTextLength', '3'), ('maxCharsPerChunk', '2000'), ('semanticRevision', 'b2'), ('semanticConsistency', 'false'), ('configVersion', '5'), ('model', 'm'), ('extra', 'y')) t(key, value))"""
+
+
+def settings(spark, which):
+    base = [("displayMode", "both"), ("minTextLength", "2"), ("maxCharsPerChunk", "2800"), ("semanticRevision", "a1"), ("semanticConsistency", "true"), ("configVersion", "4"), ("model", "m"), ("custom", "x")]
+    nxt = [("displayMode", "only"), ("minTextLength", "3"), ("maxCharsPerChunk", "2000"), ("semanticRevision", "b2"), ("semanticConsistency", "false"), ("configVersion", "5"), ("model", "m"), ("extra", "y")]
+    return spark.createDataFrame(base if which == "base" else nxt, "key string, value string")
+
+
+@query("set_cfgdiff", f"""WITH {SETTINGS}, f AS (SELECT coalesce(b.key, n.key) AS key, b.value AS b, n.value AS n FROM base b FULL JOIN next n ON n.key = b.key)
+SELECT key, CASE key WHEN 'semanticRevision' THEN 'semantic' WHEN 'minTextLength' THEN 'extraction' WHEN 'maxCharsPerChunk' THEN 'scheduling' WHEN 'semanticConsistency' THEN 'observation' WHEN 'displayMode' THEN 'presentation' ELSE 'other' END AS "group" FROM f WHERE b IS DISTINCT FROM n AND key <> 'configVersion'""")
+def set_cfgdiff(spark, d):
+    return ru.config_changes(settings(spark, "base"), settings(spark, "next"))
+
+
+@query("src_settings", f"WITH {SETTINGS} SELECT coalesce(b.key, n.key) AS key, coalesce(n.value, b.value) AS value FROM base b FULL JOIN next n ON n.key = b.key")
+def src_settings(spark, d):
+    return ru.overlaid(settings(spark, "base"), settings(spark, "next"))
+
+
+@query("jn_override", f"WITH {SETTINGS} SELECT b.key, CASE WHEN b.key IN ('displayMode', 'model') THEN coalesce(n.value, b.value) ELSE b.value END AS value FROM base b LEFT JOIN next n ON n.key = b.key")
+def jn_override(spark, d):
+    return ru.overlaid(settings(spark, "base"), settings(spark, "next"), ("displayMode", "model"))
+
+
+@query("fn_revision", f"WITH {SETTINGS} SELECT sha256(string_agg(key || '=' || value, chr(10) ORDER BY key)) AS revision FROM base")
+def fn_revision(spark, d):
+    return ru.revision(settings(spark, "base"))
+
+
+@query("prj_runtime", f"WITH {SETTINGS} SELECT key, value FROM base WHERE key IN ('displayMode', 'minTextLength', 'maxCharsPerChunk', 'semanticConsistency', 'semanticRevision', 'configVersion')")
+def prj_runtime(spark, d):
+    exposed = [k for keys in ru.CONFIG_GROUPS.values() for k in keys] + list(ru.UNSET)
+    return settings(spark, "base").where(F.col("key").isin(*exposed))
+
+
+@query("stm_config", f"WITH {SETTINGS}, u AS (SELECT key, value, 4 AS version FROM base UNION ALL SELECT key, value, 5 FROM next UNION ALL SELECT key, 'stale', 3 FROM base) SELECT key, arg_max(value, version) AS value FROM u GROUP BY key")
+def stm_config(spark, d):
+    b, n = settings(spark, "base"), settings(spark, "next")
+    rows = b.withColumn("version", F.lit(4)).unionByName(n.withColumn("version", F.lit(5))).unionByName(b.select("key", F.lit("stale").alias("value"), F.lit(3).alias("version")))
+    return ru.latest(rows).select("key", "value")
+
+
+@query("set_accounts", "SELECT doc_id % 7 AS provider, max(doc_id) AS account FROM documents GROUP BY 1")
+def set_accounts(spark, d):
+    """Per provider the account written last."""
+    docs = fx.table(spark, d, "documents")
+    return docs.groupBy((F.col("doc_id") % 7).alias("provider")).agg(F.max_by("doc_id", "doc_id").alias("account"))
+
+
+#: Schema steps of the settings table in order: (version, expression over the map m).
+STEPS = ((1, "map_concat(m, map('useCache', 'true'))"), (2, "map_filter(m, (k, v) -> k <> 'legacy')"), (3, "map_concat(map_filter(m, (k, v) -> k <> 'font'), map('translationFont', coalesce(element_at(m, 'font'), 'auto')))"))
+
+
+@query("set_migrate", "SELECT doc_id, 3 AS version, CASE WHEN doc_id % 4 < 3 THEN CASE WHEN doc_id % 2 = 0 THEN 'serif' ELSE 'auto' END END AS font FROM documents")
+def set_migrate(spark, d):
+    """Settings records at versions 0 to 3 taken to version 3 by the steps they lack."""
+    rows = fx.table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 4).alias("version"), F.when(F.col("doc_id") % 2 == 0, F.create_map(F.lit("font"), F.lit("serif"))).otherwise(F.create_map(F.lit("legacy"), F.lit("1"))).alias("m"))
+    for version, step in STEPS:
+        rows = rows.withColumn("m", F.when(F.col("version") < version, F.expr(step)).otherwise(F.col("m")))
+    return rows.select("doc_id", F.lit(3).alias("version"), F.element_at("m", "translationFont").alias("font"))
