@@ -1 +1,150 @@
-"""Queries."""
+"""Queries around the provider call, with the deterministic provider. Batches: four lines of a document."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from lexiweave.operators import provider as pr
+from lexiweave.plans import fixtures as fx
+from lexiweave.plans.registry import query
+
+ITEMS = f"WITH {fx.UNITS}, items AS (SELECT page_id * 100 + pos // 4 AS batch, unit_id AS i, pos, text FROM units)"
+
+
+def batches(spark, d):
+    rows = fx.units(spark, d).select((F.col("page_id") * 100 + F.floor(F.col("pos") / 4)).alias("batch"), F.struct("pos", F.col("unit_id").alias("i"), "text").alias("m"))
+    items = F.transform(F.array_sort(F.collect_list("m")), lambda m: F.struct(m["i"].alias("i"), m["text"].alias("text")))
+    return rows.groupBy("batch").agg(items.alias("items"))
+
+
+@query("udf_chunk", f"{ITEMS} SELECT i, i % 17 <> 0 OR NOT regexp_matches(text, '[\\p{{L}}\\p{{N}}]') AS ok FROM items")
+def udf_chunk(spark, d):
+    """Only items that the provider spoils every time stay failed."""
+    return pr.translate(batches(spark, d)).select("i", "ok")
+
+
+@query("udf_split", f"{ITEMS}, n AS (SELECT batch, count(*) AS n, count_if(i % 17 = 0) AS bad, count_if(i % 11 = 0) AS gone, count_if(i % 13 = 0) AS twice FROM items GROUP BY batch) SELECT batch, n > 0 AND (bad > 0 OR (gone > 0 AND n > 1) OR (twice > 0 AND n > 2)) AS was_split FROM n")
+def udf_split(spark, d):
+    return pr.translate(batches(spark, d)).groupBy("batch").agg((F.max("splits") > 0).alias("was_split"))
+
+
+@query("udf_mtchunk", f"{ITEMS} SELECT i, regexp_replace(upper(replace(text, 'ß', 'ss')), '\\s+$', '') AS t FROM items")
+def udf_mtchunk(spark, d):
+    return pr.translate(batches(spark, d), machine=True).select("i", F.upper(F.replace("t", F.lit("ß"), F.lit("ss"))).alias("t"))
+
+
+@query("udf_mtrecover", f"{ITEMS} SELECT batch, 1 AS attempts FROM items GROUP BY batch")
+def udf_mtrecover(spark, d):
+    return pr.translate(batches(spark, d), machine=True).groupBy("batch").agg(F.max("attempts").cast("int").alias("attempts"))
+
+
+@query("udf_budget", f"{ITEMS} SELECT batch, true AS within FROM items GROUP BY batch")
+def udf_budget(spark, d):
+    return pr.translate(batches(spark, d)).groupBy("batch").agg((F.max("attempts") <= pr.MOST_ATTEMPTS).alias("within"))
+
+
+@query("udf_queue", f"{ITEMS} SELECT count(*) AS items FROM items")
+def udf_queue(spark, d):
+    return pr.translate(batches(spark, d), concurrency=3).agg(F.count("*").alias("items"))
+
+
+@query("udf_request", f"{ITEMS} SELECT batch, sum(length(text)) <= 12000 AS fits FROM items GROUP BY batch")
+def udf_request(spark, d):
+    total = F.aggregate("items", F.lit(0).cast("long"), lambda a, m: a + F.length(m["text"]))
+    return batches(spark, d).select("batch", (total <= pr.MOST_SOURCE).alias("fits"))
+
+
+@query("udf_retry", "SELECT i AS attempt, least(8000, 600 * power(2, i))::BIGINT AS ms FROM range(6) t(i)")
+def udf_retry(spark, d):
+    return spark.range(6).select(F.col("id").alias("attempt"), F.least(F.lit(8000), 600 * F.pow(F.lit(2), "id")).cast("long").alias("ms"))
+
+
+REPLIES = f"""{ITEMS}, replies AS (SELECT batch, i, '[fr] ' || text AS t FROM items WHERE i % 11 <> 0 UNION ALL SELECT batch, i, 'again' FROM items WHERE i % 13 = 0 AND i % 11 <> 0 UNION ALL SELECT batch, i + 7, 'stray' FROM items WHERE i % 19 = 0),
+once AS (SELECT batch, i, min(t) AS t FROM replies GROUP BY batch, i HAVING count(*) = 1)"""
+
+
+def replies(spark, d):
+    it = fx.units(spark, d).select((F.col("page_id") * 100 + F.floor(F.col("pos") / 4)).alias("batch"), F.col("unit_id").alias("i"), "text")
+    good = it.where("i % 11 <> 0").select("batch", "i", F.concat(F.lit("[fr] "), "text").alias("t"))
+    twice = it.where("i % 13 = 0 AND i % 11 <> 0").select("batch", "i", F.lit("again").alias("t"))
+    stray = it.where("i % 19 = 0").select("batch", (F.col("i") + 7).alias("i"), F.lit("stray").alias("t"))
+    return it, good.unionByName(twice).unionByName(stray)
+
+
+def once(rows):
+    """Results by id; an id given twice has none."""
+    return rows.groupBy("batch", "i").agg(F.min("t").alias("t"), F.count("*").alias("n")).where("n = 1").drop("n")
+
+
+@query("set_dupid", f"{REPLIES} SELECT batch, i, t FROM once")
+def set_dupid(spark, d):
+    return once(replies(spark, d)[1])
+
+
+@query("jn_result", f"{REPLIES} SELECT it.i, o.t, o.t IS NULL AS failed FROM items it LEFT JOIN once o ON o.batch = it.batch AND o.i = it.i")
+def jn_result(spark, d):
+    it, rows = replies(spark, d)
+    return it.join(once(rows), ["batch", "i"], "left").select("i", "t", F.col("t").isNull().alias("failed"))
+
+
+@query("jn_commit", f"{REPLIES} SELECT it.i, o.t FROM items it JOIN once o ON o.batch = it.batch AND o.i = it.i WHERE it.i % 3 <> 0")
+def jn_commit(spark, d):
+    """Results of the attempt that a unit is still waiting for (here: those whose attempt did not move on)."""
+    it, rows = replies(spark, d)
+    waiting = it.withColumn("attempt", F.when(F.col("i") % 3 == 0, 2).otherwise(1))
+    return waiting.join(once(rows).withColumn("attempt", F.lit(1)), ["batch", "i", "attempt"]).select("i", "t")
+
+
+@query("stm_late_attempt", f"WITH {fx.UNITS}, a AS (SELECT unit_id, 1 AS attempt, text AS t FROM units UNION ALL SELECT unit_id, 2, upper(replace(text, 'ß', 'ss')) FROM units WHERE unit_id % 3 = 0) SELECT unit_id, arg_max(t, attempt) AS t FROM a GROUP BY unit_id")
+def stm_late_attempt(spark, d):
+    u = fx.units(spark, d)
+    rows = u.select("unit_id", F.lit(1).alias("attempt"), F.col("text").alias("t")).unionByName(u.where("unit_id % 3 = 0").select("unit_id", F.lit(2).alias("attempt"), F.upper(F.replace("text", F.lit("ß"), F.lit("ss"))).alias("t")))
+    return rows.groupBy("unit_id").agg(F.max_by("t", "attempt").alias("t"))
+
+
+@query("fn_pack", f"{ITEMS} SELECT batch, string_agg('#' || i || chr(10) || text, chr(10) ORDER BY pos) AS packed FROM items GROUP BY batch")
+def fn_pack(spark, d):
+    """Marked concatenation as an expression; the marker protocol with nonces is in the provider module."""
+    return batches(spark, d).select("batch", F.array_join(F.transform("items", lambda m: F.concat(F.lit("#"), m["i"].cast("string"), F.lit("\n"), m["text"])), "\n").alias("packed"))
+
+
+@query("fn_unpack", f"{ITEMS} SELECT i, text AS t FROM items")
+def fn_unpack(spark, d):
+    marked = F.concat(F.array_join(F.transform("items", lambda m: F.concat(F.lit("\u0001"), m["i"].cast("string"), F.lit("\n"), m["text"])), "\n"), F.lit("\n\u0002"))
+    parts = F.regexp_extract_all(marked, F.lit("\u0001([0-9]+\n[^\u0001\u0002]*)\n(?=[\u0001\u0002])"), F.lit(1))
+    rows = batches(spark, d).select(F.explode(parts).alias("p"))
+    return rows.select(F.split_part("p", F.lit("\n"), F.lit(1)).cast("long").alias("i"), F.expr("substring(p, instr(p, '\n') + 1)").alias("t"))
+
+
+@query("fn_messages", f"{ITEMS} SELECT batch, 'Translate each item into fr.' || chr(10) || string_agg('- ' || text, chr(10) ORDER BY pos) AS message FROM items GROUP BY batch")
+def fn_messages(spark, d):
+    lines = F.array_join(F.transform("items", lambda m: F.concat(F.lit("- "), m["text"])), "\n")
+    return batches(spark, d).select("batch", F.concat_ws("\n", F.lit("Translate each item into fr."), lines).alias("message"))
+
+
+@query("fn_premsg", f"WITH {fx.UNITS} SELECT page_id, 'List domain words and doubtful terms of this page.' || chr(10) || string_agg(text, chr(10) ORDER BY pos) AS message FROM units WHERE role = 'heading' GROUP BY page_id")
+def fn_premsg(spark, d):
+    heads = fx.units(spark, d).where("role = 'heading'").groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda m: m["text"]).alias("h"))
+    return heads.select("page_id", F.concat_ws("\n", F.lit("List domain words and doubtful terms of this page."), F.array_join("h", "\n")).alias("message"))
+
+
+def _connector(spark, d, machine):
+    return pr.translate(batches(spark, d).where("batch % 5 = 0"), machine=machine).groupBy("batch").agg(F.count("*").alias("items"))
+
+
+for _name, _machine in (("src_llm_chat", False), ("src_llm_msg", False), ("src_mt_gt", True), ("src_mt_dlx", True)):
+    query(_name, f"{ITEMS} SELECT batch, count(*) AS items FROM items WHERE batch % 5 = 0 GROUP BY batch")(lambda spark, d, m=_machine: _connector(spark, d, m))
+
+
+@query("snk_md", f"WITH {fx.TRANSLATED} SELECT page_id, string_agg(CASE WHEN role = 'heading' THEN '#' ELSE '' END || replace(text, '&', '&amp;') || chr(10) || chr(10) || t, chr(10) || chr(10) ORDER BY pos) AS markdown FROM translated WHERE state = 'done' GROUP BY page_id")
+def snk_md(spark, d):
+    rows = fx.translated(spark, d).where("state = 'done'")
+    block = F.concat(F.when(F.col("role") == "heading", "#").otherwise(""), F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("\n\n"), "t")
+    return rows.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", block.alias("b")))), lambda x: x["b"]), "\n\n").alias("markdown"))
+
+
+@query("stm_order", f"{ITEMS} SELECT batch, i, row_number() OVER (PARTITION BY batch ORDER BY pos) AS place FROM items")
+def stm_order(spark, d):
+    it = fx.units(spark, d).select((F.col("page_id") * 100 + F.floor(F.col("pos") / 4)).alias("batch"), F.col("unit_id").alias("i"), "pos")
+    return it.select("batch", "i", F.row_number().over(Window.partitionBy("batch").orderBy("pos")).cast("long").alias("place"))
