@@ -1 +1,94 @@
-"""Queries."""
+"""Queries with streaming behaviour, on events. Those named stm_source, stm_rescan and stm_memory run a stream; the others apply the same steps to the table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lexiweave.plans import fixtures as fx
+from lexiweave.plans.registry import query
+from lexiweave.streaming import flows as fl
+
+
+def events(spark, d):
+    return fx.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def stream(spark, d):
+    return fl.event_stream(spark, d)
+
+
+@query("stm_source", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def stm_source(spark, d):
+    return fl.drained(stream(spark, d).select("event_id", "event_type"), "source").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("stm_rescan", "SELECT DISTINCT user_id, event_type FROM events")
+def stm_rescan(spark, d):
+    return fl.drained(fl.rescanned(stream(spark, d).select("user_id", "event_type"), "user_id", "event_type"), "rescan")
+
+
+@query("stm_memory", "SELECT user_id, count(*) AS n, max(event_id) AS last_event FROM events GROUP BY user_id")
+def stm_memory(spark, d):
+    rows = fl.drained(fl.remembered(stream(spark, d)), "memory", "update")
+    return rows.groupBy("user_id").agg(F.max("n").alias("n"), F.max("last_event").alias("last_event"))
+
+
+@query("stm_debounce", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 400 MILLISECONDS THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM g) SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM s GROUP BY user_id, b")
+def stm_debounce(spark, d):
+    return fl.debounced(events(spark, d), "user_id").select("user_id", F.unix_micros("start").alias("start_us"), "n")
+
+
+@query("stm_session", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM g) SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM s GROUP BY user_id, b")
+def stm_session(spark, d):
+    return fl.debounced(events(spark, d), "user_id", "30 minutes").select("user_id", F.unix_micros("start").alias("start_us"), "n")
+
+
+@query("stm_delay", "SELECT user_id, (epoch_us(ts) // 150000) * 150000 AS start_us, count(*) AS n FROM events GROUP BY ALL")
+def stm_delay(spark, d):
+    return fl.batched(events(spark, d), "150 milliseconds", "user_id").select("user_id", F.unix_micros("start").alias("start_us"), "n")
+
+
+@query("stm_late_session", "WITH e AS (SELECT *, event_id // 500 AS epoch FROM events), m AS (SELECT user_id, max(epoch) AS newest FROM e GROUP BY user_id) SELECT e.event_id FROM e JOIN m ON m.user_id = e.user_id AND m.newest = e.epoch")
+def stm_late_session(spark, d):
+    return fl.fenced(events(spark, d).withColumn("epoch", F.floor(F.col("event_id") / 500)), "user_id", "epoch").select("event_id")
+
+
+@query("stm_navigate", "SELECT event_id, sum((event_type = 'signup')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM events")
+def stm_navigate(spark, d):
+    return fl.sessions_by_mark(events(spark, d), "user_id", ("ts", "event_id"), F.col("event_type") == "signup").select("event_id", "session")
+
+
+@query("stm_heartbeat", "SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id, epoch_ms(ts) // 20000")
+def stm_heartbeat(spark, d):
+    return fl.throttled(events(spark, d), "user_id", 20).select("user_id", "event_id")
+
+
+@query("stm_stale", "SELECT doc_id AS key FROM documents WHERE doc_id % 6 = 1")
+def stm_stale(spark, d):
+    docs = fx.table(spark, d, "documents")
+    before = docs.select(F.col("doc_id").alias("key"), F.sha2("text", 256).alias("hash"))
+    now = F.when(F.col("doc_id") % 6 == 1, F.concat("text", F.lit("."))).otherwise(F.col("text"))
+    return fl.stale(before, docs.select(F.col("doc_id").alias("key"), F.sha2(now, 256).alias("hash")))
+
+
+@query("stm_gate", "SELECT user_id AS key, epoch_us(max(ts)) AS go_us FROM events WHERE event_type = 'signup' GROUP BY user_id")
+def stm_gate(spark, d):
+    gates = events(spark, d).where("event_type = 'signup'").select(F.col("user_id").alias("key"), F.col("ts").alias("opened"))
+    return fl.released(gates.select("key").distinct(), gates).select("key", F.unix_micros("go_at").alias("go_us"))
+
+
+@query("stm_reconnect", "SELECT user_id, count(*) AS n FROM (SELECT user_id, event_id // 500 <> lag(event_id // 500) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS moved FROM events) WHERE moved GROUP BY user_id")
+def stm_reconnect(spark, d):
+    """Confirmed changes of epoch of each user: each is replayed once."""
+    from pyspark.sql import Window
+
+    epoch = F.floor(F.col("event_id") / 500)
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = events(spark, d).withColumn("e", epoch).withColumn("was", F.lag("e").over(w)).where("e <> was")
+    return rows.groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query("flt_relevant_mut", "SELECT event_id FROM events WHERE event_type <> 'view'")
+def flt_relevant_mut(spark, d):
+    """Changes that are not the engine's own."""
+    return events(spark, d).where("event_type <> 'view'").select("event_id")
