@@ -13,10 +13,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -78,15 +80,40 @@ def range_bucket(col: Column, splits: list[int]) -> Column:
     return F.when(col.isNull(), F.lit(-1)).otherwise(coarse * g + fine)
 
 
-def components(links: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
+#: Links that one task may join by itself, about 16 MB; more are joined by all.
+FEW_LINKS = 1_000_000
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over links (a, b): id and root of each end, once all are read."""
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := above.setdefault(x, x)) != x:
+            above[x] = x = above[up]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = root(a), root(b)
+            if x != y:
+                above[max(x, y)] = min(x, y)
+    ids = list(above)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([root(x) for x in ids], pa.int64())], ["id", "root"])
+
+
+def components(links: DataFrame, name: str = "components", most_rounds: int = 60, few: int = FEW_LINKS) -> DataFrame:
     """Connected components of links (a, b): rows (id, root), root the smallest id.
 
-    Min-label exchange with pointer jumping, each round cut by a written
-    table; the rounds grow with the logarithm of a component's diameter. A hub
-    of any degree is only ever the key of a combined (min) aggregation.
+    ``few`` links at most (they are counted) are joined by one task. Beyond
+    that: min-label exchange with pointer jumping, each round cut by a written
+    table; the rounds grow with the logarithm of a component's diameter, and a
+    hub of any degree is only ever the key of a combined (min) aggregation.
     """
-    both = links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
-    both = stored(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-links")
+    one = stored(links.select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b")).where("a <> b").distinct(), f"{name}-links")
+    if one.count() <= few:
+        return stored(one.coalesce(1).mapInArrow(_joined, "id bigint, root bigint"), f"{name}-roots")
+    both = one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b")))
     roots = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("root")), f"{name}-0")
     for i in range(1, most_rounds + 1):
         near = both.join(roots.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
@@ -98,5 +125,3 @@ def components(links: DataFrame, name: str = "components", most_rounds: int = 60
         roots = now.select("id", "root")
     raise RuntimeError("components did not settle")
 
-
-LONG = T.LongType()

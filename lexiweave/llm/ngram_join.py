@@ -49,7 +49,7 @@ SHARE = 75
 COMMON = 100_000
 BLOCK_BYTES = 4_000_000
 BROADCAST_ROWS = 1_000_000
-HUBS, BEST, ROUNDS = 8, 2, 4
+HUBS, BEST, ROUNDS = 8, 2, 3
 MASK = np.uint64(2**48 - 1)
 
 
