@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiweave.llm.common import keyed, small_batches
+from lexiweave.llm.common import keyed, small_batches, stored
 from lexiweave.llm.vector import Words, string_array
 
 K = 20
@@ -82,6 +82,7 @@ def _heavy_counts(k: int, m: int, least: int = 3):
 def heavy_minimisers(docs: DataFrame, k: int, m: int, heavy: int) -> np.ndarray:
     """Sorted minimisers of more than 1/heavy of all super-k-mers, as far as batches hold three or more."""
     counts = docs.select("t").mapInArrow(_heavy_counts(k, m), "mini bigint, n bigint, total boolean").groupBy("total", "mini").agg(F.sum("n").alias("n"))
+    counts = stored(counts, "minimisers")
     total = counts.where("total").first()
     if not total or not total["n"]:
         return np.zeros(0, np.uint64)
