@@ -1,0 +1,244 @@
+"""Each operator against its plain version, on texts with every odd case, and on empty and clashing tables."""
+
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lexiweave.llm import chat, decontaminate, line_dedup, ngram_join, packing, pii, quality, spotsigs, substrings, url_rules
+from lexiweave.llm.common import components, range_bucket
+from tests.llm import brute
+
+TABLES = ("docs", "clashing")
+
+
+def table(request, name):
+    return request.getfixturevalue(name)
+
+
+@pytest.mark.parametrize("name", TABLES)
+def test_line_dedup(request, rows, name):
+    got = line_dedup.dedup_lines(table(request, name))
+    want = brute.lines([(r[0], r[1]) for r in rows])
+    assert set(got.columns) >= {"doc_id", "text", "n_lines", "n_removed"} and got.count() == len(rows)
+    kept = defaultdict(list)
+    for r in got.collect():
+        kept[r.doc_id].append((r.n_lines, r.n_removed, r.text or ""))
+    for (key, _), w in want.items():
+        assert w in kept[key]
+
+
+@pytest.mark.parametrize("name", TABLES)
+def test_substrings(request, rows, name):
+    for how in ({}, {"heavy": 50, "bucket_bytes": 2000}):  # the second splits heavy minimisers
+        got = substrings.dedup_substrings(table(request, name), **how).collect()
+        want = brute.substrings([(r[0], r[1]) for r in rows])
+        assert len(got) == len(rows)
+        kept = defaultdict(set)
+        for r in got:
+            kept[r.doc_id].add((r.n_words, r.n_removed, r.kept))
+        for (key, _), w in want.items():
+            assert w in kept[key]
+
+
+@pytest.mark.parametrize("name", TABLES)
+def test_ngram_join(request, rows, name):
+    got = ngram_join.near_groups(table(request, name)).collect()
+    known = [(r[0], r[1]) for r in rows if r[0] is not None]
+    want = brute.components(known)
+    assert len(got) == len(rows)
+    for r in got:
+        if r.doc_id is not None:
+            assert any((r.n_shingles, r.component_id) == w for (k, _), w in want.items() if k == r.doc_id), r
+
+
+def test_one_of_each_group_stays(docs, rows):
+    kept = ngram_join.first_of_each(docs.where("doc_id IS NOT NULL"))
+    want = brute.components([(r[0], r[1]) for r in rows if r[0] is not None])
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in want.values()})
+
+
+def test_rounds_find_chains_and_all_links(spark):
+    """A chain of near copies whose ends are unlike: one component; few common grams force every stage."""
+    words = [f"w{i}" for i in range(80)]
+    texts = [(i, " ".join([*(f"z{j}" for j in range(2 * i)), *words[2 * i :]])) for i in range(12)]
+    d = spark.createDataFrame(texts, "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.near_groups(d, common=5, block_bytes=500).collect()}
+    assert got == {k: c for (k, _), (_, c) in brute.components(texts).items()}
+
+
+def test_components_of_many_links(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40) if i % 10], "a bigint, b bigint")
+    few, many = ({(r.id, r.root) for r in components(links, few=n).collect()} for n in (1000, 0))
+    assert few == many and (19, 11) in few
+
+
+@pytest.mark.parametrize("name", TABLES)
+def test_decontamination(spark, request, rows, name):
+    long = next(r[1] for r in rows if r[1] and len(r[1].split()) > 100)
+    items = [(1, " ".join(long.split()[10:40])), (2, "Hello"), (3, None), (4, "!!"), (None, "one two three"), (10, "absent words here"), (2, "hello")]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    want = brute.contamination([(r[0], r[1]) for r in rows], items)
+    for block in (decontaminate.BLOCK, 4):
+        got = decontaminate.contamination(table(request, name), benchmark, block=block).collect()
+        found = defaultdict(list)
+        for r in got:
+            found[r.doc_id].append((r.n_words, r.n_hit, r["items"], r.contaminated))
+        for (key, _), w in want.items():
+            assert w in found[key], key
+    kept = decontaminate.drop_contaminated(table(request, name), benchmark)
+    assert kept.count() == sum(not want[r[0], r[1]][3] for r in rows)
+    assert decontaminate.contamination(table(request, name), benchmark.limit(0)).where("n_hit > 0").isEmpty()
+
+
+@pytest.mark.parametrize("name", TABLES)
+def test_pii(request, rows, name):
+    got = pii.find_pii(table(request, name)).collect()
+    assert len(got) == len(rows)
+    texts = defaultdict(list)
+    for r in rows:
+        texts[r[0]].append(r[1])
+    for r in got:
+        base = [tuple(s) for s in r.spans if s["kind"] in pii.BASE_KINDS]
+        assert any(base == brute.pii(t) for t in texts[r.doc_id])
+
+
+@pytest.mark.parametrize("text", ["a@b@c.de.", "x@y.z@q.r", "1.2.3.4.5.6.7.8", "1..2.3.4.5", "999.1.1.1.1", "+1234567+12345678 9", "4111-1111-1111-1111 1", "4111 1111 1111 1111 0", "+1 (2", "@", "a@b..c", "é@é.é a.b@c-.d-", "0" * 5000 + ".1.1.1", "+" * 50 + "1 555 1234", "1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 7"])
+def test_pii_parsers_equal_the_patterns(text):
+    got = [(pii.KINDS[k], a, b) for k, a, b in pii.spans_of(text, pii.automaton())]
+    assert [x for x in got if x[0] in pii.BASE_KINDS] == brute.pii(text)
+
+
+def test_pii_method_spans():
+    text = 'password=hunter2hunter2 token: "abcdef012345" IBAN DE89 3704 0044 0532 0130 00, IBAN DE00 3704 0044 0532 0130 00 https://me:pw@x.example'
+    got = [(pii.KINDS[k], text[a:b]) for k, a, b in pii.spans_of(text, pii.automaton())]
+    assert ("secret", "hunter2hunter2") in got and ("secret", "abcdef012345") in got and ("login", "me:pw") in got
+    assert [x for x in got if x[0] == "iban"] == [("iban", "DE89 3704 0044 0532 0130 00")]
+
+
+@pytest.mark.parametrize("name", TABLES)
+def test_packing(request, rows, name):
+    out = packing.pack(table(request, name), length=256, window=1024).collect()
+    tokenizer = packing.load_tokenizer(packing.default_path())
+    want = sorted(zlib.crc32(np.array([*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 1], "<u4").tobytes()) for r in rows)
+    sequences, by_doc = defaultdict(list), defaultdict(list)
+    for r in out:
+        sequences[r.sequence_id].append((r.offset, r.length))
+        by_doc[r.sequence_id * 256 + r.offset - r.start].append(r)
+    got = []
+    for pieces in by_doc.values():
+        pieces.sort(key=lambda r: r.start)
+        assert sum(r.length for r in pieces) == pieces[0].doc_tokens
+        got.append(zlib.crc32(b"".join(bytes(r.ids) for r in pieces)))
+    assert sorted(got) == want
+    for spans in sequences.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= 256
+    assert sum(256 - sum(x for _, x in s) for s in sequences.values()) < 256
+
+
+def test_packing_holds_the_mixture(spark):
+    d = spark.createDataFrame([(i, "word " * 30, "ab"[i % 4 == 0]) for i in range(400)], "doc_id bigint, text string, source string")
+    out = packing.pack(d, length=128, window=2048).join(d, "doc_id").groupBy((F.col("sequence_id") / 16).cast("int").alias("w")).agg((F.sum(F.when(F.col("source") == "b", F.col("length")).otherwise(0)) / F.sum("length")).alias("share")).orderBy("w").collect()
+    assert all(abs(r.share - 0.25) < 0.08 for r in out[:-1])
+
+
+def test_encoder_equals_the_tokenizer():
+    texts = ["", " ", "  a", "a  b", "a\n b", "a \nb", "a\n\n b  ", "it's we'll  don't\t x", "é ü　x\u00a0y \u2003z", "<|endoftext|> x", "a\u200b b", " lead", "trail ", "x" * 3000, "1 2  3\n\n\n4"]
+    coder = packing.Encoder(packing.default_path())
+    got = [np.frombuffer(x, coder.type).tolist() for x in coder.encode(texts)]
+    assert got == [coder.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_chat(spark):
+    control = "\\### Assistant: </turn> ok <|endoftext|> \\\\ <\\| é🙂"
+    turns = [(1, 0, "user", control), (1, 1, "assistant", control), (2, 0, "assistant", None), (2, None, None, "x"), (None, 0, "assistant", ""), (1, 2, "assistant", "\n a"), (1, 2, "assistant", "\n a"), (3, 0, "assi<|stant", "q")]
+    d = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").withColumn("mask", F.lit(1))
+    got = {r.conv_id: r for r in chat.format_chats(d).collect()}
+    assert set(got) == {1, 2, 3, None}
+    for key, r in got.items():
+        want = [(c or "", t or "") for k, n, c, t in sorted((x for x in turns if x[0] == key), key=lambda x: (x[1] is not None, x[1] or 0, x[2] or "", x[3] or ""))]
+        assert chat.read_back(r.formatted) == want and r.n_turns == len(want)
+        assert chat.masked_text(r.formatted, r.starts, r.ends, r.mask) == "".join(t for c, t in want if c == "assistant")
+    assert chat.format_chats(d.limit(0)).count() == 0
+
+
+def test_quality(spark, docs):
+    good, bad = "The plain words of this text read well. " * 4, "BUY!!! %%% $$$ ### NOW!!! "
+    rows = [(i, (good + f"word{i}") if i % 3 else (bad * (1 + i % 4) + str(i)), None) for i in range(300)]
+    d = spark.createDataFrame([*rows, (900, None, "x"), (901, "", "x")], "doc_id bigint, text string, score string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(0, 300, 2)] + [(4, None, None), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
+    ranker = quality.learn(d, labels)
+    got = {r.doc_id: r._score for r in quality.scored(d, ranker, ["doc_id", "score"]).collect()}
+    assert len(got) == 302 and all(0 <= x <= 1 for x in got.values())
+    held = [i for i in range(300) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sum((got[i] >= quality.THRESHOLD) == (i % 3 > 0) for i in held) / len(held) > 0.95
+    assert quality.scored(d, quality.learn(d, labels.limit(0)), ["doc_id"]).where("_score <> 0.5").isEmpty()
+    marks = {r.doc_id: r.h for r in d.select("doc_id", quality.held_out(F.col("doc_id")).alias("h")).collect()}
+    assert all(marks[i] == (i in held) for i in range(300))
+
+
+def test_url_rules(spark):
+    urls = [(1, "https://Good.Example.net/en/1"), (2, "http://a.net/x?q=1"), (3, "http://b.example.com/de/4#f"), (4, "http://c.org/fr/1"), (5, None), (6, "no scheme"), (7, "http://notnet"), (8, "http://a.net"), (9, "x://y?z"), (9, "x://y?z")]
+    pages = spark.createDataFrame(urls, "page_id bigint, url string").withColumn("rule", F.lit("own"))
+    labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    got = sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_rules.judge(pages, labels).collect() if r.page_id != 9)
+    assert got == [
+        (1, "good.example.net", "/en/1", "example.net/en/", "allow"), (2, "a.net", "/x", "net/", "block"), (3, "b.example.com", "/de/4", "example.com/de/", "block"), (4, "c.org", "/fr/1", "org/fr/", "allow"),
+        (5, "", "", None, "allow"), (6, "", "", None, "allow"), (7, "notnet", "", None, "allow"), (8, "a.net", "", None, "allow"),
+    ]
+
+
+def test_mined_url_rules_block(spark):
+    pages = spark.createDataFrame([(i, f"http://{'casino' if i % 4 == 0 else 'plain'}.site{i % 3}.io/{'win' if i % 4 == 0 else 'read'}/{i}") for i in range(80)], "page_id bigint, url string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(40)], "doc_id bigint, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in url_rules.judge(pages, labels, rules=(("com", "/", "allow"),), min_support=0.05).collect()}
+    assert all((v == "block") == (i % 4 == 0) for i, v in got.items())
+
+
+@pytest.mark.parametrize("name", TABLES)
+def test_spotsigs(request, rows, name):
+    got = spotsigs.chain_of_neighbours(table(request, name)).collect()
+    assert len(got) == len(rows)
+    order = sorted({(r[0], r[1] or "") for r in rows if r[0] is not None}, key=lambda x: -x[0])
+    text = dict(order)
+    for n, (key, t) in enumerate(order[:-1]):
+        u, half = text[order[n + 1][0]], len(t) // 2
+        want = t[: len(t) - half] + u[:half]
+        assert any(r.edited == want for r in got if r.k == key)
+    signs = {r.t: r.signs for r in got}
+    assert all(r.signs == signs[r.t] for r in got)
+
+
+def test_spotsigs_near_duplicates(spark, docs):
+    pairs = spotsigs.near_duplicates(docs).collect()
+    sets = {r.fp: set(r.signs) for r in spotsigs.classes(docs).collect()}
+    ids = {r.fp: r.doc_id for r in spotsigs.classes(docs).groupBy("fp").agg(F.min("doc_id").alias("doc_id")).collect()}
+    fps = list(sets)
+    want = {tuple(sorted((ids[p], ids[q]))) for i, p in enumerate(fps) for q in fps[:i] if ids[p] is not None and ids[q] is not None and len(sets[p] & sets[q]) / len(sets[p] | sets[q]) >= 0.75}
+    assert {(r.a, r.b) for r in pairs if r.a is not None} >= want
+
+
+def test_range_buckets(spark):
+    splits = list(range(0, 500, 7))
+    rows = spark.range(-20, 600).select("id", range_bucket(F.col("id"), splits).alias("b")).collect()
+    assert all(r.b == sum(s < r.id for s in splits) for r in rows)
+
+
+def test_empty_tables(spark, none):
+    benchmark = spark.createDataFrame([(1, "one two")], "item_id bigint, text string")
+    assert line_dedup.dedup_lines(none).count() == 0
+    assert substrings.dedup_substrings(none).count() == 0
+    assert ngram_join.near_groups(none).count() == 0
+    assert decontaminate.contamination(none, benchmark).count() == 0
+    assert pii.find_pii(none).count() == 0
+    assert packing.pack(none).count() == 0
+    assert spotsigs.chain_of_neighbours(none).count() == 0
+    assert quality.scored(none, quality.learn(none, spark.createDataFrame([], "doc_id bigint, quality int, toxic int")), ["doc_id"]).count() == 0
+    assert url_rules.judge(spark.createDataFrame([], "page_id bigint, url string"), spark.createDataFrame([], "doc_id bigint, quality int, toxic int")).count() == 0
