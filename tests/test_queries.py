@@ -1,4 +1,4 @@
-"""Every registered query against its DuckDB SQL on the smallest supplied tables."""
+"""Registered queries against its DuckDB SQL on the smallest supplied tables."""
 
 import datetime
 import decimal
@@ -10,7 +10,8 @@ import __spark_entry__ as entry
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no supplied tables")
-NAMES = sorted(n for n in entry._core().queries())
+#: Every fifth query by name; all of them with LEXIWEAVE_ALL=1, which takes some minutes.
+NAMES = sorted(entry._core().queries())[:: 1 if os.environ.get("LEXIWEAVE_ALL") else 5]
 
 
 @pytest.fixture(scope="module")
