@@ -333,7 +333,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeated = repeated.join(nodes, "id").select("a", F.col("class").alias("b")).where("a <> b")
     roots = components(links.unionByName(repeated), "classes")
     mine = described.join(roots.select(F.col("id").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    least = mine.where("size > 0").groupBy("root").agg(F.min("k").alias("least"))
+    mine = stored(mine, "labelled")
+    least = stored(mine.where("size > 0").groupBy("root").agg(F.min("k").alias("least")), "least")  # apart, so that a hot root's rows can be split
     out = mine.join(least, "root", "left")
     return out.select(F.col("k").alias("doc_id"), F.col("h").alias("text_hash"), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("least")).otherwise(F.col("k")).alias("component_id"))
 
