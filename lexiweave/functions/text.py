@@ -91,14 +91,22 @@ def is_usable(source: Column, target: Column, language: Column) -> Column:
     return target.isNotNull() & (out != "") & ~(src.rlike(r"[\p{L}\p{N}]") & ~out.rlike(r"[\p{L}\p{N}]")) & ~F.coalesce(copied, F.lit(False))
 
 
-def is_stop(token: Column) -> Column:
-    low = F.lower(trim(token))
+def is_stop_word(low: Column) -> Column:
+    """For a lower-case token without white space."""
     return low.isin(*STOP_WORDS) | low.rlike(r"^(?:i|you|we|they|he|she|it)['’](?:m|re|ve|ll|d|s)\z")
 
 
+def is_stop(token: Column) -> Column:
+    return is_stop_word(F.lower(trim(token)))
+
+
+def has_fixed_shape(token: Column) -> Column:
+    return token.rlike(r"[a-z][A-Z]|[a-z]-[A-Z]|[A-Za-z][0-9]|[0-9][A-Za-z]")
+
+
 def is_fixed_form(token: Column) -> Column:
     """The shape of an identifier: inner capital, lower-hyphen-capital, or letters and digits side by side."""
-    return ~is_stop(token) & token.rlike(r"[a-z][A-Z]|[a-z]-[A-Z]|[A-Za-z][0-9]|[0-9][A-Za-z]")
+    return ~is_stop(token) & has_fixed_shape(token)
 
 
 def looks_like_heading(x: Column, role: Column) -> Column:

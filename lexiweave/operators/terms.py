@@ -17,9 +17,12 @@ MOST_CONTRACT = 1_000
 
 def tokens(units: DataFrame) -> DataFrame:
     """page_id, unit_id, pos, idx, role, token, kind of each token that may be a term."""
-    shape = tx.looks_like_heading(F.col("text"), F.col("role"))
-    rows = units.select("page_id", "unit_id", "pos", "role", shape.alias("shape"), F.posexplode(F.regexp_extract_all("text", F.lit(f"({tx.TOKEN})"), F.lit(1))).alias("idx", "token"))
-    kind = F.when(tx.is_stop(F.col("token")), None).when(tx.is_fixed_form(F.col("token")), "fixed").when(tx.is_structural(F.col("token"), F.col("shape")), "structural").when(F.length("token") >= LEAST_LENGTH, "lexical")
+    words = F.regexp_extract_all("text", F.lit(f"({tx.TOKEN})"), F.lit(1))
+    # The unit's shape rides in the exploded array, else it would be worked out anew for each token.
+    shapes = F.array_repeat(tx.looks_like_heading(F.col("text"), F.col("role")), F.size(words))
+    rows = units.select("page_id", "unit_id", "pos", "role", F.posexplode(F.arrays_zip(words.alias("token"), shapes.alias("shape"))).alias("idx", "z"))
+    rows = rows.select("page_id", "unit_id", "pos", "role", "idx", "z.token", "z.shape")
+    kind = F.when(tx.is_stop_word(F.lower("token")), None).when(tx.has_fixed_shape(F.col("token")), "fixed").when(tx.is_structural(F.col("token"), F.col("shape")), "structural").when(F.length("token") >= LEAST_LENGTH, "lexical")
     return rows.withColumn("kind", kind).where("kind IS NOT NULL").drop("shape")
 
 
