@@ -21,9 +21,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later repeated runs of lines."""
+    """Texts without later repeated runs of lines; a document that loses all its words so goes, for its lines stand elsewhere."""
     out = line_dedup.dedup_lines(docs).withColumn("n_chars", F.char_length("text").cast("long"))
-    return out.select(docs.columns)
+    return out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^ \t-\r]")).select(docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
