@@ -17,7 +17,9 @@ all columns of a group choose alike; each row's best pairs by count are
 verified, and linked rows become one component. Only then the pairs of a
 column's rows that are still in different components are counted, in full, so
 no link between components is lost and rows of one group of near copies never
-pair up.
+pair up. A parity bitmap of each set bounds these before they are counted: sets
+whose bitmaps differ in d places differ in d elements at least, so a pair whose
+sizes less d are below twice the least overlap can't be a link.
 
 Hashes are of 64 bits, in verification of 48.
 
@@ -50,6 +52,7 @@ COMMON = 100_000
 BLOCK_BYTES = 4_000_000
 BROADCAST_ROWS = 1_000_000
 HUBS, BEST, ROUNDS = 8, 2, 3
+BITS = 1024
 MASK = np.uint64(2**48 - 1)
 
 
@@ -75,12 +78,18 @@ def class_of(grams: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def sketch_of(grams: np.ndarray, bits: int = BITS) -> bytes:
+    """For each of so many places, the parity of the number of grams that fall there."""
+    odd = np.bincount((mix(grams) >> np.uint64(33)) % np.uint64(bits), minlength=bits) & 1 if len(grams) else np.zeros(bits, np.int64)
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def prefix_size(n: int, share: int) -> int:
     return n - -(-share * n // 100) + 1
 
 
 def _describing(n: int):
-    """k, h, size, class of each text; with the first of a batch, the grams that many of its classes have."""
+    """k, h, size, class, bitmap of each text; with the first of a batch, the grams that many of its classes have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -91,8 +100,8 @@ def _describing(n: int):
                 keys, counts = np.unique(np.concatenate(distinct) if distinct else np.zeros(0, np.uint64), return_counts=True)
                 common = np.stack([keys[counts > 2].view(np.int64), counts[counts > 2]]).astype(np.int64).tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array(ids, pa.int64()), pa.array([common] + [None] * (len(ids) - 1) if ids else [], pa.binary())],
-                    ["k", "h", "size", "class", "common"],
+                    [batch.column(0), batch.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array(ids, pa.int64()), pa.array([sketch_of(x) for x in sets], pa.binary()), pa.array([common] + [None] * (len(ids) - 1) if ids else [], pa.binary())],
+                    ["k", "h", "size", "class", "sketch", "common"],
                 )
 
     return run
@@ -197,20 +206,41 @@ def hub_pairs(members: list[tuple[int, int, int]], share: int, turn: int) -> Ite
                 yield x[0], y[0], x[1], y[1]
 
 
-def cross_pairs(ids: list[int], sizes: list[int], roots: list[int], share: int) -> Iterator[tuple[int, int, int, int]]:
-    """All pairs of rows in different components whose sizes allow a link; sizes ascend."""
-    for i in range(len(ids)):
-        for j in range(i + 1, len(ids)):
-            if 100 * sizes[i] < share * sizes[j]:
-                break
-            if roots[i] != roots[j]:
-                a, b = (i, j) if ids[i] < ids[j] else (j, i)
-                yield ids[a], ids[b], sizes[a], sizes[b]
+def cross_pairs(ids: np.ndarray, sizes: np.ndarray, roots: np.ndarray, sketches: np.ndarray, share: int, most: int = 100_000) -> Iterator[tuple[np.ndarray, ...]]:
+    """All pairs of rows in different components whose sizes and bitmaps (rows of 64-bit words) allow a link, in blocks of about ``most`` tries; sizes ascend."""
+    ends, lo = np.searchsorted(sizes, 100 * sizes // share, "right"), 0
+    while lo < len(ids):
+        hi = min(len(ids), lo + max(1, most // len(ids)))
+        i, j = np.arange(lo, hi)[:, None], np.arange(lo + 1, ends[hi - 1])[None, :]
+        i, j = np.nonzero((j > i) & (j < ends[i]) & (roots[i] != roots[j]))
+        i, j = i + lo, j + lo + 1
+        both = sizes[i] + sizes[j]
+        may = both - np.bitwise_count(sketches[i] ^ sketches[j]).sum(1, dtype=np.int64) >= 2 * -(-share * both // (100 + share))
+        i, j = i[may], j[may]
+        a, b = np.where(ids[i] < ids[j], i, j), np.where(ids[i] < ids[j], j, i)
+        yield ids[a], ids[b], sizes[a], sizes[b]
+        lo = hi
+
+
+def _hubs(share: int, turn: int):
+    """Counted hub pairs of lists with mixed components."""
+    return _pairing(lambda row: hub_pairs([(m["id"], m["size"], m["root"]) for m in row["members"]], share, turn))
+
+
+def _crossing(share: int):
+    """Counted pairs across components of lists with mixed components."""
+
+    def pairs(row):
+        members = sorted(row["members"], key=lambda m: (m["size"], m["id"]))
+        ids, sizes, roots = (np.array([m[x] for m in members], np.int64) for x in ("id", "size", "root"))
+        sketches = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint64).reshape(len(members), -1)
+        for found in cross_pairs(ids, sizes, roots, sketches, share):
+            yield from zip(*(x.tolist() for x in found), strict=True)
 
+    return _pairing(pairs)
 
-def _pairing(share: int, turn: int | None):
-    """Counted pairs of lists with mixed components; turn: hub pairs, None: all pairs."""
 
+def _pairing(pairs_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(counts):
             rows = [(*p, w) for p, w in counts.items()]
@@ -219,13 +249,7 @@ def _pairing(share: int, turn: int | None):
         counts: Counter = Counter()
         for batch in batches:
             for row in batch.to_pylist():
-                members = [(m["id"], m["size"], m["root"]) for m in row["members"]]
-                if turn is None:
-                    members.sort(key=lambda m: (m[1], m[0]))
-                    pairs = cross_pairs([m[0] for m in members], [m[1] for m in members], [m[2] for m in members], share)
-                else:
-                    pairs = hub_pairs(members, share, turn)
-                for p in pairs:
+                for p in pairs_of(row):
                     counts[p] += row["weight"]
                     if len(counts) >= 200_000:
                         yield flush(counts)
@@ -306,7 +330,7 @@ def class_links(docs: DataFrame, described: DataFrame, n: int = N, share: int =
 
     links, roots, tried = None, None, None
     for turn in range(ROUNDS):
-        some = bounded(mixed(roots).mapInArrow(_pairing(share, turn), pair), share)
+        some = bounded(mixed(roots).mapInArrow(_hubs(share, turn), pair), share)
         best = Window.partitionBy("a").orderBy(F.desc("c"), "b")
         some = some.withColumn("r", F.row_number().over(best)).where(F.col("r") <= BEST).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         some = stored(some if tried is None else some.join(tried, ["a", "b"], "left_anti"), f"hubs-{turn}")
@@ -316,7 +340,11 @@ def class_links(docs: DataFrame, described: DataFrame, n: int = N, share: int =
         if new.isEmpty():
             break
         roots = components(links, f"hubs-{turn}")
-    far = bounded(mixed(roots).mapInArrow(_pairing(share, None), pair), share).select("a", "b").join(tried, ["a", "b"], "left_anti")
+    apart = mixed(roots).select(F.monotonically_increasing_id().alias("list"), "weight", "members")
+    apart = stored(apart, "apart").select("list", "weight", F.explode("members").alias("m")).select("list", "weight", F.col("m.id").alias("class"), F.col("m.size").alias("size"), F.col("m.root").alias("root"))
+    sketches = described.where("size > 0").groupBy("class").agg(F.first("sketch").alias("sketch"))
+    apart = apart.join(sketches, "class").groupBy("list", "weight").agg(F.collect_list(F.struct(F.col("class").alias("id"), "size", "root", "sketch")).alias("members"))
+    far = bounded(apart.mapInArrow(_crossing(share), pair), share).select("a", "b").join(tried, ["a", "b"], "left_anti")
     more = verified(stored(far, "far"), docs, classes, n, share)
     return stored(links.unionByName(more), "all-links")
 
@@ -325,7 +353,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """A row for each row of docs: doc_id, text_hash, n_shingles, component_id (the smallest doc_id that links reach)."""
     small_batches(docs.sparkSession)
     rows = keyed(docs, id_col, text_col)
-    described = stored(rows.select("k", "h", "t").mapInArrow(_describing(n), "k bigint, h bigint, size bigint, class bigint, common binary"), "described")
+    described = stored(rows.select("k", "h", "t").mapInArrow(_describing(n), "k bigint, h bigint, size bigint, class bigint, sketch binary, common binary"), "described")
     links = class_links(rows, described, n, share, common, block_bytes)
     nodes = described.where("size > 0").select("class", F.col("k").alias("id")).distinct()
     # Classes and ids are the nodes of one graph: an id of several rows joins their classes.
