@@ -11,15 +11,16 @@ blocks, and pairs whose count plus the largest possible rest stays below the
 least overlap for their sizes are dropped. What is left is verified on whole
 sets, as exact integers.
 
-No column yields all its pairs. In a few rounds each row of a column meets only
-``HUBS`` rows of its largest component (at first: any), chosen by hash so that
-all columns of a group choose alike; each row's best pairs by count are
-verified, and linked rows become one component. Only then the pairs of a
-column's rows that are still in different components are counted, in full, so
-no link between components is lost and rows of one group of near copies never
-pair up. A parity bitmap of each set bounds these before they are counted: sets
-whose bitmaps differ in d places differ in d elements at least, so a pair whose
-sizes less d are below twice the least overlap can't be a link.
+No column yields all its pairs. At first each row of a column meets only
+``HUBS`` rows, chosen by hash so that all columns of a group choose alike; each
+row's best pairs by count are verified, and linked rows become one component.
+In further rounds each row outside its column's largest component proposes the
+one row of another component that is nearest by parity bitmap. Only then the
+pairs of a column's rows that are still in different components are counted, in
+full, so no link between components is lost and rows of one group of near
+copies never pair up. The bitmaps bound these pairs before they are counted:
+sets whose bitmaps differ in d places differ in d elements at least, so a pair
+whose sizes less d are below twice the least overlap can't be a link.
 
 Hashes are of 64 bits, in verification of 48.
 
@@ -190,52 +191,103 @@ def _columns(table: pa.Table) -> pa.Table:
     return pa.table({"ids": pa.array([x[0] for x, _ in rows], kind), "sizes": pa.array([x[1] for x, _ in rows], kind), "weight": pa.array([w for _, w in rows], pa.int64())})
 
 
-def hub_pairs(members: list[tuple[int, int, int]], share: int, turn: int) -> Iterator[tuple[int, int, int, int]]:
-    """Rows (id, size, root) outside the largest component with some rows of it: (row, hub, size of the row, of the hub)."""
-    roots = Counter(m[2] for m in members)
-    most = max(roots.values())
-    order = sorted(members, key=lambda m: hash((turn, m[0])))
-    if most == 1:
-        hubs, rest = order[:HUBS], order
-    else:
-        main = min(r for r, n in roots.items() if n == most)
-        hubs, rest = [m for m in order if m[2] == main][:HUBS], [m for m in order if m[2] != main]
-    for x in rest:
+def hub_pairs(members: list[tuple[int, int]], share: int) -> Iterator[tuple[int, int, int, int]]:
+    """Rows (id, size) with some rows chosen by hash: (row, hub, size of the row, of the hub)."""
+    hubs = sorted(members, key=lambda m: hash((0, m[0])))[:HUBS]
+    for x in members:
         for y in hubs:
-            if x[2] != y[2] and 100 * min(x[1], y[1]) >= share * max(x[1], y[1]):
+            if x[0] != y[0] and 100 * min(x[1], y[1]) >= share * max(x[1], y[1]):
                 yield x[0], y[0], x[1], y[1]
 
 
-def cross_pairs(ids: np.ndarray, sizes: np.ndarray, roots: np.ndarray, sketches: np.ndarray, share: int, most: int = 100_000) -> Iterator[tuple[np.ndarray, ...]]:
-    """All pairs of rows in different components whose sizes and bitmaps (rows of 64-bit words) allow a link, in blocks of about ``most`` tries; sizes ascend."""
+def cross_pairs(sizes: np.ndarray, roots: np.ndarray, sketches: np.ndarray, share: int, most: int = 100_000) -> Iterator[tuple[np.ndarray, ...]]:
+    """All pairs (i, j) of rows in different components whose sizes and bitmaps (rows of 64-bit words) allow a link,
+    and how much their bitmaps leave beyond the least overlap; in blocks of about ``most`` tries; sizes ascend."""
     ends, lo = np.searchsorted(sizes, 100 * sizes // share, "right"), 0
-    while lo < len(ids):
-        hi = min(len(ids), lo + max(1, most // len(ids)))
+    while lo < len(sizes):
+        hi = min(len(sizes), lo + max(1, most // len(sizes)))
         i, j = np.arange(lo, hi)[:, None], np.arange(lo + 1, ends[hi - 1])[None, :]
         i, j = np.nonzero((j > i) & (j < ends[i]) & (roots[i] != roots[j]))
         i, j = i + lo, j + lo + 1
         both = sizes[i] + sizes[j]
-        may = both - np.bitwise_count(sketches[i] ^ sketches[j]).sum(1, dtype=np.int64) >= 2 * -(-share * both // (100 + share))
-        i, j = i[may], j[may]
-        a, b = np.where(ids[i] < ids[j], i, j), np.where(ids[i] < ids[j], j, i)
-        yield ids[a], ids[b], sizes[a], sizes[b]
+        spare = both - np.bitwise_count(sketches[i] ^ sketches[j]).sum(1, dtype=np.int64) - 2 * -(-share * both // (100 + share))
+        yield i[spare >= 0], j[spare >= 0], spare[spare >= 0]
         lo = hi
 
 
-def _hubs(share: int, turn: int):
-    """Counted hub pairs of lists with mixed components."""
-    return _pairing(lambda row: hub_pairs([(m["id"], m["size"], m["root"]) for m in row["members"]], share, turn))
+def _arrays(row) -> tuple[np.ndarray, ...]:
+    """ids, sizes, roots, bitmaps of a list's rows, by size."""
+    members = sorted(row["members"], key=lambda m: (m["size"], m["id"]))
+    sketches = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint64).reshape(len(members), -1)
+    return *(np.array([m[x] for m in members], np.int64) for x in ("id", "size", "root")), sketches
+
+
+def nearest(sizes: np.ndarray, roots: np.ndarray, sketches: np.ndarray, share: int) -> tuple[np.ndarray, ...]:
+    """(x, y, spare): for each row x outside the largest component the row y of another one with the most to spare, if any may link."""
+    best, whom = np.full(len(sizes), -1, np.int64), np.zeros(len(sizes), np.int64)
+    for i, j, spare in cross_pairs(sizes, roots, sketches, share):
+        x, y, s = np.append(i, j), np.append(j, i), np.append(spare, spare)
+        order = np.lexsort((y, s, x))
+        x, y, s = x[order], y[order], s[order]
+        last = np.append(x[1:] != x[:-1], True)[: len(x)]
+        x, y, s = x[last], y[last], s[last]
+        more = s > best[x]
+        best[x[more]], whom[x[more]] = s[more], y[more]
+    names, counts = np.unique(roots, return_counts=True)
+    rows = np.flatnonzero((best >= 0) & ((roots != names[np.argmax(counts)]) | (counts.max() == 1)))
+    return rows, whom[rows], best[rows]
+
+
+def _nearest(share: int):
+    """Pairs (a, b) of rows and their nearest, c what they have to spare; lists with mixed components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [np.zeros((3, 0), np.int64)]
+            for row in batch.to_pylist():
+                ids, sizes, roots, sketches = _arrays(row)
+                x, y, spare = nearest(sizes, roots, sketches, share)
+                out.append(np.stack([ids[x], ids[y], spare]))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out, 1)], ["a", "b", "c"])
+
+    return run
+
+
+MEMBERS = pa.list_(pa.struct([("id", pa.int64()), ("size", pa.int64()), ("root", pa.int64()), ("sketch", pa.binary())]))
+
+
+def _narrowing(share: int):
+    """Lists without the rows that have no partner their bitmaps allow; they have none later either, for components only grow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                _, sizes, roots, sketches = _arrays(row)
+                some = np.zeros(len(sizes), bool)
+                for i, j, _ in cross_pairs(sizes, roots, sketches, share):
+                    some[i] = some[j] = True
+                if some.any():
+                    members = sorted(row["members"], key=lambda m: (m["size"], m["id"]))
+                    out.append((row["list"], row["weight"], [m for m, x in zip(members, some.tolist(), strict=True) if x]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], kind) for j, kind in enumerate((pa.int64(), pa.int64(), MEMBERS))], ["list", "weight", "members"])
+
+    return run
+
+
+def _hubs(share: int):
+    """Counted hub pairs of lists."""
+    return _pairing(lambda row: hub_pairs(list(zip(row["ids"], row["sizes"], strict=True)), share))
 
 
 def _crossing(share: int):
     """Counted pairs across components of lists with mixed components."""
 
     def pairs(row):
-        members = sorted(row["members"], key=lambda m: (m["size"], m["id"]))
-        ids, sizes, roots = (np.array([m[x] for m in members], np.int64) for x in ("id", "size", "root"))
-        sketches = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint64).reshape(len(members), -1)
-        for found in cross_pairs(ids, sizes, roots, sketches, share):
-            yield from zip(*(x.tolist() for x in found), strict=True)
+        ids, sizes, roots, sketches = _arrays(row)
+        for i, j, _ in cross_pairs(sizes, roots, sketches, share):
+            a, b = np.where(ids[i] < ids[j], i, j), np.where(ids[i] < ids[j], j, i)
+            yield from zip(ids[a].tolist(), ids[b].tolist(), sizes[a].tolist(), sizes[b].tolist(), strict=True)
 
     return _pairing(pairs)
 
@@ -319,32 +371,42 @@ def class_links(docs: DataFrame, described: DataFrame, n: int = N, share: int =
     lists = stored(lists.withColumn("list", F.monotonically_increasing_id()), "columns")
     pair = "a bigint, b bigint, na bigint, nb bigint, c bigint"
 
-    def mixed(roots: DataFrame | None) -> DataFrame:
-        """The lists whose rows are in several components, with them."""
-        if roots is None:
-            return lists.select("weight", F.transform(F.arrays_zip("ids", "sizes"), lambda m: F.struct(m["ids"].alias("id"), m["sizes"].alias("size"), m["ids"].alias("root"))).alias("members"))
-        each = lists.select("list", "weight", F.explode(F.arrays_zip("ids", "sizes")).alias("m")).select("list", "weight", F.col("m.ids").alias("id"), F.col("m.sizes").alias("size"))
+    sketches = described.where("size > 0").groupBy("class").agg(F.first("sketch").alias("sketch"))
+
+    def mixed(each: DataFrame, roots: DataFrame, *more: str) -> DataFrame:
+        """The lists whose rows are in several components, with them. each: list, weight, id, size and more, a row for each row of a list."""
         each = each.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        both = each.groupBy("list", "weight").agg(F.collect_list(F.struct("id", "size", "root")).alias("members"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-        return both.where("lo <> hi").select("weight", "members")
+        both = each.groupBy("list", "weight").agg(F.collect_list(F.struct("id", "size", "root", *more)).alias("members"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        return both.where("lo <> hi").select("list", "weight", "members")
+
+    def narrowed(roots: DataFrame) -> DataFrame:
+        """The mixed lists with bitmaps, without rows that have no partner."""
+        each = lists.select("list", "weight", F.explode(F.arrays_zip("ids", "sizes")).alias("m")).select("list", "weight", F.col("m.ids").alias("id"), F.col("m.sizes").alias("size"))
+        both = stored(mixed(each, roots), "mixed").select("list", "weight", F.explode("members").alias("m")).select("list", "weight", "m.id", "m.size", "m.root")
+        both = both.join(sketches.withColumnRenamed("class", "id"), "id").groupBy("list", "weight").agg(F.collect_list(F.struct("id", "size", "root", "sketch")).alias("members"))
+        return stored(both.mapInArrow(_narrowing(share), "list bigint, weight bigint, members array<struct<id: bigint, size: bigint, root: bigint, sketch: binary>>"), "narrow")
 
-    links, roots, tried = None, None, None
+    links, roots, tried, narrow = None, None, None, None
     for turn in range(ROUNDS):
-        some = bounded(mixed(roots).mapInArrow(_hubs(share, turn), pair), share)
+        if roots is None:
+            some = bounded(lists.select("ids", "sizes", "weight").mapInArrow(_hubs(share), pair), share)
+        else:
+            some = narrow.mapInArrow(_nearest(share), "a bigint, b bigint, c bigint").distinct()
         best = Window.partitionBy("a").orderBy(F.desc("c"), "b")
         some = some.withColumn("r", F.row_number().over(best)).where(F.col("r") <= BEST).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        some = stored(some if tried is None else some.join(tried, ["a", "b"], "left_anti"), f"hubs-{turn}")
+        some = stored(some if tried is None else some.join(tried, ["a", "b"], "left_anti"), f"tried-{turn}")
         new = stored(verified(some, docs, classes, n, share), f"links-{turn}")
         tried = some if tried is None else tried.unionByName(some)
         links = new if links is None else links.unionByName(new)
-        if new.isEmpty():
+        if turn and new.isEmpty():
             break
-        roots = components(links, f"hubs-{turn}")
-    apart = mixed(roots).select(F.monotonically_increasing_id().alias("list"), "weight", "members")
-    apart = stored(apart, "apart").select("list", "weight", F.explode("members").alias("m")).select("list", "weight", F.col("m.id").alias("class"), F.col("m.size").alias("size"), F.col("m.root").alias("root"))
-    sketches = described.where("size > 0").groupBy("class").agg(F.first("sketch").alias("sketch"))
-    apart = apart.join(sketches, "class").groupBy("list", "weight").agg(F.collect_list(F.struct(F.col("class").alias("id"), "size", "root", "sketch")).alias("members"))
-    far = bounded(apart.mapInArrow(_crossing(share), pair), share).select("a", "b").join(tried, ["a", "b"], "left_anti")
+        roots = components(links, f"linked-{turn}")
+        if narrow is None:
+            narrow = narrowed(roots)
+        else:
+            rows = narrow.select("list", "weight", F.explode("members").alias("m")).select("list", "weight", "m.id", "m.size", "m.sketch")
+            narrow = stored(mixed(rows, roots, "sketch"), f"mixed-{turn}")
+    far = bounded(narrow.mapInArrow(_crossing(share), pair), share).select("a", "b").join(tried, ["a", "b"], "left_anti")
     more = verified(stored(far, "far"), docs, classes, n, share)
     return stored(links.unionByName(more), "all-links")
 
