@@ -11,11 +11,12 @@ blocks, and pairs whose count plus the largest possible rest stays below the
 least overlap for their sizes are dropped. What is left is verified on whole
 sets, as exact integers.
 
-No column yields all its pairs. At first each row of a column meets only
-``HUBS`` rows, chosen by hash so that all columns of a group choose alike; each
-row's best pairs by count are verified, and linked rows become one component.
-In further rounds each row outside its column's largest component proposes the
-one row of another component that is nearest by parity bitmap. Only then the
+No column yields all its pairs. In a few rounds each row of a column meets only
+``HUBS`` rows of its largest component (at first: any), chosen by hash so that
+all columns of a group choose alike; each row's best pairs by count are
+verified, and linked rows become one component. In further rounds each row
+outside its column's largest component proposes the one row of another
+component that is nearest by parity bitmap. Only then the
 pairs of a column's rows that are still in different components are counted, in
 full, so no link between components is lost and rows of one group of near
 copies never pair up. The bitmaps bound these pairs before they are counted:
@@ -52,7 +53,7 @@ SHARE = 75
 COMMON = 100_000
 BLOCK_BYTES = 4_000_000
 BROADCAST_ROWS = 1_000_000
-HUBS, BEST, ROUNDS = 8, 2, 3
+HUBS, BEST, ROUNDS, NEAREST = 8, 2, 3, 2
 BITS = 1024
 MASK = np.uint64(2**48 - 1)
 
@@ -191,12 +192,19 @@ def _columns(table: pa.Table) -> pa.Table:
     return pa.table({"ids": pa.array([x[0] for x, _ in rows], kind), "sizes": pa.array([x[1] for x, _ in rows], kind), "weight": pa.array([w for _, w in rows], pa.int64())})
 
 
-def hub_pairs(members: list[tuple[int, int]], share: int) -> Iterator[tuple[int, int, int, int]]:
-    """Rows (id, size) with some rows chosen by hash: (row, hub, size of the row, of the hub)."""
-    hubs = sorted(members, key=lambda m: hash((0, m[0])))[:HUBS]
-    for x in members:
+def hub_pairs(members: list[tuple[int, int, int]], share: int, turn: int) -> Iterator[tuple[int, int, int, int]]:
+    """Rows (id, size, root) outside the largest component with some rows of it: (row, hub, size of the row, of the hub)."""
+    roots = Counter(m[2] for m in members)
+    most = max(roots.values())
+    order = sorted(members, key=lambda m: hash((turn, m[0])))
+    if most == 1:
+        hubs, rest = order[:HUBS], order
+    else:
+        main = min(r for r, n in roots.items() if n == most)
+        hubs, rest = [m for m in order if m[2] == main][:HUBS], [m for m in order if m[2] != main]
+    for x in rest:
         for y in hubs:
-            if x[0] != y[0] and 100 * min(x[1], y[1]) >= share * max(x[1], y[1]):
+            if x[2] != y[2] and 100 * min(x[1], y[1]) >= share * max(x[1], y[1]):
                 yield x[0], y[0], x[1], y[1]
 
 
@@ -275,9 +283,9 @@ def _narrowing(share: int):
     return run
 
 
-def _hubs(share: int):
+def _hubs(share: int, turn: int):
     """Counted hub pairs of lists."""
-    return _pairing(lambda row: hub_pairs(list(zip(row["ids"], row["sizes"], strict=True)), share))
+    return _pairing(lambda row: hub_pairs([(m["id"], m["size"], m["root"]) for m in row["members"]], share, turn))
 
 
 def _crossing(share: int):
@@ -373,6 +381,9 @@ def class_links(docs: DataFrame, described: DataFrame, n: int = N, share: int =
 
     sketches = described.where("size > 0").groupBy("class").agg(F.first("sketch").alias("sketch"))
 
+    def entries_of() -> DataFrame:
+        return lists.select("list", "weight", F.explode(F.arrays_zip("ids", "sizes")).alias("m")).select("list", "weight", F.col("m.ids").alias("id"), F.col("m.sizes").alias("size"))
+
     def mixed(each: DataFrame, roots: DataFrame, *more: str) -> DataFrame:
         """The lists whose rows are in several components, with them. each: list, weight, id, size and more, a row for each row of a list."""
         each = each.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -381,29 +392,35 @@ def class_links(docs: DataFrame, described: DataFrame, n: int = N, share: int =
 
     def narrowed(roots: DataFrame) -> DataFrame:
         """The mixed lists with bitmaps, without rows that have no partner."""
-        each = lists.select("list", "weight", F.explode(F.arrays_zip("ids", "sizes")).alias("m")).select("list", "weight", F.col("m.ids").alias("id"), F.col("m.sizes").alias("size"))
-        both = stored(mixed(each, roots), "mixed").select("list", "weight", F.explode("members").alias("m")).select("list", "weight", "m.id", "m.size", "m.root")
+        both = stored(mixed(entries_of(), roots), "mixed").select("list", "weight", F.explode("members").alias("m")).select("list", "weight", "m.id", "m.size", "m.root")
         both = both.join(sketches.withColumnRenamed("class", "id"), "id").groupBy("list", "weight").agg(F.collect_list(F.struct("id", "size", "root", "sketch")).alias("members"))
         return stored(both.mapInArrow(_narrowing(share), "list bigint, weight bigint, members array<struct<id: bigint, size: bigint, root: bigint, sketch: binary>>"), "narrow")
 
+    def chosen(pairs: DataFrame) -> DataFrame:
+        best = Window.partitionBy("a").orderBy(F.desc("c"), "b")
+        some = pairs.withColumn("r", F.row_number().over(best)).where(F.col("r") <= BEST)
+        return some.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
     links, roots, tried, narrow = None, None, None, None
-    for turn in range(ROUNDS):
-        if roots is None:
-            some = bounded(lists.select("ids", "sizes", "weight").mapInArrow(_hubs(share), pair), share)
+    for turn in range(ROUNDS + NEAREST):
+        if turn < ROUNDS:
+            if roots is None:
+                rows = lists.select("weight", F.transform(F.arrays_zip("ids", "sizes"), lambda m: F.struct(m["ids"].alias("id"), m["sizes"].alias("size"), m["ids"].alias("root"))).alias("members"))
+            else:
+                rows = mixed(entries_of(), roots)
+            some = chosen(bounded(rows.select("weight", "members").mapInArrow(_hubs(share, turn), pair), share))
         else:
-            some = narrow.mapInArrow(_nearest(share), "a bigint, b bigint, c bigint").distinct()
-        best = Window.partitionBy("a").orderBy(F.desc("c"), "b")
-        some = some.withColumn("r", F.row_number().over(best)).where(F.col("r") <= BEST).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            some = chosen(narrow.mapInArrow(_nearest(share), "a bigint, b bigint, c bigint").distinct())
         some = stored(some if tried is None else some.join(tried, ["a", "b"], "left_anti"), f"tried-{turn}")
         new = stored(verified(some, docs, classes, n, share), f"links-{turn}")
         tried = some if tried is None else tried.unionByName(some)
         links = new if links is None else links.unionByName(new)
-        if turn and new.isEmpty():
+        if turn >= ROUNDS and new.isEmpty():
             break
         roots = components(links, f"linked-{turn}")
-        if narrow is None:
+        if turn == ROUNDS - 1:
             narrow = narrowed(roots)
-        else:
+        elif turn >= ROUNDS:
             rows = narrow.select("list", "weight", F.explode("members").alias("m")).select("list", "weight", "m.id", "m.size", "m.sketch")
             narrow = stored(mixed(rows, roots, "sketch"), f"mixed-{turn}")
     far = bounded(narrow.mapInArrow(_crossing(share), pair), share).select("a", "b").join(tried, ["a", "b"], "left_anti")
