@@ -428,28 +428,40 @@ def class_links(docs: DataFrame, described: DataFrame, n: int = N, share: int =
     return stored(links.unionByName(more), "all-links")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, share: int = SHARE, common: int = COMMON, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """A row for each row of docs: doc_id, text_hash, n_shingles, component_id (the smallest doc_id that links reach)."""
+def labelled(docs: DataFrame, id_col: str, text_col: str, ids_join: bool, n: int = N, share: int = SHARE, common: int = COMMON, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """k, h, size, root of each row of docs; rows that links reach have one root, with ids_join also rows of one id."""
     small_batches(docs.sparkSession)
     rows = keyed(docs, id_col, text_col)
     described = stored(rows.select("k", "h", "t").mapInArrow(_describing(n), "k bigint, h bigint, size bigint, class bigint, sketch binary, common binary"), "described")
     links = class_links(rows, described, n, share, common, block_bytes)
-    nodes = described.where("size > 0").select("class", F.col("k").alias("id")).distinct()
-    # Classes and ids are the nodes of one graph: an id of several rows joins their classes.
-    repeated = nodes.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("id", "a")
-    repeated = repeated.join(nodes, "id").select("a", F.col("class").alias("b")).where("a <> b")
-    roots = components(links.unionByName(repeated), "classes")
+    if ids_join:
+        nodes = described.where("size > 0").select("class", F.col("k").alias("id")).distinct()
+        # Classes and ids are the nodes of one graph: an id of several rows joins their classes.
+        repeated = nodes.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("id", "a")
+        repeated = repeated.join(nodes, "id").select("a", F.col("class").alias("b")).where("a <> b")
+        links = links.unionByName(repeated)
+    roots = components(links, "classes")
     mine = described.join(roots.select(F.col("id").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    mine = stored(mine, "labelled")
+    return stored(mine, "labelled")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """A row for each row of docs: doc_id, text_hash, n_shingles, component_id (the smallest doc_id that links reach)."""
+    mine = labelled(docs, id_col, text_col, True, **how)
     least = stored(mine.where("size > 0").groupBy("root").agg(F.min("k").alias("least")), "least")  # apart, so that a hot root's rows can be split
     out = mine.join(least, "root", "left")
     return out.select(F.col("k").alias("doc_id"), F.col("h").alias("text_hash"), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("least")).otherwise(F.col("k")).alias("component_id"))
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs with one row of each group, that of the smallest id; rows that repeat id and text leave one."""
-    groups = near_groups(docs, id_col, text_col, **how).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    groups = groups.groupBy(F.col("doc_id").alias("_keep_k")).agg(F.min("text_hash").alias("_keep_h"))
+    """docs with one row of each group of near texts, that of the smallest id (none comes last), then of the smallest hash.
+
+    Ids name no groups here: unlike texts that share an id, or have none, all stay.
+    Texts without shingles are groups of their own; rows that repeat id and text leave one.
+    """
+    mine = labelled(docs, id_col, text_col, False, **how)
+    first = mine.where("size > 0").groupBy("root").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "h")).alias("m"))
+    groups = first.select("m.k", "m.h").unionByName(mine.where("size = 0").select("k", "h").distinct()).toDF("_keep_k", "_keep_h")
     kept = docs.join(groups, docs[id_col].cast("long").eqNullSafe(F.col("_keep_k")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("_keep_h")), "left_semi")
     key = [F.col(id_col).alias("k"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h")]
     if docs.select(*key).groupBy("k", "h").count().where("count > 1").isEmpty():

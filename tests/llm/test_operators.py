@@ -61,6 +61,18 @@ def test_one_of_each_group_stays(docs, rows):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in want.values()})
 
 
+def test_unlike_texts_stay_whatever_their_ids(spark):
+    """Without ids or under one id: each group of near texts keeps one row, unlike texts all stay."""
+    text = lambda x: " ".join(f"{x}{i}" for i in range(60))
+    near = lambda x: text(x) + " more"
+    rows = [(None, text("a")), (None, text("b")), (None, text("c")), (None, near("c")), (None, ""), (None, "y"), (None, "y")]
+    rows += [(7, text("d")), (7, text("e")), (7, ""), (7, "z"), (9, near("e")), (8, near("a"))]
+    kept = [tuple(r) for r in ngram_join.first_of_each(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()]
+    one = [r for r in kept if r in ((None, text("c")), (None, near("c")))]
+    want = [(8, near("a")), (None, text("b")), (None, ""), (None, "y"), (7, text("d")), (7, text("e")), (7, ""), (7, "z")]
+    assert len(one) == 1 and sorted(kept, key=repr) == sorted(want + one, key=repr)
+
+
 def test_rounds_find_chains_and_all_links(spark):
     """A chain of near copies whose ends are unlike: one component; few common grams force every stage."""
     words = [f"w{i}" for i in range(80)]
