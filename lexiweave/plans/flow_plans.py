@@ -130,7 +130,7 @@ def fn_premsg(spark, d):
 
 
 def _connector(spark, d, machine):
-    return pr.translate(batches(spark, d).where("batch % 5 = 0"), machine=machine).groupBy("batch").agg(F.count("*").alias("items"))
+    return pr.translate(batches(spark, d), machine=machine).groupBy("batch").agg(F.count("*").alias("items"))
 
 
 for _name, _machine in (("src_llm_chat", False), ("src_llm_msg", False), ("src_mt_gt", True), ("src_mt_dlx", True)):
