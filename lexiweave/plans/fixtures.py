@@ -43,7 +43,7 @@ translated AS (SELECT *, CASE WHEN unit_id % 11 = 0 THEN 'failed' WHEN unit_id %
 def contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pos, term, target, kind: the profile's terms, from words of the benchmark items."""
     word = F.regexp_extract("text", r"([A-Za-z]{4,})", 1)
-    rows = table(spark, sf_dir, "benchmark").where("item_id < 32").select(F.col("item_id").alias("pos"), F.lower(word).alias("term")).where("term <> ''")
+    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pos"), F.lower(word).alias("term")).where("term <> ''")
     rows = rows.groupBy("term").agg(F.min("pos").alias("pos"))
     kind = F.when(F.col("pos") % 3 == 0, "locked").when(F.col("pos") % 3 == 1, "suggested").otherwise("risky")
     return rows.select("pos", "term", F.upper("term").alias("target"), kind.alias("kind"))

@@ -1,10 +1,12 @@
 """Queries over the whole of their tables: what is expected is worked out here, for the SQL of some holds a cut."""
 
 import os
+import re
 
 import pytest
 
 import __spark_entry__ as entry
+from lexiweave.plans import fixtures as fx
 from lexiweave.plans import flow_plans
 
 FOLDER = "/root/testdata/sf0.001"
@@ -16,3 +18,14 @@ def test_connectors_get_all_batches(spark, name):
     got = {r.batch: r["items"] for r in entry.queries()[name](spark, FOLDER).collect()}
     want = {r.batch: len(r["items"]) for r in flow_plans.batches(spark, FOLDER).collect()}
     assert got == want and any(b % 5 for b in got)
+
+
+def test_contract_has_terms_of_all_items(spark):
+    """The first word of four letters or more of each item, by the first item that has it."""
+    want = {}
+    for r in sorted(fx.table(spark, FOLDER, "benchmark").collect(), key=lambda r: r.item_id):
+        if word := re.search(r"[A-Za-z]{4,}", r.text):
+            want.setdefault(word[0].lower(), r.item_id)
+    assert {r.term: r.pos for r in fx.contract(spark, FOLDER).collect()} == want and max(want.values()) >= 32
+    total = sum(r.total for r in entry.queries()["jn_coverage"](spark, FOLDER).collect())
+    assert total == len(want)
