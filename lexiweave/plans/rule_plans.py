@@ -17,7 +17,7 @@ rules AS (SELECT page_id, source, tier, term, arg_max(value, pos) AS value, min(
 def rules0(spark, d):
     word = F.regexp_extract("text", r"([A-Za-z]{3,})", 1)
     tier = F.element_at(F.array(*map(F.lit, ("hard", "preferred", "risky", "domain", "keep"))), (F.col("pos") % 5 + 1).cast("int"))
-    rows = fx.units(spark, d).where("pos < 12").select("page_id", F.when(F.col("pos") % 2 == 0, "auto").otherwise("user").alias("source"), tier.alias("tier"), "pos", F.lower(word).alias("term"), F.concat(F.upper(word), F.col("pos")).alias("value"))
+    rows = fx.units(spark, d).select("page_id", F.when(F.col("pos") % 2 == 0, "auto").otherwise("user").alias("source"), tier.alias("tier"), "pos", F.lower(word).alias("term"), F.concat(F.upper(word), F.col("pos")).alias("value"))
     return rows.where("term <> ''")
 
 

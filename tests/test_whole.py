@@ -29,3 +29,14 @@ def test_contract_has_terms_of_all_items(spark):
     assert {r.term: r.pos for r in fx.contract(spark, FOLDER).collect()} == want and max(want.values()) >= 32
     total = sum(r.total for r in entry.queries()["jn_coverage"](spark, FOLDER).collect())
     assert total == len(want)
+
+
+def test_rules_come_from_all_lines(spark):
+    """A page's user domain words, the first line of each in order, far past the twelfth line."""
+    want = {}
+    for r in sorted(fx.units(spark, FOLDER).collect(), key=lambda r: r.pos):
+        if r.pos % 10 == 3 and (word := re.search(r"[A-Za-z]{3,}", r.text)):
+            words = want.setdefault(r.page_id, [])
+            words += [w for w in [word[0].lower()] if w not in words]
+    got = {r.page_id: r.domain for r in entry.queries()["fmt_rules_in"](spark, FOLDER).collect()}
+    assert got == {k: ",".join(v) for k, v in want.items()} and max(len(v) for v in want.values()) > 2
