@@ -11,8 +11,6 @@ MOST_MINED, LEAST_UNITS, LEAST_LENGTH = 48, 2, 3
 MOST_TRACKED, LEXICAL_RESERVE = 32, 8
 MOST_SAMPLES, MOST_PRECEDENTS, MOST_HINTS, RADIUS = 8, 96, 8, 2
 METRIC_KINDS = ("fixed", "suggested", "risky", "lexical", "structural")
-#: The contract of a page is a list this long at most, so it may be broadcast.
-MOST_CONTRACT = 1_000
 
 
 def tokens(units: DataFrame) -> DataFrame:
@@ -54,7 +52,7 @@ def mine(units: DataFrame, least_units: int = LEAST_UNITS, most: int = MOST_MINE
 def candidate_pool(contract: DataFrame, mined: DataFrame) -> DataFrame:
     """The contract's terms of every page (locked, suggested, risky), then the mined ones: page_id, term, lemma, kind, ord."""
     pages = mined.select("page_id").distinct()
-    given = pages.join(F.broadcast(contract.limit(MOST_CONTRACT)), how="inner", on=F.lit(True)).select("page_id", "term", tx.lemma_of(F.col("term"), F.col("kind")).alias("lemma"), "kind", (F.lit(10 - tx.rank_of(F.col("kind"))) * 10_000 + F.when(F.col("kind") == "risky", 5_000).otherwise(0) + F.col("pos")).cast("long").alias("ord"))
+    given = pages.join(contract, how="inner", on=F.lit(True)).select("page_id", "term", tx.lemma_of(F.col("term"), F.col("kind")).alias("lemma"), "kind", (F.lit(10 - tx.rank_of(F.col("kind"))) * 10_000 + F.when(F.col("kind") == "risky", 5_000).otherwise(0) + F.col("pos")).cast("long").alias("ord"))
     return given.unionByName(mined.select("page_id", "term", "lemma", "kind", (F.lit(100_000) + F.col("rank")).cast("long").alias("ord")))
 
 
@@ -86,22 +84,22 @@ def tracked(hits: DataFrame, most: int = MOST_TRACKED, reserve: int = LEXICAL_RE
 
 def coverage(contract: DataFrame, units: DataFrame) -> DataFrame:
     """Of the contract's kinds: terms in all, terms found in some unit, and the others."""
-    hits = units.join(F.broadcast(contract.limit(MOST_CONTRACT)), tx.find_term(F.col("text"), F.col("term"), F.lit(False)).isNotNull()).select("term").distinct().withColumn("hit", F.lit(True))
+    hits = units.join(contract, tx.find_term(F.col("text"), F.col("term"), F.lit(False)).isNotNull()).select("term").distinct().withColumn("hit", F.lit(True))
     both = contract.join(hits, "term", "left")
     return both.groupBy("kind").agg(F.count("*").alias("total"), F.count_if("hit").alias("matched"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("hit").isNull(), F.col("term")))), ",").alias("unmatched"))
 
 
 def term_hits(units: DataFrame, contract: DataFrame) -> DataFrame:
     """Units with each term they hold: the unit's columns, term, kind, surface."""
-    c = F.broadcast(contract.select("term", "kind").limit(MOST_CONTRACT))
+    c = contract.select("term", "kind")
     rows = units.join(c, F.contains(F.lower("text"), F.lower("term")))
     return rows.withColumn("surface", tx.find_term(F.col("text"), F.col("term"), F.col("kind") == "fixed")).where("surface IS NOT NULL")
 
 
 def drift(units: DataFrame, contract: DataFrame) -> DataFrame:
     """The first term of each finished unit whose locked rendering its translation lacks."""
-    c = contract.where((F.length("term") >= 4) & (F.coalesce("target", F.lit("")) != "") & (F.lower("term") != F.lower("target"))).limit(MOST_CONTRACT)
-    rows = units.where("state = 'done'").join(F.broadcast(c), F.contains(F.lower("text"), F.lower("term")) & ~F.contains("t", "target"))
+    c = contract.where((F.length("term") >= 4) & (F.coalesce("target", F.lit("")) != "") & (F.lower("term") != F.lower("target")))
+    rows = units.where("state = 'done'").join(c, F.contains(F.lower("text"), F.lower("term")) & ~F.contains("t", "target"))
     return rows.groupBy("unit_id").agg(F.min_by(F.struct("term", "target", F.substring("text", 1, 80).alias("excerpt")), F.struct(c["pos"], "term")).alias("m")).select("unit_id", "m.term", "m.target", "m.excerpt")
 
 

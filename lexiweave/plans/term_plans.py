@@ -255,7 +255,7 @@ def set_observe(spark, d):
     from pyspark.sql import Window
 
     mined = tm.mine(fx.units(spark, d))
-    extra = mined.select("page_id").distinct().join(F.broadcast(fx.contract(spark, d).limit(tm.MOST_CONTRACT)), F.lit(True)).select("page_id", F.col("term").alias("lemma"), "kind", F.lit(1).alias("src"), F.col("pos").cast("long").alias("ord"))
+    extra = mined.select("page_id").distinct().join(fx.contract(spark, d), F.lit(True)).select("page_id", F.col("term").alias("lemma"), "kind", F.lit(1).alias("src"), F.col("pos").cast("long").alias("ord"))
     rows = mined.select("page_id", "lemma", "kind", F.lit(0).alias("src"), F.col("rank").alias("ord")).unionByName(extra)
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("page_id", "lemma").orderBy(F.desc("src"), F.desc("ord")))).where("n = 1")
     return rows.withColumn("k", F.row_number().over(Window.partitionBy("page_id").orderBy("src", "ord"))).where("k <= 32").select("page_id", "lemma", "kind")

@@ -6,6 +6,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from lexiweave.operators import terms as tm
 from lexiweave.plans import fixtures as fx
 from lexiweave.plans import flow_plans
 
@@ -40,3 +41,21 @@ def test_rules_come_from_all_lines(spark):
             words += [w for w in [word[0].lower()] if w not in words]
     got = {r.page_id: r.domain for r in entry.queries()["fmt_rules_in"](spark, FOLDER).collect()}
     assert got == {k: ",".join(v) for k, v in want.items()} and max(len(v) for v in want.values()) > 2
+
+
+def test_no_term_of_a_large_contract_is_lost(spark):
+    """1,500 terms, each in one unit: all are hits, drift, matched and in the pool, with and without a broadcast."""
+    n = 1500
+    contract = spark.range(n).selectExpr("id AS pos", "concat('term', id + 10000) AS term", "concat('wort', id + 10000) AS target", "'locked' AS kind")
+    units = spark.range(n).selectExpr("id AS unit_id", "id % 3 AS page_id", "concat('a term', id + 10000, ' b') AS text", "'x' AS t", "'done' AS state")
+    mined = spark.createDataFrame([(1, "m", "m", "lexical", 1)], "page_id bigint, term string, lemma string, kind string, rank bigint")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for most in (was, "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+            assert tm.term_hits(units, contract).select("term").distinct().count() == n
+            assert tm.drift(units, contract).count() == n
+            assert [(r.total, r.matched, r.unmatched) for r in tm.coverage(contract, units).collect()] == [(n, n, "")]
+            assert tm.candidate_pool(contract, mined).count() == n + 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
