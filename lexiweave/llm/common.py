@@ -11,6 +11,7 @@ Conventions of the operators in this package
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,10 +24,13 @@ from pyspark.sql import functions as F
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir where
-    the cluster names one, else the context's, else (tests) a new local one."""
+    the cluster names one, else the context's, else a new local one, which only
+    a master on one machine may use."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="lexiweave-")
         sc.setCheckpointDir(at)
     elif not sc.getCheckpointDir():
@@ -43,12 +47,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Hold Arrow batches small, for texts may be long. Only lowers the limit."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 32_000_000) -> None:
+    """Hold Arrow batches small, for texts may be long: so many rows and bytes at most.
+
+    Operators run lazily, after they have returned, so these two settings of the
+    session stay as they are set here. They are only ever lowered.
+    """
+    scale = {"": 1, "b": 1, "k": 2**10, "m": 2**20, "g": 2**30}
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        number, unit = re.fullmatch(r"(-?[0-9]+)([bkmg]?)b?", spark.conf.get(f"spark.sql.execution.arrow.{key}").lower()).groups()
+        if not 0 < int(number) * scale[unit] <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
