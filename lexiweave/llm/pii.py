@@ -5,8 +5,10 @@ at-signs, plus signs, digits, digit-dot pairs, schemes and identifier cues. At
 each a deterministic parser of its kind expands to both sides, never behind the
 end of its last match, and validates: e-mail and IP addresses, card numbers
 (Luhn) and phone numbers, whose matches equal leftmost non-overlapping matches
-of the kinds' patterns; and beyond those IBANs (mod 97), secrets after a cue
-(``password=...``, ``token: "..."``), access keys and logins in urls.
+of the kinds' patterns; and beyond those IBANs (length by country and mod 97),
+secrets after a cue (``password=...``, ``api key: "..."``, ``Bearer ...``),
+access keys, logins in urls, IPv6 addresses, social security numbers, handles
+(``@name``) and account and document numbers after a cue.
 Every parser is linear in the text.
 
 Defined results
@@ -17,6 +19,7 @@ Defined results
 
 from __future__ import annotations
 
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -27,19 +30,31 @@ from pyspark.sql import functions as F
 from lexiweave.llm.common import small_batches
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "iban", "secret", "login")
+KINDS = (*BASE_KINDS, "iban", "secret", "login", "ipv6", "ssn", "handle", "account")
 SCHEMA = "doc_id bigint, spans array<struct<kind:string,start:bigint,end:bigint>>"
-CUES = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key")
+CUES = ("password", "passwd", "pwd", "passphrase", "secret", "token", *(f"{a}{b}{c}" for a, c in (("api", "key"), ("access", "key"), ("secret", "key"), ("private", "key")) for b in ("", "_", "-", " ")))
+ACCOUNT_CUES = ("account", "acct", "passport", "tax id", "customer id", "social security")
+# Lengths of IBANs by country, fixed values.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AT": 20, "BE": 16, "BG": 22, "BR": 29, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IL": 23,
+    "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "TR": 26, "UA": 29,
+}
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DIGITS = frozenset("0123456789")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-IBAN = re.compile(r"[: ]{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
-SECRET = re.compile(r"""["']?[ \t]{0,4}[:=][ \t]{0,4}["']?([^\s"',;<>]{8,512})""")
+CUED_IBAN = re.compile(r"[: ]{0,4}([A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9]){11,30})(?![A-Za-z0-9])")
+SECRET = re.compile(r"""["']?[ \t]{0,4}[:=][ \t]{0,4}["']?([^\s"',;<>]{8,})""")
+BEARER = re.compile(r"[ \t]{1,4}([A-Za-z0-9._~+/-]{16,}=*)")
+SSN = re.compile(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
+HANDLE = re.compile(r"@[A-Za-z_][A-Za-z0-9_]+")
+ACCOUNT = re.compile(r"(?:[ \t]{1,4}(?:number|no|nr|id)\.?)?[ \t]{0,4}[:=#]?[ \t]{0,4}([A-Z0-9](?:[ -]?[A-Z0-9]){5,33})(?![A-Za-z0-9])")
+V6 = re.compile(r"[0-9A-Fa-f:]*(?:[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)?")
+V6_CHARS = frozenset("0123456789ABCDEFabcdef:")
 KEY = re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])")
-LOGIN = re.compile(r"([^\s/?#@:]{1,256}:[^\s/?#@]{1,256})@")
+LOGIN = re.compile(r"([^\s/?#@:]+:[^\s/?#@]+)@")
 
 
 def luhn(digits: str) -> bool:
@@ -57,6 +72,33 @@ def mod97(iban: str) -> bool:
     return rest == 1
 
 
+def iban_at(text: str, at: int) -> int | None:
+    """The end of the IBAN that starts there, of the length its country has, if its check digits are right."""
+    most = IBAN_LENGTHS.get(text[at : at + 2].upper(), 0)
+    found, i = [], at
+    while len(found) < most and i < len(text):
+        c = text[i]
+        if c.isascii() and c.isalnum():
+            found.append(c)
+        elif c != " " or text[i - 1] == " ":
+            break
+        i += 1
+    whole = len(found) == most > 0 and not (i < len(text) and text[i].isalnum())
+    return i if whole and "".join(found[2:4]).isdigit() and mod97("".join(found).upper()) else None
+
+
+def is_v6(run: str) -> bool:
+    """Whether a run of hex digits and colons is an address rather than a time, a scope or a ratio."""
+    groups = [x for x in run.split(":") if x]
+    if run.count(":") < 2 or not (len(groups) > 2 or any(len(x) > 2 and any(c in DIGITS for c in x) for x in groups)):
+        return False
+    try:
+        ipaddress.IPv6Address(run)
+    except ValueError:
+        return False
+    return True
+
+
 def automaton():
     import ahocorasick
 
@@ -66,6 +108,14 @@ def automaton():
     for cue in CUES:
         for form in (cue, cue.title(), cue.upper()):
             found.add_word(form, ("cue", len(form)))
+    for digit in DIGITS:
+        found.add_word(f"{digit}-", ("0-", 2))
+    found.add_word(":", (":", 1))
+    for cue in ACCOUNT_CUES:
+        for form in (cue, cue.title(), cue.upper(), cue.capitalize()):
+            found.add_word(form, ("account", len(form)))
+    for form in ("bearer", "Bearer", "BEARER"):
+        found.add_word(form, ("bearer", 6))
     for form in ("iban", "Iban", "IBAN"):
         found.add_word(form, ("iban", 4))
     found.make_automaton()
@@ -75,7 +125,7 @@ def automaton():
 def spans_of(text: str, anchors) -> list[tuple[int, int, int]]:
     """(kind number, start, end) of each span, sorted."""
     out = []
-    email = ip = card = phone = secret = 0
+    email = ip = card = phone = secret = v6 = 0
     for last, (kind, width) in anchors.iter(text):
         if kind == "0":
             if last >= card:
@@ -86,6 +136,8 @@ def spans_of(text: str, anchors) -> list[tuple[int, int, int]]:
                         out.append((2, last, card))
                 else:
                     card = last + 1
+            if last > 1 and "A" <= text[last - 1] <= "Z" and "A" <= text[last - 2] <= "Z" and (last == 2 or not text[last - 3].isalnum()) and (end := iban_at(text, last - 2)):
+                out.append((4, last - 2, end))
         elif kind == "0.":
             lo = last
             while lo > ip and text[lo - 1] in DIGITS:
@@ -104,14 +156,39 @@ def spans_of(text: str, anchors) -> list[tuple[int, int, int]]:
                 out.append((0, lo, email))
             else:
                 email = last + 1
+                if lo == last and (last == 0 or not text[last - 1].isalnum()) and (m := HANDLE.match(text, last)):
+                    out.append((9, last, m.end()))
         elif kind == "+":
             if last >= phone and (m := PHONE.match(text, last)):
                 phone = m.end()
                 if 8 <= sum(c in DIGITS for c in m[0]) <= 15:
                     out.append((3, last, phone))
         elif kind == "iban":
-            if (m := IBAN.match(text, last + 1)) and mod97(m[1].replace(" ", "")):
-                out.append((4, m.start(1), m.end(1)))
+            if m := CUED_IBAN.match(text, last + 1):
+                if end := iban_at(text, m.start(1)):
+                    out.append((4, m.start(1), end))
+                elif mod97(m[1].replace(" ", "").upper()):
+                    out.append((4, m.start(1), m.end(1)))
+        elif kind == "0-":
+            lo = last - 1
+            if lo > 1 and text[lo - 1] in DIGITS and text[lo - 2] in DIGITS and (lo == 2 or text[lo - 3] not in "0123456789-") and (m := SSN.match(text, lo - 2)):
+                out.append((8, lo - 2, m.end()))
+        elif kind == ":":
+            if last >= v6:
+                lo = last
+                while lo > v6 and text[lo - 1] in V6_CHARS:
+                    lo -= 1
+                run = V6.match(text, lo)
+                v6 = max(run.end(), last + 1)
+                end = run.end() - (run[0][-1:] == ":" and run[0][-2:] != "::")
+                if (lo == 0 or not text[lo - 1].isalnum()) and not (end < len(text) and text[end].isalnum()) and is_v6(text[lo:end]):
+                    out.append((7, lo, end))
+        elif kind == "account":
+            if (last == width - 1 or not text[last - width].isalnum()) and (m := ACCOUNT.match(text, last + 1)) and sum(c in DIGITS for c in m[1]) > 4:
+                out.append((10, m.start(1), m.end(1)))
+        elif kind == "bearer":
+            if m := BEARER.match(text, last + 1):
+                out.append((5, m.start(1), m.end(1)))
         elif kind == "cue":
             if last >= secret and (m := SECRET.match(text, last + 1)):
                 secret = m.end()

@@ -51,9 +51,9 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pii.find_pii(table(spark, sf_dir, "documents"))
     listed = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     number = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    counts = [number(kind) for kind in pii.BASE_KINDS]
+    counts = [number(kind) for kind in pii.KINDS]
     base = F.filter("spans", lambda x: x["kind"].isin(*pii.BASE_KINDS))
-    return rows.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return rows.select("doc_id", F.size("spans").cast("long").alias("n_spans"), *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
