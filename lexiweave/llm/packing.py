@@ -1,21 +1,25 @@
 """Packing: mixture-controlled, deficit round-robin over source queues (operator 4).
 
 Each source is a queue of documents. A window of ``window`` tokens gives each
-queue a quantum of its share (by default the source's share of the corpus, so
-that all queues last to the end); a document is served in the first window in
+queue a quantum of its share (``targets``, or by default the source's share of
+the corpus, so that all queues last to the end); a document is served in the first window in
 which the quanta so far cover it, and what a queue is still due is carried over
 to the next window. For a queue that is never empty this is a closed form of
 the tokens queued before a document, so windows and deficits come from prefix
 sums and no partition waits for another: queues are cut into hashed buckets
 (a hot source into as many as the rows ask for), the buckets' sums carry the
-deficits across partitions. Windows follow each other in one stream of tokens,
+deficits across partitions. With targets the time a queue takes is its tokens by
+its weight, and windows follow the tokens that all queues have got by a time, a
+sum of one bounded line for each target: so queues that run dry need no rounds
+of their own either. Windows follow each other in one stream of tokens,
 cut into sequences of ``length``; only the last sequence is padded.
 
 Documents are encoded once; ids travel compressed, through a written table that
 also fixes the queue for recomputed tasks.
 
 Defined results
-* null or empty text: a document of the end id alone; null source: a queue too
+* null or empty text: a document of the end id alone; null source: a queue too,
+  apart from that of the source ""
 * rows that repeat are documents of their own
 * a text's control strings are ordinary text; empty table: empty result
 * other columns are never read
@@ -39,6 +43,7 @@ LENGTH = 2048
 END_ID = 1
 WINDOW = 64 * LENGTH
 CACHED = 1_000_000
+LONGEST_KEPT = 64
 SAFE = re.compile(r"(?<![\s᠎​⁠﻿]) (?![\s᠎​⁠﻿])")
 #: White space other than space and line feed, and what some count as such.
 ODD = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0 ᠎           ​    ⁠　﻿"
@@ -90,7 +95,8 @@ def ranked(path: str, load=None):
 class Encoder:
     """ids of whole texts. The tokenizer's own cuts always fall at a space
     between two other than white space, so pieces between such spaces are
-    encoded apart and kept, up to CACHED of them, for the next texts. A plain
+    encoded apart and kept, up to CACHED of them and none longer than
+    LONGEST_KEPT characters, for the next texts. A plain
     byte-level file is run by a faster engine; tests hold the ids against the
     tokenizer's own."""
 
@@ -135,7 +141,11 @@ class Encoder:
         missing = {p for parts, got in zip(split, found, strict=True) if None in got for p, g in zip(parts[1:], got, strict=True) if g is None}
         self._keep(list(missing))
         heads = self._ids([parts[0] for parts in split])
-        return [h + b"".join(got if None not in got else [g if g is not None else get(p) for p, g in zip(parts[1:], got, strict=True)]) for h, parts, got in zip(heads, split, found, strict=True)]
+        out = [h + b"".join(got if None not in got else [g if g is not None else get(p) for p, g in zip(parts[1:], got, strict=True)]) for h, parts, got in zip(heads, split, found, strict=True)]
+        for p in missing:
+            if len(p) > LONGEST_KEPT:
+                del self.kept[p]
+        return out
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -195,26 +205,56 @@ def tokenize(docs: DataFrame, path: str, id_col: str, text_col: str, source_col:
     return stored(rows.mapInArrow(_tokenizing(path, end_id), "rid bigint, k bigint, source string, n bigint, ids binary"), "tokens")
 
 
-def schedule(queued: DataFrame, window: int, targets: dict[str, float] | None = None, rows_per_bucket: int = 2000) -> DataFrame:
+def queue_of(source) -> str:
+    """The name of a source's queue; no source is a queue of its own."""
+    return "-" if source is None else f"+{source}"
+
+
+def turns(totals: dict[str, int], unlisted: int, targets: dict[str | None, float]) -> tuple[list[tuple[str | None, float, int]], dict]:
+    """How targets share out windows: (queue, or None for all unlisted ones, weight, tokens) of those that have tokens, and
+    the token at which each of them runs dry, by name. Weights add up to 1; what a dry queue would get goes to the others in proportion."""
+    if not targets or any(x <= 0 for x in targets.values()):
+        raise ValueError("targets have to be positive")
+    whole = sum(targets.values())
+    rest = 1 - whole if unlisted else 0.0
+    if unlisted and rest <= 1e-9:
+        raise ValueError("targets that add up to 1 or more leave nothing for sources without one")
+    weights = [(queue_of(k), x / (whole + rest), totals.get(queue_of(k), 0)) for k, x in targets.items()] + ([(None, rest / (whole + rest), unlisted)] if unlisted else [])
+    queues = [q for q in weights if q[2]]
+    dry = {q: round(sum(min(w * t / weight, n) for _, w, n in queues)) for q, weight, t in queues}
+    return queues, dry
+
+
+def schedule(queued: DataFrame, window: int, targets: dict[str | None, float] | None = None, rows_per_bucket: int = 2000) -> DataFrame:
     """rid and at: the place of each document's first token in the stream. queued: rid, k, source, n."""
     sums = queued.agg(F.count("*").alias("rows"), F.sum("n").alias("tokens")).first()
     if not sums["rows"]:
         return queued.select("rid", F.lit(0).cast("long").alias("at"))
     buckets = max(1, min(65536, sums["rows"] // rows_per_bucket))
-    rows = queued.select("rid", F.coalesce("source", F.lit("")).alias("s"), "n", F.pmod(F.xxhash64("rid", "k"), F.lit(buckets)).alias("b"))
+    name = F.coalesce(F.concat(F.lit("+"), "source"), F.lit("-"))
+    rows = queued.select("rid", name.alias("s"), "n", F.pmod(F.xxhash64("rid", "k"), F.lit(buckets)).alias("b"))
     order = Window.partitionBy("s").orderBy("b")
     carried = rows.groupBy("s", "b").agg(F.sum("n").alias("sum"))
     carried = carried.select("s", "b", (F.sum("sum").over(order) - F.col("sum")).alias("carry"), F.sum("sum").over(Window.partitionBy("s")).alias("total"))
+    inside = Window.partitionBy("s", "b").orderBy("rid")
+    rows = rows.withColumn("upto", F.sum("n").over(inside)).join(carried, ["s", "b"])
     if targets is None:
         quantum = F.lit(float(window)) * F.col("total") / F.lit(float(sums["tokens"]))
+        turn = (F.col("carry") + F.col("upto") - 1) / quantum
     else:
-        share = F.create_map(*[F.lit(x) for kv in targets.items() for x in kv])[F.col("s")]
-        quantum = F.lit(float(window)) * F.coalesce(share, F.lit(0.0)) / F.lit(float(sum(targets.values())))
-        quantum = F.when(quantum > 0, quantum).otherwise(F.lit(float(window)))
-    inside = Window.partitionBy("s", "b").orderBy("rid")
-    rows = rows.withColumn("upto", F.sum("n").over(inside)).join(carried, ["s", "b"])
-    rows = rows.select("rid", "s", "n", (F.col("carry") + F.col("upto")).alias("upto"), quantum.alias("q"))
-    rows = rows.withColumn("round", F.floor((F.col("upto") - 1) / F.col("q")).cast("long"))
+        listed = [queue_of(x) for x in targets]
+        totals = {r["s"]: r["n"] for r in queued.select(name.alias("s"), "n").where(F.col("s").isin(listed)).groupBy("s").agg(F.sum("n").alias("n")).collect()}
+        queues, _ = turns(totals, sums["tokens"] - sum(totals.values()), targets)
+        # Time runs so that each queue with tokens left gets its weight of them; what all have got by then fills the windows.
+        share, size = F.lit(None).cast("double"), F.lit(None).cast("double")
+        for q, weight, n in queues:
+            here = ~F.col("s").isin(listed) if q is None else F.col("s") == q
+            share, size = F.when(here, F.lit(weight)).otherwise(share), F.when(here, F.lit(float(n))).otherwise(size)
+        # Queues without a target share one weight by their tokens, so that they end together.
+        part = F.when(F.col("s").isin(listed), F.lit(1.0)).otherwise(F.col("total") / size)
+        time = (F.col("carry") + F.col("upto") - 1) / (share * part)
+        turn = sum((F.least(F.lit(weight) * time, F.lit(float(n))) for _, weight, n in queues), F.lit(0.0)) / window
+    rows = rows.select("rid", "s", "n", (F.col("carry") + F.col("upto")).alias("upto"), F.floor(turn + 1e-9).cast("long").alias("round"))
     served = rows.groupBy("round", "s").agg(F.sum("n").alias("sum"), F.min(F.col("upto") - F.col("n")).alias("first"))
     wide = max(1, -(-sums["tokens"] // window) // 256)
     served = served.withColumn("part", F.floor(F.col("round") / wide))
@@ -224,10 +264,13 @@ def schedule(queued: DataFrame, window: int, targets: dict[str, float] | None =
     return rows.join(served, ["round", "s"]).select("rid", (F.col("base") + F.col("upto") - F.col("n")).alias("at"))
 
 
-def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length: int = LENGTH, window: int = WINDOW, end_id: int = END_ID, targets: dict[str, float] | None = None) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length: int = LENGTH, window: int = WINDOW, end_id: int = END_ID, targets: dict[str | None, float] | None = None) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
-    targets: shares by source; a source without one gets a whole window each round.
+    targets: shares by source. Sources without one share what the targets leave
+    of 1, by their tokens; if that is nothing, they are refused (ValueError).
+    A queue that runs dry leaves its share to the others in proportion; ``turns``
+    tells at which token of the stream that is.
     """
     small_batches(docs.sparkSession)
     path = path or default_path()
