@@ -65,6 +65,17 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
 
 
+def with_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Columns row (all columns of docs, whatever their names), k, h: keys as ``keyed`` makes them."""
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
+    return docs.select(row, F.col(id_col).cast("long").alias("k"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
+
+
+def rows_of(keys: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs again, of what ``with_keys`` made of it."""
+    return keys.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
 def range_splits(df: DataFrame, col: str, rows_per_bucket: int, most: int = 65536) -> list[int]:
     """Split points that cut the values of col into buckets of about so many rows; at most ``most``."""
     n = df.count()

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiweave.llm.common import keyed
+from lexiweave.llm.common import keyed, rows_of, with_keys
 
 WINDOW = 13
 BLOCK = 200_000
@@ -98,7 +98,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """docs without contaminated rows, all columns as they were."""
-    bad = contamination(docs, benchmark, **how).where("contaminated").select(F.col("doc_id").alias("_bad_k"), F.col("text_hash").alias("_bad_h"))
-    id_col, text_col = how.get("id_col", "doc_id"), how.get("text_col", "text")
-    same = docs[id_col].cast("long").eqNullSafe(bad["_bad_k"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == bad["_bad_h"])
-    return docs.join(bad, same, "left_anti")
+    bad = contamination(docs, benchmark, **how).where("contaminated").select(F.col("doc_id").alias("bk"), F.col("text_hash").alias("bh"))
+    rows = with_keys(docs, how.get("id_col", "doc_id"), how.get("text_col", "text"))
+    return rows_of(rows.join(bad, rows["k"].eqNullSafe(bad["bk"]) & (rows["h"] == bad["bh"]), "left_anti"), docs)

@@ -56,7 +56,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiweave.llm.common import components, keyed, small_batches, stored
+from lexiweave.llm.common import components, keyed, rows_of, small_batches, stored, with_keys
 from lexiweave.llm.vector import Words, mix, string_array
 
 N = 5
@@ -65,7 +65,7 @@ COMMON = 100_000
 BLOCK_BYTES = 12_000_000
 BROADCAST_ROWS = 1_000_000
 SMALL, TILE, MEET = 16, 8192, 64
-TOGETHER = 200_000
+TOGETHER = 20_000
 HUBS, BEST, ROUNDS, NEAREST = 8, 2, 3, 2
 BITS = 1024
 MASK = np.uint64(2**48 - 1)
@@ -225,7 +225,8 @@ def tiles_of(ids: np.ndarray, sizes: np.ndarray, tile: int) -> Iterator[tuple[np
     for i in range(parts):
         for j in range(i + 1, parts):
             some = (part == i) | (part == j)
-            yield ids[some], sizes[some]
+            if some.sum() > 1:
+                yield ids[some], sizes[some]
 
 
 def _columns(share: int, tile: int, small: int):
@@ -614,9 +615,9 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     mine = labelled(docs, id_col, text_col, False, **how)
     first = mine.where("size > 0").groupBy("root").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "h")).alias("m"))
-    groups = first.select("m.k", "m.h").unionByName(mine.where("size = 0").select("k", "h").distinct()).toDF("_keep_k", "_keep_h")
-    kept = docs.join(groups, docs[id_col].cast("long").eqNullSafe(F.col("_keep_k")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("_keep_h")), "left_semi")
-    key = [F.col(id_col).alias("k"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h")]
-    if docs.select(*key).groupBy("k", "h").count().where("count > 1").isEmpty():
-        return kept
-    return kept.withColumn("_keep_h", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).dropDuplicates([id_col, "_keep_h"]).drop("_keep_h")
+    groups = first.select("m.k", "m.h").unionByName(mine.where("size = 0").select("k", "h").distinct()).toDF("gk", "gh")
+    rows = with_keys(docs, id_col, text_col)
+    kept = rows.join(groups, rows["k"].eqNullSafe(groups["gk"]) & (rows["h"] == groups["gh"]), "left_semi")
+    if not rows.groupBy("k", "h").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["k", "h"])
+    return rows_of(kept, docs)

@@ -17,6 +17,7 @@ Defined results
 * likeness of two documents is 0 to 1; of equal texts 1
 * rows repeating an id: ties in the order are broken by the hash of the text
 * a table of one row: its next document is itself; empty table: empty result
+* a class of rows without ids has no id in ``near_duplicates``'s pairs, but is in them
 * other columns are never read
 """
 
@@ -104,18 +105,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``classes`` for the membership. The order by rarity uses counts over all
     classes. Each pair is verified exactly.
     """
-    sets = classes(docs, id_col, text_col).groupBy("fp").agg(F.min("doc_id").alias("id"), F.first("signs").alias("signs"))
-    sets = sets.select("id", "signs", F.size("signs").alias("n"))
-    sign = sets.select("id", "n", F.explode("signs").alias("s"))
+    sets = classes(docs, id_col, text_col).groupBy(F.md5(F.col("fp").cast("binary")).alias("c")).agg(F.min("doc_id").alias("id"), F.first("signs").alias("signs"))
+    sets = sets.select("c", "id", "signs", F.size("signs").alias("n"))
+    sign = sets.select("c", "n", F.explode("signs").alias("s"))
     rare = sign.groupBy("s").agg(F.count("*").alias("df"))
-    ranked = sign.join(rare, "s").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("df", "s")))
+    ranked = sign.join(rare, "s").withColumn("r", F.row_number().over(Window.partitionBy("c").orderBy("df", "s")))
     must = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    index = ranked.where((F.col("r") <= must) & (F.col("df") > 1)).select("id", "n", "s", length_partition(F.col("n"), threshold).alias("part"))
-    left = index.select(F.col("id").alias("a"), F.col("n").alias("na"), "s", F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"))
-    right = index.select(F.col("id").alias("b"), F.col("n").alias("nb"), "s", "part")
-    pairs = left.join(right, ["s", "part"]).where((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))).where(F.col("na") >= F.col("nb") * threshold).select("a", "b").distinct()
-    pairs = pairs.join(sets.select(F.col("id").alias("a"), F.col("signs").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("signs").alias("sb")), "b")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), likeness(F.col("sa"), F.col("sb")).alias("likeness")).where(F.col("likeness") >= threshold)
+    index = ranked.where((F.col("r") <= must) & (F.col("df") > 1)).select("c", "n", "s", length_partition(F.col("n"), threshold).alias("part"))
+    left = index.select(F.col("c").alias("ca"), F.col("n").alias("na"), "s", F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"))
+    right = index.select(F.col("c").alias("cb"), F.col("n").alias("nb"), "s", "part")
+    pairs = left.join(right, ["s", "part"]).where((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("ca") < F.col("cb")))).where(F.col("na") >= F.col("nb") * threshold).select("ca", "cb").distinct()
+    pairs = pairs.join(sets.select(F.col("c").alias("ca"), F.col("id").alias("a"), F.col("signs").alias("sa")), "ca").join(sets.select(F.col("c").alias("cb"), F.col("id").alias("b"), F.col("signs").alias("sb")), "cb")
+    # Least and greatest skip nulls: a pair with an id missing has it as a.
+    some = F.col("a").isNotNull() & F.col("b").isNotNull()
+    return pairs.select(F.when(some, F.least("a", "b")).alias("a"), F.greatest("a", "b").alias("b"), likeness(F.col("sa"), F.col("sb")).alias("likeness")).where(F.col("likeness") >= threshold)
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
