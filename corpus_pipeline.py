@@ -15,9 +15,12 @@ from lexiweave.llm.common import stored
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score reaches the threshold."""
+    """Documents whose score reaches the threshold; without labels, or with labels of one kind, all. Null ids and repeated rows are scored like others."""
     ranker = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.scored(docs, ranker, docs.columns).where(F.col("_score") >= quality.THRESHOLD).drop("_score")
+    name = "_score"
+    while name in docs.columns:
+        name += "_"
+    return quality.scored(docs, ranker, docs.columns, name=name).where(F.col(name) >= quality.THRESHOLD).drop(name)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,17 +30,17 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest id."""
+    """One document of each group of near duplicates, that of the smallest id (none comes last). Unlike documents stay whatever their ids; rows that repeat id and text leave one."""
     return ngram_join.first_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item to the contract's measure."""
+    """Documents that hold no benchmark item to the contract's measure; empty ones stay, an empty benchmark takes none."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents, with their ids, in sequences of 2048."""
+    """Pieces of documents, with their ids, in sequences of 2048; an empty text is a piece of the end id alone, repeated rows are packed each."""
     return packing.pack(docs).withColumn("ids_crc32", F.crc32("ids"))
 
 
