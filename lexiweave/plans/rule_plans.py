@@ -9,7 +9,7 @@ from lexiweave.operators import rules as ru
 from lexiweave.plans import fixtures as fx
 from lexiweave.plans.registry import query
 
-RULES = rf"""{fx.UNITS}, rw AS (SELECT page_id, pos, tag, lower(regexp_extract(text, '([A-Za-z]{{3,}})', 1)) AS w, upper(regexp_extract(text, '([A-Za-z]{{3,}})', 1)) AS up FROM units WHERE pos < 12),
+RULES = rf"""{fx.UNITS}, rw AS (SELECT page_id, pos, tag, lower(regexp_extract(text, '([A-Za-z]{{3,}})', 1)) AS w, upper(regexp_extract(text, '([A-Za-z]{{3,}})', 1)) AS up FROM units),
 rules0 AS (SELECT page_id, CASE WHEN pos % 2 = 0 THEN 'auto' ELSE 'user' END AS source, CASE pos % 5 WHEN 0 THEN 'hard' WHEN 1 THEN 'preferred' WHEN 2 THEN 'risky' WHEN 3 THEN 'domain' ELSE 'keep' END AS tier, pos, w AS term, up || pos AS value FROM rw WHERE w <> ''),
 rules AS (SELECT page_id, source, tier, term, arg_max(value, pos) AS value, min(pos) AS pos FROM rules0 GROUP BY page_id, source, tier, term)"""
 
