@@ -14,11 +14,12 @@ MOST_RECORD = 16_000
 
 def batch_keys(items: DataFrame, kind: str, fingerprint: Column) -> DataFrame:
     """Adds key: bound to the whole ordered batch and the item's place in it. items: batch, i, pos, text."""
-    w = Window.partitionBy("batch")
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "text")).over(w)), lambda x: x["text"])
-    place = F.row_number().over(w.orderBy("pos")) - 1
-    rows = items.withColumns({"_batch": F.sha2(F.array_join(texts, SEPARATOR), 256), "_place": place})
-    return rows.withColumn("key", hash_of(fingerprint, F.lit(kind), F.col("_batch"), F.col("_place"), F.col("text"))).drop("_batch", "_place")
+    # A batch is made and hashed once and then opened again, so its texts do not ride on each of its rows.
+    rest = [c for c in items.columns if c != "batch"]
+    whole = items.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("pos", *[c for c in rest if c != "pos"]))).alias("m"))
+    whole = whole.withColumn("bound", F.sha2(F.array_join(F.transform("m", lambda x: x["text"]), SEPARATOR), 256))
+    rows = whole.select("batch", "bound", F.posexplode("m").alias("place", "x")).select("batch", "bound", "place", *[F.col("x")[c].alias(c) for c in rest])
+    return rows.withColumn("key", hash_of(fingerprint, F.lit(kind), F.col("bound"), F.col("place"), F.col("text"))).select(*items.columns, "key")
 
 
 def looked_up(items: DataFrame, cache: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ reported, not waited for, unless a sleep function is given.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 from collections import Counter
@@ -22,6 +23,7 @@ from lexiweave.functions.formats import first_object
 
 MOST_ATTEMPTS, MOST_RETRIES, MOST_DEPTH, MOST_CONCURRENT = 9, 2, 2, 8
 MOST_SOURCE, MOST_COMPILED = 12_000, 48_000
+TOO_LARGE = (413, 414)
 LETTERS = re.compile(r"[^\W_]")
 
 
@@ -113,48 +115,65 @@ class Run:
                 tried += 1
 
 
-def halves(items: list) -> list[list]:
-    mid = -(-len(items) // 2)
-    return [x for x in (items[:mid], items[mid:]) if x]
+#: What follows an outcome: why the items that are left are asked for again in smaller parts, whether a single item is too.
+AFTER = {"answered": ("missing-items", True), "source-limit": ("source-limit", False), "unreadable": ("invalid-response", False)}
 
 
-def translate_batch(provider, items: list[tuple[int, str]], run: Run, depth: int = 0, reason: str = "initial") -> tuple[dict[int, str], list[int]]:
-    """Translations by id and the ids that failed. What is missing or unusable is asked for again in halves, twice at most."""
-    if run.failure:
-        return {}, [i for i, _ in items]
-    try:
-        if sum(len(t) for _, t in items) > MOST_SOURCE:
-            raise CallError("source-limit", splits=True)
+@dataclass(frozen=True)
+class Ask:
+    """A part of a batch that is still to be asked for."""
+
+    items: tuple
+    depth: int = 0
+    reason: str = "initial"
+
+    def smaller(self, items: tuple, reason: str) -> list[Ask]:
+        cut = (len(items) + 1) // 2
+        return [Ask(x, self.depth + 1, reason) for x in (items[:cut], items[cut:]) if x]
+
+
+def too_long(provider, items) -> bool:
+    """Beyond the limits of the sources (UTF-16 units) or of the prompt that the provider makes of them."""
+    if sum(len(t.encode("utf-16-le", "surrogatepass")) // 2 for _, t in items) > MOST_SOURCE:
+        return True
+    made = getattr(provider, "messages", None)
+    return bool(made) and sum(map(len, made(list(items)))) > MOST_COMPILED
 
-        def call() -> tuple:
-            got = parsed_reply(provider.complete(items), [i for i, _ in items])
-            if not got[2]:
-                raise CallError("no object in the reply", retryable=True, splits=True)
-            return got
 
-        texts, _, _ = run.retried(call, depth, reason, 0 if reason == "invalid-response" else MOST_RETRIES)
+def answer(provider, ask: Ask, run: Run) -> tuple[str, dict[int, str]]:
+    """(outcome, texts by id) of one request with its retries; a refusal is noted in the run."""
+    if too_long(provider, ask.items):
+        return "source-limit", {}
+    wanted = [i for i, _ in ask.items]
+
+    def call() -> dict[int, str]:
+        texts, _, readable = parsed_reply(provider.complete(list(ask.items)), wanted)
+        if not readable:
+            raise CallError("no object in the reply", retryable=True, splits=True)
+        return texts
+
+    try:
+        return "answered", run.retried(call, ask.depth, ask.reason, 0 if ask.reason == "invalid-response" else MOST_RETRIES)
     except CallError as e:
-        if not e.splits:
-            run.failure = str(e)
-            return {}, [i for i, _ in items]
-        if depth >= MOST_DEPTH or len(items) <= 1:
-            return {}, [i for i, _ in items]
-        return _in_halves(provider, items, run, depth, "source-limit" if str(e) == "source-limit" else "invalid-response")
-    done = {i: texts[i] for i, t in items if usable(t, texts.get(i))}
-    missing = [(i, t) for i, t in items if i not in done]
-    if not missing or depth >= MOST_DEPTH:
-        return done, [i for i, _ in missing]
-    more, failed = _in_halves(provider, missing, run, depth, "missing-items")
-    return done | more, failed
-
-
-def _in_halves(provider, items, run, depth, reason):
-    done, failed = {}, []
-    for part in halves(items):
-        got, lost = translate_batch(provider, part, run, depth + 1, reason)
-        done |= got
-        failed += lost
-    return done, failed
+        if e.splits:
+            return "unreadable", {}
+        run.failure = str(e)
+        return "refused", {}
+
+
+def translate_batch(provider, items: list[tuple[int, str]], run: Run) -> tuple[dict[int, str], list[int]]:
+    """Translations by id and the ids that failed. Parts are worked off first to last; what one leaves goes back on the list, twice at most."""
+    done: dict[int, str] = {}
+    todo = [Ask(tuple(items))] if items else []
+    while todo and not run.failure:
+        ask = todo.pop(0)
+        outcome, texts = answer(provider, ask, run)
+        done |= {i: texts[i] for i, t in ask.items if usable(t, texts.get(i))}
+        left = tuple(x for x in ask.items if x[0] not in done)
+        reason, single = AFTER.get(outcome, ("", False))
+        if reason and left and ask.depth < MOST_DEPTH and (single or len(left) > 1):
+            todo = ask.smaller(left, reason) + todo
+    return done, [i for i, _ in items if i not in done]
 
 
 def pack_markers(items: list[tuple[int, str]], context: str = "") -> tuple[str, str]:
@@ -176,28 +195,34 @@ def unpack_markers(text: str, items: list[tuple[int, str]], prefix: str) -> dict
     return {i: text[m.end() : stop].strip() for (i, _), m, stop in zip(items, cuts, stops, strict=True)}
 
 
+def machine_reply(provider, part: list[tuple[int, str]], run: Run, depth: int, context: str) -> dict[int, str] | None:
+    """Texts of a part sent as one marked text, or bare where it is one item without context; None where they are spoilt."""
+    bare = len(part) == 1 and not context
+    sent, prefix = (part[0][1], "") if bare else pack_markers(part, context)
+    try:
+        reply = run.retried(lambda: provider.translate(sent), depth, "recovery" if depth else "initial")
+    except CallError as e:
+        if e.status not in TOO_LARGE:
+            run.failure = str(e)
+        return None
+    got = {part[0][0]: reply.strip()} if bare else unpack_markers(reply, part, prefix)
+    return got if got and all(usable(t, got.get(i)) for i, t in part) else None
+
+
 def translate_machine(provider, items: list[tuple[int, str]], run: Run, context: str = "") -> tuple[dict[int, str], list[int]]:
-    """A stack of parts: a part whose markers or results are spoilt is halved, a single item is sent bare at last."""
+    """Spans of the batch by their ends: a spoilt one is cut in the middle, a spoilt single item goes once more without the context."""
     done: dict[int, str] = {}
-    stack = [(items, 0)] if items else []
-    while stack:
-        part, depth = stack.pop()
-        bare = len(part) == 1 and (not context or depth > 0)
-        text, prefix = (part[0][1], "") if bare else pack_markers(part, context)
-        try:
-            reply = run.retried(lambda text=text: provider.translate(text), depth, "recovery" if depth else "initial")
-            got = {part[0][0]: reply.strip()} if bare else unpack_markers(reply, part, prefix)
-        except CallError as e:
-            if e.status not in (413, 414):
-                run.failure = str(e)
-                break
-            got = None
-        if got is not None and all(usable(t, got.get(i)) for i, t in part):
+    spans = [(0, len(items), 0, context)] if items else []
+    while spans and not run.failure:
+        lo, hi, depth, around = spans.pop()
+        if got := machine_reply(provider, items[lo:hi], run, depth, around):
             done |= got
-        elif len(part) > 1:
-            stack += [(x, depth + 1) for x in reversed(halves(part))]
-        elif depth == 0 and context:
-            stack.append((part, 1))
+        elif hi - lo > 1:
+            middle = (lo + hi + 1) // 2
+            # A part of one item that recovery made is sent bare at once.
+            spans += [(a, b, depth + 1, around if b - a > 1 else "") for a, b in ((middle, hi), (lo, middle))]
+        elif around:
+            spans.append((lo, hi, depth + 1, ""))
     return done, [i for i, _ in items if i not in done]
 
 
@@ -222,3 +247,59 @@ def translate(batches: DataFrame, provider=None, machine: bool = False, concurre
     if concurrency:
         rows = rows.repartition(max(1, min(MOST_CONCURRENT, concurrency)), "batch")
     return rows.mapInArrow(_calling(provider or Mock(), machine), "batch bigint, i bigint, t string, ok boolean, attempts bigint, splits bigint")
+
+
+def _retrying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for key, failures, after_ms in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            waits: list[float] = []
+            run, left = Run(sleep=waits.append), [failures]
+
+            def call() -> str:
+                left[0] -= 1
+                if left[0] >= 0:
+                    raise CallError("busy", status=429, retryable=True, after_ms=after_ms)  # noqa: B023
+                return "ok"
+
+            try:
+                ok = run.retried(call, 0, "initial") == "ok"
+            except CallError:
+                ok = False
+            rows.append((key, run.attempts, round(1000 * sum(waits)), ok))
+        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], ["key", "attempts", "waited_ms", "ok"])
+
+
+def retried(calls: DataFrame) -> DataFrame:
+    """key, attempts, waited_ms, ok of calls that fail so many times first. calls: key, failures, after_ms (what the provider asks to wait, or 0)."""
+    return calls.select("key", "failures", "after_ms").mapInArrow(_retrying, "key bigint, attempts bigint, waited_ms bigint, ok boolean")
+
+
+def _queueing(limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queue, slots = None, []
+        for batch in batches:
+            out = []
+            for name, job, takes, cancelled in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if queue != (name,):
+                    queue, slots = (name,), [0] * limit
+                now = heapq.heappop(slots)
+                if cancelled is not None and cancelled <= now:  # the slot is free, the job is gone
+                    heapq.heappush(slots, now)
+                    out.append((name, job, None))
+                else:
+                    heapq.heappush(slots, now + takes)
+                    out.append((name, job, now))
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.int64()) for j in range(3)], ["queue", "job", "started"])
+
+    return run
+
+
+def queued(jobs: DataFrame, limit: int = 3) -> DataFrame:
+    """queue, job, started: when each job starts, first come first served, ``limit`` (1 to 8) at once; null if it was cancelled before.
+
+    jobs: queue, job (their order), takes, cancelled (a time or null). A queue is
+    read as a sorted stream, so only its running jobs are held.
+    """
+    rows = jobs.select("queue", "job", "takes", "cancelled").repartition("queue").sortWithinPartitions("queue", "job")
+    return rows.mapInArrow(_queueing(min(MOST_CONCURRENT, max(1, limit))), "queue bigint, job bigint, started bigint")

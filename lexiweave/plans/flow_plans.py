@@ -5,22 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lexiweave.functions import text as tx
 from lexiweave.operators import provider as pr
+from lexiweave.operators import wires as wi
 from lexiweave.plans import fixtures as fx
 from lexiweave.plans.registry import query
 
 ITEMS = f"WITH {fx.UNITS}, items AS (SELECT page_id * 100 + pos // 4 AS batch, unit_id AS i, pos, text FROM units)"
 
 
+#: Whether an item by itself is within the limit of UTF-16 units.
+FITS = r"length(text) + length(regexp_replace(text, '[^\x{10000}-\x{10FFFF}]', '', 'g')) <= 12000"
+FITS_NOT = FITS.replace("<= 12000", "> 3000")
+
+
 def batches(spark, d):
     rows = fx.units(spark, d).select((F.col("page_id") * 100 + F.floor(F.col("pos") / 4)).alias("batch"), F.struct("pos", F.col("unit_id").alias("i"), "text").alias("m"))
     items = F.transform(F.array_sort(F.collect_list("m")), lambda m: F.struct(m["i"].alias("i"), m["text"].alias("text")))
     return rows.groupBy("batch").agg(items.alias("items"))
 
 
-@query("udf_chunk", f"{ITEMS} SELECT i, i % 17 <> 0 OR NOT regexp_matches(text, '[\\p{{L}}\\p{{N}}]') AS ok FROM items")
+@query("udf_chunk", f"{ITEMS} SELECT i, {FITS} AND (i % 17 <> 0 OR NOT regexp_matches(text, '[\\p{{L}}\\p{{N}}]')) AS ok FROM items")
 def udf_chunk(spark, d):
-    """Only items that the provider spoils every time stay failed."""
+    """Only items that the provider spoils every time, or that are too long for it, stay failed."""
     return pr.translate(batches(spark, d)).select("i", "ok")
 
 
@@ -34,19 +41,47 @@ def udf_mtchunk(spark, d):
     return pr.translate(batches(spark, d), machine=True).select("i", F.upper(F.replace("t", F.lit("ß"), F.lit("ss"))).alias("t"))
 
 
-@query("udf_mtrecover", f"{ITEMS} SELECT batch, 1 AS attempts FROM items GROUP BY batch")
+class Spoiling:
+    """A machine engine that loses the markers of texts with a tilde in them, unless they are one bare item."""
+
+    def translate(self, text: str) -> str:
+        return text.replace("__\n", "\n") if "~" in text and "UNIT_" in text else text
+
+
+RECOVER = f"""{ITEMS}, b AS (SELECT batch, list(i % 5 = 0 ORDER BY pos) AS x FROM items GROUP BY batch),
+pair AS (SELECT batch, len(x) AS n, list_bool_or(x) AS whole, CASE WHEN list_bool_or(x[1:2]) THEN 3 ELSE 1 END AS p, CASE WHEN list_bool_or(x[3:4]) THEN 3 ELSE 1 END AS q FROM b)
+SELECT batch, CASE WHEN n = 1 OR NOT whole THEN 1 WHEN n = 2 THEN 3 WHEN n = 3 THEN 2 + p ELSE 1 + p + q END AS attempts, true AS ok FROM pair"""
+
+
+@query("udf_mtrecover", RECOVER)
 def udf_mtrecover(spark, d):
-    return pr.translate(batches(spark, d), machine=True).groupBy("batch").agg(F.max("attempts").cast("int").alias("attempts"))
+    """Batches with spoilt markers are cut in the middle until each part comes back whole."""
+    spoilt = F.transform("items", lambda m: F.struct(m["i"].alias("i"), F.when(m["i"] % 5 == 0, F.concat(m["text"], F.lit(" ~"))).otherwise(F.replace(m["text"], F.lit("~"), F.lit("-"))).alias("text")))
+    rows = pr.translate(batches(spark, d).select("batch", spoilt.alias("items")), Spoiling(), machine=True)
+    return rows.groupBy("batch").agg(F.max("attempts").alias("attempts"), F.bool_and("ok").alias("ok"))
+
+
+class Unreadable:
+    """A model that never answers with an object."""
 
+    def complete(self, items) -> str:
+        return "Here you are!"
 
-@query("udf_budget", f"{ITEMS} SELECT batch, true AS within FROM items GROUP BY batch")
+
+@query("udf_budget", f"{ITEMS}, n AS (SELECT batch, count(*) AS n, bool_or({FITS_NOT}) AS long FROM items GROUP BY batch) SELECT batch, CASE n WHEN 1 THEN 3 WHEN 2 THEN 5 WHEN 3 THEN 7 ELSE 9 END AS attempts FROM n WHERE NOT long")
 def udf_budget(spark, d):
-    return pr.translate(batches(spark, d)).groupBy("batch").agg((F.max("attempts") <= pr.MOST_ATTEMPTS).alias("within"))
+    """Attempts of batches that fail throughout: three of the whole, then one of each part, nine at most."""
+    fit = batches(spark, d).where(F.forall("items", lambda m: tx.utf16_length(m["text"]) <= 3000))
+    return pr.translate(fit, Unreadable()).groupBy("batch").agg(F.max("attempts").alias("attempts"))
 
 
-@query("udf_queue", f"{ITEMS} SELECT count(*) AS items FROM items")
+@query("udf_queue", f"""WITH j AS (SELECT user_id AS queue, event_id AS job, 1 + event_id % 9 AS takes, event_id % 4 = 0 AS gone FROM events),
+r AS (SELECT *, coalesce(sum(CASE WHEN gone THEN 0 ELSE takes END) OVER (PARTITION BY queue ORDER BY job ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS t FROM j) SELECT queue, job, CASE WHEN NOT gone THEN t END AS started FROM r""")
 def udf_queue(spark, d):
-    return pr.translate(batches(spark, d), concurrency=3).agg(F.count("*").alias("items"))
+    """Jobs of each user one at a time in order; those cancelled at the outset never start."""
+    e = fx.table(spark, d, "events")
+    jobs = e.select(F.col("user_id").cast("long").alias("queue"), F.col("event_id").cast("long").alias("job"), (1 + F.col("event_id") % 9).cast("long").alias("takes"), F.when(F.col("event_id") % 4 == 0, F.lit(0)).cast("long").alias("cancelled"))
+    return pr.queued(jobs, 1)
 
 
 @query("udf_request", f"{ITEMS} SELECT batch, sum(length(text)) <= 12000 AS fits FROM items GROUP BY batch")
@@ -55,9 +90,12 @@ def udf_request(spark, d):
     return batches(spark, d).select("batch", (total <= pr.MOST_SOURCE).alias("fits"))
 
 
-@query("udf_retry", "SELECT i AS attempt, least(8000, 600 * power(2, i))::BIGINT AS ms FROM range(6) t(i)")
+@query("udf_retry", """WITH c AS (SELECT event_id AS key, event_id % 4 AS failures, CASE WHEN event_id % 10 = 3 THEN 1500 ELSE 0 END AS after_ms FROM events)
+SELECT key, least(failures, 2) + 1 AS attempts, CASE WHEN after_ms > 0 THEN least(failures, 2) * after_ms ELSE [0, 600, 1800][least(failures, 2) + 1] END AS waited_ms, failures <= 2 AS ok FROM c""")
 def udf_retry(spark, d):
-    return spark.range(6).select(F.col("id").alias("attempt"), F.least(F.lit(8000), 600 * F.pow(F.lit(2), "id")).cast("long").alias("ms"))
+    """Calls that fail up to three times first: two retries at most, waits that double or are the provider's own."""
+    e = fx.table(spark, d, "events")
+    return pr.retried(e.select(F.col("event_id").cast("long").alias("key"), (F.col("event_id") % 4).cast("long").alias("failures"), F.when(F.col("event_id") % 10 == 3, 1500).otherwise(0).cast("long").alias("after_ms")))
 
 
 REPLIES = f"""{ITEMS}, replies AS (SELECT batch, i, '[fr] ' || text AS t FROM items WHERE i % 11 <> 0 UNION ALL SELECT batch, i, 'again' FROM items WHERE i % 13 = 0 AND i % 11 <> 0 UNION ALL SELECT batch, i + 7, 'stray' FROM items WHERE i % 19 = 0),
@@ -129,12 +167,35 @@ def fn_premsg(spark, d):
     return heads.select("page_id", F.concat_ws("\n", F.lit("List domain words and doubtful terms of this page."), F.array_join("h", "\n")).alias("message"))
 
 
-def _connector(spark, d, machine):
-    return pr.translate(batches(spark, d), machine=machine).groupBy("batch").agg(F.count("*").alias("items"))
+def _wired(spark, d, provider, machine):
+    return pr.translate(batches(spark, d), provider, machine).select("batch", "i", "t", "ok")
+
+
+WIRED = f"{ITEMS} SELECT batch, i, CASE WHEN FITS THEN '[fr] ' || text END AS t, FITS AS ok FROM items"
+
+
+@query("src_llm_chat", WIRED.replace("FITS", FITS))
+def src_llm_chat(spark, d):
+    """The chat wire: JSON mode is refused once by the offline service and given up."""
+    return _wired(spark, d, wi.Model(wi.Offline()), False)
+
+
+@query("src_llm_msg", WIRED.replace("FITS", FITS))
+def src_llm_msg(spark, d):
+    """The messages wire: text blocks are joined, others left out."""
+    return _wired(spark, d, wi.Model(wi.Offline(), "messages"), False)
+
+
+@query("src_mt_gt", WIRED.replace("FITS", "true"))
+def src_mt_gt(spark, d):
+    """The form wire: sentences are joined."""
+    return _wired(spark, d, wi.Engine(wi.Offline()), True)
 
 
-for _name, _machine in (("src_llm_chat", False), ("src_llm_msg", False), ("src_mt_gt", True), ("src_mt_dlx", True)):
-    query(_name, f"{ITEMS} SELECT batch, count(*) AS items FROM items WHERE batch % 5 = 0 GROUP BY batch")(lambda spark, d, m=_machine: _connector(spark, d, m))
+@query("src_mt_dlx", f"{ITEMS}, n AS (SELECT batch, CASE WHEN count(*) = 3 THEN 2 ELSE 1 END AS attempts FROM items GROUP BY batch) SELECT i.batch, i.i, '[fr] ' || text AS t, attempts FROM items i JOIN n ON n.batch = i.batch")
+def src_mt_dlx(spark, d):
+    """The JSON wire: a reply with code 429 is asked for again."""
+    return pr.translate(batches(spark, d), wi.Engine(wi.Offline(), "json", target="FR"), True).select("batch", "i", "t", "attempts")
 
 
 @query("snk_md", f"WITH {fx.TRANSLATED} SELECT page_id, string_agg(CASE WHEN role = 'heading' THEN '#' ELSE '' END || replace(text, '&', '&amp;') || chr(10) || chr(10) || t, chr(10) || chr(10) ORDER BY pos) AS markdown FROM translated WHERE state = 'done' GROUP BY page_id")
