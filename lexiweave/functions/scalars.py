@@ -75,7 +75,7 @@ def require(x: Column, message: str) -> Column:
 
 
 def url_origin(url: Column) -> Column:
-    return F.regexp_extract(url, r"^(?i)(https?://[^/?#@\s]*)", 1) if False else F.lower(F.regexp_replace(F.regexp_extract(url, r"(?i)^(https?://[^/?#\s]+)", 1), r"://[^@/]*@", "://"))
+    return F.lower(F.regexp_replace(F.regexp_extract(url, r"(?i)^(https?://[^/?#\s]+)", 1), r"://[^@/]*@", "://"))
 
 
 def safe_url(url: Column) -> Column:

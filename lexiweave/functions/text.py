@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -142,13 +140,13 @@ def bounded_pattern(term: Column) -> Column:
 def find_term(text: Column, term: Column, case_sensitive: Column) -> Column:
     """The first bounded occurrence as written, null if none."""
     pattern = F.concat(F.when(case_sensitive, F.lit("")).otherwise(F.lit("(?i)")), bounded_pattern(term))
-    hit = F.regexp_extract(text, pattern, 1) if isinstance(pattern, str) else F.call_function("regexp_extract", text, pattern, F.lit(1))
+    hit = F.call_function("regexp_extract", text, pattern, F.lit(1))
     return F.when((hit != "") & (term != ""), hit)
 
 
 def context_around(text: Column, surface: Column, radius: int = 100) -> Column:
     """The text around the first place of surface, ellipses where cut."""
-    at = F.locate_column(surface, text) if hasattr(F, "locate_column") else F.call_function("instr", text, surface)
+    at = F.call_function("instr", text, surface)
     start = F.greatest(F.lit(1), at - radius)
     end = F.least(F.length(text) + 1, at + F.length(surface) + radius)
     out = F.concat(F.when(start > 1, "…").otherwise(""), F.substring(text, start, end - start), F.when(end <= F.length(text), "…").otherwise(""))
@@ -161,6 +159,3 @@ def markdown_escaped(x: Column) -> Column:
     out = F.regexp_replace(out, r"^(\s*)([-+])(?=\s)", r"$1\\$2")
     return F.regexp_replace(out, r"^(\s*)(\d+)([.)])(?=\s)", r"$1$2\\$3")
 
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))

@@ -36,11 +36,14 @@ def mine(units: DataFrame, least_units: int = LEAST_UNITS, most: int = MOST_MINE
     rank. Counts are pre-aggregated by surface before the page's terms meet.
     """
     rows = tokens(units).withColumns({"key": tx.identity_of(F.col("token"), F.col("kind")), "kr": tx.rank_of(F.col("kind"))})
-    each = rows.groupBy("page_id", "key", F.col("token").alias("surface")).agg(F.count("*").alias("n"), F.min(F.struct("pos", "idx")).alias("at"), F.max("kr").alias("kr"), F.collect_set("unit_id").alias("in_units"))
-    out = each.groupBy("page_id", "key").agg(
-        F.min_by("surface", "at").alias("term"), F.sum("n").alias("cnt"), F.size(F.array_distinct(F.flatten(F.collect_list("in_units")))).cast("long").alias("n_units"),
-        F.max("kr").alias("kr"), F.collect_list(F.struct("surface", "n")).alias("surfaces"),
-    )
+    # Units are counted by an aggregation of their own level, so no set of ids is carried.
+    each = rows.groupBy("page_id", "key", "unit_id", F.col("token").alias("surface")).agg(F.count("*").alias("n"), F.min(F.struct("pos", "idx")).alias("at"), F.max("kr").alias("kr"))
+    unit = each.groupBy("page_id", "key", "unit_id").agg(F.min(F.struct("at", "surface")).alias("first"), F.max("kr").alias("kr"), F.collect_list(F.struct("surface", "n")).alias("forms"))
+    whole = unit.groupBy("page_id", "key").agg(F.min("first").alias("first"), F.count("*").alias("n_units"), F.max("kr").alias("kr"), F.flatten(F.collect_list("forms")).alias("forms")).where(F.col("n_units") >= least_units)
+    names = F.array_distinct(F.transform("forms", lambda x: x["surface"]))
+    total = lambda of: F.aggregate(of, F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    summed = F.transform(names, lambda name: F.struct(name.alias("surface"), total(F.filter("forms", lambda x: x["surface"] == name)).alias("n")))
+    out = whole.select("page_id", "key", F.col("first.surface").alias("term"), total("forms").alias("cnt"), "n_units", "kr", summed.alias("surfaces"))
     out = out.where(F.col("n_units") >= least_units)
     kind = F.when(F.col("kr") == 4, "fixed").when(F.col("kr") == 2, "lexical").otherwise("structural")
     order = Window.partitionBy("page_id").orderBy(F.desc("kr"), F.desc("n_units"), F.desc("cnt"), F.desc(F.length("term")), F.collate("term", "UNICODE"), "term")
@@ -51,24 +54,44 @@ def mine(units: DataFrame, least_units: int = LEAST_UNITS, most: int = MOST_MINE
 
 def candidate_pool(contract: DataFrame, mined: DataFrame) -> DataFrame:
     """The contract's terms of every page (locked, suggested, risky), then the mined ones: page_id, term, lemma, kind, ord."""
-    pages = mined.select("page_id").distinct()
-    given = pages.join(contract, how="inner", on=F.lit(True)).select("page_id", "term", tx.lemma_of(F.col("term"), F.col("kind")).alias("lemma"), "kind", (F.lit(10 - tx.rank_of(F.col("kind"))) * 10_000 + F.when(F.col("kind") == "risky", 5_000).otherwise(0) + F.col("pos")).cast("long").alias("ord"))
-    return given.unionByName(mined.select("page_id", "term", "lemma", "kind", (F.lit(100_000) + F.col("rank")).cast("long").alias("ord")))
+    return pooled(mined.select("page_id").distinct().join(contract, how="inner", on=F.lit(True)), mined)
+
 
+def pooled(given: DataFrame, mined: DataFrame) -> DataFrame:
+    """Contract terms (with page_id) before mined ones, by rank."""
+    given = given.select("page_id", "term", tx.lemma_of(F.col("term"), F.col("kind")).alias("lemma"), "kind", (F.lit(10 - tx.rank_of(F.col("kind"))) * 10_000 + F.when(F.col("kind") == "risky", 5_000).otherwise(0) + F.col("pos")).cast("long").alias("ord"))
+    return given.unionByName(mined.select("page_id", "term", "lemma", "kind", (F.lit(100_000) + F.col("rank")).cast("long").alias("ord")))
 
-def matched(pool: DataFrame, units: DataFrame) -> DataFrame:
-    """Candidates that occur in their page's units, one for each lemma, the first in the pool's order.
 
-    A page's text is searched once: the pool joins the units on the page.
-    """
-    texts = units.groupBy("page_id").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])).alias("_all"))
-    hits = pool.join(texts, "page_id").where(tx.find_term(F.col("_all"), F.col("term"), F.col("kind") == "fixed").isNotNull()).drop("_all")
+def one_of_each(hits: DataFrame) -> DataFrame:
+    """Of candidates found in their pages one for each lemma, the first in the pool's order; lexical ones only where there is no other."""
     first = Window.partitionBy("page_id", F.lower("lemma"), F.col("kind") == "lexical").orderBy("ord")
     hits = hits.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     prior = F.max(F.when(F.col("kind") != "lexical", 1).otherwise(0)).over(Window.partitionBy("page_id", F.lower("lemma")))
     return hits.withColumn("_p", prior).where((F.col("kind") != "lexical") | (F.col("_p") == 0)).drop("_p")
 
 
+def held(mined: DataFrame, units: DataFrame) -> DataFrame:
+    """Mined terms that stand bounded in their page: looked up among the page's words, searched for only where they are no single word."""
+    words = F.filter(F.split(F.col("body"), "[^A-Za-z0-9_]+"), lambda x: x != "")
+    texts = units.groupBy("page_id").agg(F.concat_ws("\n", F.collect_list("text")).alias("body"))
+    texts = texts.withColumns({"exact": F.array_distinct(words)}).withColumn("low", F.array_distinct(F.transform("exact", ascii_lower)))
+    fixed = F.col("kind") == "fixed"
+    looked = F.when(fixed, F.array_contains("exact", F.col("term"))).otherwise(F.array_contains("low", ascii_lower(F.col("term"))))
+    found = F.when(F.col("term").rlike(r"^[A-Za-z0-9_]+\z"), looked).otherwise(tx.find_term(F.col("body"), F.col("term"), fixed).isNotNull())
+    return mined.join(texts, "page_id").where(found).drop("body", "exact", "low")
+
+
+def matched(contract: DataFrame, mined: DataFrame, units: DataFrame) -> DataFrame:
+    """Candidates that occur in their page's units, one for each lemma: page_id, term, lemma, kind, ord.
+
+    The contract's terms are found by their words, not tried on every page.
+    """
+    given = term_hits(units.select("page_id", "text"), contract).select("page_id", "term").distinct().join(contract, "term")
+    given = given.join(mined.select("page_id").distinct(), "page_id", "left_semi")
+    return one_of_each(pooled(given, held(mined, units)))
+
+
 def tracked(hits: DataFrame, most: int = MOST_TRACKED, reserve: int = LEXICAL_RESERVE) -> DataFrame:
     """A page's observation budget: seats kept for lexical terms, free seats go to the other layer."""
     lexical = F.col("kind") == "lexical"
@@ -82,25 +105,66 @@ def tracked(hits: DataFrame, most: int = MOST_TRACKED, reserve: int = LEXICAL_RE
     return rows.where(F.col("_r") <= seats).drop("_r", "_l", "_p")
 
 
+def ascii_lower(x: Column) -> Column:
+    return F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def first_word(low: Column) -> Column:
+    """The first run of letters, digits and _ of a lower-case term, empty if it has none."""
+    return F.regexp_extract(low, "[a-z0-9_]+", 0)
+
+
+def words_in(low: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(low, "[^a-z0-9_]+"), lambda x: x != ""))
+
+
+def with_wordless(found, units: DataFrame, terms: DataFrame) -> DataFrame:
+    """found and, for terms of no such word, units tried with each of them; few scripts have them."""
+    odd = terms.where("word = ''")
+    if odd.isEmpty():
+        return found
+    return found.unionByName(units.join(odd, F.contains(F.lower("text"), F.lower("term"))).drop("word"))
+
+
+def term_hits(units: DataFrame, contract: DataFrame) -> DataFrame:
+    """Units with each term they hold: the unit's columns, term, kind, surface.
+
+    A bounded term has its first word among the text's words, so units meet terms
+    by that word, and only those that share it are searched.
+    """
+    c = contract.select("term", "kind", first_word(ascii_lower(F.col("term"))).alias("word"))
+    rows = units.withColumn("word", F.explode(words_in(ascii_lower(F.col("text"))))).join(c.where("word <> ''"), "word").drop("word")
+    rows = with_wordless(rows, units, c)
+    return rows.withColumn("surface", tx.find_term(F.col("text"), F.col("term"), F.col("kind") == "fixed")).where("surface IS NOT NULL")
+
+
 def coverage(contract: DataFrame, units: DataFrame) -> DataFrame:
     """Of the contract's kinds: terms in all, terms found in some unit, and the others."""
-    hits = units.join(contract, tx.find_term(F.col("text"), F.col("term"), F.lit(False)).isNotNull()).select("term").distinct().withColumn("hit", F.lit(True))
+    plain = contract.select("term", F.lit("any").alias("kind"))
+    hits = term_hits(units.select("text"), plain).select("term").distinct().withColumn("hit", F.lit(True))
     both = contract.join(hits, "term", "left")
     return both.groupBy("kind").agg(F.count("*").alias("total"), F.count_if("hit").alias("matched"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("hit").isNull(), F.col("term")))), ",").alias("unmatched"))
 
 
-def term_hits(units: DataFrame, contract: DataFrame) -> DataFrame:
-    """Units with each term they hold: the unit's columns, term, kind, surface."""
-    c = contract.select("term", "kind")
-    rows = units.join(c, F.contains(F.lower("text"), F.lower("term")))
-    return rows.withColumn("surface", tx.find_term(F.col("text"), F.col("term"), F.col("kind") == "fixed")).where("surface IS NOT NULL")
+def containing(units: DataFrame, terms: DataFrame) -> DataFrame:
+    """Units with each term that their text holds anywhere, also inside a word; letter case apart.
+
+    Terms are tried on the distinct words of all units, and units meet terms by these words.
+    """
+    c = terms.withColumn("word", first_word(F.lower("term")))
+    some = c.where("word <> ''")
+    each = units.withColumn("seen", F.explode(words_in(F.lower("text"))))
+    parts = some.select("word").distinct()
+    inside = each.select("seen").distinct().join(parts, F.contains("seen", "word"))
+    rows = each.join(inside, "seen").drop("seen").distinct().join(some, "word").drop("word").where(F.contains(F.lower("text"), F.lower("term")))
+    return with_wordless(rows, units, c)
 
 
 def drift(units: DataFrame, contract: DataFrame) -> DataFrame:
     """The first term of each finished unit whose locked rendering its translation lacks."""
-    c = contract.where((F.length("term") >= 4) & (F.coalesce("target", F.lit("")) != "") & (F.lower("term") != F.lower("target")))
-    rows = units.where("state = 'done'").join(c, F.contains(F.lower("text"), F.lower("term")) & ~F.contains("t", "target"))
-    return rows.groupBy("unit_id").agg(F.min_by(F.struct("term", "target", F.substring("text", 1, 80).alias("excerpt")), F.struct(c["pos"], "term")).alias("m")).select("unit_id", "m.term", "m.target", "m.excerpt")
+    c = contract.where((F.length("term") >= 4) & (F.coalesce("target", F.lit("")) != "") & (F.lower("term") != F.lower("target"))).select("term", "target", F.col("pos").alias("at"))
+    rows = containing(units.where("state = 'done'").select("unit_id", "text", "t"), c).where(~F.contains("t", "target"))
+    return rows.groupBy("unit_id").agg(F.min_by(F.struct("term", "target", F.substring("text", 1, 80).alias("excerpt")), F.struct("at", "term")).alias("m")).select("unit_id", "m.term", "m.target", "m.excerpt")
 
 
 def observed(hits: DataFrame) -> DataFrame:
@@ -110,13 +174,23 @@ def observed(hits: DataFrame) -> DataFrame:
     return hits.withColumns({"metric": metric, "rendered": F.when(valid, tx.trim(F.regexp_replace("raw", f"{tx.SPACE}+", " ")))})
 
 
+def forms(seen: DataFrame) -> DataFrame:
+    """term, kind, metric, rendered, raw, n: what all of telemetry is added up from."""
+    return seen.groupBy("term", "kind", "metric", "rendered", "raw").agg(F.count("*").alias("n"))
+
+
 def telemetry(seen: DataFrame) -> DataFrame:
-    """Each term's expected and aligned occurrences, variants, taxonomy and consistency."""
-    ok = seen.where("rendered IS NOT NULL")
-    counts = seen.groupBy("term", "kind").agg(F.count("*").alias("expected"), F.count("rendered").alias("aligned"))
-    variants = ok.groupBy("term", "kind", "rendered").agg(F.count("*").alias("n")).groupBy("term", "kind").agg(F.count("*").alias("variant_count"), F.collect_list(F.struct(F.col("rendered").alias("surface"), "n")).alias("variants"))
-    raws = ok.groupBy("term", "kind").agg(F.countDistinct("raw").alias("raw_count"))
-    out = counts.join(variants, ["term", "kind"]).join(raws, ["term", "kind"])
+    """Each term's expected and aligned occurrences, variants, taxonomy and consistency; of terms aligned at all."""
+    return term_rows(forms(seen))
+
+
+def term_rows(counted: DataFrame) -> DataFrame:
+    some = F.col("rendered").isNotNull()
+    variants = counted.groupBy("term", "kind", "rendered").agg(F.sum("n").alias("n"), F.count("raw").alias("raws"))
+    out = variants.groupBy("term", "kind").agg(
+        F.sum("n").alias("expected"), F.sum(F.when(some, F.col("n")).otherwise(0)).alias("aligned"), F.count("rendered").alias("variant_count"),
+        F.collect_list(F.when(some, F.struct(F.col("rendered").alias("surface"), "n"))).alias("variants"), F.sum(F.when(some, F.col("raws"))).alias("raw_count"),
+    ).where("variant_count > 0")
     return out.withColumns({"taxonomy": taxonomy(F.col("kind"), F.col("variant_count")), "consistency": consistency(F.col("kind"), F.col("variant_count"))})
 
 
@@ -131,10 +205,12 @@ def consistency(kind: Column, variants: Column) -> Column:
 def summary(seen: DataFrame) -> DataFrame:
     """One row: expected, aligned and rates, over all and without structural terms; terms by taxonomy."""
     rate = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
-    semantic = F.col("metric") != "structural"
-    one = seen.agg(F.count("*").alias("expected"), F.count("rendered").alias("aligned"), F.count_if(semantic).alias("semantic_expected"), F.count_if(semantic & F.col("rendered").isNotNull()).alias("semantic_aligned"))
+    total = lambda of, name: F.coalesce(F.sum(F.when(of, F.col("n"))), F.lit(0)).alias(name)
+    semantic, some = F.col("metric") != "structural", F.col("rendered").isNotNull()
+    counted = forms(seen)
+    one = counted.agg(total(F.lit(True), "expected"), total(some, "aligned"), total(semantic, "semantic_expected"), total(semantic & some, "semantic_aligned"))
     one = one.withColumns({"rate": rate(F.col("aligned"), F.col("expected")), "semantic_rate": rate(F.col("semantic_aligned"), F.col("semantic_expected"))})
-    terms = telemetry(seen).agg(F.count("*").alias("terms"), F.count_if(F.col("taxonomy") == "FIXED").alias("fixed"), F.count_if(F.col("consistency") == "DRIFT").alias("drift"), F.count_if(F.col("taxonomy") == "STABLE").alias("stable"), F.count_if(F.col("taxonomy") == "UNKNOWN").alias("unknown"))
+    terms = term_rows(counted).agg(F.count("*").alias("terms"), F.count_if(F.col("taxonomy") == "FIXED").alias("fixed"), F.count_if(F.col("consistency") == "DRIFT").alias("drift"), F.count_if(F.col("taxonomy") == "STABLE").alias("stable"), F.count_if(F.col("taxonomy") == "UNKNOWN").alias("unknown"))
     return one.join(terms, F.lit(True))
 
 

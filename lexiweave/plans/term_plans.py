@@ -244,8 +244,7 @@ tracked AS (SELECT * FROM hit3 WHERE r <= CASE WHEN kind = 'lexical' THEN greate
 @query("top_tracked", f"WITH {fx.UNITS}, {fx.CONTRACT}, {TOKENS}, {MINED}, {POOL}, {TRACKED} SELECT page_id, term, kind FROM tracked")
 def top_tracked(spark, d):
     u = fx.units(spark, d)
-    pool = tm.candidate_pool(fx.contract(spark, d), tm.mine(u))
-    return tm.tracked(tm.matched(pool, u)).select("page_id", "term", "kind")
+    return tm.tracked(tm.matched(fx.contract(spark, d), tm.mine(u), u)).select("page_id", "term", "kind")
 
 
 @query("set_observe", f"""WITH {fx.UNITS}, {fx.CONTRACT}, {TOKENS}, {MINED}, u AS (SELECT page_id, lemma, kind, 0 AS src, rank AS ord FROM mined UNION ALL SELECT DISTINCT m.page_id, c.term, c.kind, 1, c.pos FROM mined m, contract c),
