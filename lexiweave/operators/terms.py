@@ -36,15 +36,15 @@ def mine(units: DataFrame, least_units: int = LEAST_UNITS, most: int = MOST_MINE
     rank. Counts are pre-aggregated by surface before the page's terms meet.
     """
     rows = tokens(units).withColumns({"key": tx.identity_of(F.col("token"), F.col("kind")), "kr": tx.rank_of(F.col("kind"))})
-    # Units are counted by an aggregation of their own level, so no set of ids is carried.
-    each = rows.groupBy("page_id", "key", "unit_id", F.col("token").alias("surface")).agg(F.count("*").alias("n"), F.min(F.struct("pos", "idx")).alias("at"), F.max("kr").alias("kr"))
-    unit = each.groupBy("page_id", "key", "unit_id").agg(F.min(F.struct("at", "surface")).alias("first"), F.max("kr").alias("kr"), F.collect_list(F.struct("surface", "n")).alias("forms"))
-    whole = unit.groupBy("page_id", "key").agg(F.min("first").alias("first"), F.count("*").alias("n_units"), F.max("kr").alias("kr"), F.flatten(F.collect_list("forms")).alias("forms")).where(F.col("n_units") >= least_units)
-    names = F.array_distinct(F.transform("forms", lambda x: x["surface"]))
+    # Numbers only in the first aggregation, so that it hashes; a term's few forms are summed once it is known to stay.
+    at = F.col("pos").cast("long") * 2**31 + F.col("idx")
+    each = rows.groupBy("page_id", "key", "unit_id", F.col("token").alias("surface")).agg(F.count("*").alias("n"), F.min(at).alias("at"), F.max("kr").alias("kr"))
+    whole = each.groupBy("page_id", "key").agg(F.max("kr").alias("kr"), F.collect_list(F.struct("at", "surface", "n", "unit_id")).alias("forms"))
+    whole = whole.withColumn("n_units", F.size(F.array_distinct(F.transform("forms", lambda x: x["unit_id"]))).cast("long")).where(F.col("n_units") >= least_units)
     total = lambda of: F.aggregate(of, F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    names = F.array_distinct(F.transform("forms", lambda x: x["surface"]))
     summed = F.transform(names, lambda name: F.struct(name.alias("surface"), total(F.filter("forms", lambda x: x["surface"] == name)).alias("n")))
-    out = whole.select("page_id", "key", F.col("first.surface").alias("term"), total("forms").alias("cnt"), "n_units", "kr", summed.alias("surfaces"))
-    out = out.where(F.col("n_units") >= least_units)
+    out = whole.select("page_id", "key", F.array_min("forms")["surface"].alias("term"), total("forms").alias("cnt"), "n_units", "kr", summed.alias("surfaces"))
     kind = F.when(F.col("kr") == 4, "fixed").when(F.col("kr") == 2, "lexical").otherwise("structural")
     order = Window.partitionBy("page_id").orderBy(F.desc("kr"), F.desc("n_units"), F.desc("cnt"), F.desc(F.length("term")), F.collate("term", "UNICODE"), "term")
     out = out.withColumns({"kind": kind, "rank": F.row_number().over(order)}).where(F.col("rank") <= most)
@@ -57,10 +57,11 @@ def candidate_pool(contract: DataFrame, mined: DataFrame) -> DataFrame:
     return pooled(mined.select("page_id").distinct().join(contract, how="inner", on=F.lit(True)), mined)
 
 
-def pooled(given: DataFrame, mined: DataFrame) -> DataFrame:
+def pooled(given: DataFrame, mined: DataFrame, *more: str) -> DataFrame:
     """Contract terms (with page_id) before mined ones, by rank."""
-    given = given.select("page_id", "term", tx.lemma_of(F.col("term"), F.col("kind")).alias("lemma"), "kind", (F.lit(10 - tx.rank_of(F.col("kind"))) * 10_000 + F.when(F.col("kind") == "risky", 5_000).otherwise(0) + F.col("pos")).cast("long").alias("ord"))
-    return given.unionByName(mined.select("page_id", "term", "lemma", "kind", (F.lit(100_000) + F.col("rank")).cast("long").alias("ord")))
+    place = F.lit(10 - tx.rank_of(F.col("kind"))) * 10_000 + F.when(F.col("kind") == "risky", 5_000).otherwise(0) + F.col("pos")
+    given = given.select("page_id", "term", tx.lemma_of(F.col("term"), F.col("kind")).alias("lemma"), "kind", place.cast("long").alias("ord"), *more)
+    return given.unionByName(mined.select("page_id", "term", "lemma", "kind", (F.lit(100_000) + F.col("rank")).cast("long").alias("ord"), *more))
 
 
 def one_of_each(hits: DataFrame) -> DataFrame:
@@ -72,24 +73,32 @@ def one_of_each(hits: DataFrame) -> DataFrame:
 
 
 def held(mined: DataFrame, units: DataFrame) -> DataFrame:
-    """Mined terms that stand bounded in their page: looked up among the page's words, searched for only where they are no single word."""
+    """mined with stands: whether the term stands bounded in its page. It is looked up among the page's words, and searched
+    for only where it is no single word; a page's terms meet its text once."""
     words = F.filter(F.split(F.col("body"), "[^A-Za-z0-9_]+"), lambda x: x != "")
     texts = units.groupBy("page_id").agg(F.concat_ws("\n", F.collect_list("text")).alias("body"))
-    texts = texts.withColumns({"exact": F.array_distinct(words)}).withColumn("low", F.array_distinct(F.transform("exact", ascii_lower)))
-    fixed = F.col("kind") == "fixed"
-    looked = F.when(fixed, F.array_contains("exact", F.col("term"))).otherwise(F.array_contains("low", ascii_lower(F.col("term"))))
-    found = F.when(F.col("term").rlike(r"^[A-Za-z0-9_]+\z"), looked).otherwise(tx.find_term(F.col("body"), F.col("term"), fixed).isNotNull())
-    return mined.join(texts, "page_id").where(found).drop("body", "exact", "low")
+    texts = texts.withColumn("exact", F.array_distinct(words)).withColumn("low", F.array_distinct(F.transform("exact", ascii_lower)))
+    names = [c for c in mined.columns if c != "page_id"]
+
+    def stands(x):
+        fixed = x["kind"] == "fixed"
+        looked = F.when(fixed, F.array_contains("exact", x["term"])).otherwise(F.array_contains("low", ascii_lower(x["term"])))
+        return F.when(x["term"].rlike(r"^[A-Za-z0-9_]+\z"), looked).otherwise(tx.find_term(F.col("body"), x["term"], fixed).isNotNull())
+
+    lists = mined.groupBy("page_id").agg(F.collect_list(F.struct(*names)).alias("m")).join(texts, "page_id")
+    rows = lists.select("page_id", F.explode(F.transform("m", lambda x: F.struct(x.alias("x"), stands(x).alias("stands")))).alias("m"))
+    return rows.select("page_id", *[F.col(f"m.x.{c}") for c in names], F.col("m.stands").alias("stands"))
 
 
 def matched(contract: DataFrame, mined: DataFrame, units: DataFrame) -> DataFrame:
-    """Candidates that occur in their page's units, one for each lemma: page_id, term, lemma, kind, ord.
+    """Candidates that occur in their page's units, one for each lemma, on pages that have mined terms: page_id, term, lemma, kind, ord.
 
     The contract's terms are found by their words, not tried on every page.
     """
-    given = term_hits(units.select("page_id", "text"), contract).select("page_id", "term").distinct().join(contract, "term")
-    given = given.join(mined.select("page_id").distinct(), "page_id", "left_semi")
-    return one_of_each(pooled(given, held(mined, units)))
+    given = term_hits(units.select("page_id", "text"), contract).select("page_id", "term").distinct().join(contract, "term").withColumn("stands", F.lit(True))
+    rows = pooled(given, held(mined, units), "stands")
+    own = F.max(F.col("ord") > 100_000).over(Window.partitionBy("page_id"))
+    return one_of_each(rows.withColumn("own", own).where(F.col("own") & F.col("stands")).drop("own", "stands"))
 
 
 def tracked(hits: DataFrame, most: int = MOST_TRACKED, reserve: int = LEXICAL_RESERVE) -> DataFrame:
@@ -149,14 +158,15 @@ def coverage(contract: DataFrame, units: DataFrame) -> DataFrame:
 def containing(units: DataFrame, terms: DataFrame) -> DataFrame:
     """Units with each term that their text holds anywhere, also inside a word; letter case apart.
 
-    Terms are tried on the distinct words of all units, and units meet terms by these words.
+    Terms are tried on the distinct words of all units, and units meet terms by
+    these words; a unit that has several such words repeats.
     """
     c = terms.withColumn("word", first_word(F.lower("term")))
     some = c.where("word <> ''")
     each = units.withColumn("seen", F.explode(words_in(F.lower("text"))))
     parts = some.select("word").distinct()
     inside = each.select("seen").distinct().join(parts, F.contains("seen", "word"))
-    rows = each.join(inside, "seen").drop("seen").distinct().join(some, "word").drop("word").where(F.contains(F.lower("text"), F.lower("term")))
+    rows = each.join(inside, "seen").drop("seen").join(some, "word").drop("word").where(F.contains(F.lower("text"), F.lower("term")))
     return with_wordless(rows, units, c)
 
 

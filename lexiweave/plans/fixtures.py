@@ -13,8 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of documents: page_id, unit_id, pos, lang, tag, role, mode, text."""
-    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "lang", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "raw"))
+    """Lines of documents: page_id, unit_id, pos, lang, tag, role, mode, text.
+
+    Documents are dealt out by page before their lines come apart, so whatever
+    works on pages afterwards needs no shuffle of its own, and the work on lines
+    spreads however few files or row groups hold the documents.
+    """
+    lines = table(spark, sf_dir, "documents").select("doc_id", "lang", "text").repartition("doc_id").select(F.col("doc_id").alias("page_id"), "lang", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "raw"))
     lines = lines.select("page_id", (F.col("page_id") * 100000 + F.col("pos")).alias("unit_id"), F.col("pos").cast("long").alias("pos"), "lang", normalize(F.col("raw")).alias("text")).where("text <> ''")
     tag = F.when(F.col("pos") == 0, "H1").when(F.col("pos") % 6 == 3, "H2").when(F.col("pos") % 6 == 4, "LI").otherwise("P")
     lines = lines.withColumn("tag", tag)
