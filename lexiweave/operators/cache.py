@@ -68,3 +68,35 @@ def live_profiles(profiles: DataFrame, now: Column) -> DataFrame:
 def owned_writes(writes: DataFrame) -> DataFrame:
     """Of all writers of a key only the one that claimed it last may write. writes: key, seq, profile."""
     return writes.groupBy("key").agg(F.max_by("profile", "seq").alias("profile"), F.max("seq").alias("seq"))
+
+
+def cache_plan(batches: DataFrame, semantic: list[str], page: list[str]) -> DataFrame:
+    """Adds fingerprint and how a batch may be read: per_item, or whole. batches: texts (ordered array), use_cache, whole.
+
+    ``semantic`` are the columns that change a translation, ``page`` those of the
+    page's context; nulls and blanks differ from each other.
+    """
+    text = lambda names: F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
+    meaning = hash_of(text(semantic))
+    rows = batches.withColumn("fingerprint", hash_of(meaning, text(page), F.to_json("texts")))
+    use, whole = F.coalesce("use_cache", F.lit(False)), F.coalesce("whole", F.lit(False))
+    return rows.withColumns({"per_item": use & ~whole, "whole_page": use & whole})
+
+
+def preflight(pages: DataFrame, cache: DataFrame, now: Column, profiler) -> DataFrame:
+    """pages (key, ...) with profile and source: a live cached profile, else what the profiler (a function of the page's columns) makes.
+
+    Pages with one key ask once: the first page of a key owns the request.
+    """
+    kept = live_profiles(cache, now).groupBy("key").agg(F.max_by("profile", "created_at").alias("kept"))
+    known = pages.join(kept, "key", "left")
+    asked = known.where("kept IS NULL")
+    owner = asked.groupBy("key").agg(F.min_by(F.struct(*[c for c in pages.columns if c != "key"]), "page_id").alias("r"))
+    made = owner.select("key", profiler(F.col("r")).alias("made"))
+    rows = known.join(made, "key", "left")
+    return rows.select(*pages.columns, F.coalesce("kept", "made").alias("profile"), F.when(F.col("kept").isNotNull(), "cache").otherwise("profiler").alias("source"))
+
+
+def new_profiles(answered: DataFrame, now: Column) -> DataFrame:
+    """Rows for the cache of profiles that were asked for: key, created_at, profile; none too long."""
+    return answered.where((F.col("source") == "profiler") & F.col("profile").isNotNull() & (F.length("profile") <= MOST_RECORD)).select("key", now.alias("created_at"), "profile").dropDuplicates(["key"])

@@ -70,3 +70,14 @@ def streaks(log: DataFrame, stop_after: int = STOP_AFTER) -> DataFrame:
 def merged_runtime(batches: DataFrame) -> DataFrame:
     """Counters summed and flags or-ed over a page's batches."""
     return batches.groupBy("page_id").agg(F.sum("requests").alias("requests"), F.sum("splits").alias("splits"), F.bool_or("hit").alias("hit"), F.bool_or("incomplete").alias("incomplete"))
+
+
+COUNTS = ("total", "done", "failed", "inflight", "headings", "source_chars", "hard", "risky", "batches")
+
+
+def diagnostic(page: DataFrame, engine: Column, *parts: DataFrame) -> DataFrame:
+    """One row for each page, of its parts (page_id and their fields). A page without a part has counts of zero; sums and rates stay unknown."""
+    out = page.withColumn("engine", engine)
+    for part in parts:
+        out = out.join(part, "page_id", "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in COUNTS if c in out.columns} | {"has_profile": F.coalesce("has_profile", F.lit(False))})

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexiweave.functions import text as tx
+from lexiweave.operators import prompts as pm
 from lexiweave.operators import provider as pr
 from lexiweave.operators import wires as wi
 from lexiweave.plans import fixtures as fx
@@ -155,16 +155,53 @@ def fn_unpack(spark, d):
     return rows.select(F.split_part("p", F.lit("\n"), F.lit(1)).cast("long").alias("i"), F.expr("substring(p, instr(p, '\n') + 1)").alias("t"))
 
 
-@query("fn_messages", f"{ITEMS} SELECT batch, 'Translate each item into fr.' || chr(10) || string_agg('- ' || text, chr(10) ORDER BY pos) AS message FROM items GROUP BY batch")
-def fn_messages(spark, d):
-    lines = F.array_join(F.transform("items", lambda m: F.concat(F.lit("- "), m["text"])), "\n")
-    return batches(spark, d).select("batch", F.concat_ws("\n", F.lit("Translate each item into fr."), lines).alias("message"))
+def said(text: str) -> str:
+    """A prompt's line as a SQL literal, for fr."""
+    return "'" + text.replace("{{", "{").replace("}}", "}").replace("{0}", "fr").replace("'", "''") + "'"
+
+
+NL = "chr(10)"
+MESSAGES = f"""{ITEMS}, b AS (SELECT batch, count(*) AS n, to_json(list(i ORDER BY pos)) AS ids, list(text ORDER BY pos) AS texts, string_agg('  -' || {NL} || '    i: ' || i || {NL} || '    t: ' || to_json(text), {NL} ORDER BY pos) AS rows FROM items GROUP BY batch)
+SELECT batch, {said(pm.HEAD)} || {NL} || CASE WHEN batch % 3 = 0 THEN {said(pm.TRACKED)} || {NL} ELSE '' END || CASE WHEN batch % 4 = 1 THEN {NL} || {said(pm.MEMORY)} || {NL} || '- the old bank (bank) = rive' || {NL} ELSE '' END || CASE WHEN n > 3 THEN {said(pm.WHOLE)} || {NL} ELSE '' END || {said(pm.MANNER)}
+ || CASE WHEN batch % 2 = 0 THEN {NL} || {NL} || {said(pm.BACKGROUND)} || {NL} || repeat('ab', 250) ELSE '' END || {NL} || {NL} || {said(pm.PROFILE)} || {NL} || 'Domain, a hint only: law' || CASE WHEN batch % 5 = 0 THEN {NL} || 'Fixed terms:' || {NL} || '- tort = tort' ELSE '' END || {NL} || 'Words of several senses:' || {NL} || '- bar: see the sentence'
+ || CASE WHEN batch % 7 = 0 THEN {NL} || {NL} || {said(pm.SUGGESTED)} || {NL} || '- plea ~ plaidoyer' ELSE '' END || CASE WHEN batch % 6 = 5 THEN {NL} || {NL} || {said(pm.OWN)} || {NL} || 'be brief' ELSE '' END AS system,
+ 'page:' || {NL} || '  title: "t' || batch || '"' || {NL} || '  site: "x.example"' || {NL} || '  description: "' || repeat('d', 300) || '"' || {NL} || '  section: ""' || {NL} || '  headings:' || {NL} || '    - "h"' || CASE WHEN batch % 3 = 0 THEN {NL} || 'tracked_terms:' || {NL} || '  - "a"' || {NL} || '  - "b"' ELSE '' END || {NL} || 'items:' || {NL} || rows AS user_text FROM b"""
 
 
-@query("fn_premsg", f"WITH {fx.UNITS} SELECT page_id, 'List domain words and doubtful terms of this page.' || chr(10) || string_agg(text, chr(10) ORDER BY pos) AS message FROM units WHERE role = 'heading' GROUP BY page_id")
+@query("fn_messages", MESSAGES)
+def fn_messages(spark, d):
+    """A batch's system and user text; blocks come and go with what there is to say, each within its bound."""
+    b = F.col("batch")
+    pair = lambda k, v: F.struct(F.lit(k).alias("k"), F.lit(v).alias("v"))
+    none = F.array().cast("array<struct<k:string,v:string>>")
+    tracked = pm.tracked_terms(F.when(b % 3 == 0, F.array(*map(F.lit, (" a", "b", "a ", "")))).otherwise(F.array().cast("array<string>")))
+    memory = F.array(F.struct(F.when(b % 4 == 1, "the old bank").otherwise("").alias("trigger"), F.lit("bank").alias("term"), F.lit("rive").alias("target")))
+    profile = F.struct(
+        F.lit("").alias("principle"), F.array(F.lit("law")).alias("domain"), F.when(b % 5 == 0, F.array(pair("tort", "tort"), pair("x", " "))).otherwise(none).alias("hard"), none.alias("preferred"),
+        F.array(pair("bar", "")).alias("risky"), F.array().cast("array<string>").alias("keep"),
+    )
+    context = F.struct(F.concat(F.lit("t"), b.cast("string")).alias("title"), F.lit("x.example").alias("site"), F.repeat(F.lit("d"), 400).alias("description"), F.lit("").alias("section"), F.array(F.lit("h")).alias("headings"))
+    system = pm.system(
+        F.lit("fr"), whole=F.size("items") > 3, tracked=tracked, memory=memory, background=F.when(b % 2 == 0, F.repeat(F.lit("ab"), 300)), profile=profile,
+        suggestions=F.when(b % 7 == 0, F.array(pair("plea", "plaidoyer"))), custom=F.when(b % 6 == 5, " be brief "),
+    )
+    return batches(spark, d).select("batch", system.alias("system"), pm.user(context, tracked, F.col("items")).alias("user_text"))
+
+
+PREMSG = f"""WITH {fx.UNITS}, h AS (SELECT page_id, string_agg(text, {NL} ORDER BY pos) AS digest, arg_min(text, pos) AS title FROM units WHERE role = 'heading' GROUP BY page_id)
+SELECT page_id, {said(pm.SURVEY)} AS survey, 'page:' || {NL} || '  title: ' || to_json(title) || {NL} || '  site: "x.example"' || {NL} || 'digest: ' || to_json(digest) AS survey_user, {said(pm.CONVERT)} AS conversion,
+ 'page:' || {NL} || '  title: ' || to_json(title) || {NL} || '  site: "x.example"' || {NL} || 'notes: ' || to_json(left(coalesce(d.text, ''), 2000)) AS conversion_user FROM h JOIN documents d ON d.doc_id = h.page_id"""
+
+
+@query("fn_premsg", PREMSG)
 def fn_premsg(spark, d):
+    """What asks for a page's profile, and what turns notes into rules (here: the page's own text, cut at the bound)."""
     heads = fx.units(spark, d).where("role = 'heading'").groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda m: m["text"]).alias("h"))
-    return heads.select("page_id", F.concat_ws("\n", F.lit("List domain words and doubtful terms of this page."), F.array_join("h", "\n")).alias("message"))
+    rows = heads.join(fx.table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.coalesce("text", F.lit("")).alias("notes")), "page_id")
+    title, site = F.col("h")[0], F.lit("x.example")
+    ask, ask_user = pm.survey(F.lit("fr"), title, site, F.array_join("h", "\n"))
+    turn, turn_user = pm.conversion(F.lit("fr"), title, site, F.col("notes"))
+    return rows.select("page_id", ask.alias("survey"), ask_user.alias("survey_user"), turn.alias("conversion"), turn_user.alias("conversion_user"))
 
 
 def _wired(spark, d, provider, machine):
@@ -203,9 +240,3 @@ def snk_md(spark, d):
     rows = fx.translated(spark, d).where("state = 'done'")
     block = F.concat(F.when(F.col("role") == "heading", "#").otherwise(""), F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("\n\n"), "t")
     return rows.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", block.alias("b")))), lambda x: x["b"]), "\n\n").alias("markdown"))
-
-
-@query("stm_order", f"{ITEMS} SELECT batch, i, row_number() OVER (PARTITION BY batch ORDER BY pos) AS place FROM items")
-def stm_order(spark, d):
-    it = fx.units(spark, d).select((F.col("page_id") * 100 + F.floor(F.col("pos") / 4)).alias("batch"), F.col("unit_id").alias("i"), "pos")
-    return it.select("batch", "i", F.row_number().over(Window.partitionBy("batch").orderBy("pos")).cast("long").alias("place"))

@@ -9,8 +9,11 @@ from lexiweave.functions import scalars as sc
 from lexiweave.operators import logs as lo
 from lexiweave.plans import fixtures as fx
 from lexiweave.plans.registry import query
+from lexiweave.plans.rule_plans import RULES
 
 LIFE = f"WITH {fx.LIFECYCLE}"
+#: The rules of pages without the units that they are made of.
+RULES_ONLY = RULES[len(fx.UNITS) + 2 :]
 
 
 @query("qry_ring", f"{LIFE} SELECT log_id, n, event FROM (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY n DESC) AS r FROM lifecycle) WHERE r <= 240")
@@ -28,11 +31,6 @@ def snk_log(spark, d):
     return lo.ring_state(fx.lifecycle(spark, d))
 
 
-@query("stm_log", f"{LIFE} SELECT log_id, event, count(*) AS n FROM lifecycle GROUP BY ALL")
-def stm_log(spark, d):
-    return fx.lifecycle(spark, d).groupBy("log_id", "event").agg(F.count("*").alias("n"))
-
-
 @query("qry_clear", f"{LIFE} SELECT log_id, n FROM lifecycle WHERE n > CASE WHEN day(stamp) % 2 = 0 THEN 100 ELSE 0 END")
 def qry_clear(spark, d):
     log = fx.lifecycle(spark, d)
@@ -112,10 +110,26 @@ def fn_failclass(spark, d):
     return fx.table(spark, d, "events").select("event_id", sc.failure_class(one(i % 7 == 0), one(i % 5 == 0), message, F.lit(0), one(i % 2 == 0)).alias("category"))
 
 
-@query("src_diag", f"{LIFE}, r AS (SELECT log_id, count(*) AS rows FROM lifecycle GROUP BY log_id), u AS (SELECT log_id, sum(requests)::BIGINT AS requests, sum(failed)::BIGINT AS failed FROM lifecycle GROUP BY log_id) SELECT r.log_id, rows, requests, failed FROM r JOIN u ON u.log_id = r.log_id")
+@query("src_diag", f"""WITH {fx.TRANSLATED}, {RULES_ONLY},
+p AS (SELECT doc_id AS page_id, length(coalesce(text, '')) AS page_chars FROM documents), s AS (SELECT page_id, count(*) AS total, count_if(state = 'done') AS done, count_if(state = 'failed') AS failed, count_if(state = 'pending') AS inflight FROM translated GROUP BY page_id),
+x AS (SELECT page_id, count_if(role = 'heading') AS headings, sum(length(text))::BIGINT AS source_chars FROM translated GROUP BY page_id), u AS (SELECT page_id, count(*) AS batches, sum(n) AS requests FROM (SELECT page_id, pos // 4 AS b, count(*) AS n FROM translated WHERE state <> 'pending' GROUP BY ALL) GROUP BY page_id),
+r AS (SELECT page_id, count_if(tier = 'hard') AS hard, count_if(tier = 'risky') AS risky FROM rules GROUP BY page_id), a AS (SELECT page_id, count(*) AS expected, count_if(contains(t, upper(replace(text, 'ß', 'ss')))) AS aligned FROM translated WHERE state = 'done' GROUP BY page_id)
+SELECT p.page_id, page_chars, 'llm' AS engine, coalesce(total, 0) AS total, coalesce(done, 0) AS done, coalesce(failed, 0) AS failed, coalesce(inflight, 0) AS inflight, coalesce(headings, 0) AS headings, coalesce(source_chars, 0) AS source_chars, r.page_id IS NOT NULL AS has_profile, coalesce(hard, 0) AS hard, coalesce(risky, 0) AS risky,
+ coalesce(batches, 0) AS batches, requests, expected, aligned FROM p LEFT JOIN s USING (page_id) LEFT JOIN x USING (page_id) LEFT JOIN u USING (page_id) LEFT JOIN r USING (page_id) LEFT JOIN a USING (page_id)""")
 def src_diag(spark, d):
-    """One diagnostic row for each log, its parts from one aggregation."""
-    return fx.lifecycle(spark, d).groupBy("log_id").agg(F.count("*").alias("rows"), F.sum("requests").alias("requests"), F.sum("failed").alias("failed"))
+    """One diagnostic row for each page, joined of seven parts: page, config, session, extraction, profile, usage, consistency."""
+    from lexiweave.plans.rule_plans import rules
+
+    t = fx.translated(spark, d)
+    state = lambda name: F.count_if(F.col("state") == name)
+    page = fx.table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.char_length(F.coalesce("text", F.lit(""))).alias("page_chars"))
+    session = t.groupBy("page_id").agg(F.count("*").alias("total"), state("done").alias("done"), state("failed").alias("failed"), state("pending").alias("inflight"))
+    extraction = t.groupBy("page_id").agg(F.count_if(F.col("role") == "heading").alias("headings"), F.sum(F.length("text")).alias("source_chars"))
+    calls = t.where("state <> 'pending'").groupBy("page_id", F.floor(F.col("pos") / 4).alias("b")).agg(F.count("*").alias("n"))
+    usage = calls.groupBy("page_id").agg(F.count("*").alias("batches"), F.sum("n").alias("requests"))
+    profile = rules(spark, d).groupBy("page_id").agg(F.lit(True).alias("has_profile"), F.count_if(F.col("tier") == "hard").alias("hard"), F.count_if(F.col("tier") == "risky").alias("risky"))
+    aligned = t.where("state = 'done'").groupBy("page_id").agg(F.count("*").alias("expected"), F.count_if(F.contains("t", F.upper(F.replace("text", F.lit("ß"), F.lit("ss"))))).alias("aligned"))
+    return lo.diagnostic(page, F.lit("llm"), session, extraction, profile, usage, aligned)
 
 
 @query("src_panel", f"{LIFE}, l AS (SELECT DISTINCT user_id FROM lifecycle), c AS (SELECT user_id, count(*) AS n FROM lifecycle WHERE event = 'translate-chunk' GROUP BY user_id) SELECT l.user_id, coalesce(n, 0) AS events, CASE WHEN n IS NULL THEN 'content-log-unavailable' ELSE 'read' END AS source FROM l LEFT JOIN c ON c.user_id = l.user_id")

@@ -128,11 +128,17 @@ def stm_config(spark, d):
     return ru.latest(rows).select("key", "value")
 
 
-@query("set_accounts", "SELECT doc_id % 7 AS provider, max(doc_id) AS account FROM documents GROUP BY 1")
+@query("set_accounts", """WITH r AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'p' || doc_id % 4 END AS now, 'p' || doc_id % 5 AS next, 'm' || doc_id AS model FROM documents)
+SELECT doc_id, CASE WHEN now = 'p0' THEN 'p0=' || model || ',p1=old' WHEN now = 'p1' THEN 'p0=first,p1=' || model WHEN now = '' THEN 'p0=first,p1=old' ELSE 'p0=first,p1=old,' || now || '=' || model END AS accounts,
+ CASE WHEN next = now THEN model WHEN next = 'p0' THEN 'first' WHEN next = 'p1' THEN 'old' END AS model FROM r""")
 def set_accounts(spark, d):
-    """Per provider the account written last."""
-    docs = fx.table(spark, d, "documents")
-    return docs.groupBy((F.col("doc_id") % 7).alias("provider")).agg(F.max_by("doc_id", "doc_id").alias("account"))
+    """A settings record that moves to another provider: its fields are kept under the one it leaves, and that other's are taken, if it has any."""
+    i = F.col("doc_id")
+    kept = F.create_map(F.lit("p0"), F.lit("first"), F.lit("p1"), F.lit("old"))
+    now = F.when(i % 3 == 0, "").otherwise(F.concat(F.lit("p"), (i % 4).cast("string")))
+    rows = fx.table(spark, d, "documents").select("doc_id", *ru.switched(kept, now, F.concat(F.lit("p"), (i % 5).cast("string")), F.concat(F.lit("m"), i.cast("string"))))
+    listed = F.array_sort(F.transform(F.map_entries("accounts"), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return rows.select("doc_id", F.array_join(listed, ",").alias("accounts"), F.col("next").alias("model"))
 
 
 #: Schema steps of the settings table in order: (version, expression over the map m).

@@ -81,11 +81,18 @@ def fn_strsafe(spark, d):
     return docs(spark, d).select("doc_id", sc.safe_string(x).alias("safe"))
 
 
-@query("flt_redact", f"SELECT doc_id, {_pick(SAFE)} AS note, '[omitted]' AS body FROM documents")
+@query("flt_redact", f"""SELECT doc_id, {_pick(SAFE)} AS note, NULL AS key, 'https://x.example/a/[id]' AS url, least(40, doc_id % 60 + 1) AS listed, CASE WHEN doc_id % 2 = 0 THEN '[truncated]' ELSE lang END AS deep FROM documents""")
 def flt_redact(spark, d):
-    """A record's fields masked by kind: free text cleaned, contents left out."""
+    """Nested records with secrets, addresses, long lists and deep values."""
     x = F.element_at(F.array(*map(F.lit, SECRETS)), (F.col("doc_id") % len(SECRETS) + 1).cast("int"))
-    return docs(spark, d).select("doc_id", sc.safe_string(x).alias("note"), F.when(F.col("text").isNotNull(), "[omitted]").alias("body"))
+    deep = F.when(F.col("doc_id") % 2 == 0, F.to_json(F.struct(F.struct(F.col("lang").alias("e")).alias("d")))).otherwise(F.to_json(F.struct(F.col("lang").alias("d"))))
+    deep = F.concat(F.lit('{"b":{"c":'), deep, F.lit("}}"))
+    record = F.concat(
+        F.lit('{"note":'), F.to_json(F.struct(x.alias("x"))), F.lit(',"apiKey":"k","url":"https://u:p@X.example/a/'), F.lit("a1" * 13), F.lit('?q=1#f","list":'),
+        F.to_json(F.transform(F.sequence(F.lit(0), (F.col("doc_id") % 60).cast("int")), lambda i: i)), F.lit(',"a":'), deep, F.lit("}"),
+    )
+    got = F.from_json(fm.redacted_udf(record), "note struct<x:string>, apiKey string, url string, list array<int>, a struct<b:struct<c:struct<d:string>>>")
+    return docs(spark, d).select("doc_id", got.alias("r")).select("doc_id", "r.note.x", F.col("r.apiKey").alias("key"), "r.url", F.size("r.list").cast("long").alias("listed"), "r.a.b.c.d").toDF("doc_id", "note", "key", "url", "listed", "deep")
 
 
 BASES_IN = ['"https://api.x.example/v1/chat/completions",', "localhost:11434/", "api.x.example", "https://api.x.example/v1/", ""]

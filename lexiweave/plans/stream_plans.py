@@ -1,4 +1,4 @@
-"""Queries with streaming behaviour, on events. Those named stm_source, stm_rescan and stm_memory run a stream; the others apply the same steps to the table."""
+"""Queries with streaming behaviour, on events. Those named stm_source, stm_rescan, stm_memory, stm_log and stm_order run a stream; the others apply the same steps to the table."""
 
 from __future__ import annotations
 
@@ -27,10 +27,28 @@ def stm_rescan(spark, d):
     return fl.drained(fl.rescanned(stream(spark, d).select("user_id", "event_type"), "user_id", "event_type"), "rescan")
 
 
-@query("stm_memory", "SELECT user_id, count(*) AS n, max(event_id) AS last_event FROM events GROUP BY user_id")
+@query("stm_memory", """WITH o AS (SELECT user_id, event_type || chr(0) || event_id % 4 AS name, event_id % 3 AS target FROM events), e AS (SELECT user_id, name, count(DISTINCT target) AS targets, count(*) AS n FROM o GROUP BY ALL)
+SELECT user_id, count(*) AS entries, count_if(targets = 1) AS usable, count_if(targets > 1) AS conflicted, sum(n)::BIGINT AS observations FROM e GROUP BY user_id""")
 def stm_memory(spark, d):
-    rows = fl.drained(fl.remembered(stream(spark, d)), "memory", "update")
-    return rows.groupBy("user_id").agg(F.max("n").alias("n"), F.max("last_event").alias("last_event"))
+    rows = stream(spark, d).select(F.col("user_id").cast("long").alias("user_id"), F.col("event_id").alias("at"), F.col("event_type").alias("lemma"), (F.col("event_id") % 4).cast("string").alias("trigger"), (F.col("event_id") % 3).cast("string").alias("target"), F.lit("r").alias("raw"))
+    return fl.newest(fl.drained(fl.remembered(rows), "memory", "update"), "user_id", "observations")
+
+
+@query("stm_log", """WITH l AS (SELECT user_id, count(*) AS n, max(CASE WHEN event_id % 5 <> 0 THEN event_id END) AS good FROM events GROUP BY user_id), w AS (SELECT l.user_id, n, count_if(e.event_id > coalesce(good, -1)) AS waiting FROM l JOIN events e ON e.user_id = l.user_id GROUP BY l.user_id, n)
+SELECT user_id, n - waiting AS sequence, least(8, n - waiting) AS kept, greatest(0, n - waiting - 8) AS dropped, waiting FROM w""")
+def stm_log(spark, d):
+    """Logs of each user with a ring of eight; every fifth row can't be written at first."""
+    rows = stream(spark, d).select(F.col("user_id").cast("long").alias("user_id"), F.col("event_id").alias("at"), F.col("event_type").alias("event"), (F.col("event_id") % 5 == 0).alias("fails"))
+    got = fl.drained(fl.logged(rows, 8), "log", "update").withColumn("seen", F.col("sequence") + F.col("waiting"))
+    return fl.newest(got, "user_id", "seen").drop("seen")
+
+
+@query("stm_order", """WITH p AS (SELECT user_id, event_type AS name, arg_max(event_id % 100, event_id) AS value, count(*) AS n FROM events GROUP BY ALL)
+SELECT user_id, sum(n)::BIGINT AS version, '{' || string_agg('"' || name || '":' || value, ',' ORDER BY name) || '}' AS record FROM p GROUP BY user_id""")
+def stm_order(spark, d):
+    """Settings patches of each user, written one after the other."""
+    rows = stream(spark, d).select(F.col("user_id").cast("long").alias("user_id"), F.col("event_id").alias("at"), F.col("event_type").alias("name"), (F.col("event_id") % 100).alias("value"))
+    return fl.newest(fl.drained(fl.written(rows), "order", "update"), "user_id", "version")
 
 
 @query("stm_debounce", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 400 MILLISECONDS THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM g) SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM s GROUP BY user_id, b")

@@ -3,6 +3,8 @@ DataFrame that may be a stream or a table, so both give the same rows."""
 
 from __future__ import annotations
 
+import json
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 QUIET, LATE = "400 milliseconds", "10 minutes"
+MOST_REMEMBERED = 96
 
 
 def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet") -> DataFrame:
@@ -27,7 +30,10 @@ def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     commit log makes retried micro-batches idempotent.
     """
     spark = stream.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="lexiweave-")
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    at = at or tempfile.mkdtemp(prefix="lexiweave-")
     at = f"{at}/streams/{name}-{uuid.uuid4().hex}"
     writer = stream.writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
     if mode == "append":
@@ -65,18 +71,83 @@ def fenced(rows: DataFrame, key: str, epoch: str) -> DataFrame:
     return rows.join(newest, key).where(F.col(epoch) == F.col("_newest")).drop("_newest")
 
 
-def _remember(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    n, last = state.get if state.exists else (0, -1)
-    for part in parts:
-        n, last = n + len(part), max(last, int(part["event_id"].max()))
-    state.update((n, last))
-    yield pd.DataFrame({"user_id": [key[0]], "n": [n], "last_event": [last]})
+def folded(rows: DataFrame, key: str, order: str, begin, step, end, out: str) -> DataFrame:
+    """Keyed state over a stream, as JSON: begin() makes it, step(state, row) takes a row in, in order, end(state) tells what is emitted.
+
+    rows: key and the columns that step reads; rows of a micro-batch are put in
+    order, so the result hangs on the order of batches and rows alone.
+    """
+
+    def run(keys: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        now = json.loads(state.get[0]) if state.exists else begin()
+        for row in pd.concat(list(parts)).sort_values(order, kind="stable").to_dict("records"):
+            step(now, row)
+        state.update((json.dumps(now, ensure_ascii=False),))
+        yield pd.DataFrame([{key: keys[0], **end(now)}])
+
+    return rows.groupBy(key).applyInPandasWithState(run, f"{key} long, {out}", "state string", "update", "NoTimeout")
+
+
+def remembered(rows: DataFrame, most: int = MOST_REMEMBERED) -> DataFrame:
+    """Renderings by (lemma, trigger) for each page: user_id, entries, usable, conflicted, observations.
+
+    A trigger seen with two targets is in conflict and no longer usable. The
+    ``most`` entries observed last are kept. rows: user_id, at, lemma, trigger, target, raw.
+    """
+
+    def step(now, row):
+        name = f"{row['lemma']}\0{row['trigger']}"
+        entry = now["entries"].pop(name, {})
+        raws = entry.setdefault(row["target"], {})
+        raws[row["raw"]] = raws.get(row["raw"], 0) + 1
+        now["entries"][name] = entry  # the newest is last
+        now["observations"] += 1
+        if len(now["entries"]) > most:
+            del now["entries"][next(iter(now["entries"]))]
+
+    def end(now):
+        usable = sum(len(e) == 1 for e in now["entries"].values())
+        return {"entries": len(now["entries"]), "usable": usable, "conflicted": len(now["entries"]) - usable, "observations": now["observations"]}
+
+    return folded(rows, "user_id", "at", lambda: {"entries": {}, "observations": 0}, step, end, "entries long, usable long, conflicted long, observations long")
+
+
+def logged(rows: DataFrame, most: int = 240) -> DataFrame:
+    """An append-only log for each key: user_id, sequence, kept, dropped, waiting.
+
+    Rows that can't be written wait and go before the next one that can; numbers
+    are given when a row is written. rows: user_id, at, event, fails.
+    """
+
+    def step(now, row):
+        now["waiting"].append(row["event"])
+        if not row["fails"]:
+            for event in now["waiting"]:
+                now["sequence"] += 1
+                now["ring"].append([now["sequence"], event])
+            now["waiting"] = []
+            now["dropped"] += max(0, len(now["ring"]) - most)
+            now["ring"] = now["ring"][-most:]
+
+    def end(now):
+        return {"sequence": now["sequence"], "kept": len(now["ring"]), "dropped": now["dropped"], "waiting": len(now["waiting"])}
+
+    return folded(rows, "user_id", "at", lambda: {"sequence": 0, "ring": [], "waiting": [], "dropped": 0}, step, end, "sequence long, kept long, dropped long, waiting long")
+
+
+def written(rows: DataFrame) -> DataFrame:
+    """Patches of a record taken in one after the other: user_id, version (raised by each), record (JSON, in key order). rows: user_id, at, name, value."""
+
+    def step(now, row):
+        now["record"][row["name"]] = row["value"]
+        now["version"] += 1
+
+    return folded(rows, "user_id", "at", lambda: {"version": 0, "record": {}}, step, lambda now: {"version": now["version"], "record": json.dumps(now["record"], sort_keys=True, separators=(",", ":"))}, "version long, record string")
 
 
-def remembered(rows: DataFrame) -> DataFrame:
-    """Keyed state over a stream: per user the events seen and the last of them, emitted when they change."""
-    schema, state = "user_id long, n long, last_event long", "n long, last long"
-    return rows.select("user_id", "event_id").groupBy("user_id").applyInPandasWithState(_remember, schema, state, "update", "NoTimeout")
+def newest(rows: DataFrame, key: str, by: str) -> DataFrame:
+    """Of what a stream emitted on and on the last row of each key."""
+    return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in (key, "_batch")]), by).alias("m")).select(key, "m.*")
 
 
 def sessions_by_mark(rows: DataFrame, key: str, order: tuple[str, ...], mark) -> DataFrame:
