@@ -154,5 +154,32 @@ its AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT i
 SELECT dw.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM dw LEFT JOIN pos ON pos.doc_id = dw.doc_id LEFT JOIN its ON its.doc_id = dw.doc_id
+""",
+    "op5_substrings": rf"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+s AS (SELECT r, ws, unnest(range(1, greatest(1, len(ws) - {substrings.K - 2}))) AS s FROM d),
+w AS (SELECT r, s, array_to_string(ws[s : s + {substrings.K - 1}], ' ') AS w FROM s),
+n AS (SELECT r, s, row_number() OVER (PARTITION BY w ORDER BY r, s) AS n FROM w),
+gone AS (SELECT DISTINCT r, p FROM (SELECT r, unnest(range(s, s + {substrings.K})) AS p FROM n WHERE n > 1)),
+e AS (SELECT r, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS p FROM d),
+k AS (SELECT e.r, count(gone.p) AS n_removed, coalesce(string_agg(e.w, ' ' ORDER BY e.p) FILTER (WHERE gone.p IS NULL), '') AS kept FROM e LEFT JOIN gone ON gone.r = e.r AND gone.p = e.p GROUP BY e.r)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON k.r = d.r
+""",
+    "op8_ngram_join": rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS ws FROM documents),
+g AS (SELECT DISTINCT r, doc_id, array_to_string(ws[s : s + {ngram_join.N - 1}], ' ') AS g FROM (SELECT r, doc_id, ws, unnest(range(1, greatest(1, len(ws) - {ngram_join.N - 1}) + 1)) AS s FROM d WHERE len(ws) > 0)),
+n AS (SELECT r, doc_id, count(*) AS n FROM g GROUP BY ALL),
+pairs AS (SELECT x.r AS a, y.r AS b, count(*) AS c FROM g x JOIN g y ON x.g = y.g AND x.r <> y.r GROUP BY ALL),
+links AS (SELECT DISTINCT p.doc_id AS a, q.doc_id AS b FROM pairs JOIN n p ON p.r = pairs.a JOIN n q ON q.r = pairs.b WHERE 100 * c >= {ngram_join.SHARE} * (p.n + q.n - c)),
+reach AS (SELECT DISTINCT doc_id AS id, doc_id AS other FROM d UNION SELECT reach.id, links.b FROM reach JOIN links ON links.a = reach.other),
+least AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least.component_id FROM d LEFT JOIN n ON n.r = d.r JOIN least ON least.id = d.doc_id
+""",
+    "op10_chat": r"""
+WITH t AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) x(i)),
+c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM t),
+e AS (SELECT *, length(replace(replace(role, '\', '\\'), '<|', '<\|')) + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + 2 * length('<|endoftext|>') AS chars FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256, coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars FROM e GROUP BY conv_id
 """,
 }

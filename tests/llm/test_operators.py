@@ -401,3 +401,67 @@ def test_folded_bitmaps():
     assert len(long) == 1024
     short = np.bincount((ngram_join.mix(g) >> np.uint64(20)) & np.uint64(1023), minlength=1024) & 1
     assert (np.unpackbits(ngram_join.folded(long, 16).view(np.uint8)) == short).all()
+
+
+@pytest.fixture(scope="module")
+def folder(spark, docs, tmp_path_factory):
+    """Tables with nulls, a very long text, ties, repeats and clashing names, as the queries read them."""
+    at = tmp_path_factory.mktemp("tables")
+    long = spark.createDataFrame([(5000, " ".join(f"w{i % 700}" for i in range(30_000)), "en", "src0", 0)], docs.schema)
+    rows = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(long).withColumns({c: F.lit("own") for c in ("_score", "_keep_k", "k", "h", "rule", "spans")})
+    rows.write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(1, "one two three four"), (2, None)], "item_id bigint, text string").write.parquet(f"{at}/benchmark.parquet")
+    spark.createDataFrame([(0, 1, 0), (3, 0, None), (6, None, 1), (None, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([(1, "http://a.net/x", None, "own"), (1, "http://a.net/x", "", "own"), (2, None, "", "own"), (None, "x://b.org/fr/", "", "own")], "page_id bigint, url string, html string, verdict string").write.parquet(f"{at}/pages.parquet")
+    turns = [(1, 0, "user", "a\\ <|endoftext|> <\\| é🙂"), (1, 1, "assistant", "b <|x|> \\\\"), (2, 0, None, None), (2, 1, "assistant", None), (3, 0, "assistant", "t " * 5000), (3, 0, "assistant", "t " * 5000)]
+    spark.createDataFrame([(*t, "own") for t in turns], "conv_id bigint, turn bigint, role string, text string, mask string").write.parquet(f"{at}/conversations.parquet")
+    return str(at)
+
+
+@pytest.mark.parametrize("name", ["op1_line_dedup", "op2_spotsigs", "op3_decontaminate", "op5_substrings", "op8_ngram_join", "op10_chat"])
+def test_queries_equal_their_sql(spark, folder, name):
+    import os
+
+    import duckdb
+
+    from lexiweave.llm import queries
+
+    c = duckdb.connect()
+    for file in os.listdir(folder):
+        c.execute(f"CREATE VIEW {file.split('.')[0]} AS SELECT * FROM '{folder}/{file}/*.parquet'")
+    df = queries.QUERIES[name](spark, folder)
+    cursor = c.execute(queries.ORACLES[name])
+    names = [x[0] for x in cursor.description]
+    assert sorted(names) == sorted(df.columns)
+    plain = lambda x: round(x, 9) if isinstance(x, float) else x
+    got = sorted((tuple(plain(r[k]) for k in names) for r in df.collect()), key=repr)
+    assert got == sorted((tuple(map(plain, r)) for r in cursor.fetchall()), key=repr)
+
+
+def test_queries_without_sql(spark, folder):
+    """op4, op6, op7 and op9 by themselves: one row a document, digests from the operator's own spans, ids in order."""
+    from hashlib import sha256
+
+    from lexiweave.llm import queries
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    anchors = pii.automaton()
+    found = {r.doc_id: r for r in queries.op7_pii(spark, folder).collect()}
+    assert set(found) == set(texts)
+    for key, text in texts.items():
+        base = ",".join(f"{k}:{a}:{b}" for k, a, b in brute.pii(text))
+        assert found[key].base_sha256 == sha256(base.encode()).hexdigest()
+        assert found[key].spans == ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in pii.spans_of(text, anchors))
+    tokenizer = packing.load_tokenizer(packing.default_path())
+    pieces = defaultdict(list)
+    for r in queries.op4_pack(spark, folder).collect():
+        pieces[r.doc_id].append(r)
+    for key, text in texts.items():
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        assert sum(r.length for r in pieces[key]) == len(ids)
+        for r in pieces[key]:
+            assert r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) and r.doc_tokens == len(ids)
+    scores = queries.op9_quality(spark, folder).collect()
+    assert sorted(r.doc_id for r in scores) == sorted(texts) and all(r.predicted == (r.score >= 0.3) for r in scores)
+    got = sorted(((r.page_id, r.host, r.path, r.rule, r.verdict) for r in queries.op6_url_rules(spark, folder).collect()), key=repr)
+    assert got == sorted([(1, "a.net", "/x", "net/", "block")] * 2 + [(2, "", "", None, "allow"), (None, "b.org", "/fr/", "org/fr/", "allow")], key=repr)
