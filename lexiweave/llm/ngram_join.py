@@ -66,7 +66,7 @@ BLOCK_BYTES = 12_000_000
 BROADCAST_ROWS = 1_000_000
 SMALL, TILE, MEET = 16, 8192, 64
 TOGETHER = 20_000
-HUBS, BEST, ROUNDS, NEAREST = 8, 2, 3, 2
+HUBS, BEST, ROUNDS, NEAREST = 8, 2, 2, 2
 BITS = 1024
 MASK = np.uint64(2**48 - 1)
 
@@ -563,12 +563,14 @@ def class_links(docs: DataFrame, described: DataFrame, n: int = N, share: int =
         else:
             some = chosen(placed(narrow, sketches).mapInArrow(_nearest(share), "a bigint, b bigint, c bigint").distinct())
         some = stored(some if tried is None else some.join(tried, ["a", "b"], "left_anti"), f"tried-{turn}")
-        new = stored(verified(some, docs, classes, n, share), f"links-{turn}")
         tried = some if tried is None else tried.unionByName(some)
+        none = some.isEmpty()  # a table, so this is cheap, and most of a round is not
+        new = some.select("a", "b") if none else stored(verified(some, docs, classes, n, share), f"links-{turn}")
         links = new if links is None else links.unionByName(new)
-        if turn >= ROUNDS and new.isEmpty():
+        if turn >= ROUNDS and (none or new.isEmpty()):
             break
-        roots = components(links, f"linked-{turn}")
+        if roots is None or not none:
+            roots = components(links, f"linked-{turn}")
         if turn == ROUNDS - 1:
             left = stored(mixed(lists, roots), "mixed")
             sketches = left.select(F.explode("ids").alias("id")).distinct().join(classes.select(F.col("class").alias("id"), "sketch"), "id")
