@@ -1,4 +1,4 @@
-"""Queries over the whole of their tables: what is expected is worked out here, for the SQL of some holds a cut."""
+"""Queries over the whole of their tables: what is expected is worked out here, apart from their SQL."""
 
 import os
 import re
@@ -16,9 +16,9 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no supplied t
 
 @pytest.mark.parametrize("name", ["src_llm_chat", "src_llm_msg", "src_mt_gt", "src_mt_dlx"])
 def test_connectors_get_all_batches(spark, name):
-    got = {r.batch: r["items"] for r in entry.queries()[name](spark, FOLDER).collect()}
-    want = {r.batch: len(r["items"]) for r in flow_plans.batches(spark, FOLDER).collect()}
-    assert got == want and any(b % 5 for b in got)
+    got = sorted((r.batch, r.i) for r in entry.queries()[name](spark, FOLDER).collect())
+    want = sorted((r.batch, m["i"]) for r in flow_plans.batches(spark, FOLDER).collect() for m in r["items"])
+    assert got == want and any(b % 5 for b, _ in got)
 
 
 def test_contract_has_terms_of_all_items(spark):
