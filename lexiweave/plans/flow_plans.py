@@ -233,10 +233,3 @@ def src_mt_gt(spark, d):
 def src_mt_dlx(spark, d):
     """The JSON wire: a reply with code 429 is asked for again."""
     return pr.translate(batches(spark, d), wi.Engine(wi.Offline(), "json", target="FR"), True).select("batch", "i", "t", "attempts")
-
-
-@query("snk_md", f"WITH {fx.TRANSLATED} SELECT page_id, string_agg(CASE WHEN role = 'heading' THEN '#' ELSE '' END || replace(text, '&', '&amp;') || chr(10) || chr(10) || t, chr(10) || chr(10) ORDER BY pos) AS markdown FROM translated WHERE state = 'done' GROUP BY page_id")
-def snk_md(spark, d):
-    rows = fx.translated(spark, d).where("state = 'done'")
-    block = F.concat(F.when(F.col("role") == "heading", "#").otherwise(""), F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("\n\n"), "t")
-    return rows.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", block.alias("b")))), lambda x: x["b"]), "\n\n").alias("markdown"))

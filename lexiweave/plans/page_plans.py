@@ -130,7 +130,11 @@ def jn_reuse(spark, d):
     return rows.select("page_id", "pos", F.col("old").isNotNull().alias("reuse_slot"))
 
 
-@query("win_listnum", f"""WITH {fx.UNITS}, l AS (SELECT *, CASE WHEN tag = 'LI' AND coalesce(lag(tag) OVER (PARTITION BY page_id ORDER BY pos), '') <> 'LI' THEN 1 ELSE 0 END AS new FROM units),
-g AS (SELECT *, sum(new) OVER (PARTITION BY page_id ORDER BY pos) AS list FROM l) SELECT unit_id, row_number() OVER (PARTITION BY page_id, list ORDER BY pos) AS number FROM g WHERE tag = 'LI'""")
+@query("win_listnum", f"""WITH {fx.UNITS}, l AS (SELECT page_id, unit_id, pos, pos // 6 AS list, CASE WHEN page_id % 4 > 0 THEN page_id % 4 END AS start, CASE WHEN pos % 6 = 4 AND page_id % 5 = 0 THEN 20 + pos END AS value, page_id % 3 = 0 AS back FROM units WHERE pos % 6 >= 2),
+n AS (SELECT *, row_number() OVER (PARTITION BY page_id, list ORDER BY pos) AS n, count(*) OVER (PARTITION BY page_id, list) AS size, last_value(value IGNORE NULLS) OVER (PARTITION BY page_id, list ORDER BY pos) AS v FROM l), a AS (SELECT *, last_value(CASE WHEN value IS NOT NULL THEN n END IGNORE NULLS) OVER (PARTITION BY page_id, list ORDER BY pos) AS nth FROM n)
+SELECT unit_id, CASE WHEN v IS NOT NULL THEN v + (n - nth) * CASE WHEN back THEN -1 ELSE 1 END WHEN back THEN coalesce(start, size) - n + 1 ELSE coalesce(start, 1) + n - 1 END AS number FROM a""")
 def win_listnum(spark, d):
-    return pg.numbered_items(fx.units(spark, d)).select("unit_id", "number")
+    """Lists of up to four lines: some start late, run backwards or have an item with a value of its own."""
+    i, pos = F.col("page_id"), F.col("pos")
+    rows = fx.units(spark, d).where("pos % 6 >= 2").select("page_id", "unit_id", "pos", F.floor(pos / 6).alias("list"), F.when(i % 4 > 0, i % 4).alias("start"), F.when((pos % 6 == 4) & (i % 5 == 0), pos + 20).alias("value"), (i % 3 == 0).alias("reversed"))
+    return pg.numbered_items(rows).select("unit_id", "number")

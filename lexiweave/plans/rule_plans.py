@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from lexiweave.functions import formats as fm
 from lexiweave.operators import rules as ru
+from lexiweave.operators import settings as st
 from lexiweave.plans import fixtures as fx
 from lexiweave.plans.registry import query
+from lexiweave.streaming import flows as fl
 
 RULES = rf"""{fx.UNITS}, rw AS (SELECT page_id, pos, tag, lower(regexp_extract(text, '([A-Za-z]{{3,}})', 1)) AS w, upper(regexp_extract(text, '([A-Za-z]{{3,}})', 1)) AS up FROM units),
 rules0 AS (SELECT page_id, CASE WHEN pos % 2 = 0 THEN 'auto' ELSE 'user' END AS source, CASE pos % 5 WHEN 0 THEN 'hard' WHEN 1 THEN 'preferred' WHEN 2 THEN 'risky' WHEN 3 THEN 'domain' ELSE 'keep' END AS tier, pos, w AS term, up || pos AS value FROM rw WHERE w <> ''),
@@ -84,48 +86,118 @@ def fmt_yaml_out(spark, d):
     return fx.table(spark, d, "conversations").select("conv_id", "turn", fm.prompt_yaml_udf(value).alias("yaml"))
 
 
-SETTINGS = """base AS (SELECT * FROM (VALUES ('displayMode', 'both'), ('minTextLength', '2'), ('maxCharsPerChunk', '2800'), ('semanticRevision', 'a1'), ('semanticConsistency', 'true'), ('configVersion', '4'), ('model', 'm'), ('custom', 'x')) t(key, value)),
-next AS (SELECT * FROM (VALUES ('displayMode', 'only'), ('minTextLength', '3'), ('maxCharsPerChunk', '2000'), ('semanticRevision', 'b2'), ('semanticConsistency', 'false'), ('configVersion', '5'), ('model', 'm'), ('extra', 'y')) t(key, value))"""
+# Settings records, one for each document, written in SQL that both engines read.
+KEYS = ("displayMode", "minTextLength", "maxCharsPerChunk", "semanticRevision", "semanticConsistency", "configVersion", "providerId", "model", "custom", "extra")
+SETTINGS = f"""k AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{k}')" for i, k in enumerate(KEYS))}) t(pos, key)),
+base AS (SELECT doc_id, key, key || doc_id % 7 AS value FROM documents, k WHERE key <> 'extra'),
+next AS (SELECT doc_id, key, key || (doc_id % 7 + CASE WHEN (doc_id + pos) % 3 = 0 THEN 0 ELSE 1 END) AS value FROM documents, k WHERE key <> 'custom')"""
 
 
-def settings(spark, which):
-    base = [("displayMode", "both"), ("minTextLength", "2"), ("maxCharsPerChunk", "2800"), ("semanticRevision", "a1"), ("semanticConsistency", "true"), ("configVersion", "4"), ("model", "m"), ("custom", "x")]
-    nxt = [("displayMode", "only"), ("minTextLength", "3"), ("maxCharsPerChunk", "2000"), ("semanticRevision", "b2"), ("semanticConsistency", "false"), ("configVersion", "5"), ("model", "m"), ("extra", "y")]
-    return spark.createDataFrame(base if which == "base" else nxt, "key string, value string")
+def settings(spark, d, which):
+    """doc_id, key, value: a record before (base) and after (next) a change of two thirds of its keys."""
+    lacks = "extra" if which == "base" else "custom"
+    keys = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(k).alias("key")) for i, k in enumerate(KEYS) if k != lacks])
+    rows = fx.table(spark, d, "documents").select("doc_id", F.inline(keys))
+    moved = 0 if which == "base" else F.when((F.col("doc_id") + F.col("pos")) % 3 == 0, 0).otherwise(1)
+    return rows.select("doc_id", "key", F.concat("key", (F.col("doc_id") % 7 + moved).cast("string")).alias("value"))
 
 
-@query("set_cfgdiff", f"""WITH {SETTINGS}, f AS (SELECT coalesce(b.key, n.key) AS key, b.value AS b, n.value AS n FROM base b FULL JOIN next n ON n.key = b.key)
-SELECT key, CASE key WHEN 'semanticRevision' THEN 'semantic' WHEN 'minTextLength' THEN 'extraction' WHEN 'maxCharsPerChunk' THEN 'scheduling' WHEN 'semanticConsistency' THEN 'observation' WHEN 'displayMode' THEN 'presentation' ELSE 'other' END AS "group" FROM f WHERE b IS DISTINCT FROM n AND key <> 'configVersion'""")
+@query("set_cfgdiff", f"""WITH {SETTINGS}, f AS (SELECT coalesce(b.doc_id, n.doc_id) AS doc_id, coalesce(b.key, n.key) AS key, b.value AS b, n.value AS n FROM base b FULL JOIN next n ON n.key = b.key AND n.doc_id = b.doc_id)
+SELECT doc_id, key, CASE key WHEN 'semanticRevision' THEN 'semantic' WHEN 'minTextLength' THEN 'extraction' WHEN 'maxCharsPerChunk' THEN 'scheduling' WHEN 'semanticConsistency' THEN 'observation' WHEN 'displayMode' THEN 'presentation' ELSE 'other' END AS "group" FROM f WHERE b IS DISTINCT FROM n AND key <> 'configVersion'""")
 def set_cfgdiff(spark, d):
-    return ru.config_changes(settings(spark, "base"), settings(spark, "next"))
+    return ru.config_changes(settings(spark, d, "base"), settings(spark, d, "next"), "doc_id")
 
 
-@query("src_settings", f"WITH {SETTINGS} SELECT coalesce(b.key, n.key) AS key, coalesce(n.value, b.value) AS value FROM base b FULL JOIN next n ON n.key = b.key")
-def src_settings(spark, d):
-    return ru.overlaid(settings(spark, "base"), settings(spark, "next"))
+@query("jn_override", f"WITH {SETTINGS} SELECT coalesce(b.doc_id, n.doc_id) AS doc_id, coalesce(b.key, n.key) AS key, coalesce(n.value, b.value) AS value FROM base b FULL JOIN (SELECT * FROM next WHERE key IN ('providerId', 'apiBase', 'apiKey', 'model')) n ON n.key = b.key AND n.doc_id = b.doc_id")
+def jn_override(spark, d):
+    """A panel's draft over the saved record, as far as its keys are allowed."""
+    return ru.overlaid(settings(spark, d, "base"), settings(spark, d, "next"), "doc_id", allowed=ru.DRAFT_KEYS)
+
+
+#: A record's fields at some schema version, and its accounts; absent where null.
+FIELDS = {
+    "providerId": "CASE WHEN doc_id % 2 = 0 THEN 'gemini' ELSE 'other' END",
+    "apiBase": f"CASE WHEN doc_id % 3 = 0 THEN 'https://{st.OFFICIAL_HOST}/v1' ELSE 'https://x.example' END",
+    "apiKey": "CASE WHEN doc_id % 5 < 3 THEN 'k' ELSE '' END",
+    "model": "CASE doc_id % 4 WHEN 0 THEN 'gemini-2.0-flash' WHEN 2 THEN 'gemini-2.0-flash-lite' WHEN 1 THEN '' ELSE 'm' END",
+    "autoPreflight": "'false'", "temperature": "'0.2'", "useGlossary": "'true'", "lazy": "'true'", "alwaysOn": "'false'", "semanticPrecedent": "'true'", "wholePageTranslation": "'false'",
+    "skipSameScript": "CASE WHEN doc_id % 7 = 0 THEN 'false' ELSE 'true' END",
+    "skipTightLayout": "CASE WHEN doc_id % 7 = 1 THEN 'false' END",
+    "experimentalAlignedTerms": "CASE doc_id % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' END",
+    "translationColor": "CASE WHEN doc_id % 6 < 4 THEN 'inherit' WHEN doc_id % 6 = 4 THEN 'custom' END",
+    "textColorLight": "CASE WHEN doc_id % 4 = 0 THEN '#1F1F2E' WHEN doc_id % 4 = 1 THEN '#000000' END",
+}
+
+
+def records(spark, d):
+    """doc_id, version (0 to 14), m, accounts, and what documents say of lang and source."""
+    m = F.map_filter(F.create_map(*[x for k, v in FIELDS.items() for x in (F.lit(k), F.expr(v))]), lambda k, v: v.isNotNull())
+    kept = F.create_map(F.lit("gemini"), F.struct(F.lit(f"https://{st.OFFICIAL_HOST}").alias("apiBase"), F.lit("k2").alias("apiKey"), F.lit("gemini-2.0-flash").alias("model")))
+    return fx.table(spark, d, "documents").select("doc_id", "lang", "source", (F.col("doc_id") % 15).cast("int").alias("version"), m.alias("m"), F.when(F.col("doc_id") % 11 == 0, kept).alias("accounts"))
+
+
+def shown(m):
+    return F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",")
+
+
+RECORDS = f"r AS (SELECT doc_id, lang, source, doc_id % 15 AS v, {', '.join(f'{v} AS "{k}"' for k, v in FIELDS.items())} FROM documents)"
+STEPPED = f"""{RECORDS}, q AS (SELECT *, v < 9 AND coalesce("translationColor", 'inherit') = 'inherit' AND coalesce(lower("textColorLight"), '#1f1f2e') = '#1f1f2e' AS old,
+ contains("apiBase", '{st.OFFICIAL_HOST}') AND model IN ('gemini-2.0-flash', 'gemini-2.0-flash-lite') AS gone FROM r),
+stepped AS (SELECT *, list_sort(list_filter([
+ 'providerId=' || "providerId", 'apiBase=' || "apiBase", 'apiKey=' || "apiKey", 'model=' || CASE WHEN v < 4 AND "providerId" = 'gemini' AND gone THEN '{st.SUCCESSOR}' ELSE model END,
+ 'autoPreflight=' || (v < 2), CASE WHEN v < 3 THEN 'smartFilter=' || CASE WHEN 'false' IN ("skipSameScript", "skipTightLayout") THEN 'false' ELSE 'true' END END,
+ CASE WHEN v >= 3 THEN 'skipSameScript=' || "skipSameScript" END, CASE WHEN v >= 3 THEN 'skipTightLayout=' || "skipTightLayout" END, CASE WHEN v >= 3 THEN 'temperature=0.2' END,
+ CASE WHEN v >= 5 THEN 'useGlossary=true' END, CASE WHEN v >= 6 THEN 'lazy=true' END, CASE WHEN v >= 7 THEN 'alwaysOn=false' END, CASE WHEN v >= 8 THEN 'experimentalAlignedTerms=' || "experimentalAlignedTerms" END,
+ CASE WHEN v < 10 THEN 'semanticConsistency=true' END, 'semanticPrecedent=' || CASE WHEN v < 12 THEN 'false' ELSE 'true' END, 'wholePageTranslation=' || CASE WHEN v < 13 THEN 'true' ELSE 'false' END,
+ CASE WHEN old THEN 'translationColor=custom' ELSE 'translationColor=' || "translationColor" END, CASE WHEN old THEN 'textColorLight=#9A4F2D' ELSE 'textColorLight=' || "textColorLight" END,
+ CASE WHEN old THEN 'textColorDark=#F2A06B' END, CASE WHEN old THEN 'accentColorLight=#F2783C' END, CASE WHEN old THEN 'accentColorDark=#F59A64' END], lambda x: x IS NOT NULL)) AS items,
+ list_sort(list_filter([CASE WHEN doc_id % 11 = 0 THEN 'gemini=https://{st.OFFICIAL_HOST}/' || CASE WHEN v < 4 THEN '{st.SUCCESSOR}' ELSE 'gemini-2.0-flash' END END,
+  CASE WHEN v < 1 AND ("apiKey" <> '' OR model <> '') AND NOT (doc_id % 11 = 0 AND "providerId" = 'gemini') THEN "providerId" || '=' || "apiBase" || '/' || CASE WHEN "providerId" = 'gemini' AND gone THEN '{st.SUCCESSOR}' ELSE model END END], lambda x: x IS NOT NULL)) AS accounts FROM q)"""
+
+
+@query("set_migrate", f"WITH {STEPPED} SELECT doc_id, 13 AS version, array_to_string(items, ',') AS record, array_to_string(accounts, ',') AS accounts FROM stepped")
+def set_migrate(spark, d):
+    """Records of versions 0 to 14 taken to the last version by the steps they lack."""
+    accounts = F.transform_values("accounts", lambda k, v: F.concat_ws("/", v["apiBase"], v["model"]))
+    return st.migrated(records(spark, d)).select("doc_id", "version", shown("m").alias("record"), shown(accounts).alias("accounts"))
 
 
-@query("jn_override", f"WITH {SETTINGS} SELECT b.key, CASE WHEN b.key IN ('displayMode', 'model') THEN coalesce(n.value, b.value) ELSE b.value END AS value FROM base b LEFT JOIN next n ON n.key = b.key")
-def jn_override(spark, d):
-    return ru.overlaid(settings(spark, "base"), settings(spark, "next"), ("displayMode", "model"))
+@query("src_settings", f"WITH {STEPPED} SELECT doc_id, array_to_string(list_sort(list_concat(items, ['targetLang=' || coalesce(lang, 'en'), 'presetId=general'])), ',') AS record FROM stepped")
+def src_settings(spark, d):
+    """Stored records over the defaults, the target language from the user's own where none is stored, brought to the last version."""
+    defaults = F.create_map(F.lit("presetId"), F.lit("general"), F.lit("model"), F.lit("none"))
+    rows = records(spark, d).withColumn("m", st.loaded(F.col("m"), defaults, F.coalesce("lang", F.lit("en"))))
+    return st.migrated(rows).select("doc_id", shown("m").alias("record"))
 
 
-@query("fn_revision", f"WITH {SETTINGS} SELECT sha256(string_agg(key || '=' || value, chr(10) ORDER BY key)) AS revision FROM base")
+@query("fn_revision", f"""WITH {RECORDS} SELECT doc_id, sha256(CASE WHEN doc_id % 3 = 1 THEN '{{"exposed":{{"wholePageTranslation":"false"}},"private":{{"apiBase":"' || "apiBase" || '","providerId":"' || "providerId" || '"}},"promptVersion":14}}'
+ ELSE '{{"exposed":{{"autoPreflight":"false","semanticPrecedent":"true","siteRules":[{{"background":"","host":' || to_json(coalesce(source, '')) || ',"presetId":"general","rulesText":' || to_json(coalesce(lang, '')) || '}}],"wholePageTranslation":"false"}},"private":{{"apiBase":"' || "apiBase" || '","model":"' || model || '","providerId":"' || "providerId" || '"}},"promptVersion":14}}' END) AS revision FROM r""")
 def fn_revision(spark, d):
-    return ru.revision(settings(spark, "base"))
+    """The revision of each record; a site rule's selectors are no part of it, every third engine is a machine's."""
+    rule = F.struct(F.col("source").alias("host"), F.lit("general").alias("presetId"), F.lit(None).cast("string").alias("background"), F.col("lang").alias("rulesText"), F.col("doc_id").cast("string").alias("selectors"))
+    return records(spark, d).select("doc_id", st.semantic_revision(F.col("m"), F.array(rule), F.col("doc_id") % 3 == 1).alias("revision"))
 
 
-@query("prj_runtime", f"WITH {SETTINGS} SELECT key, value FROM base WHERE key IN ('displayMode', 'minTextLength', 'maxCharsPerChunk', 'semanticConsistency', 'semanticRevision', 'configVersion')")
+@query("prj_runtime", f"""WITH {RECORDS} SELECT doc_id, array_to_string(list_sort(list_filter(['autoPreflight=false', 'wholePageTranslation=false', 'wholePageMaxItems=160', 'wholePageMaxSourceChars=12000', 'translationColor=' || "translationColor", 'textColorLight=' || "textColorLight",
+ 'semanticPrecedent=' || CASE WHEN doc_id % 3 = 1 THEN 'false' ELSE 'true' END, CASE WHEN doc_id % 3 = 1 THEN 'semanticConsistency=false' END, 'engineKind=' || CASE WHEN doc_id % 3 = 1 THEN 'mt' ELSE 'llm' END, 'configVersion=0'], lambda x: x IS NOT NULL)), ',') AS config FROM r""")
 def prj_runtime(spark, d):
-    exposed = [k for keys in ru.CONFIG_GROUPS.values() for k in keys] + list(ru.UNSET)
-    return settings(spark, "base").where(F.col("key").isin(*exposed))
+    return records(spark, d).select("doc_id", shown(st.runtime(F.col("m"), F.col("doc_id") % 3 == 1)).alias("config"))
+
 
+CONFIGS = """c AS (SELECT user_id, event_id, event_id // 10 - CASE WHEN event_id % 4 = 0 THEN 20 ELSE 0 END AS version, event_id % 5 AS key, event_id % 3 AS value FROM events),
+o AS (SELECT *, max(version) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM c),
+a AS (SELECT *, value IS DISTINCT FROM lag(value) OVER (PARTITION BY user_id, key ORDER BY event_id) AS moved FROM o WHERE seen IS NULL OR version >= seen)"""
 
-@query("stm_config", f"WITH {SETTINGS}, u AS (SELECT key, value, 4 AS version FROM base UNION ALL SELECT key, value, 5 FROM next UNION ALL SELECT key, 'stale', 3 FROM base) SELECT key, arg_max(value, version) AS value FROM u GROUP BY key")
+
+@query("stm_config", f"""WITH {CONFIGS}, n AS (SELECT user_id, count(*) AS n FROM c GROUP BY user_id)
+SELECT a.user_id, max(version) AS version, any_value(n) - count(*) AS rejected, count_if(moved AND key IN (0, 3)) AS restarts, count_if(moved AND key = 1) AS rescans, count_if(moved AND key = 2) AS next_batches FROM a JOIN n ON n.user_id = a.user_id GROUP BY a.user_id""")
 def stm_config(spark, d):
-    b, n = settings(spark, "base"), settings(spark, "next")
-    rows = b.withColumn("version", F.lit(4)).unionByName(n.withColumn("version", F.lit(5))).unionByName(b.select("key", F.lit("stale").alias("value"), F.lit(3).alias("version")))
-    return ru.latest(rows).select("key", "value")
+    """A stream of patches to each user's configuration, some of them older than what is known."""
+    key = F.element_at(F.array(*map(F.lit, KEYS[3:4] + KEYS[1:3] + KEYS[4:5] + KEYS[:1])), (F.col("event_id") % 5 + 1).cast("int"))
+    version = F.floor(F.col("event_id") / 10) - F.when(F.col("event_id") % 4 == 0, 20).otherwise(0)
+    rows = fl.event_stream(spark, d).select(F.col("user_id").cast("long").alias("user_id"), F.col("event_id").alias("at"), version.alias("version"), key.alias("key"), (F.col("event_id") % 3).cast("string").alias("value"))
+    got = fl.drained(fl.configured(rows, ru.effect_of), "config", "update").withColumn("seen", F.col("accepted") + F.col("rejected"))
+    return fl.newest(got, "user_id", "seen").drop("seen", "accepted")
 
 
 @query("set_accounts", """WITH r AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'p' || doc_id % 4 END AS now, 'p' || doc_id % 5 AS next, 'm' || doc_id AS model FROM documents)
@@ -139,16 +211,3 @@ def set_accounts(spark, d):
     rows = fx.table(spark, d, "documents").select("doc_id", *ru.switched(kept, now, F.concat(F.lit("p"), (i % 5).cast("string")), F.concat(F.lit("m"), i.cast("string"))))
     listed = F.array_sort(F.transform(F.map_entries("accounts"), lambda e: F.concat_ws("=", e["key"], e["value"])))
     return rows.select("doc_id", F.array_join(listed, ",").alias("accounts"), F.col("next").alias("model"))
-
-
-#: Schema steps of the settings table in order: (version, expression over the map m).
-STEPS = ((1, "map_concat(m, map('useCache', 'true'))"), (2, "map_filter(m, (k, v) -> k <> 'legacy')"), (3, "map_concat(map_filter(m, (k, v) -> k <> 'font'), map('translationFont', coalesce(element_at(m, 'font'), 'auto')))"))
-
-
-@query("set_migrate", "SELECT doc_id, 3 AS version, CASE WHEN doc_id % 4 < 3 THEN CASE WHEN doc_id % 2 = 0 THEN 'serif' ELSE 'auto' END END AS font FROM documents")
-def set_migrate(spark, d):
-    """Settings records at versions 0 to 3 taken to version 3 by the steps they lack."""
-    rows = fx.table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 4).alias("version"), F.when(F.col("doc_id") % 2 == 0, F.create_map(F.lit("font"), F.lit("serif"))).otherwise(F.create_map(F.lit("legacy"), F.lit("1"))).alias("m"))
-    for version, step in STEPS:
-        rows = rows.withColumn("m", F.when(F.col("version") < version, F.expr(step)).otherwise(F.col("m")))
-    return rows.select("doc_id", F.lit(3).alias("version"), F.element_at("m", "translationFont").alias("font"))

@@ -1,4 +1,4 @@
-"""Queries with streaming behaviour, on events. Those named stm_source, stm_rescan, stm_memory, stm_log and stm_order run a stream; the others apply the same steps to the table."""
+"""Queries with streaming behaviour, on events. All run a stream but stm_navigate, stm_stale and flt_relevant_mut, which apply their steps to the table."""
 
 from __future__ import annotations
 
@@ -51,62 +51,95 @@ def stm_order(spark, d):
     return fl.newest(fl.drained(fl.written(rows), "order", "update"), "user_id", "version")
 
 
-@query("stm_debounce", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 400 MILLISECONDS THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM g) SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM s GROUP BY user_id, b")
-def stm_debounce(spark, d):
-    return fl.debounced(events(spark, d), "user_id").select("user_id", F.unix_micros("start").alias("start_us"), "n")
+@query("stm_navigate", "SELECT event_id, sum((event_type = 'signup')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM events")
+def stm_navigate(spark, d):
+    return fl.sessions_by_mark(events(spark, d), "user_id", ("ts", "event_id"), F.col("event_type") == "signup").select("event_id", "session")
 
 
-@query("stm_session", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM g) SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM s GROUP BY user_id, b")
-def stm_session(spark, d):
-    return fl.debounced(events(spark, d), "user_id", "30 minutes").select("user_id", F.unix_micros("start").alias("start_us"), "n")
+@query("stm_stale", "SELECT doc_id AS key FROM documents WHERE doc_id % 6 = 1")
+def stm_stale(spark, d):
+    docs = fx.table(spark, d, "documents")
+    before = docs.select(F.col("doc_id").alias("key"), F.sha2("text", 256).alias("hash"))
+    now = F.when(F.col("doc_id") % 6 == 1, F.concat("text", F.lit("."))).otherwise(F.col("text"))
+    return fl.stale(before, docs.select(F.col("doc_id").alias("key"), F.sha2(now, 256).alias("hash")))
 
 
-@query("stm_delay", "SELECT user_id, (epoch_us(ts) // 150000) * 150000 AS start_us, count(*) AS n FROM events GROUP BY ALL")
-def stm_delay(spark, d):
-    return fl.batched(events(spark, d), "150 milliseconds", "user_id").select("user_id", F.unix_micros("start").alias("start_us"), "n")
+@query("flt_relevant_mut", "SELECT event_id FROM events WHERE event_type <> 'view'")
+def flt_relevant_mut(spark, d):
+    """Changes that are not the engine's own."""
+    return events(spark, d).where("event_type <> 'view'").select("event_id")
 
 
-@query("stm_late_session", "WITH e AS (SELECT *, event_id // 500 AS epoch FROM events), m AS (SELECT user_id, max(epoch) AS newest FROM e GROUP BY user_id) SELECT e.event_id FROM e JOIN m ON m.user_id = e.user_id AND m.newest = e.epoch")
-def stm_late_session(spark, d):
-    return fl.fenced(events(spark, d).withColumn("epoch", F.floor(F.col("event_id") / 500)), "user_id", "epoch").select("event_id")
+@query("stm_debounce", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 400 MILLISECONDS THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM g) SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM s GROUP BY user_id, b")
+def stm_debounce(spark, d):
+    bursts = fl.drained(fl.debounced(stream(spark, d), "user_id"), "debounce", "complete")
+    return bursts.select("user_id", F.unix_micros("start").alias("start_us"), "n")
 
 
-@query("stm_navigate", "SELECT event_id, sum((event_type = 'signup')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM events")
-def stm_navigate(spark, d):
-    return fl.sessions_by_mark(events(spark, d), "user_id", ("ts", "event_id"), F.col("event_type") == "signup").select("event_id", "session")
+@query("stm_delay", "SELECT user_id, (epoch_us(ts) // 150000) * 150000 AS start_us, count(*) AS n FROM events GROUP BY ALL")
+def stm_delay(spark, d):
+    got = fl.drained(fl.batched(stream(spark, d), "150 milliseconds", "user_id"), "delay", "update")
+    return got.groupBy("user_id", F.unix_micros("start").alias("start_us")).agg(F.max("n").alias("n"))
 
 
 @query("stm_heartbeat", "SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id, epoch_ms(ts) // 20000")
 def stm_heartbeat(spark, d):
-    return fl.throttled(events(spark, d), "user_id", 20).select("user_id", "event_id")
+    got = fl.drained(fl.throttled(stream(spark, d), "user_id", 20), "heartbeat", "update")
+    return got.groupBy("user_id", "slot").agg(F.min("event_id").alias("event_id")).drop("slot")
 
 
-@query("stm_stale", "SELECT doc_id AS key FROM documents WHERE doc_id % 6 = 1")
-def stm_stale(spark, d):
-    docs = fx.table(spark, d, "documents")
-    before = docs.select(F.col("doc_id").alias("key"), F.sha2("text", 256).alias("hash"))
-    now = F.when(F.col("doc_id") % 6 == 1, F.concat("text", F.lit("."))).otherwise(F.col("text"))
-    return fl.stale(before, docs.select(F.col("doc_id").alias("key"), F.sha2(now, 256).alias("hash")))
+def states(rows, name, drop="seen"):
+    """The last state of each user of a keyed fold."""
+    return fl.newest(fl.drained(rows, name, "update"), "user_id", "seen").drop(drop)
 
 
-@query("stm_gate", "SELECT user_id AS key, epoch_us(max(ts)) AS go_us FROM events WHERE event_type = 'signup' GROUP BY user_id")
-def stm_gate(spark, d):
-    gates = events(spark, d).where("event_type = 'signup'").select(F.col("user_id").alias("key"), F.col("ts").alias("opened"))
-    return fl.released(gates.select("key").distinct(), gates).select("key", F.unix_micros("go_at").alias("go_us"))
+def control(spark, d, **columns):
+    return stream(spark, d).select(F.col("user_id").cast("long").alias("user_id"), F.col("event_id").alias("at"), *[c.alias(n) for n, c in columns.items()])
 
 
-@query("stm_reconnect", "SELECT user_id, count(*) AS n FROM (SELECT user_id, event_id // 500 <> lag(event_id // 500) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS moved FROM events) WHERE moved GROUP BY user_id")
-def stm_reconnect(spark, d):
-    """Confirmed changes of epoch of each user: each is replayed once."""
-    from pyspark.sql import Window
+TAB = """s AS (SELECT user_id, event_id, event_id % 3 AS session, CASE WHEN event_id % 11 = 0 THEN 'abort-tab' WHEN event_id % 11 = 1 THEN 'abort' WHEN event_id % 11 < 5 THEN 'open' ELSE 'request' END AS kind FROM events),
+p AS (SELECT *, coalesce(max(CASE WHEN kind = 'abort-tab' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS tab, coalesce(max(CASE WHEN kind = 'open' THEN event_id END) OVER w, -1) AS o, coalesce(max(CASE WHEN kind = 'abort' THEN event_id END) OVER w, -1) AS a
+ FROM s WINDOW w AS (PARTITION BY user_id, session ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT *, o > greatest(tab, a) AS live FROM p),
+t AS (SELECT user_id, session, max(CASE WHEN kind = 'open' THEN event_id END) AS o, coalesce(max(CASE WHEN kind = 'abort' THEN event_id END), -1) AS a FROM s GROUP BY ALL),
+z AS (SELECT user_id, coalesce(max(CASE WHEN kind = 'abort-tab' THEN event_id END), -1) AS tab FROM s GROUP BY user_id),
+e AS (SELECT t.user_id, count_if(o > greatest(a, tab)) AS alive FROM t JOIN z ON z.user_id = t.user_id GROUP BY t.user_id)"""
 
-    epoch = F.floor(F.col("event_id") / 500)
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = events(spark, d).withColumn("e", epoch).withColumn("was", F.lag("e").over(w)).where("e <> was")
-    return rows.groupBy("user_id").agg(F.count("*").alias("n"))
 
+@query("stm_session", f"""WITH {TAB} SELECT l.user_id, any_value(alive) AS alive, count_if(kind = 'open' AND NOT live) AS opened, count_if(kind = 'open' AND NOT live) - any_value(alive) AS aborted, count_if(kind = 'request' AND live) AS served, count_if(kind = 'request' AND NOT live) AS refused
+FROM l JOIN e ON e.user_id = l.user_id GROUP BY l.user_id""")
+def stm_session(spark, d):
+    """Sessions of each user's tab, opened, asked of and aborted, alone or with the tab."""
+    i = F.col("event_id")
+    kind = F.when(i % 11 == 0, "abort-tab").when(i % 11 == 1, "abort").when(i % 11 < 5, "open").otherwise("request")
+    return states(fl.sessions(control(spark, d, kind=kind, session=(i % 3).cast("string"), allowed=F.lit(True))), "session")
 
-@query("flt_relevant_mut", "SELECT event_id FROM events WHERE event_type <> 'view'")
-def flt_relevant_mut(spark, d):
-    """Changes that are not the engine's own."""
-    return events(spark, d).where("event_type <> 'view'").select("event_id")
+
+@query("stm_late_session", """WITH e AS (SELECT user_id, event_id, event_id // 500 - CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END AS epoch FROM events), o AS (SELECT *, max(epoch) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e)
+SELECT user_id, max(epoch) AS newest, count_if(coalesce(epoch < before, false)) AS dropped FROM o GROUP BY user_id""")
+def stm_late_session(spark, d):
+    """Results that come when a newer session has answered are dropped."""
+    i = F.col("event_id")
+    return states(fl.late_dropped(control(spark, d, epoch=F.floor(i / 500) - F.when(i % 5 == 0, 1).otherwise(0))), "late-session")
+
+
+GATES = """g AS (SELECT user_id, event_id, CASE WHEN event_id % 6 = 0 THEN 'begin' WHEN event_id % 6 <> 1 THEN 'wait' WHEN event_id % 4 < 2 THEN 'clear' ELSE 'old' END AS kind FROM events),
+b AS (SELECT *, max(CASE WHEN kind = 'begin' THEN event_id END) OVER w AS begun, max(CASE WHEN kind = 'clear' THEN event_id END) OVER w AS cleared, max(CASE WHEN kind = 'clear' THEN event_id END) OVER (PARTITION BY user_id) AS latest FROM g WINDOW w AS (PARTITION BY user_id ORDER BY event_id))"""
+
+
+@query("stm_gate", f"""WITH {GATES}, c AS (SELECT *, kind = 'wait' AND coalesce(begun, -1) > coalesce(cleared, -1) AND coalesce(latest, -1) < event_id AS waits FROM b)
+SELECT user_id, count_if(kind = 'begin') AS generation, count_if(kind = 'wait' AND NOT waits) AS released, count_if(waits) AS waiting FROM c GROUP BY user_id""")
+def stm_gate(spark, d):
+    """Waiters follow the gates that replace each other; half of the clears belong to a gate that was replaced."""
+    i = F.col("event_id")
+    kind = F.when(i % 6 == 0, "begin").when(i % 6 == 1, "clear").otherwise("wait")
+    return states(fl.gated(control(spark, d, kind=kind, back=F.when(i % 4 < 2, 0).otherwise(1))), "gate")
+
+
+@query("stm_reconnect", """WITH e AS (SELECT user_id, event_id, CASE WHEN event_id % 7 <> 0 THEN event_id // 500 END AS epoch FROM events), m AS (SELECT *, epoch <> lag(epoch) OVER (PARTITION BY user_id ORDER BY event_id) AS moved FROM e WHERE epoch IS NOT NULL),
+n AS (SELECT user_id, count_if(moved) AS replayed FROM m GROUP BY user_id)
+SELECT e.user_id, coalesce(any_value(n.replayed), 0) AS replayed, count_if(epoch IS NULL) AS failed FROM e LEFT JOIN n ON n.user_id = e.user_id GROUP BY e.user_id""")
+def stm_reconnect(spark, d):
+    """Requests over restarts of the worker; every seventh reply names no epoch."""
+    i = F.col("event_id")
+    return states(fl.replayed(control(spark, d, epoch=F.when(i % 7 != 0, F.floor(i / 500)))), "reconnect")

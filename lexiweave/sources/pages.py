@@ -117,8 +117,17 @@ def changed(before: DataFrame, after: DataFrame) -> DataFrame:
     return hashed(after).join(hashed(before).select(*key), key, "left_anti")
 
 
-def numbered_items(units: DataFrame) -> DataFrame:
-    """List items with their number within the run of items they stand in."""
-    w = Window.partitionBy("page_id").orderBy("pos")
-    rows = units.withColumn("new", F.when((F.col("tag") == "LI") & (F.coalesce(F.lag("tag").over(w), F.lit("")) != "LI"), 1).otherwise(0)).withColumn("list", F.sum("new").over(w)).where("tag = 'LI'")
-    return rows.withColumn("number", F.row_number().over(Window.partitionBy("page_id", "list").orderBy("pos")).cast("long"))
+def numbered_items(items: DataFrame) -> DataFrame:
+    """items with number: page_id, list, pos, start, value, reversed.
+
+    A list counts from its start, or where it has none from 1, or its size if it
+    is reversed; an item with a value goes on from there.
+    """
+    of_list = Window.partitionBy("page_id", "list")
+    w = of_list.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    nth, step = F.row_number().over(of_list.orderBy("pos")), F.when(F.coalesce("reversed", F.lit(False)), -1).otherwise(1)
+    first = F.coalesce("start", F.when(step == -1, F.count("*").over(of_list)).otherwise(1))
+    rows = items.withColumns({"_n": nth, "_first": first}).withColumn("_at", F.struct(F.col("_n").alias("n"), F.col("value").alias("value")))
+    rows = rows.withColumn("_set", F.last(F.when(F.col("value").isNotNull(), F.col("_at")), ignorenulls=True).over(w))
+    number = F.coalesce(F.col("_set.value") + step * (F.col("_n") - F.col("_set.n")), F.col("_first") + step * (F.col("_n") - 1))
+    return rows.withColumn("number", number.cast("long")).drop("_n", "_first", "_at", "_set")

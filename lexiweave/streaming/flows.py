@@ -47,7 +47,8 @@ def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{at}/out/_part={number}")
 
     writer.foreachBatch(keep).outputMode(mode).start().awaitTermination()
-    return spark.read.parquet(*[f"{at}/out/_part={i}" for i in written])
+    wanted = written[-1:] if mode == "complete" else written
+    return spark.read.parquet(*[f"{at}/out/_part={i}" for i in wanted])
 
 
 def rescanned(rows: DataFrame, *key: str) -> DataFrame:
@@ -145,6 +146,115 @@ def written(rows: DataFrame) -> DataFrame:
     return folded(rows, "user_id", "at", lambda: {"version": 0, "record": {}}, step, lambda now: {"version": now["version"], "record": json.dumps(now["record"], sort_keys=True, separators=(",", ":"))}, "version long, record string")
 
 
+def configured(rows: DataFrame, effect_of) -> DataFrame:
+    """Patches of a configuration: user_id, version, accepted, rejected, restarts, rescans, next_batches.
+
+    A patch of an older version than the one known is rejected; one of the same
+    version counts. A value that doesn't change has no effect. rows: user_id,
+    at, version, key, value; effect_of(key): restart, rescan, next_batch or None.
+    """
+
+    def step(now, row):
+        if now["version"] is not None and row["version"] < now["version"]:
+            now["rejected"] += 1
+            return
+        now["version"] = row["version"]
+        now["accepted"] += 1
+        effect = effect_of(row["key"])
+        if effect and now["values"].get(row["key"]) != row["value"]:
+            now[effect] += 1
+        now["values"][row["key"]] = row["value"]
+
+    def end(now):
+        return {"version": now["version"], "accepted": now["accepted"], "rejected": now["rejected"], "restarts": now["restart"], "rescans": now["rescan"], "next_batches": now["next_batch"]}
+
+    begin = lambda: {"version": None, "values": {}, "accepted": 0, "rejected": 0, "restart": 0, "rescan": 0, "next_batch": 0}
+    return folded(rows, "user_id", "at", begin, step, end, "version long, accepted long, rejected long, restarts long, rescans long, next_batches long")
+
+
+def sessions(rows: DataFrame) -> DataFrame:
+    """Registered sessions of each tab: user_id, seen, alive, opened, aborted, served, refused.
+
+    A session is opened once; a request never opens one, so it is refused where
+    its session is not registered. An abort ends one session, abort-tab all of
+    the tab, recheck those whose permission (allowed) is gone. rows: user_id,
+    at, kind (open, request, abort, abort-tab, recheck), session, allowed.
+    """
+
+    def step(now, row):
+        alive, kind, name = now["alive"], row["kind"], row["session"]
+        now["seen"] += 1
+        if kind == "open":
+            now["opened"] += name not in alive
+            alive.setdefault(name, bool(row["allowed"]))
+        elif kind == "request":
+            now["served" if name in alive else "refused"] += 1
+        else:
+            ends = {"abort": lambda s: s == name, "abort-tab": lambda s: True, "recheck": lambda s: not alive[s]}[kind]
+            gone = [s for s in alive if ends(s)]
+            now["aborted"] += len(gone)
+            for s in gone:
+                del alive[s]
+
+    def end(now):
+        return {**now, "alive": len(now["alive"])}
+
+    return folded(rows, "user_id", "at", lambda: {"alive": {}, **dict.fromkeys(("seen", "opened", "aborted", "served", "refused"), 0)}, step, end, "seen long, alive long, opened long, aborted long, served long, refused long")
+
+
+def replayed(rows: DataFrame) -> DataFrame:
+    """Requests that met a worker's restart: user_id, seen, replayed, failed.
+
+    A request is sent again once, and only after a change of epoch that both
+    sides have told; one whose reply names no epoch fails. rows: user_id, at, epoch.
+    """
+
+    def step(now, row):
+        now["seen"] += 1
+        if row["epoch"] is None or row["epoch"] != row["epoch"]:
+            now["failed"] += 1
+        else:
+            now["replayed"] += now["epoch"] is not None and row["epoch"] != now["epoch"]
+            now["epoch"] = row["epoch"]
+
+    return folded(rows, "user_id", "at", lambda: {"epoch": None, "seen": 0, "replayed": 0, "failed": 0}, step, lambda now: {k: now[k] for k in ("seen", "replayed", "failed")}, "seen long, replayed long, failed long")
+
+
+def gated(rows: DataFrame) -> DataFrame:
+    """Waiters at gates that replace each other: user_id, seen, generation, released, waiting.
+
+    A waiter goes on when the gate that stands then is cleared; clearing one that
+    was replaced does nothing. rows: user_id, at, kind (begin, clear, wait), back
+    (a clear's: how many generations before the newest it belongs to).
+    """
+
+    def step(now, row):
+        now["seen"] += 1
+        if row["kind"] == "begin":
+            now["generation"] += 1
+            now["gate"] = now["generation"]
+        elif row["kind"] == "wait":
+            now["released" if now["gate"] is None else "waiting"] += 1
+        elif now["gate"] is not None and now["generation"] - row["back"] == now["gate"]:
+            now["gate"], now["released"], now["waiting"] = None, now["released"] + now["waiting"], 0
+
+    keys = ("seen", "generation", "released", "waiting")
+    return folded(rows, "user_id", "at", lambda: {"gate": None, **dict.fromkeys(keys, 0)}, step, lambda now: {k: now[k] for k in keys}, "seen long, generation long, released long, waiting long")
+
+
+def late_dropped(rows: DataFrame) -> DataFrame:
+    """Results against the newest epoch met before: user_id, seen, newest, dropped. rows: user_id, at, epoch."""
+
+    def step(now, row):
+        now["seen"] += 1
+        if now["newest"] is not None and row["epoch"] < now["newest"]:
+            now["dropped"] += 1
+        else:
+            now["newest"] = row["epoch"]
+
+    return folded(rows, "user_id", "at", lambda: {"seen": 0, "newest": None, "dropped": 0}, step, dict, "seen long, newest long, dropped long")
+
+
 def newest(rows: DataFrame, key: str, by: str) -> DataFrame:
     """Of what a stream emitted on and on the last row of each key."""
     return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in (key, "_batch")]), by).alias("m")).select(key, "m.*")
