@@ -158,3 +158,22 @@ def is_injectable(url: Column) -> Column:
 def is_configured(base: Column, key: Column, model: Column, language: Column, need_base: Column, need_key: Column, need_model: Column) -> Column:
     given = lambda x: F.coalesce(x, F.lit("")) != ""
     return (~need_base | given(base)) & (~need_key | given(key)) & (~need_model | given(model)) & given(language)
+
+
+# Parts of names of models that don't chat.
+NO_CHAT = r"(?i)(embed|embedding|whisper|tts|audio|speech|image|vision-only|rerank|moderation|dall|sora|clip)"
+
+
+def model_list(reply: Column) -> Column:
+    """Names in a provider's reply, distinct and sorted: a bare list, or the one under data or models, of texts or of objects with id, name or model."""
+    entries = lambda text: F.from_json(text, "array<string>")
+    raw = F.coalesce(entries(F.when(F.ltrim(reply).startswith("["), reply)), entries(F.get_json_object(reply, "$.data")), entries(F.get_json_object(reply, "$.models")), F.array().cast("array<string>"))
+    field = lambda x: F.coalesce(*[F.when(F.get_json_object(x, f"$.{k}") != "", F.get_json_object(x, f"$.{k}")) for k in ("id", "name", "model")])
+    names = F.transform(raw, lambda x: F.when(x.startswith("{"), field(x)).otherwise(x))
+    return F.array_sort(F.array_distinct(F.filter(names, lambda x: x.isNotNull() & (F.trim(x) != ""))))
+
+
+def chat_models(names: Column) -> Column:
+    """Names of models that may chat; all of them if none is left."""
+    left = F.filter(names, lambda x: ~x.rlike(NO_CHAT))
+    return F.when(F.size(left) > 0, left).otherwise(names)

@@ -81,3 +81,18 @@ def diagnostic(page: DataFrame, engine: Column, *parts: DataFrame) -> DataFrame:
     for part in parts:
         out = out.join(part, "page_id", "left")
     return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in COUNTS if c in out.columns} | {"has_profile": F.coalesce("has_profile", F.lit(False))})
+
+
+def authorized(requests: DataFrame) -> DataFrame:
+    """Adds outcome to requests: ok, session-expired or no-permission.
+
+    requests: session, at, kind (open, request), permitted. A request needs a
+    session that was opened; one without permission closes its session, so the
+    ones behind it are refused until it is opened again.
+    """
+    before = Window.partitionBy("session").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    opened = F.max(F.when(F.col("kind") == "open", F.col("at"))).over(before)
+    closed = F.max(F.when((F.col("kind") == "request") & ~F.coalesce("permitted", F.lit(False)), F.col("at"))).over(before)
+    alive = opened.isNotNull() & (closed.isNull() | (opened > closed))
+    rows = requests.withColumn("outcome", F.when(~alive, "session-expired").when(~F.coalesce("permitted", F.lit(False)), "no-permission").otherwise("ok"))
+    return rows.where("kind = 'request'")

@@ -142,3 +142,32 @@ def progress(units: DataFrame) -> DataFrame:
     out = units.groupBy("page_id").agg(F.count("*").alias("total"), F.count_if(F.col("state") == "done").alias("done"), F.count_if(F.col("state") == "failed").alias("failed"))
     phase = F.when(F.col("done") + F.col("failed") < F.col("total"), "translating").when(F.col("failed") == 0, "done").when(F.col("done") == 0, "error").otherwise("partial")
     return out.withColumn("phase", phase)
+
+
+def phases(pages: DataFrame, units: DataFrame) -> DataFrame:
+    """page_id, phase of every page, with units or not. pages: page_id, scanned (null: not begun, false: under way)."""
+    rows = pages.join(progress(units).select("page_id", "phase"), "page_id", "left")
+    early = F.when(F.col("scanned").isNull(), "idle").when(~F.col("scanned"), "scanning")
+    return rows.select("page_id", F.coalesce(early, "phase", F.lit("done")).alias("phase"))
+
+
+def rendered(nodes: DataFrame, results: DataFrame) -> DataFrame:
+    """unit_id, hash, state, t of each place for a translation.
+
+    nodes: unit_id, hash (of the text that stands there now), connected. results:
+    unit_id, hash (of the text that was sent), t (null: it failed). A place is
+    loading until a result of its own text comes, which fills or fails it; a
+    result of an older text is dropped, a place that left the page is detached.
+    """
+    rows = nodes.join(results.select("unit_id", F.col("hash").alias("_sent"), "t"), "unit_id", "left")
+    fits = F.col("_sent").eqNullSafe(F.col("hash"))
+    state = F.when(~F.col("connected"), "detached").when(~fits, "loading").when(F.col("t").isNull(), "error").otherwise("done")
+    return rows.withColumn("state", state).select("unit_id", "hash", "state", F.when(F.col("state") == "done", F.col("t")).alias("t"))
+
+
+def exportable(places: DataFrame) -> DataFrame:
+    """Places that go into an export: done, of the unit's own text, no interface; in a head or foot only within an article.
+
+    places: state, t, hash, node_hash (null: not told), connected, role, framed, article.
+    """
+    return places.where((F.col("state") == "done") & F.col("connected") & F.coalesce(F.col("node_hash") == F.col("hash"), F.lit(True)) & (trim(F.col("t")) != "") & (F.col("role") != "ui") & (~F.col("framed") | F.col("article")))

@@ -145,8 +145,10 @@ def fn_count(spark, d):
     return fx.table(spark, d, "events").select("event_id", sc.finite_count(F.when(F.col("event_id") % 9 == 0, float("inf")).otherwise(F.col("value"))).alias("count"))
 
 
-@query("jn_auth", f"{LIFE} SELECT event_id FROM lifecycle e WHERE event = 'translate-chunk' AND EXISTS (SELECT 1 FROM lifecycle s WHERE s.event = 'session-open' AND s.user_id = e.user_id)")
+@query("jn_auth", f"""{LIFE}, w AS (SELECT *, max(CASE WHEN event = 'session-open' THEN event_id END) OVER w AS opened, max(CASE WHEN event = 'translate-chunk' AND event_id % 7 = 0 THEN event_id END) OVER w AS closed FROM lifecycle WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT event_id, CASE WHEN opened IS NULL OR coalesce(closed, -1) > opened THEN 'session-expired' WHEN event_id % 7 = 0 THEN 'no-permission' ELSE 'ok' END AS outcome FROM w WHERE event = 'translate-chunk'""")
 def jn_auth(spark, d):
-    """Requests of registered sessions."""
-    log = fx.lifecycle(spark, d)
-    return log.where("event = 'translate-chunk'").join(log.where("event = 'session-open'").select("user_id"), "user_id", "left_semi").select("event_id")
+    """Requests of registered sessions with a permission; every seventh has lost it, which closes its session."""
+    log = fx.lifecycle(spark, d).where("event IN ('session-open', 'translate-chunk')")
+    rows = log.select(F.col("user_id").alias("session"), F.col("event_id").alias("at"), F.when(F.col("event") == "session-open", "open").otherwise("request").alias("kind"), (F.col("event_id") % 7 != 0).alias("permitted"))
+    return lo.authorized(rows).select(F.col("at").alias("event_id"), "outcome")

@@ -180,17 +180,16 @@ def fn_align(spark, d):
     return docs(spark, d).select("doc_id", F.array_join(F.transform(F.map_entries(clean), lambda e: F.concat_ws("=", F.trim(e["key"]), F.trim(e["value"]))), ",").alias("pairs"))
 
 
-MODELS = '{"data": [{"id": "m-1"}, {"id": "text-embed-2"}, {"id": "m-0"}, {"id": "m-1"}, {"id": "whisper-x"}]}'
-
-
-@query("src_models", "SELECT unnest(['m-0', 'm-1']) AS model")
+@query("src_models", """SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(CASE WHEN doc_id % 3 = 0 THEN ['embed-' || lang, 'tts-1'] WHEN doc_id % 3 = 1 THEN ['m-' || doc_id % 7, 'm-0'] ELSE ['m-' || lang, 'x'] END, lambda x: x IS NOT NULL))), ',') AS models FROM documents""")
 def src_models(spark, d):
-    """A provider's list: flattened, distinct, sorted; names that are no chat models go unless none is left."""
-    ids = spark.range(1).select(F.explode(F.from_json(F.get_json_object(F.lit(MODELS), "$.data"), "array<struct<id:string>>")["id"]).alias("model")).distinct()
-    chat = ids.where(~F.col("model").rlike("(?i)(embed|whisper|tts|audio|speech|image|vision-only|rerank|moderation|dall|sora|clip)"))
-    left = chat.agg(F.count("*").alias("n"))
-    rest = ids.join(left, F.lit(True)).where("n = 0").select("model")
-    return chat.unionByName(rest).orderBy("model")
+    """A provider's reply for each document, in each of its shapes: flattened, distinct, sorted; names that are no chat models go unless none is left."""
+    name, lang = F.concat(F.lit("m-"), (F.col("doc_id") % 7).cast("string")), F.col("lang")
+    quoted = lambda x: F.coalesce(F.concat(F.lit('"'), x, F.lit('"')), F.lit("null"))
+    none = F.concat(F.lit('{"data": [{"id": '), quoted(F.concat(F.lit("embed-"), lang)), F.lit('}, {"id": "tts-1"}, {"id": "tts-1"}]}'))
+    some = F.concat(F.lit('{"models": [{"name": '), quoted(name), F.lit('}, {"model": "m-0"}, {"name": "whisper-x"}, {"id": "  "}, {}]}'))
+    bare = F.concat(F.lit('["x", '), quoted(F.concat(F.lit("m-"), lang)), F.lit(', "dall-e", "x"]'))
+    reply = F.when(F.col("doc_id") % 3 == 0, none).when(F.col("doc_id") % 3 == 1, some).otherwise(bare)
+    return docs(spark, d).select("doc_id", F.array_join(sc.chat_models(sc.model_list(reply)), ",").alias("models"))
 
 
 @query("jn_provider", "SELECT doc_id, CASE doc_id % 3 WHEN 1 THEN 'mt' ELSE 'llm' END AS kind FROM documents")

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexiweave.functions import text as tx
+from lexiweave.operators import rules as ru
 from lexiweave.operators import terms as tm
 from lexiweave.plans import fixtures as fx
 from lexiweave.plans.registry import query
+from lexiweave.plans.rule_plans import RULES as RULE_PAGES
+from lexiweave.plans.rule_plans import rules
 from lexiweave.plans.unit_plans import CAPS
 
 STOPS = ", ".join(f"'{x}'" for x in tx.STOP_WORDS)
@@ -263,3 +266,11 @@ def set_observe(spark, d):
 @query("prj_view", f"{FIX} SELECT format('{{}} of {{}} aligned', count(rendered), count(*)) AS line FROM seen")
 def prj_view(spark, d):
     return seen(spark, d).agg(F.format_string("%d of %d aligned", F.count("rendered"), F.count("*")).alias("line"))
+
+
+@query("prj_view_page", f"""WITH {RULE_PAGES}, c AS (SELECT page_id, array_to_string(list(term ORDER BY pos, term) FILTER (WHERE tier = 'domain')[1:2], ' / ') AS domain, count_if(tier = 'preferred') AS preferred, count_if(tier = 'risky') AS risky, count_if(tier = 'keep') AS keep FROM rules WHERE source = 'user' GROUP BY page_id)
+SELECT page_id, CASE WHEN coalesce(domain, '') <> '' THEN domain ELSE 'read' END AS peek, CASE WHEN preferred + risky + keep > 0 THEN preferred || ' suggestions, ' || risky || ' ambiguous' ELSE 'no suggestions' END || ', snapshot ' || left(sha256(page_id::VARCHAR), 8) AS info FROM c""")
+def prj_view_page(spark, d):
+    """A panel's lines on each page: its first two domains, and what its profile suggests."""
+    profiles = rules(spark, d).where("source = 'user'")
+    return ru.views(profiles, F.sha2(F.col("page_id").cast("string"), 256))

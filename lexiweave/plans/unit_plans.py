@@ -163,9 +163,12 @@ def agg_progress(spark, d):
 
 
 @query("stm_phase", f"""WITH {fx.TRANSLATED}, p AS (SELECT page_id, count(*) AS total, count_if(state = 'done') AS done, count_if(state = 'failed') AS failed FROM translated GROUP BY page_id)
-SELECT page_id, CASE WHEN done + failed < total THEN 'translating' WHEN failed = 0 THEN 'done' WHEN done = 0 THEN 'error' ELSE 'partial' END AS phase FROM p""")
+SELECT doc_id AS page_id, CASE WHEN doc_id % 10 = 0 THEN 'idle' WHEN doc_id % 10 = 1 THEN 'scanning' WHEN done + failed < total THEN 'translating' WHEN failed = 0 THEN 'done' WHEN done = 0 THEN 'error' WHEN total > 0 THEN 'partial' ELSE 'done' END AS phase FROM documents LEFT JOIN p ON p.page_id = doc_id""")
 def stm_phase(spark, d):
-    return un.progress(fx.translated(spark, d)).select("page_id", "phase")
+    """Every page's phase; a tenth has not begun, a tenth is being scanned."""
+    i = F.col("doc_id")
+    pages = fx.table(spark, d, "documents").select(i.alias("page_id"), F.when(i % 10 != 0, i % 10 != 1).alias("scanned"))
+    return un.phases(pages, fx.translated(spark, d))
 
 
 @query("flagship", f"""WITH {fx.UNITS}, {COST}, {MODE} SELECT page_id, unit_count, source_chars, mode_reason FROM modes""")
@@ -179,14 +182,28 @@ def flt_usable(spark, d):
     return t.select("unit_id", tx.is_usable(F.col("text"), F.col("v"), F.lit("French")).alias("usable"))
 
 
-@query("snk_render", f"WITH {fx.TRANSLATED} SELECT page_id, unit_id, sha256(text) AS hash, CASE WHEN state = 'done' THEN t END AS t, state FROM translated")
+RENDERED = f"""{fx.TRANSLATED}, places AS (SELECT page_id, unit_id, role, sha256(text) AS hash, CASE WHEN unit_id % 13 = 0 THEN 'detached' WHEN state = 'pending' OR unit_id % 5 = 0 THEN 'loading' WHEN state = 'failed' THEN 'error' ELSE 'done' END AS state, t FROM translated)"""
+
+
+def places(spark, d):
+    """Units, their results (some failed, some of an older text, some not come) and places, some of which left the page."""
+    rows, i = fx.translated(spark, d), F.col("unit_id")
+    sent = F.sha2(F.concat("text", F.when(i % 5 == 0, "x").otherwise("")), 256)
+    results = rows.where("state <> 'pending'").select("unit_id", sent.alias("hash"), F.when(F.col("state") == "done", F.col("t")).alias("t"))
+    return un.rendered(rows.select("unit_id", F.sha2("text", 256).alias("hash"), (i % 13 != 0).alias("connected")), results)
+
+
+@query("snk_render", f"WITH {RENDERED} SELECT unit_id, hash, CASE WHEN state = 'done' THEN t END AS t, state FROM places")
 def snk_render(spark, d):
-    return fx.translated(spark, d).select("page_id", "unit_id", F.sha2("text", 256).alias("hash"), F.when(F.col("state") == "done", F.col("t")).alias("t"), "state")
+    return places(spark, d)
 
 
-@query("flt_export", f"WITH {fx.TRANSLATED} SELECT unit_id FROM translated WHERE state = 'done' AND trim(t) <> '' AND role <> 'ui'")
+@query("flt_export", f"WITH {RENDERED} SELECT unit_id FROM places WHERE state = 'done' AND unit_id % 8 <> 0 AND trim(t) <> '' AND (unit_id % 6 <> 0 OR unit_id % 4 = 0) AND unit_id % 19 <> 0")
 def flt_export(spark, d):
-    return fx.translated(spark, d).where((F.col("state") == "done") & (tx.trim(F.col("t")) != "") & (F.col("role") != "ui")).select("unit_id")
+    """Places of which some belong to another text, some to the interface, some to a head, of an article or not."""
+    i = F.col("unit_id")
+    rows = places(spark, d).withColumns({"node_hash": F.when(i % 8 == 0, "other").when(i % 8 == 1, F.col("hash")), "connected": F.col("state") != "detached", "role": F.when(i % 19 == 0, "ui").otherwise("body"), "framed": i % 6 == 0, "article": i % 4 == 0})
+    return un.exportable(rows).select("unit_id")
 
 
 @query("srt_page", f"WITH {fx.UNITS} SELECT page_id, unit_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS place FROM units")

@@ -127,3 +127,42 @@ def test_a_replaced_gate_holds_nobody(spark, tmp_path):
     rows = [("begin", 0), ("wait", 0), ("begin", 0), ("clear", 1), ("wait", 0), ("clear", 0), ("wait", 0), ("clear", 0), ("begin", 0), ("wait", 0)]
     got = last(fl.gated(streamed(spark, tmp_path, rows, "kind string, back long")))
     assert got == {"user_id": 1, "seen": 10, "generation": 3, "released": 3, "waiting": 1}
+
+
+def test_model_lists(spark):
+    from lexiweave.functions import scalars as sc
+
+    cases = {
+        '{"data": [{"id": "b"}, {"id": "a"}, {"id": "b"}, {"id": "text-embed"}]}': ["a", "b"],
+        '{"models": [{"name": "n"}, {"model": "m"}, {"id": "", "name": "k"}, {}, {"id": " "}]}': ["k", "m", "n"],
+        '["z", "whisper-1", "y"]': ["y", "z"],
+        '{"data": [{"id": "tts-1"}, {"id": "clip"}]}': ["clip", "tts-1"],
+        '{"data": []}': [], "{}": [], "no json": [], "": [],
+    }
+    rows = spark.createDataFrame([(k,) for k in cases] + [(None,)], "reply string")
+    got = {r.reply: r.m for r in rows.select("reply", sc.chat_models(sc.model_list(F.col("reply"))).alias("m")).collect()}
+    assert got == cases | {None: []}
+
+
+def test_places_take_results_of_their_own_text(spark):
+    from lexiweave.operators import units as un
+
+    nodes = spark.createDataFrame([(1, "a", True), (2, "a", True), (3, "a", True), (4, "a", True), (5, "a", False)], "unit_id long, hash string, connected boolean")
+    results = spark.createDataFrame([(1, "a", "t"), (2, "old", "t"), (3, "a", None), (5, "a", "t")], "unit_id long, hash string, t string")
+    assert {r.unit_id: (r.state, r.t) for r in un.rendered(nodes, results).collect()} == {1: ("done", "t"), 2: ("loading", None), 3: ("error", None), 4: ("loading", None), 5: ("detached", None)}
+
+
+def test_a_request_without_permission_closes_its_session(spark):
+    from lexiweave.operators import logs as lo
+
+    rows = [("s", 1, "request", True), ("s", 2, "open", None), ("s", 3, "request", True), ("s", 4, "request", None), ("s", 5, "request", True), ("s", 6, "open", None), ("s", 7, "request", True), ("t", 8, "request", True)]
+    got = lo.authorized(spark.createDataFrame(rows, "session string, at long, kind string, permitted boolean")).collect()
+    assert {r["at"]: r.outcome for r in got} == {1: "session-expired", 3: "ok", 4: "no-permission", 5: "session-expired", 7: "ok", 8: "session-expired"}
+
+
+def test_phases_of_pages_without_units(spark):
+    from lexiweave.operators import units as un
+
+    pages = spark.createDataFrame([(1, None), (2, False), (3, True), (4, True)], "page_id long, scanned boolean")
+    units = spark.createDataFrame([(1, "done"), (4, "done"), (4, "failed")], "page_id long, state string")
+    assert {r.page_id: r.phase for r in un.phases(pages, units).collect()} == {1: "idle", 2: "scanning", 3: "done", 4: "partial"}
