@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiweave.llm import chat, decontaminate, line_dedup, ngram_join, packing, pii, quality, spotsigs, substrings, url_rules
+from lexiweave.llm import chat, compression, decontaminate, importance, line_dedup, manifest, ngram_join, packing, pii, quality, spotsigs, substrings, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,6 +94,24 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "formatted", "starts", "ends", "mask").mapInArrow(_read_back, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 
+def op11_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = compression.quality_rules(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio", "odd_share")
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = manifest.leaf([F.col("n_chars") + 1 if c == "n_chars" else F.col(c) for c in manifest.COLUMNS])
+    claimed = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, tampered)
+    rows = manifest.manifest(docs, claimed=claimed)
+    return rows.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"), F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_spotsigs": op2_spotsigs,
@@ -105,10 +123,26 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_quality": op9_quality,
     "op10_chat": op10_chat,
+    "op11_compression": op11_compression,
+    "op12_importance": op12_importance,
+    "op13_manifest": op13_manifest,
 }
 
 _WORD = r"[^ \t-\r]+"
 
+_LOWER_WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+_CRC = f"([{', '.join(map(str, importance.CRC.tolist()))}]::BIGINT[])"
+
+
+def _register(first: str, data: str) -> str:
+    """SQL of the CRC-32 register after the bytes of a list."""
+    return f"list_reduce([{first}] || {data}, lambda c, b: xor(c >> 8, {_CRC}[(xor(c, b) & 255) + 1]))"
+
+
+def _fields(n_chars: str) -> str:
+    return " || ".join(f"coalesce(octet_length(encode(({c})::VARCHAR)) || ':' || ({c})::VARCHAR, '-')" for c in ("doc_id", "source", "lang", n_chars, "text"))
+
+
 ORACLES = {
     "op1_line_dedup": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -181,5 +215,41 @@ c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS te
 e AS (SELECT *, length(replace(replace(role, '\', '\\'), '<|', '<\|')) + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + 2 * length('<|endoftext|>') AS chars FROM c)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256, coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars FROM e GROUP BY conv_id
+""",
+    "op12_importance": rf"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, {_LOWER_WORDS} AS ws FROM documents),
+b AS (SELECT -row_number() OVER () AS r, {_LOWER_WORDS} AS ws FROM benchmark),
+x AS (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS s FROM (SELECT r, ws FROM d UNION ALL SELECT r, ws FROM b)),
+g AS (SELECT r, ws[s] AS a, ws[s + 1] AS b, ws[s + 2] AS c FROM x),
+v AS (SELECT a AS w, list_transform(range(octet_length(encode(a))), lambda i: ('0x' || substr(hex(encode(a)), 2 * i + 1, 2))::BIGINT) AS bytes FROM (SELECT DISTINCT a FROM g)),
+one AS (SELECT w AS a, {_register("4294967295", "bytes")} AS c1 FROM v),
+two AS (SELECT q.a, q.b, {_register("c1", "[32] || bytes")} AS c2 FROM (SELECT DISTINCT a, b FROM g WHERE b IS NOT NULL) q JOIN one ON one.a = q.a JOIN v ON v.w = q.b),
+three AS (SELECT q.a, q.b, q.c, {_register("c2", "[32] || bytes")} AS c3 FROM (SELECT DISTINCT a, b, c FROM g WHERE c IS NOT NULL) q JOIN two ON two.a = q.a AND two.b = q.b JOIN v ON v.w = q.c),
+f AS (SELECT r, c1 AS c FROM g JOIN one USING (a) UNION ALL SELECT r, c2 FROM g JOIN two USING (a, b) UNION ALL SELECT r, c3 FROM g JOIN three USING (a, b, c)),
+p AS (SELECT r, xor(c, 4294967295) % 10000 AS bucket, count(*) AS c FROM f GROUP BY ALL),
+s AS (SELECT bucket, coalesce(sum(c) FILTER (WHERE r > 0), 0) AS s, coalesce(sum(c) FILTER (WHERE r < 0), 0) AS t FROM p GROUP BY bucket),
+gain AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM s) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM s) + 10000)::DOUBLE)))::BIGINT AS gain FROM s),
+w AS (SELECT r, sum(c)::BIGINT AS n_features, sum(c * gain)::BIGINT AS weight FROM p JOIN gain USING (bucket) WHERE r > 0 GROUP BY r),
+e AS (SELECT doc_id, len(ws) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+      coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN w USING (r)),
+k AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS k, count(*) OVER (PARTITION BY n_words >= 20) AS n FROM e)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND k <= 5 * n // 100 THEN k END AS rank FROM k
+""",
+    "op13_manifest": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, lang, sha256({_fields("n_chars")}) AS leaf, sha256({_fields("n_chars + 1")}) AS other, xor({_register("4294967295", "list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)")}, 4294967295) % 7 = 0 AS bad FROM documents),
+e AS (SELECT coalesce('1' || lang, '0') AS lang, doc_id, leaf, CASE WHEN bad THEN other ELSE leaf END AS claimed, row_number() OVER (PARTITION BY lang ORDER BY doc_id, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n FROM d),
+v AS (SELECT lang, 0 AS level, idx, leaf AS h, n FROM e UNION ALL SELECT lang, level + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (n + 1) // 2 FROM v WHERE n > 1 GROUP BY lang, level, idx // 2, n),
+l AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang) - 1 AS idx, count(*) OVER () AS n FROM v WHERE n = 1),
+t AS (SELECT 0 AS level, idx, subroot AS h, n FROM l UNION ALL SELECT level + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (n + 1) // 2 FROM t WHERE n > 1 GROUP BY level, idx // 2, n),
+steps AS (SELECT DISTINCT lang, level, n FROM v WHERE n > 1),
+s AS (SELECT e.lang, e.idx, steps.level, coalesce(CASE WHEN v.idx % 2 = 0 THEN 'B' ELSE 'A' END || v.h, '-') AS step
+      FROM e JOIN steps ON steps.lang = e.lang LEFT JOIN v ON v.lang = e.lang AND v.level = steps.level AND v.idx = xor(e.idx >> steps.level::BIGINT, 1::BIGINT)),
+low AS (SELECT lang, idx, list(step ORDER BY level) AS steps FROM s GROUP BY ALL),
+high AS (SELECT l.lang, list(coalesce(CASE WHEN t.idx % 2 = 0 THEN 'B' ELSE 'A' END || t.h, '-') ORDER BY q.level) AS steps
+         FROM l JOIN (SELECT DISTINCT level, n FROM t WHERE n > 1) q ON true LEFT JOIN t ON t.level = q.level AND t.idx = xor(l.idx >> q.level::BIGINT, 1::BIGINT) GROUP BY l.lang),
+p AS (SELECT e.*, l.subroot, coalesce(low.steps, []) || coalesce(high.steps, []) AS steps FROM e JOIN l ON l.lang = e.lang LEFT JOIN low ON low.lang = e.lang AND low.idx = e.idx LEFT JOIN high ON high.lang = e.lang),
+f AS (SELECT doc_id, leaf, subroot, (SELECT h FROM t WHERE n = 1) AS root, sha256(array_to_string(list_transform(steps, lambda x: x[2:]), '')) AS proof_sha256,
+      list_reduce([claimed] || steps, lambda a, x: sha256(CASE x[1] WHEN 'B' THEN x[2:] || a WHEN 'A' THEN a || x[2:] ELSE a END)) AS folded_root FROM p)
+SELECT *, folded_root = root AS verified FROM f
 """,
 }

@@ -1,7 +1,10 @@
 """Plain versions of the contracts, over small tables."""
 
 import hashlib
+import math
 import re
+import zlib
+from collections import Counter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -115,3 +118,79 @@ def contamination(docs, items, window=13):
                     found |= ids
         out[key, text] = (len(w), len(hit), sorted(x for x in found if x is not None), bool(hit) and 20 * len(hit) >= len(w))
     return out
+
+
+def rules(text):
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
+    text = text or ""
+    words, seen = WORD.findall(text), {}
+    for i in range(len(words) - 4):
+        seen.setdefault(tuple(words[i : i + 5]), []).append(i)
+    hit = {i + j for at in seen.values() if len(at) > 1 for i in at for j in range(5)}
+    lines = text.split("\n")
+    dup = sum(bool(WORD.search(x)) and x in lines[:i] for i, x in enumerate(lines))
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(hit), len(words) < 10 or 100 * len(hit) > 20 * len(words)
+
+
+def runs(text):
+    words = [x for x in BETWEEN.split((text or "").translate(LOW)) if x]
+    return len(words), [" ".join(words[i : i + k]).encode() for k in (1, 2, 3) for i in range(len(words) - k + 1)]
+
+
+def resampled(docs, target, percent=5):
+    """docs: (doc_id, text); a row (doc_id, n_features, weight, score, rank) for each."""
+    buckets = 10000
+    count = lambda texts: Counter(zlib.crc32(x) % buckets for t in texts for x in runs(t)[1])
+    raw, aim = count(t for _, t in docs), count(target)
+    s, t = sum(raw.values()), sum(aim.values())
+    gain = {b: math.floor(1000 * math.log((aim[b] + 1) * (s + buckets) / ((n + 1) * (t + buckets)))) for b, n in raw.items()}
+    out = []
+    for key, text in docs:
+        n, found = runs(text)
+        h = int(digest(f"42:{'' if key is None else key}")[:8], 16)
+        weight = sum(gain[zlib.crc32(x) % buckets] for x in found)
+        out.append([key, len(found), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), n])
+    fit = sorted((x for x in out if x[4] >= 20), key=lambda x: (-x[3], x[0] is not None, x[0] or 0))
+    rank = {id(x): i + 1 for i, x in enumerate(fit[: len(fit) * percent // 100])}
+    return [(*x[:4], rank.get(id(x))) for x in out]
+
+
+def merkle(docs, fanout=2):
+    """docs: rows (doc_id, text, lang, source, n_chars); (doc_id, leaf, subroot, root, proof, folded) of each."""
+    name = lambda x: "-" if x is None else f"{len(str(x).encode())}:{x}"
+    hashed = lambda k, t, g, s, n: digest("".join(map(name, (k, s, g, n, t))))
+
+    def tree(nodes):
+        out = [nodes]
+        while len(out[-1]) > 1:
+            out.append([digest("".join(out[-1][i : i + fanout])) for i in range(0, len(out[-1]), fanout)])
+        return out
+
+    def path(levels, at):
+        out = []
+        for level in levels[:-1]:
+            first = at - at % fanout
+            out.append((level[first:at], level[at + 1 : first + fanout]))
+            at //= fanout
+        return out
+
+    groups = {}
+    for r in docs:
+        groups.setdefault(r[2], []).append(r)
+    order = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    trees = {}
+    for g in order:
+        rows = sorted(groups[g], key=lambda r: (r[0] is not None, r[0] or 0, hashed(*r)))
+        trees[g] = rows, tree([hashed(*r) for r in rows])
+    top = tree([trees[g][1][-1][0] for g in order])
+    out = []
+    for j, g in enumerate(order):
+        rows, levels = trees[g]
+        for i, r in enumerate(rows):
+            steps = path(levels, i) + path(top, j)
+            bad = r[0] is not None and r[4] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 0
+            end = hashed(*r[:4], r[4] + 1) if bad else levels[0][i]
+            for a, b in steps:
+                end = digest("".join(a) + end + "".join(b))
+            out.append((r[0], levels[0][i], levels[-1][0], top[-1][0], digest("".join("".join(a + b) for a, b in steps)), end))
+    return out
