@@ -1,13 +1,17 @@
 """URL filters: association rules (operator 6).
 
-FP-growth mines token combinations of labelled urls that go with a bad label.
+FP-growth mines token combinations of the labelled bad urls, of ``most_tokens``
+tokens at most, among all tokens that are frequent enough there. A url of many
+tokens goes to it as parts that between them hold every such combination, so
+that a template of many words does not make it try all its subsets; its counts
+are candidates only, and each combination is then counted on all labelled urls.
+
 A rule has to hold on ``min_count`` labelled bad pages and on the share
 ``min_support`` of all, its confidence has to reach ``min_confidence``, and the
 lower end of that confidence's interval (Wilson, ``z`` deviations) has to be
 above the share of bad pages among all, so that neither a few pages nor a
 common label make a rule. A rule goes if a part of its tokens is a rule of no
-less confidence. Of a page's tokens the ``most_tokens`` rarest are mined, which
-bounds the combinations; all are matched.
+less confidence.
 
 Rules that are left are indexed by their rarest token (inverted index); a page's
 tokens join that index, and the rest of the rule's tokens is then looked for
@@ -41,9 +45,11 @@ MIN_SUPPORT = 0.0005
 MIN_CONFIDENCE = 0.5
 MIN_COUNT = 10
 Z = 4.0
-MOST_TOKENS = 12
+#: Tokens of a rule; no bound on those of a url.
+MOST_TOKENS = 4
+#: Tokens of a url that go to FP-growth in one piece.
+PIECE = 16
 SMALL_INDEX = 10_000
-BAD = "label:bad"
 
 
 def host_of(url: Column) -> Column:
@@ -95,30 +101,49 @@ def pruned(rules: DataFrame) -> DataFrame:
     return rules.join(less, "rule", "left_anti").drop("rule")
 
 
+def combined(tokens: Column, most_tokens: int, piece: int) -> list[tuple[str, Column]]:
+    """Columns that explode, one after the other, to parts of tokens: unions of ``most_tokens`` blocks, so that any so many tokens are in one part."""
+    width = max(1, piece // most_tokens)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(tokens) - 1) / width)), lambda i: F.slice(tokens, (i * width + 1).cast("int"), width))
+    last = F.size("blocks") - 1
+    # The blocks' numbers rise; where there are no more blocks than that, the first choice is the only one.
+    few = F.size("blocks") <= most_tokens
+    steps = [("blocks", blocks)]
+    for i in range(most_tokens):
+        low = F.col(f"i{i - 1}") + 1 if i else F.lit(0)
+        high = F.when(few, low).otherwise(last - (most_tokens - 1 - i))
+        steps.append((f"i{i}", F.explode(F.sequence(low.cast("int"), high.cast("int")))))
+    return steps
+
+
+def parted(rows: DataFrame, most_tokens: int = MOST_TOKENS, piece: int = PIECE) -> DataFrame:
+    """items: the parts of each row's tokens (none is empty)."""
+    for name, column in combined(F.col("tokens"), most_tokens, piece):
+        rows = rows.withColumn(name, column)
+    chosen = F.flatten(F.filter(F.array(*[F.get("blocks", f"i{i}") for i in range(most_tokens)]), lambda x: x.isNotNull()))
+    return rows.select(chosen.alias("items"))
+
+
 def mine(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT, z: float = Z, most_tokens: int = MOST_TOKENS) -> DataFrame:
     """Rules (antecedent array<string>, confidence, support) for the bad label, over all labelled pages; a table."""
     rows = stored(labelled(pages, labels), "url-labels")
     seen = rows.agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad")).first()
     n, base = seen["n"], (seen["bad"] or 0) / max(1, seen["n"])
-    least = min(1.0, max(min_support, min_count / max(1, n)))
-    each = rows.select("row", "bad", F.explode("tokens").alias("token"))
-    usual = each.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= least * n)
-    rarest = F.slice(F.array_sort(F.collect_list(F.struct("n", "token"))), 1, most_tokens)
-    items = each.join(usual, "token").groupBy("row", "bad").agg(F.transform(rarest, lambda x: x["token"]).alias("tokens"))
-    items = items.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
-    items = stored(items, "url-items")
-    # Rows without usual tokens make no rule, but count towards the support.
-    kept = items.count()
-    model = FPGrowth(minSupport=min(1.0, least * n / max(1, kept)), minConfidence=min_confidence).fit(items)
-    rules = model.associationRules.where(F.col("consequent")[0] == BAD)
-    covered = F.round(F.col("support") * kept / F.col("confidence"))
-    rules = rules.where(lower_end(F.col("confidence"), covered, z) > base).select("antecedent", "confidence", (F.col("support") * kept / max(1, n)).alias("support"))
-    return stored(pruned(rules), "url-rules")
-
-
-def matched(pages: DataFrame, rules: DataFrame, small: int = SMALL_INDEX, salts: int = 32) -> DataFrame:
-    """page, u (hash of url) of pages that have all tokens of some rule."""
-    rows = pages.select(F.col("page_id").alias("page"), F.xxhash64(F.coalesce(F.col("url"), F.lit(""))).alias("u"), tokens_of(F.col("url")).alias("tokens"))
+    least = max(1, min_count, min_support * n)
+    each = rows.where("bad").select("row", F.explode("tokens").alias("token"))
+    usual = each.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    items = each.join(usual, "token").groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]).alias("tokens"))
+    items = stored(parted(items.select("tokens"), most_tokens), "url-items")
+    model = FPGrowth(minSupport=min(1.0, (least - 0.5) / max(1, items.count()))).fit(items)
+    some = model.freqItemsets.where(F.size("items") <= most_tokens).select(F.col("items").alias("antecedent"))
+    counted = holding(rows.select("bad", "row", "tokens"), stored(some, "url-candidates")).groupBy("rule").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("hits"), F.first("antecedent").alias("antecedent"))
+    rules = counted.select("antecedent", "n", "hits", (F.col("hits") / F.col("n")).alias("confidence"), (F.col("hits") / max(1, n)).alias("support"))
+    rules = rules.where((F.col("hits") >= least) & (F.col("confidence") >= min_confidence) & (lower_end(F.col("confidence"), F.col("n"), z) > base))
+    return stored(pruned(rules.select("antecedent", "confidence", "support")), "url-rules")
+
+
+def holding(rows: DataFrame, rules: DataFrame, small: int = SMALL_INDEX, salts: int = 32) -> DataFrame:
+    """rows (with tokens) with each rule all of whose tokens they have: rule (hash), antecedent."""
     few = rules.count() <= small
     near = F.broadcast if few else (lambda x: x)
     each = rules.select(F.xxhash64(F.array_sort("antecedent")).alias("rule"), "antecedent", F.explode("antecedent").alias("token"))
@@ -126,14 +151,20 @@ def matched(pages: DataFrame, rules: DataFrame, small: int = SMALL_INDEX, salts:
     seen = rows.select(F.explode("tokens").alias("token"))
     seen = seen.join(F.broadcast(wanted), "token", "left_semi").groupBy("token") if few else seen.groupBy("token")
     seen = seen.agg(F.count("*").alias("n"))
-    index = each.join(near(seen), "token").groupBy("rule").agg(F.min(F.struct("n", "token")).alias("m"), F.first("antecedent").alias("antecedent")).select(F.col("m.token").alias("token"), "antecedent")
-    hits = rows.select("page", "u", "tokens", F.explode("tokens").alias("token"))
+    index = each.join(near(seen), "token").groupBy("rule").agg(F.min(F.struct("n", "token")).alias("m"), F.first("antecedent").alias("antecedent")).select(F.col("m.token").alias("token"), "rule", "antecedent")
+    hits = rows.select("*", F.explode("tokens").alias("token"))
     if few:
         hits = hits.join(F.broadcast(index), "token")
     else:
-        hits = hits.withColumn("salt", F.pmod(F.xxhash64("page", "u"), F.lit(salts)))
-        hits = hits.join(index.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), ["token", "salt"])
-    return hits.where(F.size(F.array_except("antecedent", "tokens")) == 0).select("page", "u").distinct()
+        hits = hits.withColumn("salt", F.pmod(F.xxhash64(*[c for c in rows.columns if c != "tokens"]), F.lit(salts)))
+        hits = hits.join(index.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), ["token", "salt"]).drop("salt")
+    return hits.where(F.size(F.array_except("antecedent", "tokens")) == 0).drop("token")
+
+
+def matched(pages: DataFrame, rules: DataFrame, small: int = SMALL_INDEX, salts: int = 32) -> DataFrame:
+    """page, u (hash of url) of pages that have all tokens of some rule."""
+    rows = pages.select(F.col("page_id").alias("page"), F.xxhash64(F.coalesce(F.col("url"), F.lit(""))).alias("u"), tokens_of(F.col("url")).alias("tokens"))
+    return holding(rows, rules, small, salts).select("page", "u").distinct()
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
