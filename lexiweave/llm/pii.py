@@ -68,7 +68,7 @@ RIGHT_OF_STREET = re.compile(rf"\.?(?:,? (?:Apt|Suite|Unit|Floor|#)\.? ?[A-Za-z0
 AFTER_RUE = re.compile(rf" (?:(?:de|du|des|la|le|les|del|los|las|l'|d') ?){{0,3}}{NAME}(?:[ -](?:(?:de|du|des|la|le|del) )?{NAME}){{0,3}}(?:,? (?:n[º°o]\.? ?)?[0-9]{{1,5}}(?![0-9]))?(?:,? [0-9]{{5}} {NAME})?")
 BEFORE_RUE = re.compile(r"(?<![\w.-])[0-9]{1,5}(?: ?(?:bis|ter))?,? \Z")
 AFTER_STRASSE = re.compile(rf" ?[0-9]{{1,4}} ?[a-z]?(?![\w])(?:,? [0-9]{{5}} {NAME})?")
-BEFORE_STRASSE = re.compile(rf"(?:{NAME}[ -])?[A-ZÀ-ÖØ-Þ][\w-]*\Z")
+BEFORE_STRASSE = re.compile(rf"(?:(?:{NAME}[ -])?[A-ZÀ-ÖØ-Þ][\w-]*\.?|{NAME} str(?:aße|asse|\.))\Z")
 V6 = re.compile(r"[0-9A-Fa-f:]*(?:[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)?")
 V6_CHARS = frozenset("0123456789ABCDEFabcdef:")
 KEY = re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])")

@@ -52,7 +52,7 @@ def ipv6():
     if form == 0:
         value = ":".join(groups)
     elif form == 1:
-        cut = R.randint(1, 4)
+        cut = R.randint(1, 3)
         value = ":".join(["2001", *groups[:cut]]) + "::" + ":".join(groups[5:])
     elif form == 2:
         value = "fe80::" + ":".join(groups[4:])
