@@ -10,6 +10,8 @@ from lexiweave.functions import text as tx
 MOST_MINED, LEAST_UNITS, LEAST_LENGTH = 48, 2, 3
 MOST_TRACKED, LEXICAL_RESERVE = 32, 8
 MOST_SAMPLES, MOST_PRECEDENTS, MOST_HINTS, RADIUS = 8, 96, 8, 2
+#: Mined terms come behind all tiers of the contract.
+MINED_TIER = 10
 METRIC_KINDS = ("fixed", "suggested", "risky", "lexical", "structural")
 
 
@@ -53,15 +55,36 @@ def mine(units: DataFrame, least_units: int = LEAST_UNITS, most: int = MOST_MINE
 
 
 def candidate_pool(contract: DataFrame, mined: DataFrame) -> DataFrame:
-    """The contract's terms of every page (locked, suggested, risky), then the mined ones: page_id, term, lemma, kind, ord."""
-    return pooled(mined.select("page_id").distinct().join(contract, how="inner", on=F.lit(True)), mined)
+    """The candidates in two layers: page_id, term, lemma, kind, ord.
+
+    The contract's terms are every page's, so they stand once, with a null
+    page_id; mined ones follow them on their page.
+    """
+    return pooled(contract.withColumn("page_id", F.lit(None).cast(mined.schema["page_id"].dataType)), mined)
 
 
 def pooled(given: DataFrame, mined: DataFrame, *more: str) -> DataFrame:
-    """Contract terms (with page_id) before mined ones, by rank."""
-    place = F.lit(10 - tx.rank_of(F.col("kind"))) * 10_000 + F.when(F.col("kind") == "risky", 5_000).otherwise(0) + F.col("pos")
-    given = given.select("page_id", "term", tx.lemma_of(F.col("term"), F.col("kind")).alias("lemma"), "kind", place.cast("long").alias("ord"), *more)
-    return given.unionByName(mined.select("page_id", "term", "lemma", "kind", (F.lit(100_000) + F.col("rank")).cast("long").alias("ord"), *more))
+    """Contract terms (with page_id) before mined ones, by rank. ord: tier, whether risky, place."""
+    place = lambda tier, risky, at: F.struct(tier.cast("int").alias("tier"), risky.cast("int").alias("risky"), at.cast("long").alias("place")).alias("ord")
+    ord_ = place(10 - tx.rank_of(F.col("kind")), F.col("kind") == "risky", F.col("pos"))
+    given = given.select("page_id", "term", tx.lemma_of(F.col("term"), F.col("kind")).alias("lemma"), "kind", ord_, *more)
+    return given.unionByName(mined.select("page_id", "term", "lemma", "kind", place(F.lit(MINED_TIER), F.lit(False), F.col("rank")), *more))
+
+
+def observed_pool(contract: DataFrame, mined: DataFrame, most: int = MOST_TRACKED) -> DataFrame:
+    """page_id, lemma, kind: a page's mined lemmas that are no contract terms, then the contract's terms in order, ``most`` in all.
+
+    Only the contract's first ``most`` terms can have a seat, so no more than
+    these meet the pages.
+    """
+    last = Window.partitionBy("page_id", "lemma").orderBy(F.desc("rank"))
+    own = mined.withColumn("_n", F.row_number().over(last)).where("_n = 1").join(contract.select(F.col("term").alias("lemma")), "lemma", "left_anti")
+    first = contract.orderBy("pos", "term").select("term", "kind").limit(most).collect()
+    line = F.array(*[F.struct(F.lit(r["term"]).alias("lemma"), F.lit(r["kind"]).alias("kind")) for r in first]).cast("array<struct<lemma:string,kind:string>>")
+    extra = mined.select("page_id").distinct().select("page_id", F.posexplode(line).alias("rank", "x")).select("page_id", "x.lemma", "x.kind", F.lit(1).alias("src"), F.col("rank").cast("long"))
+    rows = own.select("page_id", "lemma", "kind", F.lit(0).alias("src"), F.col("rank").cast("long")).unionByName(extra)
+    seat = F.row_number().over(Window.partitionBy("page_id").orderBy("src", "rank"))
+    return rows.withColumn("_k", seat).where(F.col("_k") <= most).select("page_id", "lemma", "kind")
 
 
 def one_of_each(hits: DataFrame) -> DataFrame:
@@ -97,7 +120,7 @@ def matched(contract: DataFrame, mined: DataFrame, units: DataFrame) -> DataFram
     """
     given = term_hits(units.select("page_id", "text"), contract).select("page_id", "term").distinct().join(contract, "term").withColumn("stands", F.lit(True))
     rows = pooled(given, held(mined, units), "stands")
-    own = F.max(F.col("ord") > 100_000).over(Window.partitionBy("page_id"))
+    own = F.max(F.col("ord.tier") == MINED_TIER).over(Window.partitionBy("page_id"))
     return one_of_each(rows.withColumn("own", own).where(F.col("own") & F.col("stands")).drop("own", "stands"))
 
 

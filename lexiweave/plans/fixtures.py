@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiweave.functions.text import normalize
@@ -12,15 +12,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Places of a page's lines among unit ids, and of its batches of four lines among batch ids.
+LINES, BATCHES = 2**31, 2**29
+BATCH = "page_id * 536870912 + pos // 4"
+
+
+def batch_of(page: Column, pos: Column) -> Column:
+    """The batch of a line: four lines of one page, never of two."""
+    return page * BATCHES + F.floor(pos / 4)
+
+
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents: page_id, unit_id, pos, lang, tag, role, mode, text.
 
     Documents are dealt out by page before their lines come apart, so whatever
     works on pages afterwards needs no shuffle of its own, and the work on lines
     spreads however few files or row groups hold the documents.
+
+    Unit ids keep LINES places for each page, more than a text can have lines, so
+    two pages never share one; a page id too large for that is an overflow error.
     """
     lines = table(spark, sf_dir, "documents").select("doc_id", "lang", "text").repartition("doc_id").select(F.col("doc_id").alias("page_id"), "lang", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "raw"))
-    lines = lines.select("page_id", (F.col("page_id") * 100000 + F.col("pos")).alias("unit_id"), F.col("pos").cast("long").alias("pos"), "lang", normalize(F.col("raw")).alias("text")).where("text <> ''")
+    lines = lines.select("page_id", (F.col("page_id") * LINES + F.col("pos")).alias("unit_id"), F.col("pos").cast("long").alias("pos"), "lang", normalize(F.col("raw")).alias("text")).where("text <> ''")
     tag = F.when(F.col("pos") == 0, "H1").when(F.col("pos") % 6 == 3, "H2").when(F.col("pos") % 6 == 4, "LI").otherwise("P")
     lines = lines.withColumn("tag", tag)
     return lines.withColumns({"role": F.when(F.col("tag").isin("H1", "H2"), "heading").otherwise("body"), "mode": F.when(F.col("tag") == "LI", "append").otherwise("after")})
@@ -28,7 +41,7 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 UNITS = r"""
 lines0 AS (SELECT doc_id AS page_id, lang, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
-lines1 AS (SELECT page_id, page_id * 100000 + pos AS unit_id, pos, lang, trim(regexp_replace(replace(regexp_replace(raw, '[\t\r\n]+', ' ', 'g'), chr(160), ' '), '\s{2,}', ' ', 'g')) AS text FROM lines0),
+lines1 AS (SELECT page_id, page_id * 2147483648 + pos AS unit_id, pos, lang, trim(regexp_replace(replace(regexp_replace(raw, '[\t\r\n]+', ' ', 'g'), chr(160), ' '), '\s{2,}', ' ', 'g')) AS text FROM lines0),
 lines2 AS (SELECT *, CASE WHEN pos = 0 THEN 'H1' WHEN pos % 6 = 3 THEN 'H2' WHEN pos % 6 = 4 THEN 'LI' ELSE 'P' END AS tag FROM lines1 WHERE text <> ''),
 units AS (SELECT *, CASE WHEN tag IN ('H1', 'H2') THEN 'heading' ELSE 'body' END AS role, CASE WHEN tag = 'LI' THEN 'append' ELSE 'after' END AS mode FROM lines2)"""
 

@@ -4,23 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexiweave.functions import text as tx
 from lexiweave.operators import prompts as pm
 from lexiweave.operators import provider as pr
 from lexiweave.operators import wires as wi
 from lexiweave.plans import fixtures as fx
 from lexiweave.plans.registry import query
 
-ITEMS = f"WITH {fx.UNITS}, items AS (SELECT page_id * 100 + pos // 4 AS batch, unit_id AS i, pos, text FROM units)"
+ITEMS = f"WITH {fx.UNITS}, items AS (SELECT {fx.BATCH} AS batch, unit_id AS i, pos, text FROM units)"
 
 
 #: Whether an item by itself is within the limit of UTF-16 units.
 FITS = r"length(text) + length(regexp_replace(text, '[^\x{10000}-\x{10FFFF}]', '', 'g')) <= 12000"
-FITS_NOT = FITS.replace("<= 12000", "> 3000")
+UNITS16 = FITS.removesuffix(" <= 12000")
 
 
 def batches(spark, d):
-    rows = fx.units(spark, d).select((F.col("page_id") * 100 + F.floor(F.col("pos") / 4)).alias("batch"), F.struct("pos", F.col("unit_id").alias("i"), "text").alias("m"))
+    rows = fx.units(spark, d).select(fx.batch_of(F.col("page_id"), F.col("pos")).alias("batch"), F.struct("pos", F.col("unit_id").alias("i"), "text").alias("m"))
     items = F.transform(F.array_sort(F.collect_list("m")), lambda m: F.struct(m["i"].alias("i"), m["text"].alias("text")))
     return rows.groupBy("batch").agg(items.alias("items"))
 
@@ -68,11 +67,16 @@ class Unreadable:
         return "Here you are!"
 
 
-@query("udf_budget", f"{ITEMS}, n AS (SELECT batch, count(*) AS n, bool_or({FITS_NOT}) AS long FROM items GROUP BY batch) SELECT batch, CASE n WHEN 1 THEN 3 WHEN 2 THEN 5 WHEN 3 THEN 7 ELSE 9 END AS attempts FROM n WHERE NOT long")
+BUDGET = f"""{ITEMS}, n AS (SELECT batch, list({UNITS16} ORDER BY pos) AS l FROM items GROUP BY batch),
+f AS (SELECT batch, len(l) AS n, list_sum(l) <= 12000 AS whole, list_sum(l[1:2]) <= 12000 AS p, list_sum(l[3:4]) <= 12000 AS q, list_transform(l, lambda x: CASE WHEN x <= 12000 THEN 3 ELSE 0 END) AS s FROM n)
+SELECT batch, CASE WHEN whole THEN [3, 5, 7, 9][n] WHEN n = 1 THEN 0 WHEN n = 2 THEN s[1] + s[2]
+ ELSE least(9, CASE WHEN p THEN 5 ELSE s[1] + s[2] END + CASE WHEN n = 3 THEN s[3] WHEN q THEN 5 ELSE s[3] + s[4] END) END AS attempts FROM f"""
+
+
+@query("udf_budget", BUDGET)
 def udf_budget(spark, d):
-    """Attempts of batches that fail throughout: three of the whole, then one of each part, nine at most."""
-    fit = batches(spark, d).where(F.forall("items", lambda m: tx.utf16_length(m["text"]) <= 3000))
-    return pr.translate(fit, Unreadable()).groupBy("batch").agg(F.max("attempts").alias("attempts"))
+    """Attempts of batches that fail throughout: three of the whole, then one of each part; parts that are too long are cut without an attempt; nine at most."""
+    return pr.translate(batches(spark, d), Unreadable()).groupBy("batch").agg(F.max("attempts").alias("attempts"))
 
 
 @query("udf_queue", f"""WITH j AS (SELECT user_id AS queue, event_id AS job, 1 + event_id % 9 AS takes, event_id % 4 = 0 AS gone FROM events),
@@ -103,7 +107,7 @@ once AS (SELECT batch, i, min(t) AS t FROM replies GROUP BY batch, i HAVING coun
 
 
 def replies(spark, d):
-    it = fx.units(spark, d).select((F.col("page_id") * 100 + F.floor(F.col("pos") / 4)).alias("batch"), F.col("unit_id").alias("i"), "text")
+    it = fx.units(spark, d).select(fx.batch_of(F.col("page_id"), F.col("pos")).alias("batch"), F.col("unit_id").alias("i"), "text")
     good = it.where("i % 11 <> 0").select("batch", "i", F.concat(F.lit("[fr] "), "text").alias("t"))
     twice = it.where("i % 13 = 0 AND i % 11 <> 0").select("batch", "i", F.lit("again").alias("t"))
     stray = it.where("i % 19 = 0").select("batch", (F.col("i") + 7).alias("i"), F.lit("stray").alias("t"))

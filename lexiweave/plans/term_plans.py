@@ -23,7 +23,7 @@ tok2 AS (SELECT *, CASE WHEN lower(token) IN ({STOPS}) OR regexp_matches(lower(t
 tokens AS (SELECT *, CASE WHEN kind = 'fixed' THEN 'fixed:' || token ELSE 'lexical:' || lower(token) END AS key, CASE kind WHEN 'fixed' THEN 4 WHEN 'lexical' THEN 2 ELSE 1 END AS kr FROM tok2 WHERE kind IS NOT NULL)"""
 MINED = """surf AS (SELECT page_id, key, token, count(*) AS n FROM tokens GROUP BY ALL),
 sl AS (SELECT page_id, key, string_agg(token || ':' || n, '|' ORDER BY n DESC, token) AS surfaces FROM surf GROUP BY ALL),
-tg AS (SELECT page_id, key, arg_min(token, pos * 100000 + idx) AS term, count(*) AS cnt, count(DISTINCT unit_id) AS n_units, max(kr) AS kr FROM tokens GROUP BY ALL HAVING count(DISTINCT unit_id) >= 2),
+tg AS (SELECT page_id, key, arg_min(token, pos * 2147483648 + idx) AS term, count(*) AS cnt, count(DISTINCT unit_id) AS n_units, max(kr) AS kr FROM tokens GROUP BY ALL HAVING count(DISTINCT unit_id) >= 2),
 tr AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY kr DESC, n_units DESC, cnt DESC, length(term) DESC, lower(term), term) AS rank FROM tg),
 mined AS (SELECT tr.page_id, term, CASE WHEN kr = 4 THEN term ELSE lower(term) END AS lemma, CASE kr WHEN 4 THEN 'fixed' WHEN 2 THEN 'lexical' ELSE 'structural' END AS kind, CASE WHEN kr = 4 THEN 'AUTO' ELSE 'OBSERVED' END AS trust, cnt, n_units, surfaces, rank
  FROM tr JOIN sl ON sl.page_id = tr.page_id AND sl.key = tr.key WHERE rank <= 48)"""
@@ -227,17 +227,19 @@ def jn_hint_out(spark, d):
     return rows.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
 
 
-POOL = r"""pool AS (SELECT p.page_id, c.term, c.term AS lemma, c.kind, CASE c.kind WHEN 'locked' THEN 50000 WHEN 'suggested' THEN 70000 ELSE 75000 END + c.pos AS ord FROM (SELECT DISTINCT page_id FROM mined) p, contract c
- UNION ALL SELECT page_id, term, lemma, kind, 100000 + rank FROM mined)"""
+POOL = r"""given AS (SELECT term, term AS lemma, kind, CASE kind WHEN 'locked' THEN 5 ELSE 7 END AS tier, (kind = 'risky')::INT AS risky, pos AS place FROM contract),
+pool AS (SELECT NULL AS page_id, * FROM given UNION ALL SELECT page_id, term, lemma, kind, 10, 0, rank FROM mined)"""
 
 
-@query("set_pool", f"WITH {fx.UNITS}, {fx.CONTRACT}, {TOKENS}, {MINED}, {POOL} SELECT page_id, term, lemma, kind, ord FROM pool")
+@query("set_pool", f"WITH {fx.UNITS}, {fx.CONTRACT}, {TOKENS}, {MINED}, {POOL} SELECT page_id, term, lemma, kind, tier, risky, place FROM pool")
 def set_pool(spark, d):
-    return tm.candidate_pool(fx.contract(spark, d), tm.mine(fx.units(spark, d)))
+    """Candidates of all pages: the contract's once (no page), each page's own mined ones."""
+    return tm.candidate_pool(fx.contract(spark, d), tm.mine(fx.units(spark, d))).select("page_id", "term", "lemma", "kind", "ord.tier", "ord.risky", "ord.place")
 
 
 TRACKED = r"""alltext AS (SELECT page_id, string_agg(text, chr(10) ORDER BY pos) AS body FROM units GROUP BY page_id),
-hit0 AS (SELECT pool.* FROM pool JOIN alltext USING (page_id) WHERE regexp_matches(body, CASE WHEN kind = 'fixed' THEN '' ELSE '(?i)' END || '(?:^|[^A-Za-z0-9_])' || term || '(?:$|[^A-Za-z0-9_])')),
+everywhere AS (SELECT DISTINCT m.page_id, g.* FROM mined m, given g UNION ALL SELECT * FROM pool WHERE page_id IS NOT NULL),
+hit0 AS (SELECT e.*, (tier, risky, place) AS ord FROM everywhere e JOIN alltext USING (page_id) WHERE regexp_matches(body, CASE WHEN kind = 'fixed' THEN '' ELSE '(?i)' END || '(?:^|[^A-Za-z0-9_])' || term || '(?:$|[^A-Za-z0-9_])')),
 hit1 AS (SELECT *, row_number() OVER (PARTITION BY page_id, lower(lemma), kind = 'lexical' ORDER BY ord) AS n, max((kind <> 'lexical')::INT) OVER (PARTITION BY page_id, lower(lemma)) AS prior FROM hit0),
 hit2 AS (SELECT * FROM hit1 WHERE n = 1 AND (kind <> 'lexical' OR prior = 0)),
 hit3 AS (SELECT *, row_number() OVER (PARTITION BY page_id, kind = 'lexical' ORDER BY ord) AS r, count_if(kind = 'lexical') OVER (PARTITION BY page_id) AS l, count_if(kind <> 'lexical') OVER (PARTITION BY page_id) AS p FROM hit2),
@@ -254,13 +256,7 @@ def top_tracked(spark, d):
 l AS (SELECT *, row_number() OVER (PARTITION BY page_id, lemma ORDER BY src DESC, ord DESC) AS n FROM u), f AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY src, ord) AS k FROM l WHERE n = 1) SELECT page_id, lemma, kind FROM f WHERE k <= 32""")
 def set_observe(spark, d):
     """Mined rows and the contract's, the last of each lemma, 32 a page."""
-    from pyspark.sql import Window
-
-    mined = tm.mine(fx.units(spark, d))
-    extra = mined.select("page_id").distinct().join(fx.contract(spark, d), F.lit(True)).select("page_id", F.col("term").alias("lemma"), "kind", F.lit(1).alias("src"), F.col("pos").cast("long").alias("ord"))
-    rows = mined.select("page_id", "lemma", "kind", F.lit(0).alias("src"), F.col("rank").alias("ord")).unionByName(extra)
-    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("page_id", "lemma").orderBy(F.desc("src"), F.desc("ord")))).where("n = 1")
-    return rows.withColumn("k", F.row_number().over(Window.partitionBy("page_id").orderBy("src", "ord"))).where("k <= 32").select("page_id", "lemma", "kind")
+    return tm.observed_pool(fx.contract(spark, d), tm.mine(fx.units(spark, d)))
 
 
 @query("prj_view", f"{FIX} SELECT format('{{}} of {{}} aligned', count(rendered), count(*)) AS line FROM seen")

@@ -59,3 +59,48 @@ def test_no_term_of_a_large_contract_is_lost(spark):
             assert tm.candidate_pool(contract, mined).count() == n + 1
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+@pytest.fixture(scope="module")
+def long_pages(spark, tmp_path_factory):
+    """Documents of 41, 401 and 100,001 lines next to short ones, and benchmark items with large ids."""
+    at = tmp_path_factory.mktemp("long")
+    counts = {1: 41, 2: 2, 3: 401, 4: 2, 5: 100_001, 6: 2}
+    docs = [(k, "\n".join(f"zeta line {k} {i}" for i in range(n)), "en") for k, n in counts.items()]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string").write.parquet(f"{at}/documents.parquet")
+    items = [(39_001, "zeta opens"), (39_002, "line follows"), (60_000, "absent word")]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{at}/benchmark.parquet")
+    return str(at), counts
+
+
+def test_batches_and_units_belong_to_one_page(spark, long_pages):
+    folder, counts = long_pages
+    units = fx.units(spark, folder)
+    assert units.select("unit_id").distinct().count() == sum(counts.values())
+    page = {r.unit_id: r.page_id for r in units.where("page_id < 5 OR pos < 8").collect()}
+    whole = flow_plans.batches(spark, folder)
+    assert whole.count() == sum(-(-n // 4) for n in counts.values())
+    for r in whole.collect():
+        assert len(r["items"]) <= 4 and len({page.get(m["i"], 5) for m in r["items"]}) == 1
+
+
+def test_pool_order_does_not_hang_on_item_ids(spark, long_pages):
+    folder, _ = long_pages
+    contract = fx.contract(spark, folder)
+    kinds = {r.term: r.kind for r in contract.collect()}
+    assert kinds == {"zeta": "suggested", "line": "risky", "absent": "locked"}
+    mined = spark.createDataFrame([(1, "Mined", "mined", "lexical", 1)], "page_id bigint, term string, lemma string, kind string, rank bigint")
+    order = [r.term for r in tm.candidate_pool(contract, mined).orderBy("ord").collect()]
+    assert order == ["absent", "zeta", "line", "Mined"]
+    units = spark.createDataFrame([(1, "zeta line mined absent"), (2, "zeta alone")], "page_id bigint, text string")
+    got = sorted((r.page_id, r.term) for r in tm.matched(contract, mined, units).collect())
+    assert got == [(1, "Mined"), (1, "absent"), (1, "line"), (1, "zeta")]  # page 2 mined nothing
+
+
+def test_budget_covers_long_items(spark, tmp_path):
+    """Every batch comes out, also those whose items are too long for a request."""
+    lengths = [[13_000], [5, 13_000], [7000, 7000], [7000, 5, 7000], [5, 5, 13_000, 5], [7000] * 4, [13_000] * 4, [1, 1, 1, 1]]
+    docs = [(i, "\n".join("a" * n for n in x)) for i, x in enumerate(lengths)]
+    spark.createDataFrame([(*d, "en") for d in docs], "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.batch // fx.BATCHES: r.attempts for r in entry.queries()["udf_budget"](spark, str(tmp_path)).collect()}
+    assert got == {0: 0, 1: 3, 2: 6, 3: 8, 4: 8, 5: 9, 6: 0, 7: 9}
