@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from lexiweave.operators import chunks as ch
 from lexiweave.operators import prompts as pm
 from lexiweave.operators import provider as pr
 from lexiweave.operators import wires as wi
 from lexiweave.plans import fixtures as fx
 from lexiweave.plans.registry import query
+from lexiweave.sources.cache_table import CacheTable
+from lexiweave.streaming.flows import shared_folder
 
 ITEMS = f"WITH {fx.UNITS}, items AS (SELECT {fx.BATCH} AS batch, unit_id AS i, pos, text FROM units)"
 
@@ -24,10 +29,37 @@ def batches(spark, d):
     return rows.groupBy("batch").agg(items.alias("items"))
 
 
-@query("udf_chunk", f"{ITEMS} SELECT i, {FITS} AND (i % 17 <> 0 OR NOT regexp_matches(text, '[\\p{{L}}\\p{{N}}]')) AS ok FROM items")
+def cached_batches(spark, d):
+    """Every other batch in the context of its page; every seventh does without the cache."""
+    return batches(spark, d).withColumns({"whole": F.col("batch") % 2 == 0, "use_cache": F.col("batch") % 7 != 0})
+
+
+def second_run(spark, d, **how):
+    """What a second run over the same batches gives, after a first one has filled an empty cache."""
+    table = CacheTable(spark, f"{shared_folder(spark)}/caches/{uuid.uuid4().hex}")
+    for run in ("first", "second"):
+        rows = ch.translate_cached(cached_batches(spark, d), table, run=run, semantic=["whole"], **how)
+    return rows
+
+
+CHUNK = f"""{ITEMS}, b AS (SELECT batch, list(text ORDER BY pos) AS texts FROM items GROUP BY batch),
+x AS (SELECT it.*, b.texts, it.batch % 2 = 0 AS whole, it.batch % 7 <> 0 AS use, row_number() OVER (PARTITION BY it.batch ORDER BY pos) AS place, {FITS} AND (i % 17 <> 0 OR NOT regexp_matches(text, '[\\p{{L}}\\p{{N}}]')) AS ok,
+ CASE WHEN i % 17 = 0 THEN '-' ELSE '[fr] ' || upper(replace(text, 'ß', 'ss')) END AS t FROM items it JOIN b ON b.batch = it.batch),
+y AS (SELECT *, bool_and(ok) OVER (PARTITION BY batch) AS complete, CASE WHEN whole THEN place END AS spot FROM x),
+e AS (SELECT texts, whole, spot, text, arg_min(t, (batch, i)) AS t FROM y WHERE use AND ok AND (NOT whole OR complete) GROUP BY texts, whole, spot, text),
+r AS (SELECT y.*, e.t AS kept FROM y LEFT JOIN e ON e.texts = y.texts AND e.whole = y.whole AND e.spot IS NOT DISTINCT FROM y.spot AND e.text = y.text),
+h AS (SELECT *, use AND CASE WHEN whole THEN bool_and(kept IS NOT NULL) OVER (PARTITION BY batch) ELSE kept IS NOT NULL END AS cached FROM r)
+SELECT batch, i, CASE WHEN cached THEN kept WHEN ok THEN t END AS t, cached OR ok AS ok, cached, NOT cached AND {FITS} AS asked FROM h"""
+
+
+@query("udf_chunk", CHUNK)
 def udf_chunk(spark, d):
-    """Only items that the provider spoils every time, or that are too long for it, stay failed."""
-    return pr.translate(batches(spark, d)).select("i", "ok")
+    """Chunks through plan, lookup, provider, write-back and merge, a second time: only what failed, or has no use of the cache, is asked for.
+
+    Only items that the provider spoils every time, or that are too long for it, stay failed.
+    """
+    rows = second_run(spark, d)
+    return rows.select("batch", "i", "t", "ok", "cached", (F.col("attempts") > 0).alias("asked"))
 
 
 @query("udf_split", f"{ITEMS}, n AS (SELECT batch, count(*) AS n, count_if(i % 17 = 0) AS bad, count_if(i % 11 = 0) AS gone, count_if(i % 13 = 0) AS twice FROM items GROUP BY batch) SELECT batch, n > 0 AND (bad > 0 OR (gone > 0 AND n > 1) OR (twice > 0 AND n > 2)) AS was_split FROM n")
@@ -35,9 +67,10 @@ def udf_split(spark, d):
     return pr.translate(batches(spark, d)).groupBy("batch").agg((F.max("splits") > 0).alias("was_split"))
 
 
-@query("udf_mtchunk", f"{ITEMS} SELECT i, regexp_replace(upper(replace(text, 'ß', 'ss')), '\\s+$', '') AS t FROM items")
+@query("udf_mtchunk", f"{ITEMS} SELECT i, regexp_replace(upper(replace(text, 'ß', 'ss')), '\\s+$', '') AS t, batch % 7 <> 0 AS cached FROM items")
 def udf_mtchunk(spark, d):
-    return pr.translate(batches(spark, d), machine=True).select("i", F.upper(F.replace("t", F.lit("ß"), F.lit("ss"))).alias("t"))
+    """Machine batches, all or nothing, a second time: the cache has them all."""
+    return second_run(spark, d, machine=True).select("i", F.upper(F.replace("t", F.lit("ß"), F.lit("ss"))).alias("t"), "cached")
 
 
 class Spoiling:

@@ -23,18 +23,22 @@ def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet")
     return spark.readStream.schema(EVENTS).option("pathGlobFilter", name).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; only a master on one machine may go without."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    return at or tempfile.mkdtemp(prefix="lexiweave-")
+
+
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there now and read what it wrote.
+    """Run a stream over all that is there now and read what it wrote; the stream runs while the plan is made.
 
     Sink and checkpoint lie in the folder the cluster shares; the file sink's
     commit log makes retried micro-batches idempotent.
     """
     spark = stream.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at and not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
-    at = at or tempfile.mkdtemp(prefix="lexiweave-")
-    at = f"{at}/streams/{name}-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/streams/{name}-{uuid.uuid4().hex}"
     writer = stream.writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
     if mode == "append":
         writer.format("parquet").option("path", f"{at}/out").outputMode("append").start().awaitTermination()
