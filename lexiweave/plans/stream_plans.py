@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lexiweave.plans import fixtures as fx
 from lexiweave.plans.registry import query
 from lexiweave.streaming import flows as fl
+from lexiweave.streaming import timed as td
 
 
 def events(spark, d):
@@ -72,14 +73,24 @@ def flt_relevant_mut(spark, d):
 
 @query("stm_debounce", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 400 MILLISECONDS THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM g) SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM s GROUP BY user_id, b")
 def stm_debounce(spark, d):
-    bursts = fl.drained(fl.debounced(stream(spark, d), "user_id"), "debounce", "complete")
+    """Bursts come out once the watermark has passed them, so only open ones are held."""
+    rows = td.replayed_stream(events(spark, d).select("user_id", "ts"), "ts")
+    bursts = fl.drained(fl.debounced(rows, "user_id"), "debounce").where("user_id IS NOT NULL")
     return bursts.select("user_id", F.unix_micros("start").alias("start_us"), "n")
 
 
-@query("stm_delay", "SELECT user_id, (epoch_us(ts) // 150000) * 150000 AS start_us, count(*) AS n FROM events GROUP BY ALL")
+SLOT_MS = 6 * 3600 * 1000
+
+
+@query("stm_delay", f"""WITH i AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, event_type = 'signup' AS answer FROM events), s AS (SELECT user_id, ms // {SLOT_MS} AS slot, count(*) AS n FROM i WHERE NOT answer GROUP BY ALL),
+f AS (SELECT user_id, min(slot) AS first FROM s GROUP BY user_id), a AS (SELECT f.user_id, first, min(ms) AS answered FROM f LEFT JOIN i ON i.user_id = f.user_id AND answer AND ms >= (first + 1) * {SLOT_MS} GROUP BY ALL)
+SELECT s.user_id, slot, n, CASE WHEN slot = first THEN (slot + 1) * {SLOT_MS} ELSE greatest((slot + 1) * {SLOT_MS}, answered) END AS released_ms FROM s JOIN a ON a.user_id = s.user_id WHERE slot = first OR answered IS NOT NULL""")
 def stm_delay(spark, d):
-    got = fl.drained(fl.batched(stream(spark, d), "150 milliseconds", "user_id"), "delay", "update")
-    return got.groupBy("user_id", F.unix_micros("start").alias("start_us")).agg(F.max("n").alias("n"))
+    """Arrivals of six hours are a batch; all but a user's first wait until that one is answered."""
+    kind = F.when(F.col("event_type") == "signup", "answer").otherwise("item")
+    rows = events(spark, d).select(F.col("user_id").cast("long").alias("user_id"), "ts", F.unix_millis("ts").alias("at_ms"), F.col("event_id").alias("seq"), kind.alias("kind"))
+    out = td.drained_state(spark, "delay", lambda: td.stateful(td.replayed_stream(rows, "ts"), "user_id", td.Barrier(SLOT_MS), td.Barrier.OUT))
+    return out.where("user_id IS NOT NULL")
 
 
 @query("stm_heartbeat", "SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id, epoch_ms(ts) // 20000")
