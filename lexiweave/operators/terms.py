@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiweave.functions import text as tx
+from lexiweave.operators.matcher import contained
 
 MOST_MINED, LEAST_UNITS, LEAST_LENGTH = 48, 2, 3
 MOST_TRACKED, LEXICAL_RESERVE = 32, 8
@@ -116,9 +117,9 @@ def held(mined: DataFrame, units: DataFrame) -> DataFrame:
 def matched(contract: DataFrame, mined: DataFrame, units: DataFrame) -> DataFrame:
     """Candidates that occur in their page's units, one for each lemma, on pages that have mined terms: page_id, term, lemma, kind, ord.
 
-    The contract's terms are found by their words, not tried on every page.
+    The contract's terms are found by one automaton, not tried on every page.
     """
-    given = term_hits(units.select("page_id", "text"), contract).select("page_id", "term").distinct().join(contract, "term").withColumn("stands", F.lit(True))
+    given = term_hits(units.select("page_id", "text"), contract, "pos").select("page_id", "term", "kind", "pos").distinct().withColumn("stands", F.lit(True))
     rows = pooled(given, held(mined, units), "stands")
     own = F.max(F.col("ord.tier") == MINED_TIER).over(Window.partitionBy("page_id"))
     return one_of_each(rows.withColumn("own", own).where(F.col("own") & F.col("stands")).drop("own", "stands"))
@@ -141,32 +142,9 @@ def ascii_lower(x: Column) -> Column:
     return F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def first_word(low: Column) -> Column:
-    """The first run of letters, digits and _ of a lower-case term, empty if it has none."""
-    return F.regexp_extract(low, "[a-z0-9_]+", 0)
-
-
-def words_in(low: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(low, "[^a-z0-9_]+"), lambda x: x != ""))
-
-
-def with_wordless(found, units: DataFrame, terms: DataFrame) -> DataFrame:
-    """found and, for terms of no such word, units tried with each of them; few scripts have them."""
-    odd = terms.where("word = ''")
-    if odd.isEmpty():
-        return found
-    return found.unionByName(units.join(odd, F.contains(F.lower("text"), F.lower("term"))).drop("word"))
-
-
-def term_hits(units: DataFrame, contract: DataFrame) -> DataFrame:
-    """Units with each term they hold: the unit's columns, term, kind, surface.
-
-    A bounded term has its first word among the text's words, so units meet terms
-    by that word, and only those that share it are searched.
-    """
-    c = contract.select("term", "kind", first_word(ascii_lower(F.col("term"))).alias("word"))
-    rows = units.withColumn("word", F.explode(words_in(ascii_lower(F.col("text"))))).join(c.where("word <> ''"), "word").drop("word")
-    rows = with_wordless(rows, units, c)
+def term_hits(units: DataFrame, contract: DataFrame, *more: str) -> DataFrame:
+    """Units with each term that stands bounded in them: the unit's columns, term, kind, surface, and the contract's columns named."""
+    rows = contained(units, contract.select("term", "kind", *more), ascii_lower)
     return rows.withColumn("surface", tx.find_term(F.col("text"), F.col("term"), F.col("kind") == "fixed")).where("surface IS NOT NULL")
 
 
@@ -178,25 +156,10 @@ def coverage(contract: DataFrame, units: DataFrame) -> DataFrame:
     return both.groupBy("kind").agg(F.count("*").alias("total"), F.count_if("hit").alias("matched"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("hit").isNull(), F.col("term")))), ",").alias("unmatched"))
 
 
-def containing(units: DataFrame, terms: DataFrame) -> DataFrame:
-    """Units with each term that their text holds anywhere, also inside a word; letter case apart.
-
-    Terms are tried on the distinct words of all units, and units meet terms by
-    these words; a unit that has several such words repeats.
-    """
-    c = terms.withColumn("word", first_word(F.lower("term")))
-    some = c.where("word <> ''")
-    each = units.withColumn("seen", F.explode(words_in(F.lower("text"))))
-    parts = some.select("word").distinct()
-    inside = each.select("seen").distinct().join(parts, F.contains("seen", "word"))
-    rows = each.join(inside, "seen").drop("seen").join(some, "word").drop("word").where(F.contains(F.lower("text"), F.lower("term")))
-    return with_wordless(rows, units, c)
-
-
 def drift(units: DataFrame, contract: DataFrame) -> DataFrame:
     """The first term of each finished unit whose locked rendering its translation lacks."""
     c = contract.where((F.length("term") >= 4) & (F.coalesce("target", F.lit("")) != "") & (F.lower("term") != F.lower("target"))).select("term", "target", F.col("pos").alias("at"))
-    rows = containing(units.where("state = 'done'").select("unit_id", "text", "t"), c).where(~F.contains("t", "target"))
+    rows = contained(units.where("state = 'done'").select("unit_id", "text", "t"), c).where(~F.contains("t", "target"))
     return rows.groupBy("unit_id").agg(F.min_by(F.struct("term", "target", F.substring("text", 1, 80).alias("excerpt")), F.struct("at", "term")).alias("m")).select("unit_id", "m.term", "m.target", "m.excerpt")
 
 
