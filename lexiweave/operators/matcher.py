@@ -59,8 +59,8 @@ def contained(units: DataFrame, terms: DataFrame, low: Callable[[Column], Column
     """
     spark = units.sparkSession
     rows = terms.select(low(F.col(term)).alias("_pattern"), F.struct(*terms.columns).alias("_row")).where("_pattern <> ''")
-    bytes_ = rows.agg(F.sum(F.octet_length("_pattern") + F.length(F.to_json("_row")) + 64)).first()[0] or 0
-    shards = max(1, -(-bytes_ // most_bytes))
+    seen = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("_pattern") + F.length(F.to_json("_row")) + 64).alias("size")).first()
+    shards = max(1, min(seen["n"], -(-(seen["size"] or 0) // most_bytes)))
     kind = to_arrow_type(rows.schema["_row"].dataType)
     schema = T.StructType([*units.schema.fields]).add("hit", rows.schema["_row"].dataType)
     texts, out = units.select("*", low(F.col(text)).alias("_low")), None
