@@ -2,13 +2,41 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiweave.streaming.flows import shared_folder
+
 RING, SHORT_RING, STOP_AFTER = 240, 80, 3
+#: Rows of a range that is numbered in one task, and of a block of a log.
+MOST_IN_RANGE, BLOCK = 1_000_000, 100_000
 TRANSLATIONS, PREFLIGHTS = ("translate-chunk", "translate-failed"), ("preflight", "preflight-failed")
 
 
+def numbered(rows: DataFrame, key: str, order: tuple[str, ...], most: int = MOST_IN_RANGE) -> DataFrame:
+    """Adds n: the place of each row in its log, from 1 on, by order (unique in a log, or ties are in no order).
+
+    A log may hold any share of all rows: rows are dealt out by ranges of (log,
+    order) of about ``most`` rows, numbered in each, and each range begins where
+    the counts of those before it end. The ranges are written down first, as
+    their bounds are sampled and a lost range must come back the same.
+    """
+    parts = -(-rows.count() // most)
+    if parts <= 1:
+        return rows.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long"))
+    at = f"{shared_folder(rows.sparkSession)}/ranges/{uuid.uuid4().hex}"
+    rows.repartitionByRange(parts, key, *order).withColumn("_range", F.spark_partition_id()).write.parquet(at)
+    dealt = rows.sparkSession.read.parquet(at)
+    counts = dealt.groupBy(key, "_range").agg(F.count("*").alias("_rows"))
+    before = F.sum("_rows").over(Window.partitionBy(key).orderBy("_range")) - F.col("_rows")
+    starts = counts.select(F.col(key).alias("_key"), F.col("_range").alias("_at"), before.alias("_before"))
+    place = F.row_number().over(Window.partitionBy(key, "_range").orderBy(*order))
+    joined = dealt.join(starts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_at")))
+    return joined.withColumn("n", (place + F.col("_before")).cast("long")).select(*rows.columns, "n")
+
+
 def ring(log: DataFrame, most: int = RING) -> DataFrame:
     """The last so many rows of each log."""
     return log.withColumn("_r", F.row_number().over(Window.partitionBy("log_id").orderBy(F.desc("n")))).where(F.col("_r") <= most).drop("_r")
@@ -59,12 +87,26 @@ def attempts(calls: DataFrame) -> DataFrame:
     return calls.groupBy("reason").agg(F.count("*").alias("n"))
 
 
-def streaks(log: DataFrame, stop_after: int = STOP_AFTER) -> DataFrame:
-    """Runs of the same error in a log with nothing else between: log_id, category, first, length, stops."""
-    w = Window.partitionBy("log_id").orderBy("n")
-    rows = log.withColumn("new", F.when(F.col("category").eqNullSafe(F.lag("category").over(w)), 0).otherwise(1)).withColumn("run", F.sum("new").over(w)).where("category IS NOT NULL")
-    out = rows.groupBy("log_id", "run", "category").agg(F.min("n").alias("first"), F.count("*").alias("length"))
-    return out.select("log_id", "category", "first", "length", (F.col("length") >= stop_after).alias("stops"))
+def streaks(log: DataFrame, stop_after: int = STOP_AFTER, block: int = BLOCK) -> DataFrame:
+    """Runs of the same error in a log with nothing else between: log_id, category, first, length, stops.
+
+    Runs are found in blocks of a log. Only the first and the last run of a
+    block can go on in a neighbour, so only these meet the other blocks' ones.
+    """
+    blocks = log.select("log_id", "n", "category", F.floor((F.col("n") - 1) / block).alias("block"))
+    within = Window.partitionBy("log_id", "block").orderBy("n")
+    fresh = lambda w: F.when(F.row_number().over(w) == 1, 1).when(F.col("category").eqNullSafe(F.lag("category").over(w)), 0).otherwise(1)
+    rows = blocks.withColumn("new", fresh(within)).withColumn("run", F.sum("new").over(within))
+    runs = rows.groupBy("log_id", "block", "run", "category").agg(F.min("n").alias("first"), F.count("*").alias("length"))
+    last = F.max("run").over(Window.partitionBy("log_id", "block"))
+    runs = runs.withColumn("edge", (F.col("run") == 1) | (F.col("run") == last))
+    inner = runs.where("NOT edge AND category IS NOT NULL").select("log_id", "category", "first", "length")
+    along = Window.partitionBy("log_id").orderBy("first")
+    goes_on = F.col("category").eqNullSafe(F.lag("category").over(along)) & (F.lag(F.col("first") + F.col("length")).over(along) == F.col("first"))
+    edges = runs.where("edge").withColumn("new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("chain", F.sum("new").over(along))
+    whole = edges.where("category IS NOT NULL").groupBy("log_id", "chain", "category").agg(F.min("first").alias("first"), F.sum("length").alias("length"))
+    out = inner.unionByName(whole.select("log_id", "category", "first", "length"))
+    return out.withColumn("stops", F.col("length") >= stop_after)
 
 
 def merged_runtime(batches: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiweave.functions.text import normalize
+from lexiweave.operators.logs import numbered
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,9 +82,7 @@ def lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     category = F.when(F.col("event_type") == "error", F.when(k % 3 == 0, "timeout").when(k % 3 == 1, "rate-limit").otherwise("network"))
     rows = e.select("event_id", F.col("ts").cast("timestamp").alias("stamp"), "user_id", name.alias("event"), k.alias("k"), category.alias("category"))
     rows = rows.withColumns({"log_id": F.date_format("stamp", "yyyy-MM-dd"), "requests": F.when(F.col("k") % 50 != 7, F.col("k") % 4), "failed": F.col("k") % 3, "epoch": F.concat(F.lit("e"), F.floor(F.col("event_id") / 997)), "hit": F.col("k") % 5 == 0})
-    from pyspark.sql import Window
-
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy("log_id").orderBy("stamp", "event_id")).cast("long"))
+    return numbered(rows, "log_id", ("stamp", "event_id"))
 
 
 LIFECYCLE = r"""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexiweave.functions import scalars as sc
@@ -52,8 +51,8 @@ def agg_logwin(spark, d):
 
 @query("agg_logwin_user", f"""WITH {fx.LIFECYCLE.replace("strftime(stamp, '%Y-%m-%d')", "CAST(user_id AS VARCHAR)")}, {WINDOW} SELECT * FROM w""")
 def agg_logwin_user(spark, d):
-    log = fx.lifecycle(spark, d).withColumn("log_id", F.col("user_id").cast("string"))
-    return lo.log_window(log.withColumn("n", F.row_number().over(Window.partitionBy("log_id").orderBy("stamp", "event_id")).cast("long")))
+    log = fx.lifecycle(spark, d).drop("n").withColumn("log_id", F.col("user_id").cast("string"))
+    return lo.log_window(lo.numbered(log, "log_id", ("stamp", "event_id")))
 
 
 @query("agg_restart", f"{LIFE} SELECT log_id, CASE WHEN count(DISTINCT epoch) > 1 THEN true WHEN bool_or(event = 'session-open') AND max(n) <= 240 THEN false END AS restarted FROM lifecycle GROUP BY log_id")
