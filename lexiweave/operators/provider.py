@@ -132,12 +132,20 @@ class Ask:
         return [Ask(x, self.depth + 1, reason) for x in (items[:cut], items[cut:]) if x]
 
 
-def too_long(provider, items) -> bool:
-    """Beyond the limits of the sources (UTF-16 units) or of the prompt that the provider makes of them."""
-    if sum(len(t.encode("utf-16-le", "surrogatepass")) // 2 for _, t in items) > MOST_SOURCE:
-        return True
+def source_units(items) -> int:
+    """UTF-16 units of the sources."""
+    return sum(len(t.encode("utf-16-le", "surrogatepass")) // 2 for _, t in items)
+
+
+def compiled_chars(provider, items) -> int:
+    """Characters of the prompt that the provider makes of items; 0 where it makes none."""
     made = getattr(provider, "messages", None)
-    return bool(made) and sum(map(len, made(list(items)))) > MOST_COMPILED
+    return sum(map(len, made(list(items)))) if made else 0
+
+
+def too_long(provider, items) -> bool:
+    """Beyond the limits of the sources or of the prompt that the provider makes of them."""
+    return source_units(items) > MOST_SOURCE or compiled_chars(provider, items) > MOST_COMPILED
 
 
 def answer(provider, ask: Ask, run: Run) -> tuple[str, dict[int, str]]:
@@ -249,6 +257,42 @@ def translate(batches: DataFrame, provider=None, machine: bool = False, concurre
     return rows.mapInArrow(_calling(provider or Mock(), machine), "batch bigint, i bigint, t string, ok boolean, attempts bigint, splits bigint")
 
 
+def by_batch(make: Callable, kinds: list[tuple[str, str]]):
+    """An Arrow step over (batch, items, more...): make(items, *more) gives rows without the batch, which goes before them."""
+    arrow = {"bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for key, members, *more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows += [(key, *r) for r in make([(m["i"], m["text"]) for m in members], *more)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], arrow[k]) for j, (_, k) in enumerate(kinds)], [n for n, _ in kinds])
+
+    return run, ", ".join(f"{n} {k}" for n, k in kinds)
+
+
+def fitting(batches: DataFrame, provider) -> DataFrame:
+    """batch, units (UTF-16, of the sources), compiled (characters of the prompt), fits: whether one request may take the batch."""
+    make = lambda items: [(source_units(items), compiled_chars(provider, items), not too_long(provider, items))]
+    return batches.select("batch", "items").mapInArrow(*by_batch(make, [("batch", "bigint"), ("units", "bigint"), ("compiled", "bigint"), ("fits", "boolean")]))
+
+
+def packed(batches: DataFrame, context: str = "") -> DataFrame:
+    """batch, packed, prefix: each batch as one text with markers."""
+    make = lambda items: [pack_markers(items, context)]
+    return batches.select("batch", "items").mapInArrow(*by_batch(make, [("batch", "bigint"), ("packed", "string"), ("prefix", "string")]))
+
+
+def unpacked(replies: DataFrame) -> DataFrame:
+    """batch, i, t of replies (batch, items, reply, prefix); t is null throughout a batch whose markers are missing, doubled or out of order."""
+
+    def make(items, reply, prefix):
+        got = unpack_markers(reply or "", items, prefix) or {}
+        return [(i, got.get(i)) for i, _ in items]
+
+    return replies.select("batch", "items", "reply", "prefix").mapInArrow(*by_batch(make, [("batch", "bigint"), ("i", "bigint"), ("t", "string")]))
+
+
 def _retrying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []

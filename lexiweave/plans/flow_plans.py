@@ -112,19 +112,42 @@ def udf_budget(spark, d):
     return pr.translate(batches(spark, d), Unreadable()).groupBy("batch").agg(F.max("attempts").alias("attempts"))
 
 
-@query("udf_queue", f"""WITH j AS (SELECT user_id AS queue, event_id AS job, 1 + event_id % 9 AS takes, event_id % 4 = 0 AS gone FROM events),
-r AS (SELECT *, coalesce(sum(CASE WHEN gone THEN 0 ELSE takes END) OVER (PARTITION BY queue ORDER BY job ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS t FROM j) SELECT queue, job, CASE WHEN NOT gone THEN t END AS started FROM r""")
+QUEUE = """WITH RECURSIVE j AS (SELECT user_id AS queue, event_id AS job, 1 + event_id % 9 AS takes, CASE WHEN event_id % 4 = 0 THEN event_id % 7 * 15 END AS cancelled, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place FROM events),
+r AS (SELECT queue, 0::BIGINT AS place, NULL::BIGINT AS job, NULL::BIGINT AS started, [0, 0, 0]::BIGINT[] AS free FROM (SELECT DISTINCT queue FROM j)
+ UNION ALL SELECT j.queue, j.place, j.job, CASE WHEN cancelled <= free[1] THEN NULL ELSE free[1] END, CASE WHEN cancelled <= free[1] THEN free ELSE list_sort(list_append(free[2:], free[1] + takes)) END FROM r JOIN j ON j.queue = r.queue AND j.place = r.place + 1)
+SELECT queue, job, started FROM r WHERE job IS NOT NULL"""
+
+
+@query("udf_queue", QUEUE)
 def udf_queue(spark, d):
-    """Jobs of each user one at a time in order; those cancelled at the outset never start."""
-    e = fx.table(spark, d, "events")
-    jobs = e.select(F.col("user_id").cast("long").alias("queue"), F.col("event_id").cast("long").alias("job"), (1 + F.col("event_id") % 9).cast("long").alias("takes"), F.when(F.col("event_id") % 4 == 0, F.lit(0)).cast("long").alias("cancelled"))
-    return pr.queued(jobs, 1)
+    """Jobs of each user in order, three at a time; some are cancelled at once, some while they wait, some too late."""
+    e, i = fx.table(spark, d, "events"), F.col("event_id").cast("long")
+    jobs = e.select(F.col("user_id").cast("long").alias("queue"), i.alias("job"), (1 + i % 9).alias("takes"), F.when(i % 4 == 0, i % 7 * 15).alias("cancelled"))
+    return pr.queued(jobs, 3)
+
+
+#: What a model's prompt has beside the items; the long one carries as much background as it may.
+LONG = "b" * 45_000
+
 
+class LongPrompt(wi.Model):
+    def messages(self, items):
+        system, user = super().messages(items)
+        return system + LONG, user
 
-@query("udf_request", f"{ITEMS} SELECT batch, sum(length(text)) <= 12000 AS fits FROM items GROUP BY batch")
+
+REQUEST = f"""{ITEMS}, p AS (SELECT i // 2147483648 AS batch, sum({UNITS16})::BIGINT AS units, length('Translate each item into fr.') + length('{{"items": [' || string_agg('{{"i": ' || i || ', "t": ' || to_json(text) || '}}', ', ' ORDER BY pos) || ']}}') AS compiled FROM items GROUP BY ALL),
+b AS (SELECT 'plain' AS prompt, * FROM p UNION ALL SELECT 'long', batch, units, compiled + {len(LONG)} FROM p) SELECT *, units <= 12000 AND compiled <= 48000 AS fits FROM b"""
+
+
+@query("udf_request", REQUEST)
 def udf_request(spark, d):
-    total = F.aggregate("items", F.lit(0).cast("long"), lambda a, m: a + F.length(m["text"]))
-    return batches(spark, d).select("batch", (total <= pr.MOST_SOURCE).alias("fits"))
+    """Whole pages against the limits of a request, of the sources and of the prompt made of them, with a plain and a long prompt."""
+    m = F.struct("pos", F.col("unit_id").alias("i"), "text")
+    pages = fx.units(spark, d).groupBy(F.col("page_id").alias("batch")).agg(F.array_sort(F.collect_list(m)).alias("m"))
+    pages = pages.select("batch", F.transform("m", lambda x: F.struct(x["i"].alias("i"), x["text"].alias("text"))).alias("items"))
+    of = lambda name, model: pr.fitting(pages, model).withColumn("prompt", F.lit(name))
+    return of("plain", wi.Model(wi.Offline())).unionByName(of("long", LongPrompt(wi.Offline())))
 
 
 @query("udf_retry", """WITH c AS (SELECT event_id AS key, event_id % 4 AS failures, CASE WHEN event_id % 10 = 3 THEN 1500 ELSE 0 END AS after_ms FROM events)
@@ -178,18 +201,25 @@ def stm_late_attempt(spark, d):
     return rows.groupBy("unit_id").agg(F.max_by("t", "attempt").alias("t"))
 
 
-@query("fn_pack", f"{ITEMS} SELECT batch, string_agg('#' || i || chr(10) || text, chr(10) ORDER BY pos) AS packed FROM items GROUP BY batch")
+PACKED = f"""{ITEMS}, n AS (SELECT batch, left(sha256('[[' || string_agg('[' || i || ', ' || to_json(text) || ']', ', ' ORDER BY pos) || '], ""]'), 16) AS nonce FROM items GROUP BY batch),
+u AS (SELECT items.*, '__LW_' || nonce || '_' AS prefix, row_number() OVER (PARTITION BY items.batch ORDER BY pos) - 1 AS place FROM items JOIN n ON n.batch = items.batch)"""
+
+
+@query("fn_pack", f"{PACKED} SELECT batch, prefix, string_agg(prefix || 'UNIT_' || place || '__' || chr(10) || text, chr(10) ORDER BY place) || chr(10) || prefix || 'END__' AS packed FROM u GROUP BY batch, prefix")
 def fn_pack(spark, d):
-    """Marked concatenation as an expression; the marker protocol with nonces is in the provider module."""
-    return batches(spark, d).select("batch", F.array_join(F.transform("items", lambda m: F.concat(F.lit("#"), m["i"].cast("string"), F.lit("\n"), m["text"])), "\n").alias("packed"))
+    """Batches as one text; the markers' name hangs on the texts."""
+    return pr.packed(batches(spark, d))
 
 
-@query("fn_unpack", f"{ITEMS} SELECT i, text AS t FROM items")
+@query("fn_unpack", f"{PACKED} SELECT batch, i, CASE WHEN batch % 5 < 3 THEN NULL ELSE regexp_replace(text, '\\s+$', '') END AS t FROM u")
 def fn_unpack(spark, d):
-    marked = F.concat(F.array_join(F.transform("items", lambda m: F.concat(F.lit("\u0001"), m["i"].cast("string"), F.lit("\n"), m["text"])), "\n"), F.lit("\n\u0002"))
-    parts = F.regexp_extract_all(marked, F.lit("\u0001([0-9]+\n[^\u0001\u0002]*)\n(?=[\u0001\u0002])"), F.lit(1))
-    rows = batches(spark, d).select(F.explode(parts).alias("p"))
-    return rows.select(F.split_part("p", F.lit("\n"), F.lit(1)).cast("long").alias("i"), F.expr("substring(p, instr(p, '\n') + 1)").alias("t"))
+    """Replies that lost a marker, have two in the wrong order or one twice are void as a whole."""
+    rows = batches(spark, d)
+    sent = pr.packed(rows).join(rows, "batch")
+    first, second, spare = (F.concat("prefix", F.lit(x)) for x in ("UNIT_0__", "UNIT_1__", "UNIT_X__"))
+    swapped = F.replace(F.replace(F.replace("packed", first, spare), second, first), spare, second)
+    spoilt = F.when(F.col("batch") % 5 == 0, F.replace("packed", first, F.lit(""))).when(F.col("batch") % 5 == 1, swapped).when(F.col("batch") % 5 == 2, F.replace("packed", first, F.concat(first, F.lit("\n"), first)))
+    return pr.unpacked(sent.withColumn("reply", F.coalesce(spoilt, "packed")))
 
 
 def said(text: str) -> str:

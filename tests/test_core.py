@@ -184,3 +184,32 @@ def test_markers():
     assert pr.unpack_markers(text, items, prefix) == {11: "a\nb", 19: "c"}
     assert pr.unpack_markers(text.replace("UNIT_1__", "UNIT_2__"), items, prefix) is None
     assert pr.translate_machine(pr.Mock(), items, pr.Run(), "context")[0] == {11: "A\nB", 19: "C"}
+
+
+def plain_queue(jobs, limit):
+    """Jobs (takes, cancelled) in order: when each starts."""
+    free, out = [0] * limit, []
+    for takes, cancelled in jobs:
+        now = min(free)
+        if cancelled is not None and cancelled <= now:
+            out.append(None)
+        else:
+            free[free.index(now)] = now + takes
+            out.append(now)
+    return out
+
+
+def test_queues_of_every_limit(spark):
+    """One to eight at once; jobs cancelled at the outset, while they wait, and when it is too late."""
+    import random
+
+    r = random.Random(6)
+    queues = {q: [(r.randint(1, 9), r.choice([None, None, 0, r.randint(1, 60)])) for _ in range(40)] for q in (1, 2)}
+    rows = [(q, n, *job) for q, jobs in queues.items() for n, job in enumerate(jobs)]
+    frame = spark.createDataFrame(rows, "queue bigint, job bigint, takes bigint, cancelled bigint").repartition(3)
+    for limit in (1, 2, 3, 5, 8, 20):
+        got = {(x.queue, x.job): x.started for x in pr.queued(frame, limit).collect()}
+        want = {(q, n): at for q, jobs in queues.items() for n, at in enumerate(plain_queue(jobs, min(limit, 8)))}
+        assert got == want
+    started = [x for x in plain_queue(queues[1], 1)]
+    assert any(a is None and c for a, (_, c) in zip(started, queues[1], strict=True)) and any(a is not None and c and c > a for a, (_, c) in zip(started, queues[1], strict=True))
