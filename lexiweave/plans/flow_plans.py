@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexiweave.operators import chunks as ch
@@ -13,6 +14,7 @@ from lexiweave.operators import wires as wi
 from lexiweave.plans import fixtures as fx
 from lexiweave.plans.registry import query
 from lexiweave.sources.cache_table import CacheTable
+from lexiweave.streaming import timed as td
 from lexiweave.streaming.flows import shared_folder
 
 ITEMS = f"WITH {fx.UNITS}, items AS (SELECT {fx.BATCH} AS batch, unit_id AS i, pos, text FROM units)"
@@ -194,11 +196,24 @@ def jn_commit(spark, d):
     return waiting.join(once(rows).withColumn("attempt", F.lit(1)), ["batch", "i", "attempt"]).select("i", "t")
 
 
-@query("stm_late_attempt", f"WITH {fx.UNITS}, a AS (SELECT unit_id, 1 AS attempt, text AS t FROM units UNION ALL SELECT unit_id, 2, upper(replace(text, 'ß', 'ss')) FROM units WHERE unit_id % 3 = 0) SELECT unit_id, arg_max(t, attempt) AS t FROM a GROUP BY unit_id")
+ATTEMPTS = """WITH s AS (SELECT user_id * 4 + event_id % 4 AS unit, event_id, epoch_us(ts) // 1000 AS ms, CASE WHEN event_id % 23 = 0 THEN 'detach' WHEN event_id % 3 = 0 THEN 'start' ELSE 'result' END AS kind FROM events),
+m AS (SELECT *, max(CASE WHEN kind = 'start' THEN ms END) OVER w AS start_ms, arg_max(CASE WHEN kind = 'start' THEN event_id END, CASE WHEN kind = 'start' THEN (ms, event_id) END) OVER w AS attempt, max(CASE WHEN kind = 'detach' THEN ms END) OVER w AS detach_ms FROM s WINDOW w AS (PARTITION BY unit ORDER BY ms, event_id)),
+r AS (SELECT *, attempt IS NULL AS unknown, attempt IS NOT NULL AND coalesce(detach_ms > start_ms, false) AS off, event_id % 5 = 0 AS older FROM m WHERE kind = 'result')
+SELECT event_id, CASE WHEN unknown THEN 'unknown' WHEN off THEN 'detached' WHEN older THEN 'late' WHEN row_number() OVER (PARTITION BY unit, attempt, off, older ORDER BY ms, event_id) = 1 THEN 'committed' ELSE 'repeated' END AS outcome FROM r"""
+
+
+@query("stm_late_attempt", ATTEMPTS)
 def stm_late_attempt(spark, d):
-    u = fx.units(spark, d)
-    rows = u.select("unit_id", F.lit(1).alias("attempt"), F.col("text").alias("t")).unionByName(u.where("unit_id % 3 = 0").select("unit_id", F.lit(2).alias("attempt"), F.upper(F.replace("text", F.lit("ß"), F.lit("ss"))).alias("t")))
-    return rows.groupBy("unit_id").agg(F.max_by("t", "attempt").alias("t"))
+    """Results of units' attempts as a stream: those of earlier attempts, of units off the page and second ones are not committed."""
+    e = fx.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    i = F.col("event_id").cast("long")
+    kind = F.when(i % 23 == 0, "detach").when(i % 3 == 0, "start").otherwise("result")
+    rows = e.select((F.col("user_id") * 4 + i % 4).cast("long").alias("unit"), "ts", F.unix_millis("ts").alias("at_ms"), i.alias("seq"), kind.alias("kind"))
+    # What a result's sender knew: the attempt it answers, or for every fifth one an earlier one.
+    begun = F.last(F.when(F.col("kind") == "start", F.col("seq")), ignorenulls=True).over(Window.partitionBy("unit").orderBy("at_ms", "seq"))
+    rows = rows.withColumn("attempt", F.when(F.col("kind") == "result", begun - F.when(F.col("seq") % 5 == 0, 1).otherwise(0)))
+    out = td.drained_state(spark, "late-attempt", lambda: td.stateful(td.replayed_stream(rows, "ts"), "unit", td.Attempts(), td.Attempts.OUT))
+    return out.where("unit IS NOT NULL").select(F.col("seq").alias("event_id"), "outcome")
 
 
 PACKED = f"""{ITEMS}, n AS (SELECT batch, left(sha256('[[' || string_agg('[' || i || ', ' || to_json(text) || ']', ', ' ORDER BY pos) || '], ""]'), 16) AS nonce FROM items GROUP BY batch),

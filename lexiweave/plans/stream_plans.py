@@ -147,6 +147,18 @@ def stm_gate(spark, d):
     return states(fl.gated(control(spark, d, kind=kind, back=F.when(i % 4 < 2, 0).otherwise(1))), "gate")
 
 
+@query("stm_gate_rows", """WITH g AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms, CASE WHEN event_id % 6 = 0 THEN 'begin' WHEN event_id % 6 <> 1 THEN 'wait' WHEN event_id % 4 < 2 THEN 'clear' ELSE 'old' END AS kind FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id) AS n FROM g),
+b AS (SELECT *, max(CASE WHEN kind = 'begin' THEN n END) OVER w AS begun, max(CASE WHEN kind = 'clear' THEN n END) OVER w AS cleared, min(CASE WHEN kind = 'clear' THEN n END) OVER (PARTITION BY user_id ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM n WINDOW w AS (PARTITION BY user_id ORDER BY n)),
+o AS (SELECT user_id, event_id AS waiter, CASE WHEN coalesce(begun, 0) > coalesce(cleared, 0) THEN next ELSE n END AS by FROM b WHERE kind = 'wait') SELECT o.user_id, waiter, n.event_id AS released_by FROM o JOIN n ON n.user_id = o.user_id AND n.n = o.by""")
+def stm_gate_rows(spark, d):
+    """The waiters themselves, with the event that let each go on; those that still wait don't come out."""
+    i = F.col("event_id").cast("long")
+    kind = F.when(i % 6 == 0, "begin").when(i % 6 == 1, "clear").otherwise("wait")
+    rows = events(spark, d).select(F.col("user_id").cast("long").alias("user_id"), "ts", F.unix_millis("ts").alias("at_ms"), i.alias("seq"), kind.alias("kind"), F.when(i % 4 < 2, 0).otherwise(1).alias("back"))
+    return td.drained_state(spark, "gate-rows", lambda: td.stateful(td.replayed_stream(rows, "ts"), "user_id", td.Gate(), td.Gate.OUT)).where("user_id IS NOT NULL")
+
+
 @query("stm_reconnect", """WITH e AS (SELECT user_id, event_id, CASE WHEN event_id % 7 <> 0 THEN event_id // 500 END AS epoch FROM events), m AS (SELECT *, epoch <> lag(epoch) OVER (PARTITION BY user_id ORDER BY event_id) AS moved FROM e WHERE epoch IS NOT NULL),
 n AS (SELECT user_id, count_if(moved) AS replayed FROM m GROUP BY user_id)
 SELECT e.user_id, coalesce(any_value(n.replayed), 0) AS replayed, count_if(epoch IS NULL) AS failed FROM e LEFT JOIN n ON n.user_id = e.user_id GROUP BY e.user_id""")

@@ -201,3 +201,75 @@ class Barrier(StatefulProcessor):
 
     def close(self) -> None:
         pass
+
+
+class Attempts(StatefulProcessor):
+    """Results against the attempt that a unit is waiting for: only that one's first result is committed.
+
+    start begins an attempt (and finds the unit connected); detach takes the unit
+    off its page, so results are void until the next start.
+    """
+
+    OUT = "unit long, seq long, outcome string"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.unit = handle.getValueState("unit", "attempt long, waiting boolean, connected boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        attempt, waiting, connected = self.unit.get() if self.unit.exists() else (None, False, False)
+        out = []
+        for r in in_order(rows, "at_ms", "seq"):
+            if r.kind == "start":
+                attempt, waiting, connected = int(r.seq), True, True
+            elif r.kind == "detach":
+                connected = False
+            else:
+                current = attempt is not None and pd.notna(r.attempt) and int(r.attempt) == attempt
+                outcome = "unknown" if attempt is None else "detached" if not connected else "late" if not current else "committed" if waiting else "repeated"
+                waiting = waiting and outcome != "committed"
+                out.append((key[0], int(r.seq), outcome))
+        self.unit.update((attempt, waiting, connected))
+        yield pd.DataFrame(out, columns=["unit", "seq", "outcome"])
+
+    def close(self) -> None:
+        pass
+
+
+class Gate(StatefulProcessor):
+    """Waiters at gates that replace each other: each goes on once, when the gate that stands then is cleared.
+
+    Clearing a gate that was replaced does nothing; a waiter without a gate goes
+    on at once. back: how many generations before the newest a clear belongs to.
+    """
+
+    OUT = "user_id long, waiter long, released_by long"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.gate = handle.getValueState("gate", "generation long, standing boolean")
+        self.waiters = handle.getListState("waiters", "seq long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        generation, standing = self.gate.get() if self.gate.exists() else (0, False)
+        waiting = [w[0] for w in self.waiters.get()] if self.waiters.exists() else []
+        out = []
+        for r in in_order(rows, "at_ms", "seq"):
+            seq = int(r.seq)
+            if r.kind == "begin":
+                generation, standing = generation + 1, True
+            elif r.kind == "wait":
+                if standing:
+                    waiting.append(seq)
+                else:
+                    out.append((key[0], seq, seq))
+            elif standing and int(r.back) == 0:
+                out += [(key[0], w, seq) for w in waiting]
+                standing, waiting = False, []
+        self.gate.update((generation, standing))
+        if waiting:
+            self.waiters.put([(w,) for w in waiting])
+        else:
+            self.waiters.clear()
+        yield pd.DataFrame(out, columns=["user_id", "waiter", "released_by"])
+
+    def close(self) -> None:
+        pass
