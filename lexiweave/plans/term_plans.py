@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexiweave.functions import text as tx
@@ -12,6 +13,7 @@ from lexiweave.plans.registry import query
 from lexiweave.plans.rule_plans import RULES as RULE_PAGES
 from lexiweave.plans.rule_plans import rules
 from lexiweave.plans.unit_plans import CAPS
+from lexiweave.streaming.flows import kept
 
 STOPS = ", ".join(f"'{x}'" for x in tx.STOP_WORDS)
 TOKENS = rf"""tok0 AS (SELECT page_id, unit_id, pos, role, text, role = 'heading' OR {CAPS} AS shape, regexp_extract_all(text, '[A-Za-z][A-Za-z0-9''’_-]*') AS ts FROM units),
@@ -145,8 +147,6 @@ def win_context(spark, d):
 
 @query("srt_variants", f"{FIX}, v AS (SELECT term, kind, rendered, count(*) AS n FROM seen WHERE rendered IS NOT NULL GROUP BY ALL) SELECT term, kind, rendered, n, row_number() OVER (PARTITION BY term, kind ORDER BY n DESC, rendered) AS place FROM v")
 def srt_variants(spark, d):
-    from pyspark.sql import Window
-
     v = seen(spark, d).where("rendered IS NOT NULL").groupBy("term", "kind", "rendered").agg(F.count("*").alias("n"))
     return v.withColumn("place", F.row_number().over(Window.partitionBy("term", "kind").orderBy(F.desc("n"), "rendered")).cast("long"))
 
@@ -197,12 +197,18 @@ HINTS = r"""hint0 AS (SELECT DISTINCT c.page_id, c.pos // 4 AS chunk, c.term, c.
 hints AS (SELECT *, row_number() OVER (PARTITION BY page_id, chunk ORDER BY first_at, term, trigger) AS n FROM hint0 WHERE usable)"""
 
 
-def hints(spark, d):
-    from pyspark.sql import Window
+def coming_back(spark, d):
+    """Triggered terms that stand in several chunks of their page: only these can have a precedent or be one. Written once, as it is read twice."""
+    rows = seen(spark, d).where(~F.col("kind").isin("locked", "fixed", "structural")).withColumn("chunk", F.floor(F.col("pos") / 4))
+    place = Window.partitionBy("page_id", "term")
+    rows = rows.withColumns({"_lo": F.min("chunk").over(place), "_hi": F.max("chunk").over(place)}).where("_lo < _hi").drop("_lo", "_hi")
+    rows = tm.with_trigger(rows).select("page_id", "pos", "chunk", "unit_id", "term", "kind", "trigger", "rendered", "raw")
+    return kept(rows, "coming-back")
+
 
-    c = triggered(spark, d).where(~F.col("kind").isin("locked", "fixed", "structural")).withColumn("chunk", F.floor(F.col("pos") / 4))
+def hints(c):
     need = c.groupBy("page_id", "chunk", "term", "trigger").agg(F.min("pos").alias("at"))
-    p = tm.precedents(triggered(spark, d)).where("usable").select("page_id", F.col("lemma").alias("term"), "trigger", "preferred", "target", "first_pos")
+    p = tm.precedents(c).where("usable").select("page_id", F.col("lemma").alias("term"), "trigger", "preferred", "target", "first_pos")
     rows = need.join(p, ["page_id", "term", "trigger"]).where(F.floor(F.col("first_pos") / 4) < F.col("chunk"))
     return rows.withColumn("n", F.row_number().over(Window.partitionBy("page_id", "chunk").orderBy("at", "term", "trigger")).cast("long"))
 
@@ -210,19 +216,19 @@ def hints(spark, d):
 @query("jn_precedent", f"{FIX}, {TRIGGER}, {PRECEDENT}, {HINTS} SELECT page_id, chunk, term, trigger, preferred FROM hints")
 def jn_precedent(spark, d):
     """Precedents of earlier chunks for the terms of each chunk."""
-    return hints(spark, d).select("page_id", "chunk", "term", "trigger", "preferred")
+    return hints(coming_back(spark, d)).select("page_id", "chunk", "term", "trigger", "preferred")
 
 
 @query("top_hints", f"{FIX}, {TRIGGER}, {PRECEDENT}, {HINTS} SELECT page_id, chunk, term, trigger, n FROM hints WHERE n <= 8")
 def top_hints(spark, d):
-    return hints(spark, d).where(F.col("n") <= tm.MOST_HINTS).select("page_id", "chunk", "term", "trigger", "n")
+    return hints(coming_back(spark, d)).where(F.col("n") <= tm.MOST_HINTS).select("page_id", "chunk", "term", "trigger", "n")
 
 
 @query("jn_hint_out", f"""{FIX}, {TRIGGER}, {PRECEDENT}, {HINTS} SELECT CASE WHEN t.rendered IS NULL THEN 'unaligned' WHEN t.rendered = h.preferred THEN 'matched' ELSE 'diverged' END AS outcome, count(*) AS n
 FROM hints h JOIN trig t ON t.page_id = h.page_id AND t.pos // 4 = h.chunk AND t.term = h.term AND t.trigger = h.trigger GROUP BY ALL""")
 def jn_hint_out(spark, d):
-    t = triggered(spark, d).select("page_id", F.floor(F.col("pos") / 4).alias("chunk"), "term", "trigger", "rendered")
-    rows = hints(spark, d).join(t, ["page_id", "chunk", "term", "trigger"])
+    t = coming_back(spark, d)
+    rows = hints(t).join(t.select("page_id", "chunk", "term", "trigger", "rendered"), ["page_id", "chunk", "term", "trigger"])
     outcome = F.when(F.col("rendered").isNull(), "unaligned").when(F.col("rendered") == F.col("target"), "matched").otherwise("diverged")
     return rows.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
 

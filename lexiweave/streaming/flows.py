@@ -31,6 +31,13 @@ def shared_folder(spark: SparkSession) -> str:
     return at or tempfile.mkdtemp(prefix="lexiweave-")
 
 
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """rows written to the shared folder and read again: worked out once, and not lost with an executor."""
+    at = f"{shared_folder(rows.sparkSession)}/kept/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(at)
+    return rows.sparkSession.read.schema(rows.schema).parquet(at)
+
+
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there now and read what it wrote; the stream runs while the plan is made.
 
