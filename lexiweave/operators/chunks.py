@@ -72,7 +72,7 @@ class Run:
 
 
 def translate_cached(batches: DataFrame, table: CacheTable, provider=None, *, run: str, machine: bool = False, semantic: list[str] = (), page: list[str] = (), now: Column | None = None) -> DataFrame:
-    """batch, i, t, ok, cached, attempts of each item; what is new is in the cache when this returns.
+    """batch, i, t, ok, cached, attempts (of its batch), asked (whether a request held it) of each item; what is new is in the cache when this returns.
 
     run names the job: the same name again gives the same rows and calls no
     provider. Entries are merged only if nobody cleared the cache meanwhile.
@@ -80,11 +80,11 @@ def translate_cached(batches: DataFrame, table: CacheTable, provider=None, *, ru
     job, begun = Run(table, run), table.version()
     known = job.step("found", lambda: found(keys_of(batches, list(semantic), list(page), machine), table.read(begun)).withColumn("generation", F.lit(begun.generation)))
     said = job.step("said", lambda: pr.translate(missing(known), provider, machine))
-    said = said.select("batch", "i", F.col("t").alias("new"), F.col("ok").alias("done"), "attempts", "splits")
+    said = said.select("batch", "i", F.col("t").alias("new"), F.col("ok").alias("done"), "attempts", "splits", "sent")
     rows = known.join(said, ["batch", "i"], "left")
     rows = rows.withColumns({"t": F.when(F.col("cached"), F.col("t")).otherwise(F.col("new")), "ok": F.col("cached") | F.coalesce("done", F.lit(False))})
     entries = fresh_entries(rows, now if now is not None else F.current_timestamp())
     first = known.select("generation").first()
     if first is not None:
         table.merge(entries, first["generation"], flush=(f"run:{run}", 0))
-    return rows.select("batch", "i", "t", "ok", "cached", F.when(F.col("cached"), 0).otherwise(F.col("attempts")).cast("long").alias("attempts"))
+    return rows.select("batch", "i", "t", "ok", "cached", F.when(F.col("cached"), 0).otherwise(F.col("attempts")).cast("long").alias("attempts"), (~F.col("cached") & F.coalesce("sent", F.lit(False))).alias("asked"))

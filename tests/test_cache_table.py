@@ -132,3 +132,14 @@ def test_a_run_that_died_is_taken_up(spark, tmp_path, monkeypatch):
     assert len(got) == 12 and table.version().number == 1 and table.read().count() == 5
     assert got == told(ch.translate_cached(batches(spark), table, Silent(), run="a")) and table.version().number == 1
     assert pr.MOST_ATTEMPTS == 9 and all(r.attempts <= 9 for r in ch.translate_cached(batches(spark), table, run="z").collect())
+
+
+def test_too_long_items_are_not_asked(spark, tmp_path):
+    """An item beyond the limit is never in a request, whatever its batch has asked; its neighbours are."""
+    rows = [(1, [(1, "one"), (2, "x" * 13_000), (3, "three")], False, True), (2, [(4, "four"), (5, "y" * 13_000)], True, True), (3, [(6, "z" * 13_000)], False, True)]
+    frame = spark.createDataFrame(rows, batches(spark).schema)
+    table = CacheTable(spark, str(tmp_path / "c"))
+    got = {r.i: (r.ok, r.asked) for r in ch.translate_cached(frame, table, run="a").collect()}
+    assert got == {1: (True, True), 2: (False, False), 3: (True, True), 4: (True, True), 5: (False, False), 6: (False, False)}
+    again = {r.i: (r.cached, r.asked) for r in ch.translate_cached(frame, table, run="b").collect()}
+    assert again == {1: (True, False), 2: (False, False), 3: (True, False), 4: (False, True), 5: (False, False), 6: (False, False)}
