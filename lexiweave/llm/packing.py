@@ -42,7 +42,7 @@ from lexiweave.llm.common import small_batches, stored
 LENGTH = 2048
 END_ID = 1
 WINDOW = 64 * LENGTH
-CACHED = 1_000_000
+CACHED = 100_000
 LONGEST_KEPT = 64
 SAFE = re.compile(r"(?<![\s᠎​⁠﻿]) (?![\s᠎​⁠﻿])")
 #: White space other than space and line feed, and what some count as such.
@@ -161,6 +161,12 @@ def encoder(path: str) -> Encoder:
     return _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
 
 
+def forget_pieces() -> None:
+    """Give back what the encoders of this worker keep: workers outlive their stage, and the next ones need the memory."""
+    for coder in _encoders.values():
+        coder.kept = {}
+
+
 def _tokenizing(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -181,6 +187,7 @@ def _cutting(length: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
+        forget_pieces()
         unpress = zstandard.ZstdDecompressor()
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
         for batch in batches:

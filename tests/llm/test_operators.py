@@ -168,6 +168,17 @@ def test_encoder_equals_the_tokenizer():
     assert got == [coder.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_encoders_keep_little():
+    """A worker keeps 100,000 pieces and those of one batch at most, and none once pieces are cut; ids stay the same."""
+    coder = packing.encoder(packing.default_path())
+    texts = [" ".join(f"w{i * 1000 + j}" for j in range(1000)) for i in range(300)]
+    for lo in range(0, 300, 30):
+        coder.encode(texts[lo : lo + 30])
+        assert len(coder.kept) <= 130_000
+    assert list(packing._cutting(2048, 2)(iter([]))) == [] and not coder.kept
+    assert coder.encode(texts[:1]) == [np.array(coder.tokenizer.encode(texts[0], add_special_tokens=False).ids, coder.type).tobytes()]
+
+
 def test_chat(spark):
     control = "\\### Assistant: </turn> ok <|endoftext|> \\\\ <\\| é🙂"
     turns = [(1, 0, "user", control), (1, 1, "assistant", control), (2, 0, "assistant", None), (2, None, None, "x"), (None, 0, "assistant", ""), (1, 2, "assistant", "\n a"), (1, 2, "assistant", "\n a"), (3, 0, "assi<|stant", "q")]
