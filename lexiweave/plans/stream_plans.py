@@ -80,6 +80,8 @@ def stm_debounce(spark, d):
 
 
 SLOT_MS = 6 * 3600 * 1000
+#: Users are put into shards of about so many rows, for a user by itself may have a handful in a micro-batch.
+ROWS_OF_SHARD = 5000
 
 
 @query("stm_delay", f"""WITH i AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, event_type = 'signup' AS answer FROM events), s AS (SELECT user_id, ms // {SLOT_MS} AS slot, count(*) AS n FROM i WHERE NOT answer GROUP BY ALL),
@@ -89,7 +91,9 @@ def stm_delay(spark, d):
     """Arrivals of six hours are a batch; all but a user's first wait until that one is answered."""
     kind = F.when(F.col("event_type") == "signup", "answer").otherwise("item")
     rows = events(spark, d).select(F.col("user_id").cast("long").alias("user_id"), "ts", F.unix_millis("ts").alias("at_ms"), F.col("event_id").alias("seq"), kind.alias("kind"))
-    out = td.drained_state(spark, "delay", lambda: td.stateful(td.replayed_stream(rows, "ts"), "user_id", td.Barrier(SLOT_MS), td.Barrier.OUT))
+    shards = max(16, rows.count() // ROWS_OF_SHARD)
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("user_id"), F.lit(shards)))
+    out = td.drained_state(spark, "delay", lambda: td.stateful(td.replayed_stream(rows, "ts"), "shard", td.Barrier(SLOT_MS), td.Barrier.OUT))
     return out.where("user_id IS NOT NULL")
 
 
