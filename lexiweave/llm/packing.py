@@ -44,6 +44,8 @@ END_ID = 1
 WINDOW = 64 * LENGTH
 CACHED = 100_000
 LONGEST_KEPT = 64
+#: The faster engine puts each white space of a run on a stack that holds a million.
+LONGEST_RUN = 500_000
 SAFE = re.compile(r"(?<![\s᠎​⁠﻿]) (?![\s᠎​⁠﻿])")
 #: White space other than space and line feed, and what some count as such.
 ODD = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0 ᠎           ​    ⁠　﻿"
@@ -89,29 +91,34 @@ def ranked(path: str, load=None):
     import tiktoken
 
     ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items()}
-    return tiktoken.Encoding(os.path.basename(path), pat_str=CUTS, mergeable_ranks=ranks, special_tokens={})
+    control = {x["content"]: x["id"] for x in spec.get("added_tokens") or []}
+    return tiktoken.Encoding(os.path.basename(path), pat_str=CUTS, mergeable_ranks=ranks, special_tokens=control)
 
 
 class Encoder:
-    """ids of whole texts. The tokenizer's own cuts always fall at a space
-    between two other than white space, so pieces between such spaces are
-    encoded apart and kept, up to CACHED of them and none longer than
-    LONGEST_KEPT characters, for the next texts. A plain
-    byte-level file is run by a faster engine; tests hold the ids against the
-    tokenizer's own."""
+    """ids of whole texts. A plain byte-level file is run by a faster engine,
+    which takes each text whole and keeps nothing; tests hold the ids against
+    the tokenizer's own. With other files pieces are kept: the tokenizer's own
+    cuts always fall at a space between two other than white space, so pieces
+    between such spaces are encoded apart, up to CACHED of them and none longer
+    than LONGEST_KEPT characters kept for the next texts."""
 
     def __init__(self, path: str):
         self.tokenizer = load_tokenizer(path)
-        engine = ranked(path)
-        self.one = engine.encode_ordinary if engine else lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        self.engine = ranked(path)
         self.kept: dict[str, bytes] = {}
         self.type = "<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4"
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.opens[i] = token.startswith("\u0120")  # a space, in byte-level vocabularies
 
+    def one(self, text: str) -> np.ndarray:
+        if self.engine and not (len(text) >= LONGEST_RUN and any(m.end() - m.start() >= LONGEST_RUN for m in re.finditer(r"\s+", text))):
+            return self.engine.encode_to_numpy(text, disallowed_special=()).astype(self.type)
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type)
+
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(self.one(x), self.type).tobytes() for x in texts]
+        return [self.one(x).tobytes() for x in texts]
 
     def _keep(self, pieces: list[str]) -> None:
         """Encode pieces that follow a space. Many are put in one text, which is
@@ -119,7 +126,7 @@ class Encoder:
         plain = [x for x in pieces if " " not in x and not x[:1].isspace() and not x[-1:].isspace() and x]
         for lo in range(0, len(plain), 1000):
             some = plain[lo : lo + 1000]
-            ids = np.array(self.one(" " + " ".join(some)), self.type)
+            ids = self.one(" " + " ".join(some))
             cuts = np.flatnonzero(self.opens[ids])
             if len(cuts) != len(some) or (len(cuts) and cuts[0]):
                 self.kept.update(zip(some, self._ids([" " + x for x in some]), strict=True))
@@ -133,6 +140,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text, of the width of self.type."""
+        if self.engine:
+            return self._ids(texts)
         if len(self.kept) > CACHED:
             self.kept.clear()
         get = self.kept.get

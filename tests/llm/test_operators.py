@@ -179,6 +179,33 @@ def test_encoders_keep_little():
     assert coder.encode(texts[:1]) == [np.array(coder.tokenizer.encode(texts[0], add_special_tokens=False).ids, coder.type).tobytes()]
 
 
+def test_encoder_takes_texts_whole():
+    """The faster engine runs once a text, not once a piece, and keeps nothing; runs of white space it can't take go to the tokenizer."""
+    coder = packing.Encoder(packing.default_path())
+    texts = [f"some words, w{i} é\n twice  <|endoftext|> " + "x y " * i for i in range(50)] + ["a" + " " * 2_000_000 + "b", "", "a\n" * 300_000]
+    calls, engine = [], coder.engine
+
+    class Counting:
+        def encode_to_numpy(self, text, **options):
+            calls.append(text)
+            return engine.encode_to_numpy(text, **options)
+
+    coder.engine = Counting()
+    got = [np.frombuffer(x, coder.type).tolist() for x in coder.encode(texts)]
+    assert calls == [x for x in texts if len(x) != 2_000_002] and not coder.kept
+    assert got == [coder.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_encoder_without_the_engine():
+    """Other files keep pieces; ids are the same."""
+    texts = ["", " ", "  a", "a  b", "a\n b", "it's we'll  don't\t x", "é ü　x", "<|endoftext|> x", " lead", "trail ", "x y x y " * 500]
+    coder = packing.Encoder(packing.default_path())
+    coder.engine = None
+    for _ in range(2):
+        got = [np.frombuffer(x, coder.type).tolist() for x in coder.encode(texts)]
+        assert got == [coder.tokenizer.encode(x, add_special_tokens=False).ids for x in texts] and coder.kept
+
+
 def test_chat(spark):
     control = "\\### Assistant: </turn> ok <|endoftext|> \\\\ <\\| é🙂"
     turns = [(1, 0, "user", control), (1, 1, "assistant", control), (2, 0, "assistant", None), (2, None, None, "x"), (None, 0, "assistant", ""), (1, 2, "assistant", "\n a"), (1, 2, "assistant", "\n a"), (3, 0, "assi<|stant", "q")]
